@@ -12,12 +12,23 @@ from collections.abc import Sequence
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Parts kept; about 100 MB. What comes later and isn't among them is encoded anew for each batch.
-CACHE_PARTS = 400_000
+#: Parts kept, and words without their punctuation; about 150 MB each. What comes later and isn't among them is encoded anew.
+CACHE_PARTS = 700_000
+_TAIL = ".,;:!?"
 _MEETING = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: the byte's own where that prints, else the next one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return {b: chr(b if b in own else next(spare)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
 def _packed(ids: Sequence[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -35,12 +46,24 @@ class Encoder:
         self.first: dict[str, bytes] = {} if glue else self.spaced
         self.line = _packed(self._ids("\n"))
         (self.mark_id,) = self._ids(self.mark)
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.spaced[""] = _packed(self._ids(" "))
         self.first[""] = b""
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _word(self, body: str) -> bytes:
+        """The ids of a word of Latin letters alone; body is the word, or a space and it. Such a word is one step of the model."""
+        found = self.words.get(body)
+        if found is None:
+            text = body if self.glue else body.lower()
+            found = _packed([t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))])
+            if len(self.words) < CACHE_PARTS:
+                self.words[body] = found
+        return found
+
     def _learn(self, parts: list[str], lead: str) -> dict[str, bytes]:
         """The ids of parts; those without white space or the mark at one go, set apart by the mark."""
         out, plain = {}, []
@@ -49,6 +72,14 @@ class Encoder:
                 body = part[1:]
             else:
                 body = lead + part
+            bare = body.rstrip(_TAIL)
+            word = bare[1:] if bare[:1] == " " else bare
+            if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
+                tail = body[len(bare) :]
+                if tail not in self.tails:
+                    self.tails[tail] = _packed(self._ids(tail))
+                out[part] = self._word(bare) + self.tails[tail]
+                continue
             if not body or _SPACE.search(body, 1 if body[0] == " " else 0) or "\x00" in body:
                 out[part] = _packed(self._ids(body)) if body else b""
             else:

@@ -224,8 +224,10 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.9998, rows: int = 6) -> DataFrame:
-    """One row per row of docs: its id, class_id, n_grams, n_copies, n_text_links, n_links.
+def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.9998, rows: int = 6) -> DataFrame:
+    """One row per row of docs: id, text_hash, class_id, n_grams, n_copies, n_text_links, n_links, and chosen.
+
+    chosen is true for one document of each class, that of the least id (null last), then of the least text hash.
 
     class_id: the least id in the connected component of links; n_grams: the size of the n-gram set; n_copies: rows with an
     equal set, itself included; n_text_links: other sets with a similarity of at least ``similarity``; n_links: other rows
@@ -239,7 +241,7 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     kind = source.schema["id"].dataType.simpleString()
     signed = stage(source.mapInArrow(_signatures(n, n_bands, rows), f"id {kind}, text_hash bigint, set_key binary, n_grams bigint, bands array<bigint>"))
     node = F.conv(F.substring(F.hex("set_key"), 1, 15), 16, 10).cast("long")  # 60 bits of the key's 128
-    texts = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    texts = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     texts = stage(texts.withColumn("node", node))
 
     banded = texts.select("node", F.explode("bands").alias("band"))
@@ -269,14 +271,31 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     meet = cluster(found.filter("other >= 0").select("node", "other"), "node").select(F.col("root").alias("a"), F.col("other").alias("b")).distinct()
     top = components(meet).select(F.col("node").alias("root"), F.col("root").alias("top"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
-    placed = cluster(texts.select("node", "set_key", "least", "copies"), "node").join(top, "root", "left").withColumn("top", F.coalesce("top", "root"))
-    least = placed.groupBy("top").agg(F.min("least").alias("class_id"))
+    placed = cluster(texts.select("node", "set_key", "least", "row", "copies"), "node").join(top, "root", "left").withColumn("top", F.coalesce("top", "root"))
+    least = placed.groupBy("top").agg(F.min("least").alias("class_id"), F.min("row").alias("chosen"))
     done = placed.join(least, "top").join(counts, "node", "left")
-    done = done.select("set_key", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked", F.lit(0)).alias("linked"))
-    every = signed.select("id", "set_key", "n_grams").join(done, "set_key", "left")
+    done = done.select("set_key", "class_id", "chosen", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    every = signed.select("id", "text_hash", "set_key", "n_grams").join(done, "set_key", "left")
     alone = F.col("set_key").isNull()
-    return every.select(F.col("id").alias(id), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_grams", F.coalesce("copies", F.lit(1)).alias("n_copies"),
-                        F.coalesce("links", F.lit(0)).alias("n_text_links"), F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
+    chosen = alone | (F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("text_hash") == F.col("chosen.text_hash")))
+    return every.select("id", "text_hash", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_grams", F.coalesce("copies", F.lit(1)).alias("n_copies"),
+                        F.coalesce("links", F.lit(0)).alias("n_text_links"), F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"), chosen.alias("chosen"))
+
+
+def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row per row of docs: its id, class_id, n_grams, n_copies, n_text_links, n_links, as ngram_classes() tells."""
+    return ngram_classes(docs, id, text, **how).drop("text_hash", "chosen").withColumnRenamed("id", id)
+
+
+def one_of_each_class(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs without near duplicates: one row of each class stays, with all its columns. Texts without a word stay, repeated rows but once."""
+    kept = ngram_classes(docs, id, text, **how).filter("chosen").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    kept = stage(kept.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "times"))
+    own = docs.withColumns({"__h": F.xxhash64(docs[text])})
+    out = own.join(kept, (own["__h"] == kept["__hash"]) & own[id].eqNullSafe(kept["__id"]), "left_semi")
+    if not kept.filter("times > 1").isEmpty():
+        out = out.dropDuplicates([id, "__h"])
+    return out.drop("__h")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
