@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
+from . import fingerprints, mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_token_output": token_output.query,
     "op3_packing": packing.query,
     "op4_ngram_join": ngram_join.query,
+    "op5_fingerprints": fingerprints.query,
     "op7_quality_rules": quality_rules.query,
     "op10_substring_dedup": substring_dedup.query,
 }
