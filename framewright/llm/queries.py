@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
+from . import fingerprints, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_ngram_join": ngram_join.query,
     "op5_fingerprints": fingerprints.query,
+    "op6_lm_scoring": lm_scoring.query,
     "op7_quality_rules": quality_rules.query,
     "op10_substring_dedup": substring_dedup.query,
 }
