@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
+from . import fingerprints, importance, language_id, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_fingerprints": fingerprints.query,
     "op6_lm_scoring": lm_scoring.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_quality_classifier": importance.query,
+    "op9_language_id": language_id.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 ORACLES: dict[str, str] = {}
