@@ -6,17 +6,16 @@ in which white space meets white space, where that isn't so, go to the library w
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Parts kept, and words without their punctuation; about 150 MB each. What comes later and isn't among them is encoded anew.
-CACHE_PARTS = 700_000
+#: Parts kept, and words without their punctuation; about 60 MB each. What comes later and isn't among them is encoded anew.
+CACHE_PARTS = 300_000
+#: White space that meets at a part's edge; else a part's own first or last character tells.
+_MEETING = ("  ", "\n\n", " \n", "\n ")
 _TAIL = ".,;:!?"
-_MEETING = re.compile(r"\s\s")
-_SPACE = re.compile(r"\s")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,49 +53,47 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _word(self, body: str) -> bytes:
-        """The ids of a word of Latin letters alone; body is the word, or a space and it. Such a word is one step of the model."""
-        found = self.words.get(body)
-        if found is None:
-            text = body if self.glue else body.lower()
-            found = _packed([t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))])
-            if len(self.words) < CACHE_PARTS:
-                self.words[body] = found
-        return found
-
-    def _learn(self, parts: list[str], lead: str) -> dict[str, bytes]:
-        """The ids of parts; those without white space or the mark at one go, set apart by the mark."""
-        out, plain = {}, []
+    def _learn(self, parts: list[str], lead: str) -> dict[str, bytes | None]:
+        """The ids of parts; those without white space or the mark at one go, set apart by the mark. None: its text must go whole."""
+        out: dict[str, bytes | None] = {}
+        plain = []
+        words, tails, keep = self.words, self.tails, len(self.words) < CACHE_PARTS
         for part in parts:
-            if self.glue and part[0] == "\n":
-                body = part[1:]
-            else:
-                body = lead + part
+            line = self.glue and part[0] == "\n"
+            body = part[1:] if line else lead + part
             bare = body.rstrip(_TAIL)
-            word = bare[1:] if bare[:1] == " " else bare
-            if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
+            found = words.get(bare)
+            if found is None:
+                word = bare[1:] if bare[:1] == " " else bare
+                if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
+                    # a word of Latin letters is one step of the model
+                    text = bare if self.glue else bare.lower()
+                    found = _packed([t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))])
+                    if keep:
+                        words[bare] = found
+            if found is not None:
                 tail = body[len(bare) :]
-                if tail not in self.tails:
-                    self.tails[tail] = _packed(self._ids(tail))
-                out[part] = self._word(bare) + self.tails[tail]
+                if tail not in tails:
+                    tails[tail] = _packed(self._ids(tail))
+                found += tails[tail]
+                out[part] = self.line + found if line else found
                 continue
-            if not body or _SPACE.search(body, 1 if body[0] == " " else 0) or "\x00" in body:
-                out[part] = _packed(self._ids(body)) if body else b""
+            own = part[1:] if line else part
+            if self.glue and own and (own[0].isspace() or own[-1].isspace()):
+                out[part] = None
+            elif not body or "\x00" in body or any(c.isspace() for c in own):
+                out[part] = (self.line if line else b"") + (_packed(self._ids(body)) if body else b"")
             else:
-                plain.append((part, body))
+                plain.append((part, body, line))
         for k in range(0, len(plain), 20_000):
             some = plain[k : k + 20_000]
-            ids = np.array(self._ids(self.mark.join(body for _, body in some)), "<u4")
+            ids = np.array(self._ids(self.mark.join(body for _, body, _ in some)), "<u4")
             at = np.flatnonzero(ids == self.mark_id)
             assert len(at) == len(some) - 1, "a part of a text has the id of the mark between parts"
             data, lo = ids.tobytes(), 0
-            for (part, _), hi in zip(some, [*at.tolist(), len(ids)]):
-                out[part] = data[4 * lo : 4 * hi]
+            for (part, _, line), hi in zip(some, [*at.tolist(), len(ids)]):
+                out[part] = (self.line if line else b"") + data[4 * lo : 4 * hi]
                 lo = hi + 1
-        if self.glue:
-            for part in out:
-                if part[0] == "\n":
-                    out[part] = self.line + out[part]
         return out
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
@@ -108,41 +105,45 @@ class Encoder:
             if not text:
                 out[k] = b""
                 continue
+            head = None
             if self.glue:
-                if _MEETING.search(text):
+                if any(m in text for m in _MEETING):
                     whole.append(k)
                     continue
                 parts = text.replace("\n", " \n").split(" ")
-                head, parts[0] = parts[0], ""
-                start = self.first.get(head) if head[:1] != "\n" else None
-                if start is None:
-                    new_first.add(head)
-                ids = list(map(get, parts))
-                ids[0] = start
+                if parts[0][:1] != "\n":  # nothing stands before the first word
+                    head, parts[0] = parts[0], ""
             else:
                 parts = text.replace("\n", " ").split(" ")
-                head = ""
-                ids = list(map(get, parts))
+            ids = list(map(get, parts))
+            if head is not None:
+                ids[0] = self.first.get(head)
+                if ids[0] is None:
+                    new_first.add(head)
             if None in ids:
                 new.update(p for p, x in zip(parts, ids) if x is None)
                 waiting.append((k, head, parts, ids))
             else:
                 out[k] = b"".join(ids)
-        if whole:
-            for k, e in zip(whole, self.library.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
-                out[k] = _packed(e.ids)
         if waiting:
             new.discard("")
-            fresh = self._learn(sorted(new), " " if self.glue else "")
-            heads = {h: _packed(self._ids(h)) for h in new_first}
+            fresh = self._learn(list(new), " " if self.glue else "")
+            heads = {h: None if h[-1].isspace() else _packed(self._ids(h)) for h in new_first}
             for k, head, parts, ids in waiting:
-                ids = [fresh[p] if x is None else x for p, x in zip(parts, ids)] if not self.glue else [
-                    heads[head] if x is None and n == 0 else fresh[p] if x is None else x for n, (p, x) in enumerate(zip(parts, ids))]
-                out[k] = b"".join(ids)
-            if len(self.spaced) + len(fresh) <= CACHE_PARTS:
-                self.spaced |= fresh
-            if self.glue and len(self.first) + len(heads) <= CACHE_PARTS // 8:
-                self.first |= {h: x for h, x in heads.items() if h[:1] != "\n"}
+                if ids[0] is None and head is not None:
+                    ids[0] = heads[head]
+                    parts[0] = " "  # no part: if its head must go whole, so must the text
+                ids = [fresh.get(p) if x is None else x for p, x in zip(parts, ids)]
+                if None in ids:
+                    whole.append(k)
+                else:
+                    out[k] = b"".join(ids)
+            for cache, more, most in ((self.spaced, fresh, CACHE_PARTS), (self.first, heads, CACHE_PARTS // 8)):
+                if len(cache) < most:
+                    cache |= {p: x for p, x in more.items() if x is not None}
+        if whole:
+            for k, e in zip(whole, self.library.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
+                out[k] = _packed(e.ids)
         return out
 
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,22 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lets Arrow batches of texts take some megabytes, so that long texts don't add up in a task's memory."""
+    limit = 8 << 20
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", limit)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
+def passed(column: pa.Array) -> pa.Array:
+    """A column to be given back as it came. One that is all null is made anew, as Spark's reader refuses its own form of it."""
+    return pa.nulls(len(column), column.type) if column.null_count == len(column) else column
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint: for small tables of an iteration."""
     shared_dir(df.sparkSession)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import passed, small_batches
 from ._words import mix64
 
 SPAN, SKETCH = 16, 64
@@ -160,7 +161,7 @@ def _follow():
                 if last is not None and where == place:
                     out.append(row(last, doc))
                 last, where = (None if guest else doc), place
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+            yield pa.RecordBatch.from_arrays([passed(pa.array([r[k] for r in out], t)) for k, t in enumerate(types)], names)
 
     return run
 
@@ -176,6 +177,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     n = source.select("id").count()
     n_ranges = min(MOST_RANGES, max(1, n // RANGE_ROWS))
     shares = [k / n_ranges for k in range(1, n_ranges)]

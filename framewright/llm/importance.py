@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import positions, stage
+from ._spark import passed, positions, small_batches, stage
 from ._words import Words, chunks, mix64
 
 BUCKETS = 1 << 20
@@ -85,7 +85,7 @@ def _weigh(ratio: np.ndarray):
                 value = ratio[single] + np.where(pair >= 0, ratio[pair], 0.0)
                 total = np.concatenate([[0.0], np.cumsum(value)])
                 made = [pa.array(words.count), pa.array(total[words.offset[1:]] - total[words.offset[:-1]]), pa.array(worst_window(value, words.offset, WINDOW))]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), *made], ["id", "text_hash", "label", "n_words", "log_importance", "worst"])
+                yield pa.RecordBatch.from_arrays([*(passed(c.slice(lo, hi - lo)) for c in batch.columns[:3]), *made], ["id", "text_hash", "label", "n_words", "log_importance", "worst"])
 
     return run
 
@@ -108,7 +108,7 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id"
     have all texts if no label is good. Keys depend on id, text and seed alone; rows equal in these are drawn one after another. Null
     ids match no label. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     sample = labels.groupBy(F.col(id).alias("l_id")).agg(F.min(F.coalesce("good", F.lit(False))).alias("label")).filter("l_id IS NOT NULL").orderBy(F.xxhash64("l_id"), "l_id").limit(LABELLED)
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()

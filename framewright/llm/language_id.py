@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import passed, small_batches
 from ._words import _LOWER, _SPACE, Words, chunks, mix64
 
 BUCKETS = 1 << 15
@@ -175,7 +176,7 @@ def _label(model: Model):
         own = np.divide(share[np.arange(len(count)), best], total, out=np.zeros(len(count)), where=total > 0)
         spans = np.bincount(doc[change], minlength=len(count))
         part = batch.slice(first, len(count))
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(own), pa.array(spans)], ["id", "held_out", "lang_pred", "score", "n_spans"])
+        return pa.RecordBatch.from_arrays([passed(part.column(0)), part.column(1), pa.array(names, pa.string()), pa.array(own), pa.array(spans)], ["id", "held_out", "lang_pred", "score", "n_spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +202,7 @@ def _label(model: Model):
 def _no_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], ["id", "held_out", "lang_pred", "score", "n_spans"])
+        yield pa.RecordBatch.from_arrays([passed(batch.column(0)), batch.column(1), pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], ["id", "held_out", "lang_pred", "score", "n_spans"])
 
 
 def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -211,6 +212,7 @@ def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: s
     lang_pred is ``und``, with a score of 0, if the text is null or has no letter, or nothing was learned. Of equal shares the language
     first by name wins. Repeated rows are labelled one by one; other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
     held = F.pmod(F.crc32(F.coalesce(docs[id].cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
     model = learn(docs.filter(~held), text, lang)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import stage
+from ._spark import small_batches, stage
 from ._words import Words, chunks, mix64
 
 CHUNK_TOKENS = 4_000_000
@@ -307,6 +307,7 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     empty: its only token is the end. Repeated rows count and are scored one by one. Other columns are ignored. An empty table
     gives no rows; if nothing is left to train on, N and V are 0 and the weights stay 0.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id].dataType
     held = F.pmod(F.crc32(F.coalesce(docs[id].cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
     source = docs.select(docs[id].alias("id"), held.alias("held_out"), docs[text].alias("text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, stage
+from ._spark import cut, passed, small_batches, stage
 from ._words import chunks, grams, mix64
 
 #: Most texts in a block of comparisons, on average: two blocks of sets of 10,000 n-grams are 80 MB. Groups of some
@@ -92,7 +92,7 @@ def _signatures(n: int, n_bands: int, rows: int):
             size[1:][full] = n_bands
             keys = pa.array([_key_of(s) for s in sets], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(bands.T.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], keys, pa.array([len(s) for s in sets], pa.int64()), lists], ["id", "text_hash", "set_key", "n_grams", "bands"])
+            yield pa.RecordBatch.from_arrays([*map(passed, batch.columns[:2]), passed(keys), pa.array([len(s) for s in sets], pa.int64()), lists], ["id", "text_hash", "set_key", "n_grams", "bands"])
 
     return run
 
@@ -110,7 +110,7 @@ def _sets(n: int):
             for s in gram_sets(batch.column(0), n):
                 keys.append(_key_of(s))
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["set_key", "grams"])
+            yield pa.RecordBatch.from_arrays([passed(pa.array(keys, pa.binary())), pa.array(sets, pa.binary())], ["set_key", "grams"])
 
     return run
 
@@ -236,6 +236,7 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     copies of each other. Rows with a null id take part; a class whose ids are all null has a null class_id. Other columns
     of docs are ignored. Pairs at exactly ``similarity`` are found with a probability of ``recall``, others with a higher one.
     """
+    small_batches(docs.sparkSession)
     n_bands = bands_for(similarity, recall, rows)
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()

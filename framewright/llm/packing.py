@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._encode import encoder
-from ._spark import cells, positions, stage
+from ._spark import cells, passed, positions, small_batches, stage
 
 CONTEXT, UNIT, END = 4096, 8, 2
 #: The program ends when no pattern is worth this much more than a sequence: then it is within that share of the optimum.
@@ -150,7 +150,7 @@ def _pieces(path: str, end: int, context: int, with_ids: bool):
                         total.append(n)
                         if with_ids:
                             ids.append(piece)
-                own = [c.take(pa.array(row, pa.int64())) for c in some.columns[:2]]
+                own = [passed(c.take(pa.array(row, pa.int64()))) for c in some.columns[:2]]
                 made = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
                 yield pa.RecordBatch.from_arrays([*own, *made, *([pa.array(ids, pa.binary())] if with_ids else [])], ["id", "text_hash", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     A null text is empty: its only token is ``end``. Repeated rows are packed one by one. Null ids are values like any other; other
     columns of docs are ignored. An empty table gives no rows. Sequence ids are 0, 1, and so on without gaps.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * ids

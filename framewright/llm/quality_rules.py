@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._spark import free_name
+from ._spark import free_name, passed, small_batches
 from ._words import Words, chunks, grams, mix64
 
 _SYMBOL = np.zeros(256, bool)
@@ -142,14 +142,16 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     names = {m: free_name(rest, m) for m in MEASURES}
     schema = T.StructType([*rest.schema.fields, *(T.StructField(names[m], T._parse_datatype_string(t)) for m, t in MEASURES.items())])
     arrow = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    source = docs.select(docs[text].alias("__text"), *keep)
+    small_batches(docs.sparkSession)
+    place = [1 + [c for c in keep if c != text].index(c) if c != text else 0 for c in keep]
+    source = docs.select(docs[text].alias("__text"), *[c for c in keep if c != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, words in chunks(batch.column(0)):
                 m = measure(words, rules)
                 own = [pa.array(m[k], arrow[t]) for k, t in MEASURES.items()]
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[1:]), *own], [*keep, *names.values()])
+                yield pa.RecordBatch.from_arrays([*(passed(batch.column(k).slice(first, end - first)) for k in place), *own], [*keep, *names.values()])
 
     return source.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import free_name, stage
+from ._spark import free_name, passed, small_batches, stage
 from ._words import CHUNK_BYTES, Words, chunks, mix64
 
 _U = np.uint64
@@ -87,7 +87,7 @@ def _spans(n: int, words: int, many_words: int, with_rows: bool):
                 out = [pa.array(mix64((prefix[b] - prefix[a]) * down[a] + (b - a).astype(_U)).view(np.int64))]
                 if with_rows:
                     doc = np.searchsorted(bounds, i, "right") - 1
-                    out += [c.take(pa.array(lo + doc)) for c in batch.columns[:2]]
+                    out += [passed(c.take(pa.array(lo + doc))) for c in batch.columns[:2]]
                     out += [pa.array((x - bounds[doc]).astype(np.int32)) for x in (i, j)]
                 yield pa.RecordBatch.from_arrays(out, ["run", "id", "text_hash", "i", "j"][: len(out)])
 
@@ -117,7 +117,7 @@ def _removal():
                 for k, text in new.items():
                     values[k] = text
                 texts = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays([texts.cast(pa.string()), pa.array(counts), pa.array(removed), *batch.columns[2:]], ["text", "n_sentences", "n_removed", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([passed(texts.cast(pa.string())), pa.array(counts), pa.array(removed), *map(passed, batch.columns[2:])], ["__text", "__n", "__r", *batch.schema.names[2:]])
 
     return run
 
@@ -130,6 +130,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     space followed a removed sentence goes with it. A null text stays null; an empty one, or one of fewer sentences, stays as it is.
     If docs has columns n_sentences or n_removed, the new ones get underscores before their names.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     ours = [free_name(docs, "n_sentences"), free_name(docs, "n_removed")]
     kind = docs.schema[id].dataType.simpleString()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._encode import encoder
-from ._spark import _STAGED, shared_dir, stage
+from ._spark import _STAGED, passed, shared_dir, small_batches, stage
 
 LANES, STEPS, CHECK_STEPS = 64, 512, 128
 SEGMENT_TOKENS = 1 << 21
@@ -166,7 +166,7 @@ def _tokens(path: str, end: int, vocabulary: int):
                 some = batch.slice(lo, 1000)
                 ids = [np.frombuffer(x + last, "<u4") for x in encode(some.column(2).to_pylist())]
                 small = [pack((x.astype("<u2") if vocabulary <= 1 << 16 else x).tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], ["id", "text_hash", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*map(passed, some.columns[:2]), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], ["id", "text_hash", "n_tokens", "ids"])
 
     return run
 
@@ -183,8 +183,8 @@ def _count(vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in _unpacked(batch.column(0), vocabulary):
-                total += np.bincount(ids, minlength=vocabulary)
+            if batch.num_rows:
+                total += np.bincount(np.concatenate(list(_unpacked(batch.column(0), vocabulary))), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
@@ -225,6 +225,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, id
     A null text is empty. Rows with equal ids follow each other by text hash; each is a document of its own. Other columns are
     ignored. An empty table makes no segment. A document is never cut, so one longer than SEGMENT_TOKENS is a segment alone.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     tokens = stage(source.mapInArrow(_tokens(tokenizer, end, vocabulary), f"id {kind}, text_hash bigint, n_tokens bigint, ids binary"), compression="uncompressed")
