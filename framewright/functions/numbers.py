@@ -102,17 +102,21 @@ def ebml_length_bytes(n: Column | str, compat: bool = False) -> Column:
     return out.cast("int")
 
 
+def _shifted(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
+
+
 def ebml_length(n: Column | str, compat: bool = False) -> Column:
     """The self-delimiting length as lower-case hexadecimal digits, two a byte."""
     size = ebml_length_bytes(n, compat)
-    marked = col(n) + F.shiftleft(F.lit(1).cast("long"), (size * 7).cast("int"))
+    marked = col(n) + _shifted(size * 7)
     return F.lower(F.lpad(F.hex(marked), size * 2, F.lit("0")))
 
 
 def ebml_length_value(digits: Column | str) -> Column:
     """The number that a self-delimiting length, as hexadecimal digits, stands for."""
     whole = F.conv(col(digits), 16, 10).cast("long")
-    return whole - F.shiftleft(F.lit(1).cast("long"), (F.floor(F.length(col(digits)) / 2) * 7).cast("int"))
+    return whole - _shifted(F.floor(F.length(col(digits)) / 2) * 7)
 
 
 def ebml_integer(n: Column | str, least: int = 1) -> Column:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import glyph, media, raster
+
+QUERIES: dict = raster.QUERIES | glyph.QUERIES | media.QUERIES
+ORACLES: dict[str, str] = raster.ORACLES | glyph.ORACLES | media.ORACLES
