@@ -114,9 +114,11 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id"
     kind = source.schema["id"].dataType.simpleString()
     source = source.join(F.broadcast(sample), source["id"] == sample["l_id"], "left")  # LABELLED rows
     counted = source.select(F.coalesce("label", F.lit(False)).alias("good"), "text").coalesce(spark.sparkContext.defaultParallelism)
-    found = counted.mapInArrow(_count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows
+    found = counted.mapInArrow(_count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
+    bucket = found["bucket"].to_numpy()
+    raw[bucket], target[bucket] = found["raw"].to_numpy(), found["target"].to_numpy()
+    del found
     expected = raw * (target.sum() / max(1.0, raw.sum()))
     ratio = np.log((target + PSEUDO) / (expected + PSEUDO)).astype(np.float32) if target.any() else np.zeros(BUCKETS, np.float32)
     table = spark.sparkContext.broadcast(ratio)
@@ -126,8 +128,8 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id"
 
     weighed = stage(source.select("id", "text_hash", "label", "text").mapInArrow(weigh, f"id {kind}, text_hash bigint, label boolean, n_words bigint, log_importance double, worst double"))
     # the sampled labels' documents, LABELLED of them unless ids repeat
-    labelled = weighed.filter("label IS NOT NULL").groupBy("id").agg(F.first("worst").alias("worst"), F.first("label").alias("label")).toPandas()
-    share = keep_share(labelled["worst"].to_numpy(float), labelled["label"].to_numpy(bool)) if share is None else share
+    labelled = weighed.filter("label IS NOT NULL").groupBy("id").agg(F.first("worst").alias("worst"), F.first("label").alias("label")).toArrow()
+    share = keep_share(labelled["worst"].to_numpy(), labelled["label"].to_numpy()) if share is None else share
     n = weighed.count()
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = weighed.withColumn("key", F.col("worst") * SHARPNESS - F.log(-F.log(uniform)))
