@@ -214,9 +214,11 @@ def _summed(chunked: DataFrame, model: Model, step: int | None) -> np.ndarray:
     spark = chunked.sparkSession
     columns = "row int, " + ", ".join(f"v{k} double" for k in range(CLASSES))
     tasks = chunked.select("held_out", "n_tokens", "tokens", "keys").coalesce(spark.sparkContext.defaultParallelism)
-    found = tasks.mapInArrow(_gradient(model, step), columns).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(CLASSES)]).toPandas()
+    found = tasks.mapInArrow(_gradient(model, step), columns).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(CLASSES)]).toArrow()
     out = np.zeros((10 * ROWS if step is not None else 5 * ROWS + CLASSES, CLASSES))
-    out[found["row"]] = found[[f"v{k}" for k in range(CLASSES)]]
+    row = found["row"].to_numpy()
+    for k in range(CLASSES):
+        out[row, k] = found[f"v{k}"].to_numpy()
     return out
 
 
