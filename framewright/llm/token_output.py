@@ -131,7 +131,7 @@ def decode_segment(data: bytes, table: Table, symbols: np.ndarray) -> np.ndarray
     if not blocks:
         return np.zeros(0, np.uint32)
     per = STEPS // CHECK_STEPS
-    words = np.concatenate([b[4] for b in blocks]).astype(_U)
+    words = np.concatenate([*(b[4] for b in blocks), np.zeros(1, "<u4")]).astype(_U)
     begin = np.cumsum([0, *(len(b[4]) for b in blocks)])
     place = np.array([begin[k] + p for k, b in enumerate(blocks) for p in b[2]])
     state = np.array([s for b in blocks for s in b[3]], _U)
@@ -144,7 +144,7 @@ def decode_segment(data: bytes, table: Table, symbols: np.ndarray) -> np.ndarray
         state = table.freq[symbol] * (state >> bits) + slot - table.start[symbol]
         low = state < LOW
         rank = np.cumsum(low, 1)
-        state[low] = state[low] << _32 | words[(place[:, None] + rank - 1)[low]]
+        state[low] = state[low] << _32 | words[np.minimum((place[:, None] + rank - 1)[low], len(words) - 1)]  # beyond the end only if damaged
         place = place + rank[:, -1]
     ids = out.reshape(len(blocks), per * CHECK_STEPS * LANES)
     parts = [ids[k, : b[0]] for k, b in enumerate(blocks)]
@@ -160,11 +160,11 @@ def _tokens(path: str, end: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode, last, pack = encoder(path, glue=True).encode, np.array([end], "<u4").tobytes(), zstandard.ZstdCompressor(level=1).compress
+        encode, last, pack = encoder(path, glue=True).encode, np.array([end], "<u4"), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                ids = [np.frombuffer(x + last, "<u4") for x in encode(some.column(2).to_pylist())]
+            for lo in range(0, batch.num_rows, 2000):
+                some = batch.slice(lo, 2000)
+                ids = [np.concatenate([x, last]) for x in encode(some.column(2))]
                 small = [pack((x.astype("<u2") if vocabulary <= 1 << 16 else x).tobytes()) for x in ids]
                 yield pa.RecordBatch.from_arrays([*map(passed, some.columns[:2]), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())], ["id", "text_hash", "n_tokens", "ids"])
 
