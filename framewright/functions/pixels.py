@@ -119,3 +119,8 @@ def primary(r: Column, g: Column, b: Column) -> Rgb:
 
 def css_hex(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), F.lower(F.lpad(F.hex(pack_argb(F.lit(0), r, g, b)), 6, "0")))
+
+
+def edge_multiplier(width: int) -> int:
+    """How much edges are amplified in a frame of this width."""
+    return min(4, max(2, int(width / 480 + 0.5)))

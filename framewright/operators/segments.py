@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import jitter
 from ..functions.pixels import clamp, yuv_to_rgb
-from .stencil import COLUMN, ROW
+from .stencil import along_column, along_row
 
 
 def seeds(spark: SparkSession, width: int, height: int, spacing: int) -> DataFrame:
@@ -47,7 +47,7 @@ def segment_colours(with_seg: DataFrame, variation: int = 12) -> DataFrame:
 def segment_edges(with_seg: DataFrame, width: int, height: int, thickness: int) -> DataFrame:
     """(frame_id, x, y): the pixels of borders. One whose right neighbour is of another segment paints itself and those right of it,
     and likewise downward; the last row and column are not tested."""
-    own = with_seg.withColumns({"right": F.lead("seg").over(ROW), "below": F.lead("seg").over(COLUMN)}).filter((F.col("x") < width - 1) & (F.col("y") < height - 1))
+    own = with_seg.withColumns({"right": F.lead("seg").over(along_row()), "below": F.lead("seg").over(along_column())}).filter((F.col("x") < width - 1) & (F.col("y") < height - 1))
     steps = F.sequence(F.lit(0), F.lit(thickness - 1))
     right = own.filter("right != seg").withColumn("t", F.explode(steps)).select("frame_id", (F.col("x") + F.col("t")).alias("x"), "y")
     below = own.filter("below != seg").withColumn("t", F.explode(steps)).select("frame_id", "x", (F.col("y") + F.col("t")).alias("y"))

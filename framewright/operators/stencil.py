@@ -7,12 +7,19 @@ at a border is added as so many copies of the border's value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.pixels import clamp, half_up
+from ..functions.pixels import clamp, edge_multiplier, half_up
+
+
+def along_row() -> WindowSpec:
+    return Window.partitionBy("frame_id", "y").orderBy("x")
+
+
+def along_column() -> WindowSpec:
+    return Window.partitionBy("frame_id", "x").orderBy("y")
 
-ROW, COLUMN = Window.partitionBy("frame_id", "y").orderBy("x"), Window.partitionBy("frame_id", "x").orderBy("y")
 
 # The named kernels, row by row.
 KERNELS = {
@@ -24,15 +31,11 @@ KERNELS = {
 }
 
 
-def edge_multiplier(width: int) -> int:
-    return min(4, max(2, int(width / 480 + 0.5)))
-
-
 def inside_sum(px: DataFrame, value: Column, radius: int, out: str) -> DataFrame:
     """Adds the sum of value over the square around each pixel, cut at the frame's border."""
     near = lambda w: w.rowsBetween(-radius, radius)
-    px = px.withColumn("__row", F.sum(value).over(near(ROW)))
-    return px.withColumn(out, F.sum("__row").over(near(COLUMN))).drop("__row")
+    px = px.withColumn("__row", F.sum(value).over(near(along_row())))
+    return px.withColumn(out, F.sum("__row").over(near(along_column()))).drop("__row")
 
 
 def edges(px: DataFrame, width: int, height: int, value: str = "yy", multiplier: int | None = None, out: str = "edge") -> DataFrame:
@@ -48,8 +51,8 @@ def convolve3x3(px: DataFrame, kernel: tuple[float, ...], value: str = "yy", out
     if len(kernel) != 9:
         raise ValueError(f"a 3 x 3 kernel has nine coefficients, not {len(kernel)}")
     v = F.col(value)
-    px = px.withColumns({"__0": F.coalesce(F.lag(v).over(ROW), v), "__1": v, "__2": F.coalesce(F.lead(v).over(ROW), v)})
-    taps = [[F.coalesce(step(c).over(COLUMN), F.col(c)) if step else F.col(c) for c in ("__0", "__1", "__2")] for step in (F.lag, None, F.lead)]
+    px = px.withColumns({"__0": F.coalesce(F.lag(v).over(along_row()), v), "__1": v, "__2": F.coalesce(F.lead(v).over(along_row()), v)})
+    taps = [[F.coalesce(step(c).over(along_column()), F.col(c)) if step else F.col(c) for c in ("__0", "__1", "__2")] for step in (F.lag, None, F.lead)]
     total = F.lit(0.0)
     for k, tap in zip(kernel, [t for row in taps for t in row]):
         if k:
@@ -60,7 +63,7 @@ def convolve3x3(px: DataFrame, kernel: tuple[float, ...], value: str = "yy", out
 
 def box_blur(px: DataFrame, values: list[str], radius: int, width: int, height: int) -> DataFrame:
     """Replaces values by their means over rows, then over columns, with replicated borders; each pass rounds down."""
-    for order, at, size in ((ROW, "x", width), (COLUMN, "y", height)):
+    for order, at, size in ((along_row(), "x", width), (along_column(), "y", height)):
         near, all_ = order.rowsBetween(-radius, radius), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         before = F.greatest(F.lit(0), F.lit(radius) - F.col(at))
         after = F.greatest(F.lit(0), F.col(at) + radius - (size - 1))

@@ -1,24 +1,29 @@
 """Frame timelines: durations, presentation times, as-of and nearest joins, rates, interleaving, and rules that drop late frames.
 
 A timeline is (video, frame, ms), a row per frame. Videos are the keys of every window and group here; one video's frames are bounded.
-Joins in time go through buckets of time, so they are equi-joins; no pair of rows is compared but those of a bucket.
+Joins in time lay both tables on one line of time for each video, and a running value looks back or ahead: no pair of rows is made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import table
 
-BY_TIME = Window.partitionBy("video").orderBy("ms", "event_id")
-IN_ORDER = Window.partitionBy("video").orderBy("frame")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("video").orderBy("ms", "event_id")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("video").orderBy("frame")
 
 
 def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video, frame, ms, event_id, event_type, value): the events of a user as the frames of a video."""
     own = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "event_type", "value")
-    return own.withColumn("frame", F.row_number().over(BY_TIME).cast("long") - 1)
+    return own.withColumn("frame", F.row_number().over(by_time()).cast("long") - 1)
 
 
 def whole_division(x: Column, by: Column) -> Column:
@@ -38,12 +43,12 @@ def frame_durations(frames: DataFrame) -> DataFrame:
     all_ = Window.partitionBy("video")
     span, n = F.max("ms").over(all_) - F.min("ms").over(all_), F.count(F.lit(1)).over(all_)
     frames = frames.withColumn("__average", F.coalesce(whole_division(span, n - 1), F.lit(0).cast("long")))
-    return frames.withColumn("duration_ms", F.coalesce(F.lead("ms").over(IN_ORDER) - F.col("ms"), F.col("__average"))).drop("__average")
+    return frames.withColumn("duration_ms", F.coalesce(F.lead("ms").over(in_order()) - F.col("ms"), F.col("__average"))).drop("__average")
 
 
 def frame_times(frames: DataFrame) -> DataFrame:
     """Adds pts_us: when each frame is shown, the sum of the durations before it."""
-    before = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     return frame_durations(frames).withColumn("pts_us", F.coalesce(F.sum("duration_ms").over(before), F.lit(0)) * 1000)
 
 
@@ -57,9 +62,10 @@ def next_frame(frames: DataFrame, elapsed: DataFrame) -> DataFrame:
     asks = elapsed.join(start, ["video", "base"]).select("video", (F.col("base_ms") + F.col("delta_ms")).alias("at"), F.lit(1).alias("ask"), "base", "delta_ms", F.lit(None).cast("long").alias("frame"))
     line = frames.select("video", F.col("ms").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("base"), F.lit(None).cast("long").alias("delta_ms"), "frame").unionByName(asks)
     # frames of the same time stand before the asks, so that only later ones follow
-    ahead = Window.partitionBy("video").orderBy("at", "ask", "frame", "base", "delta_ms").rowsBetween(1, Window.unboundedFollowing)
+    # backward in time, so that each row adds to a running value
+    back = Window.partitionBy("video").orderBy(*[F.col(c).desc() for c in ("at", "ask", "frame", "base", "delta_ms")]).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("video")
-    found = line.withColumns({"__next": F.first("frame", ignorenulls=True).over(ahead), "__last": F.max("frame").over(all_)})
+    found = line.withColumns({"__next": F.last("frame", ignorenulls=True).over(back), "__last": F.max("frame").over(all_)})
     return found.filter("ask = 1").select("video", "base", "delta_ms", F.least(F.coalesce("__next", "__last"), F.col("__last")).alias("next"))
 
 
@@ -75,11 +81,12 @@ def nearest_frame(frames: DataFrame, times: DataFrame) -> DataFrame:
     asks = times.select("video", F.col("at_ms").alias("at"), F.lit(1).alias("ask"), "k", F.lit(None).cast("long").alias("frame"))
     line = frames.select("video", F.col("ms").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("k"), "frame").unionByName(asks)
     # the lowest frame of the last time up to the ask, and the first after it
-    order = Window.partitionBy("video").orderBy("at", "ask", "k", "frame")
+    place = ("at", "ask", "k", "frame")
+    order, back = Window.partitionBy("video").orderBy(*place), Window.partitionBy("video").orderBy(*[F.col(c).desc() for c in place])
     same = Window.partitionBy("video", "at")
     line = line.withColumn("own", F.when(F.col("ask") == 0, F.struct("at", F.min("frame").over(same).alias("frame"))))
     before = F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("own", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     found = line.withColumns({"b": before, "a": after}).filter("ask = 1")
     nearer = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("at") - F.col("b.at") <= F.col("a.at") - F.col("at")))
     return found.select("video", "k", F.col("at").alias("at_ms"), F.when(nearer, F.col("b.frame")).otherwise(F.col("a.frame")).alias("frame"))
@@ -93,7 +100,7 @@ def rate_estimate(frames: DataFrame, first: int = 180, default: float = 30.0) ->
 
 def running_mean(frames: DataFrame, value: str, last: int = 10) -> DataFrame:
     """Adds mean: that of the last so many values, fewer at the beginning."""
-    return frames.withColumn("mean", F.avg(value).over(IN_ORDER.rowsBetween(1 - last, 0)))
+    return frames.withColumn("mean", F.avg(value).over(in_order().rowsBetween(1 - last, 0)))
 
 
 def interleaved(video: DataFrame, audio: DataFrame) -> DataFrame:
