@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
-import pytest
 from tokenizers import Tokenizer
 
 from framewright.llm import mixing as M
@@ -60,11 +59,15 @@ def test_coder_round_trip_and_checksum():
         table = T.Table.of(np.bincount(ids, minlength=1000))
         data = T.encode_segment(ids, table)
         assert (T.decode_segment(data, table, table.symbols()) == ids).all()
-        if n > 1000:
+        caught = 0
+        for at in range(60, len(data), max(1, len(data) // 40)) if n > 1000 else ():
             broken = bytearray(data)
-            broken[len(data) // 2] ^= 1
-            with pytest.raises(ValueError):
-                T.decode_segment(bytes(broken), table, table.symbols())
+            broken[at] ^= 1
+            try:  # what is read from a checkpoint's last words may not matter; else the checksum tells
+                assert (T.decode_segment(bytes(broken), table, table.symbols()) == ids).all()
+            except ValueError:
+                caught += 1
+        assert caught > 10 or n <= 1000
 
 
 def check_packing(docs):
