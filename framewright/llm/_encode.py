@@ -6,15 +6,16 @@ in which white space meets white space, where that isn't so, go to the library w
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Parts kept, and words without their punctuation; about 60 MB each. What comes later and isn't among them is encoded anew.
-CACHE_PARTS = 300_000
-#: White space that meets at a part's edge; else a part's own first or last character tells.
-_MEETING = ("  ", "\n\n", " \n", "\n ")
+#: Parts kept, and words without their punctuation; some 200 bytes each. What comes later and isn't among them is encoded anew.
+CACHE_PARTS, CACHE_WORDS = 100_000, 200_000
 _TAIL = ".,;:!?"
 
 
@@ -46,10 +47,15 @@ class Encoder:
         self.line = _packed(self._ids("\n"))
         (self.mark_id,) = self._ids(self.mark)
         self.words: dict[str, bytes] = {}
+        self.line_words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         self.spaced[""] = _packed(self._ids(" "))
         self.first[""] = b""
 
+    @staticmethod
+    def letters(text: str) -> str:
+        return text.encode().decode("latin-1").translate(_LETTERS)
+
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -57,27 +63,35 @@ class Encoder:
         """The ids of parts; those without white space or the mark at one go, set apart by the mark. None: its text must go whole."""
         out: dict[str, bytes | None] = {}
         plain = []
-        words, tails, keep = self.words, self.tails, len(self.words) < CACHE_PARTS
+        tails, tokenize, room = self.tails, self.library.model.tokenize, CACHE_WORDS - len(self.words) - len(self.line_words)
+        space = self.letters(lead) if lead else ""
         for part in parts:
             line = self.glue and part[0] == "\n"
-            body = part[1:] if line else lead + part
+            body = part[1:] if line else part
             bare = body.rstrip(_TAIL)
+            words = self.line_words if line else self.words
             found = words.get(bare)
-            if found is None:
-                word = bare[1:] if bare[:1] == " " else bare
-                if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
-                    # a word of Latin letters is one step of the model
+            if found is None and bare.isalpha():
+                # a word of Latin letters is one step of the model
+                text = None
+                if bare.isascii():
                     text = bare if self.glue else bare.lower()
-                    found = _packed([t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))])
-                    if keep:
+                elif max(bare) < "\u0250" and "\u0130" not in bare:
+                    text = self.letters(bare if self.glue else bare.lower())
+                if text is not None:
+                    found = array("I", [t.id for t in tokenize(text if line else space + text)]).tobytes()
+                    if room > 0:
                         words[bare] = found
+                        room -= 1
             if found is not None:
-                tail = body[len(bare) :]
-                if tail not in tails:
-                    tails[tail] = _packed(self._ids(tail))
-                found += tails[tail]
+                if len(bare) < len(body):
+                    tail = body[len(bare) :]
+                    if tail not in tails:
+                        tails[tail] = _packed(self._ids(tail))
+                    found += tails[tail]
                 out[part] = self.line + found if line else found
                 continue
+            body = body if line else lead + body
             own = part[1:] if line else part
             if self.glue and own and (own[0].isspace() or own[-1].isspace()):
                 out[part] = None
@@ -96,56 +110,62 @@ class Encoder:
                 lo = hi + 1
         return out
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The packed ids of each text; a null is empty."""
-        out: list[bytes | None] = [None] * len(texts)
-        waiting, new, new_first, whole = [], set(), set(), []
-        get = self.spaced.get
-        for k, text in enumerate(texts):
-            if not text:
-                out[k] = b""
-                continue
-            head = None
-            if self.glue:
-                if any(m in text for m in _MEETING):
-                    whole.append(k)
-                    continue
-                parts = text.replace("\n", " \n").split(" ")
-                if parts[0][:1] != "\n":  # nothing stands before the first word
-                    head, parts[0] = parts[0], ""
-            else:
-                parts = text.replace("\n", " ").split(" ")
-            ids = list(map(get, parts))
-            if head is not None:
-                ids[0] = self.first.get(head)
-                if ids[0] is None:
-                    new_first.add(head)
-            if None in ids:
-                new.update(p for p, x in zip(parts, ids) if x is None)
-                waiting.append((k, head, parts, ids))
-            else:
-                out[k] = b"".join(ids)
-        if waiting:
-            new.discard("")
-            fresh = self._learn(list(new), " " if self.glue else "")
-            heads = {h: None if h[-1].isspace() else _packed(self._ids(h)) for h in new_first}
-            for k, head, parts, ids in waiting:
-                if ids[0] is None and head is not None:
-                    ids[0] = heads[head]
-                    parts[0] = " "  # no part: if its head must go whole, so must the text
-                ids = [fresh.get(p) if x is None else x for p, x in zip(parts, ids)]
-                if None in ids:
-                    whole.append(k)
-                else:
-                    out[k] = b"".join(ids)
-            for cache, more, most in ((self.spaced, fresh, CACHE_PARTS), (self.first, heads, CACHE_PARTS // 8)):
-                if len(cache) < most:
-                    cache |= {p: x for p, x in more.items() if x is not None}
-        if whole:
-            for k, e in zip(whole, self.library.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
-                out[k] = _packed(e.ids)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, unsigned 32 bits; a null is empty.
+
+        A batch is cut into parts and its distinct parts are found in Arrow, so that Python sees each of them but once.
+        """
+        texts = texts.fill_null("")
+        n = len(texts)
+        if not n:
+            return []
+        whole = np.zeros(n, bool)
+        if self.glue:
+            whole |= np.asarray(pc.match_substring_regex(texts, "[ \\n][ \\n]"))
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        else:
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = np.asarray(cut.offsets).astype(np.int64)
+        bounds -= bounds[0]
+        flat = cut.flatten()
+        coded = flat.dictionary_encode()
+        code, parts = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        held: list[bytes | None] = list(map(self.spaced.get, parts))
+        fresh = self._learn([p for p, x in zip(parts, held) if x is None and p], " " if self.glue else "")
+        self._keep(self.spaced, fresh, CACHE_PARTS)
+        held = [fresh.get(p) if x is None else x for p, x in zip(parts, held)]
+        if self.glue:  # nothing stands before the first word
+            heads = flat.take(pa.array(bounds[:-1])).to_numpy(zero_copy_only=False).tolist()
+            own = {h for h in heads if h[:1] != "\n" and h not in self.first}
+            made = {h: None if h[-1].isspace() else _packed(self._ids(h)) for h in own}
+            for k, h in enumerate(heads):
+                if h[:1] != "\n":
+                    code[bounds[k]] = len(held)
+                    held.append(made[h] if h in made else self.first[h])
+            self._keep(self.first, made, CACHE_PARTS // 8)
+        bad = np.array([x is None for x in held])
+        if bad.any():
+            whole |= np.add.reduceat(bad[code].astype(np.int64), bounds[:-1]) > 0
+        size = np.array([len(x) // 4 if x else 0 for x in held], np.int64)
+        ids = np.frombuffer(b"".join(x for x in held if x), "<u4")
+        start = np.cumsum(size) - size
+        count = size[code]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+        place = np.repeat(start[code] - ends[:-1], count)
+        place += np.arange(ends[-1])
+        ids = ids[place]
+        out = [ids[x:y] for x, y in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist())]
+        if whole.any():
+            at = np.flatnonzero(whole).tolist()
+            for k, e in zip(at, self.library.encode_batch(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)):
+                out[k] = np.array(e.ids, "<u4")
         return out
 
+    @staticmethod
+    def _keep(cache: dict[str, bytes], more: dict[str, bytes | None], most: int) -> None:
+        if len(cache) < most:
+            cache |= {p: x for p, x in more.items() if x is not None}
+
 
 _OPEN: dict[tuple[str, bool], Encoder] = {}
 
@@ -155,3 +175,8 @@ def encoder(path: str, glue: bool) -> Encoder:
     if (path, glue) not in _OPEN:
         _OPEN[path, glue] = Encoder(path, glue)
     return _OPEN[path, glue]
+
+
+def forget() -> None:
+    """Drops the encoders of this worker and what they keep."""
+    _OPEN.clear()
