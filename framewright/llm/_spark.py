@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,19 @@ def passed(column: pa.Array) -> pa.Array:
     return pa.nulls(len(column), column.type) if column.null_count == len(column) else column
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a worker gives free memory back: it lives on for other stages, beside which it would hold the most it ever had."""
+
+    def then(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
+
+    return then
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint: for small tables of an iteration."""
     shared_dir(df.sparkSession)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, passed, small_batches, stage
+from ._spark import cut, passed, small_batches, stage, tidy
 from ._words import chunks, grams, mix64
 
 #: Most texts in a block of comparisons, on average: two blocks of sets of 10,000 n-grams are 80 MB. Groups of some
@@ -240,7 +240,7 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     n_bands = bands_for(similarity, recall, rows)
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    signed = stage(source.mapInArrow(_signatures(n, n_bands, rows), f"id {kind}, text_hash bigint, set_key binary, n_grams bigint, bands array<bigint>"))
+    signed = stage(source.mapInArrow(tidy(_signatures(n, n_bands, rows)), f"id {kind}, text_hash bigint, set_key binary, n_grams bigint, bands array<bigint>"))
     node = F.conv(F.substring(F.hex("set_key"), 1, 15), 16, 10).cast("long")  # 60 bits of the key's 128
     texts = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     texts = stage(texts.withColumn("node", node))
@@ -251,11 +251,11 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
 
     wanted = texts.join(shared.select("node").distinct(), "node").select(F.col("row.id").alias("w"), F.col("row.text_hash").alias("text_hash"))
     members = source.join(wanted, (source["text_hash"] == wanted["text_hash"]) & source["id"].eqNullSafe(wanted["w"]), "left_semi")
-    sets = members.select("text").mapInArrow(_sets(n), "set_key binary, grams binary").dropDuplicates(["set_key"])
+    sets = members.select("text").mapInArrow(tidy(_sets(n)), "set_key binary, grams binary").dropDuplicates(["set_key"])
     sets = stage(sets.select(node.alias("node"), "grams"))
 
     pairs = shared.filter("node != hub").join(sets.select("node", F.col("grams").alias("own")), "node").join(sets.select(F.col("node").alias("hub"), "grams"), "hub")
-    edges = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "own", "grams").mapInArrow(_verify(similarity), "a bigint, b bigint")
+    edges = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "own", "grams").mapInArrow(tidy(_verify(similarity)), "a bigint, b bigint")
     roots = components(edges)
 
     cluster = lambda df, column: df.join(roots.select(F.col("node").alias(column), "root"), column, "left").withColumn("root", F.coalesce("root", column))

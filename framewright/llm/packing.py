@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._encode import encoder
-from ._spark import cells, passed, positions, small_batches, stage
+from ._encode import encoder, forget
+from ._spark import cells, passed, positions, small_batches, stage, tidy
 
 CONTEXT, UNIT, END = 4096, 8, 2
 #: The program ends when no pattern is worth this much more than a sequence: then it is within that share of the optimum.
@@ -138,8 +138,8 @@ def _pieces(path: str, end: int, context: int, with_ids: bool):
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, packed in enumerate(encode(some.column(2).to_pylist())):
-                    packed += last
+                for k, own_ids in enumerate(encode(some.column(2))):
+                    packed = own_ids.tobytes() + last
                     n = len(packed) // 4
                     for at in range(0, n, context):
                         piece = packed[4 * at : 4 * (at + context)]
@@ -153,6 +153,7 @@ def _pieces(path: str, end: int, context: int, with_ids: bool):
                 own = [passed(c.take(pa.array(row, pa.int64()))) for c in some.columns[:2]]
                 made = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
                 yield pa.RecordBatch.from_arrays([*own, *made, *([pa.array(ids, pa.binary())] if with_ids else [])], ["id", "text_hash", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+        forget()  # other stages follow in this worker
 
     return run
 
@@ -167,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, text_hash bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * ids
-    pieces = stage(source.mapInArrow(_pieces(tokenizer, end, context, ids), schema)).withColumn("size", F.ceil(F.col("length") / unit).cast("int"))
+    pieces = stage(source.mapInArrow(tidy(_pieces(tokenizer, end, context, ids)), schema)).withColumn("size", F.ceil(F.col("length") / unit).cast("int"))
     histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
     sizes = np.array(sorted(histogram), np.int64)
     slots = Slots(sizes, rounded(sizes, np.array([histogram[int(s)] for s in sizes], np.int64), context // unit), 0)

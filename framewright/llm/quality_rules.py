@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._spark import free_name, passed, small_batches
+from ._spark import free_name, passed, small_batches, tidy
 from ._words import Words, chunks, grams, mix64
 
 _SYMBOL = np.zeros(256, bool)
@@ -153,7 +153,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
                 own = [pa.array(m[k], arrow[t]) for k, t in MEASURES.items()]
                 yield pa.RecordBatch.from_arrays([*(passed(batch.column(k).slice(first, end - first)) for k in place), *own], [*keep, *names.values()])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import free_name, passed, small_batches, stage
+from ._spark import free_name, passed, small_batches, stage, tidy
 from ._words import CHUNK_BYTES, Words, chunks, mix64
 
 _U = np.uint64
@@ -135,9 +135,9 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     ours = [free_name(docs, "n_sentences"), free_name(docs, "n_removed")]
     kind = docs.schema[id].dataType.simpleString()
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
-    hashes = docs.select(docs[text].alias("text")).mapInArrow(_spans(n, words, many_words, False), "run bigint")
+    hashes = docs.select(docs[text].alias("text")).mapInArrow(tidy(_spans(n, words, many_words, False)), "run bigint")
     repeated = stage(hashes.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"))
-    rows = source.mapInArrow(_spans(n, words, many_words, True), f"run bigint, id {kind}, text_hash bigint, i int, j int")
+    rows = source.mapInArrow(tidy(_spans(n, words, many_words, True)), f"run bigint, id {kind}, text_hash bigint, i int, j int")
     found = stage(rows.join(repeated, "run"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "i")
     first = stage(found.groupBy("run").agg(F.min(place).alias("first")))
@@ -147,7 +147,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     whole = docs.withColumns({"__hash": F.xxhash64(docs[text])})
     joined = whole.join(covered, (whole["__hash"] == covered["c_hash"]) & whole[id].eqNullSafe(covered["c_id"]), "left").select(F.col(text).alias("__text"), "covered", *rest)
     schema = T.StructType([T.StructField("__text", T.StringType()), T.StructField("__n", T.LongType()), T.StructField("__r", T.LongType()), *docs.select(*rest).schema.fields])
-    done = joined.mapInArrow(_removal(), schema)
+    done = joined.mapInArrow(tidy(_removal()), schema)
     return done.select(*[F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns], F.col("__n").alias(ours[0]), F.col("__r").alias(ours[1]))
 
 
