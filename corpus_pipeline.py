@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without sentences of passages that an earlier document has; n_chars follows the text."""
-    out = substring_dedup.substring_dedup(docs)
+    """All documents, without sentences and passages that an earlier document has; n_chars follows the text."""
+    out = substring_dedup.substring_dedup(docs, passage=substring_dedup.PASSAGE)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -79,3 +79,50 @@ def test_passage_of_two_long_sentences(spark):
 
 def test_empty(nothing):
     assert S.substring_dedup(nothing).count() == 0
+
+
+def words(tag, n):
+    return " ".join(f"{tag}{k}" for k in range(n))
+
+
+def test_passages_that_do_not_keep_to_sentences(spark):
+    """Mid-sentence, within one long sentence, without any end mark, and of a script without spaces; each in three documents."""
+    passage, chars = words("p", 60), "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    forms = [lambda k: f"{words(f'a{k}x', 9)} {passage} {words(f'b{k}x', 9)}.", lambda k: f"{words(f'c{k}x', 30)}. {words('q', 60)} {words(f'd{k}x', 5)}.", lambda k: f"{words(f'e{k}x', 40)} {words('r', 60)}", lambda k: "".join(chr(0x6E00 + 97 * k + m) for m in range(30)) + chars + "".join(chr(0x7E00 + 97 * k + m) for m in range(30))]
+    texts = {10 * f + k: form(k) for f, form in enumerate(forms) for k in range(3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in S.substring_dedup(docs, passage=S.PASSAGE).collect()}
+    for f, tag in enumerate(["p", "q", "r", None]):
+        assert got[10 * f]["text"] == texts[10 * f] and got[10 * f]["n_removed"] == 0
+        for k in (1, 2):
+            key = 10 * f + k
+            units = lambda t: list(t) if tag is None else WORD.findall(t)  # noqa: B023, E731
+            passage_units = set(chars) if tag is None else {f"{tag}{m}" for m in range(60)}
+            left = [u for u in units(got[key]["text"]) if u in passage_units]
+            assert len(left) <= 14 and got[key]["n_removed"] > 0
+            assert [u for u in units(got[key]["text"]) if u not in passage_units] == [u for u in units(texts[key]) if u not in passage_units]
+
+
+def test_passage_repeated_in_its_own_text_stays_once(spark):
+    docs = spark.createDataFrame([(0, "a b " * 100)], "doc_id long, text string")
+    assert S.substring_dedup(docs, passage=S.PASSAGE).collect()[0]["text"] == "a b " * 20
+
+
+def test_all_passages_of_47_words_are_found():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = rng.integers(0, 90, 3)
+        offset = np.concatenate([[0], np.cumsum(sizes)])
+        hashes = rng.integers(0, 1 << 63, max(1, offset[-1])).astype(np.uint64)
+        got = set(S.winnowed(hashes, offset, 40, 8).tolist())
+        for lo, hi in zip(offset[:-1], offset[1:]):
+            for a in range(lo, hi - 46):
+                assert a + int(np.argmin(hashes[a : a + 8])) in got
+
+
+def test_query_finds_passages(spark, tmp_path):
+    docs = [(k, f"{words(f'a{k}x', 9)} {words('p', 60)} {words(f'b{k}x', 9)}.") for k in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_removed"] for r in S.query(spark, str(tmp_path)).collect()} == {0: 0, 1: 1}
