@@ -258,6 +258,32 @@ def pcm_decode(spark, sf):
     return A.decode_pcm(raw(spark, sf))
 
 
+# The same over whole texts: their digits are cut into records once, so that long texts cost no more a byte
+
+_cut = lambda n: f"wh AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '.{{{2 * n}}}') AS c FROM documents WHERE text IS NOT NULL), pc AS (SELECT doc_id, unnest(c) AS d, unnest(range(0, len(c))) AS k FROM wh)"
+
+
+def raw_whole(spark, sf) -> DataFrame:
+    """Whole texts, as bytes."""
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+
+
+@query("stride_removal_whole", f"WITH {_cut(1)} SELECT {big('doc_id')}, CAST(k % 12 // 2 AS BIGINT) AS x, CAST(k // 12 AS BIGINT) AS y, CAST({_val('0')} AS BIGINT) AS value FROM pc WHERE k % 12 < 8 AND k % 12 % 2 = 0")
+def stride_removal_whole(spark, sf):
+    return R.without_strides(raw_whole(spark, sf), 4, 12, 2)
+
+
+@query("plane_slice_whole", f"WITH {_cut(12)} SELECT {big('doc_id')}, CAST(k AS BIGINT) AS index, substr(d, 1, 16) AS yp, substr(d, 17, 4) AS up, substr(d, 21, 4) AS vp FROM pc")
+def plane_slice_whole(spark, sf):
+    planes = R.from_raw(R.fixed_records(raw_whole(spark, sf), 12), 4, 2)
+    return planes.select("doc_id", "index", *[F.hex(c).alias(c) for c in ("yp", "up", "vp")])
+
+
+@query("pcm_decode_whole", f"WITH {_cut(2)}, w AS (SELECT doc_id, k AS idx, {_val('0')} + 256 * {_val('1')} AS v FROM pc) SELECT {big('doc_id idx')}, CAST(CASE WHEN v > 32767 THEN v - 65536 ELSE v END AS BIGINT) AS s FROM w")
+def pcm_decode_whole(spark, sf):
+    return A.decode_pcm(raw_whole(spark, sf))
+
+
 _n = "n AS (SELECT event_id, (event_id * event_id * event_id * 31 + user_id) % 4398046511104 AS v FROM events)"
 
 

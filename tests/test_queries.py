@@ -64,3 +64,11 @@ def test_properties(spark, sf):
     planes = R.to_planes(px, 40, 25)
     back = R.to_pixels(planes).select("frame_id", "x", "y", "yy", "uu", "vv")
     assert back.exceptAll(px.select(*back.columns)).isEmpty() and back.count() == px.count()
+
+
+def test_whole_texts(spark, sf):
+    """Each byte of a text is decoded, not a prefix's."""
+    size = F.length(F.encode("text", "UTF-8"))
+    want = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.floor(size / 2)), F.sum(F.floor(size / 12))).first()
+    got = [registry.QUERIES[f"{name}_whole"](spark, sf).count() for name in ("pcm_decode", "plane_slice")]
+    assert got == list(want)
