@@ -82,9 +82,9 @@ def matrix_edges(spark, sf):
     return L.cell_edges(L.cell_means(R.event_pixels(spark, sf), GRID, W, H), GRID)
 
 
-def drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_id, ts_ms, x, y, start_ms, y_flipped): each of a few hundred events is a drop seen at a moment after its start."""
-    own = table(spark, sf_dir, "events").filter(F.col("event_id") % 10 == 0)
+def drops(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+    """(frame_id, ts_ms, x, y, start_ms, y_flipped): one of ``every`` so many events is a drop seen at a moment after its start."""
+    own = table(spark, sf_dir, "events").filter(F.col("event_id") % every == 0)
     start = F.floor(F.col("event_id") / 50) * 40
     return own.select(F.floor(F.col("event_id") / 100).alias("frame_id"), (F.floor(F.col("event_id") / 100) * 80 + F.col("user_id") % 53 * 100).alias("ts_ms"), (F.col("event_id") * 7 % 12).cast("int").alias("x"), (F.col("event_id") / 10 % 9).cast("int").alias("y"), start.alias("start_ms"), (F.floor(F.col("event_id") / 100) % 2 == 1).alias("y_flipped"))
 
@@ -97,3 +97,9 @@ SELECT CAST(frame_id AS BIGINT) AS frame_id, CAST("row" AS BIGINT) AS "row", CAS
 CAST(CASE WHEN dy = ticks THEN 255 ELSE 0 END AS BIGINT) AS b, dy = ticks AS head FROM g WHERE k = 1""")
 def raindrop_cells(spark, sf):
     return L.drop_cells(drops(spark, sf), 12)
+
+
+@query("raindrop_cells_all", ORACLES["raindrop_cells"].replace(" WHERE event_id % 10 = 0", ""))
+def raindrop_cells_all(spark, sf):
+    """raindrop_cells with every event a drop."""
+    return L.drop_cells(drops(spark, sf, 1), 12)

@@ -49,8 +49,8 @@ def frame_pts(spark, sf):
     return T.frame_times(T.event_timeline(spark, sf)).select("video", "frame", "pts_us")
 
 
-def elapsed(frames: DataFrame) -> DataFrame:
-    return frames.filter(F.col("frame") % 3 == 0).select("video", F.col("frame").alias("base"), (F.col("event_id") * 7919 % 900_000).alias("delta_ms"))
+def elapsed(frames: DataFrame, every: int = 3) -> DataFrame:
+    return frames.filter(F.col("frame") % every == 0).select("video", F.col("frame").alias("base"), (F.col("event_id") * 7919 % 900_000).alias("delta_ms"))
 
 
 @query("next_frame_asof", f"""WITH {TL}, a AS (SELECT video, frame AS base, ms AS base_ms, event_id * 7919 % 900000 AS delta_ms FROM tl WHERE frame % 3 = 0)
@@ -60,6 +60,13 @@ def next_frame_asof(spark, sf):
     return T.next_frame(frames, elapsed(frames))
 
 
+@query("next_frame_asof_all", ORACLES["next_frame_asof"].replace(" WHERE frame % 3 = 0", ""))
+def next_frame_asof_all(spark, sf):
+    """next_frame_asof from every frame."""
+    frames = T.event_timeline(spark, sf)
+    return T.next_frame(frames, elapsed(frames, 1))
+
+
 STEP = 3_600_000
 
 

@@ -355,6 +355,12 @@ def tile_touch(spark, sf):
     return at(px, tile=N.tile_index(F.col("x") * 9, F.col("y") * 7, 360, 175, 36))
 
 
+@query("tile_touch_all", ORACLES["tile_touch"].replace(" WHERE frame_id = 0", ""))
+def tile_touch_all(spark, sf):
+    """tile_touch in every frame."""
+    return at(R.event_pixels(spark, sf), tile=N.tile_index(F.col("x") * 9, F.col("y") * 7, 360, 175, 36))
+
+
 _sizes = "sz AS (SELECT p_partkey AS k, 100 + p_size * 37 AS w, 100 + p_partkey % 91 * 13 AS h FROM part)"
 
 
