@@ -127,9 +127,9 @@ def latest(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bounded_queue(arrivals: DataFrame, room: int, service_ms: int) -> DataFrame:
-    """Adds lost: whether a queue of ``room`` that is drained one a ``service_ms`` was full when the frame came (the newest is dropped).
+    """Adds lost: whether ``room`` frames of the same time slot of ``service_ms`` came before the frame.
 
-    Time is cut into slots of one service; a slot takes in ``room`` of the frames that came in it, so the rule needs no state beyond a slot.
+    A limit of so many frames in each slot, not a queue: nothing is carried from one slot to the next, and each starts anew.
     """
     slot = F.floor(F.col("ms") / service_ms)
     order = Window.partitionBy("video", "__slot").orderBy("ms", "event_id")
