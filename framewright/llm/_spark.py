@@ -11,16 +11,21 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows of a few values each that may be broadcast: some tens of megabytes at most.
+MOST_BROADCAST = 200_000
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own where it is unset and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         path = getattr(shared_dir, "own", None)
-        if path is None:  # as in tests, on one machine
+        if path is None:
             path = shared_dir.own = tempfile.mkdtemp(prefix="framewright-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)
@@ -66,23 +71,28 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return then
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint: for small tables of an iteration."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
+        pass
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        mine = [x for x in _STAGED if path.endswith(x[1].rsplit("/", 1)[1])]
+        for one in mine:
+            _STAGED.remove(one)
+            _delete(*one)
 
 
 @atexit.register
 def remove_staged() -> None:
     """Deletes the staged tables. Results that still read them must have been written before."""
     while _STAGED:
-        spark, path = _STAGED.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
-            pass
+        _delete(*_STAGED.pop())
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -93,6 +103,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The type by which Arrow knows a column."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def gathered(df: DataFrame, splits: int = 8) -> DataFrame:
+    """df in fewer tasks, for those that give back a table of fixed size: up to ``splits`` of its partitions each, whatever their number."""
+    n = df.rdd.getNumPartitions()
+    return df.coalesce(max(1, min(n, df.sparkSession.sparkContext.defaultParallelism), n // splits))
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df, a table of n rows, with a hint to broadcast it if these are few; else Spark joins it as it finds best."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
+
+
+def least_row(df: DataFrame, keys: list[str], also: dict[str, Column]) -> DataFrame:
+    """One row for each group of equal keys, with all columns of df: that of the least JSON form, whatever the partitions; and ``also``, aggregates."""
+    own = F.struct(*[F.col(c) for c in df.columns])
+    best = df.groupBy(*keys).agg(F.min_by(own, F.to_json(own)).alias("__row"), *[c.alias(n) for n, c in also.items()])
+    return best.select("__row.*", *also)
+
+
 def cells(n: int, per: int) -> int:
     """How many cells hold about ``per`` rows each."""
     return max(1, -(-int(n) // per))

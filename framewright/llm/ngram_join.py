@@ -6,12 +6,15 @@ rows are chosen for a target recall at that similarity. The steps:
 1. Documents with equal n-gram sets are one *text*; all that follows works on texts, so copies cost nothing more.
 2. Texts are shuffled on their band hashes. Each bucket's least text is its hub; each text is verified against the hubs
    of its buckets, on the full n-gram sets, and verified links form clusters.
-3. Each bucket belongs to its hub's cluster. A cluster's texts, and strangers that share one of its buckets, are compared
-   all with all in blocks of bounded size inside numpy; only counts per text, and one link for two clusters that meet,
-   leave a task. So every pair that shares a bucket is verified exactly once, and no list of pairs is ever made.
+3. Each bucket belongs to its hub's cluster, whose least text is the cluster's *base*. A cluster's texts, and strangers that share
+   one of its buckets, are kept as what they lack of the base's set and have beside it. Texts that differ little from the base (*tight*
+   ones) are linked to each other for certain, so these links are counted and never looked at: a million near copies of a template cost
+   a million rows. The others (*loose*) are compared with all texts of the unit, on these differences, in blocks of bounded size
+   inside numpy; only counts per text, and one link for two clusters that meet, leave a task. So every pair that shares a
+   bucket is counted exactly once, and no list of pairs is ever made.
 4. Clusters that meet are joined; a class is a connected component of links.
 
-A large group of near copies of n texts takes (n / BLOCK)**2 / 2 block tasks: exact counts of links need them.
+Tables that are joined stand by themselves (they are staged), so that Spark can split the rows of a hot key.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, passed, small_batches, stage, tidy
+from ._spark import free_name, least_row, passed, release, small_batches, stage, tidy
 from ._words import chunks, grams, mix64
 
-#: Most texts in a block of comparisons, on average: two blocks of sets of 10,000 n-grams are 80 MB. Groups of some
-#: hundreds are cut into smaller blocks, so that more tasks share them.
-BLOCK, SMALL_BLOCK = 512, 128
+#: Most texts in a block of comparisons, and most bytes of their differences, on average. Groups of some hundreds are cut
+#: into smaller blocks, so that more tasks share them.
+BLOCK, SMALL_BLOCK, BLOCK_BYTES = 512, 128, 16 << 20
 _U = np.uint64
 
 
@@ -102,7 +105,7 @@ def _key_of(grams_set: np.ndarray) -> bytes | None:
 
 
 def _sets(n: int):
-    """Arrow rows (text) -> (set_key, grams): the text's n-gram set as bytes."""
+    """Arrow rows (text) -> (node, grams): the text's n-gram set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +113,18 @@ def _sets(n: int):
             for s in gram_sets(batch.column(0), n):
                 keys.append(_key_of(s))
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([passed(pa.array(keys, pa.binary())), pa.array(sets, pa.binary())], ["set_key", "grams"])
+            yield pa.RecordBatch.from_arrays([passed(pa.array(keys, pa.binary())), pa.array(sets, pa.binary())], ["node", "grams"])
 
     return run
 
 
+def _in_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The values of two sorted sets that both have."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[1:][both[1:] == both[:-1]]
+
+
 def _verify(similarity: float):
     """Arrow rows (a, b, grams of a, grams of b) -> the linked (a, b)."""
 
@@ -125,15 +135,30 @@ def _verify(similarity: float):
             for k in range(batch.num_rows):
                 a, b = np.frombuffer(left[k].as_buffer(), _U), np.frombuffer(right[k].as_buffer(), _U)
                 if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
-                    both = np.concatenate([a, b])
-                    both.sort()
-                    same = int((both[1:] == both[:-1]).sum())
-                    linked[k] = same >= similarity * (len(both) - same)
+                    same = len(_in_common(a, b))
+                    linked[k] = same >= similarity * (len(a) + len(b) - same)
             yield batch.select([0, 1]).filter(pa.array(linked))
 
     return run
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow rows (node, unit, grams, grams of the unit's base) -> (node, unit, base, lacks, adds, diff).
+
+    base, lacks, adds: how many n-grams the base has, how many of them the text lacks, how many it has beside them; diff: these as
+    hashes, lacking ones told apart from added ones by the last bit.
+    """
+    for batch in batches:
+        (base, lacks, adds), diff = np.zeros((3, batch.num_rows), np.int64), []
+        for k in range(batch.num_rows):
+            own, of = np.frombuffer(batch.column(2)[k].as_buffer(), _U), np.frombuffer(batch.column(3)[k].as_buffer(), _U)
+            same = _in_common(own, of)
+            gone, new = np.setdiff1d(of, same, assume_unique=True), np.setdiff1d(own, same, assume_unique=True)
+            base[k], lacks[k], adds[k] = len(of), len(gone), len(new)
+            diff.append(np.concatenate([mix64(gone) & ~_U(1), mix64(new) | _U(1)]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (base, lacks, adds)), pa.array(diff, pa.binary())], ["node", "unit", "base", "lacks", "adds", "diff"])
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The sizes of the intersections of all left with all right sets."""
     n_left, n_right = len(left), len(right)
@@ -170,20 +195,24 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(similarity: float):
-    """One block of comparisons, as pandas rows (unit, i, j, side, node, cluster, units, copies, grams) -> (node, links, copies, other).
+    """One block of comparisons, as pandas rows (unit, i, j, side, node, cluster, units, copies, base, lacks, adds, diff) -> (node, links, copies, other).
 
-    other is -1 but in rows that tell of a link between the node's cluster and another."""
+    other is null but in rows that tell of a link between the node's cluster and another."""
     import pandas as pd
 
+    columns = ["node", "links", "copies", "other"]
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, unit = rows["i"].iat[0], rows["j"].iat[0], rows["unit"].iat[0]
         rows = rows.sort_values("node")
         left, right = (rows[rows["side"] == s] for s in ((0, 0) if i == j else (0, 1)))
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=["node", "links", "copies", "other"], dtype="int64")
-        sets = [[np.frombuffer(x, _U) for x in part["grams"]] for part in (left, right)]
-        size = [np.array([len(s) for s in x]) for x in sets]
-        same = _overlaps(*sets)
+            return pd.DataFrame(columns=columns)
+        base = int(rows["base"].iat[0])
+        lacks, adds = ([part[c].to_numpy() for part in (left, right)] for c in ("lacks", "adds"))
+        size = [base - x + y for x, y in zip(lacks, adds)]
+        # what both have of the base is what neither lacks; beside it they share what both add
+        same = base - lacks[0][:, None] - lacks[1][None, :] + _overlaps(*[[np.frombuffer(x, _U) for x in part["diff"]] for part in (left, right)])
         linked = same >= similarity * (size[0][:, None] + size[1][None, :] - same) - 1e-6
         if i == j:
             linked &= ~np.eye(len(left), dtype=bool)
@@ -194,14 +223,16 @@ def _compare(similarity: float):
             if min(units[0][x] & units[1][y]) != unit:
                 linked[x, y] = False
         copies = [part["copies"].to_numpy() for part in (left, right)]
-        cluster = [part["cluster"].to_numpy() for part in (left, right)]
-        out = [pd.DataFrame({"node": left["node"].to_numpy(), "links": linked.sum(1), "copies": linked @ copies[1], "other": -1})]
+        out = [pd.DataFrame({"node": left["node"].to_numpy(), "links": linked.sum(1), "copies": linked @ copies[1], "other": None})]
         if i != j:
-            out.append(pd.DataFrame({"node": right["node"].to_numpy(), "links": linked.sum(0), "copies": copies[0] @ linked, "other": -1}))
-        apart = {(cluster[0][x], cluster[1][y]): left["node"].iat[x] for x, y in zip(*np.nonzero(linked & (cluster[0][:, None] != cluster[1][None, :])))}
+            out.append(pd.DataFrame({"node": right["node"].to_numpy(), "links": linked.sum(0), "copies": copies[0] @ linked, "other": None}))
+        names = pd.factorize(pd.concat([left["cluster"], right["cluster"]]))[0]
+        code = names[: len(left)], names[len(left) :]
+        to = right["cluster"].to_numpy()
+        apart = {(code[0][x], code[1][y]): (left["node"].iat[x], to[y]) for x, y in zip(*np.nonzero(linked & (code[0][:, None] != code[1][None, :])))}
         if apart:
-            out.append(pd.DataFrame([(node, 0, 0, b) for (_, b), node in apart.items()], columns=["node", "links", "copies", "other"]))
-        return pd.concat(out).astype("int64")
+            out.append(pd.DataFrame([(node, 0, 0, other) for node, other in apart.values()], columns=columns))
+        return pd.concat(out)
 
     return run
 
@@ -210,17 +241,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of (a, b): root is the least node of the connected component.
 
     Each round gives every node the least root among its neighbours' and then its root's root, so the number of rounds
-    is logarithmic for what occurs in practice; each is a checkpoint, so a lost executor costs one round.
+    is logarithmic for what occurs in practice; each is staged, so a lost executor costs one round, and the one before it goes.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "near").distinct())
-    roots = cut(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = stage(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "near").distinct())
+    roots = stage(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         seen = both.join(roots.select(F.col("node").alias("near"), "root"), "near").groupBy("node").agg(F.min("root").alias("m"))
         low = roots.join(seen, "node").select("node", "root", F.least("root", "m").alias("low"))
         jump = roots.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        new = cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("new"), "root"))
+        new = stage(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("new"), "root"))
+        release(roots)
         roots = new.select("node", F.col("new").alias("root"))
         if new.filter("new != root").isEmpty():
+            release(both)
             return roots
 
 
@@ -241,46 +274,62 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     signed = stage(source.mapInArrow(tidy(_signatures(n, n_bands, rows)), f"id {kind}, text_hash bigint, set_key binary, n_grams bigint, bands array<bigint>"))
-    node = F.conv(F.substring(F.hex("set_key"), 1, 15), 16, 10).cast("long")  # 60 bits of the key's 128
-    texts = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    texts = stage(texts.withColumn("node", node))
+    texts = signed.filter("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    texts = stage(texts)
 
     banded = texts.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = stage(banded.join(buckets.select("band", "hub"), "band").select("node", "hub").distinct())  # a row for each text and hub
+    buckets = stage(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "hub"))
+    shared = stage(banded.join(buckets, "band").select("node", "hub").distinct())  # a row for each text and hub
+    release(buckets)
 
     wanted = texts.join(shared.select("node").distinct(), "node").select(F.col("row.id").alias("w"), F.col("row.text_hash").alias("text_hash"))
     members = source.join(wanted, (source["text_hash"] == wanted["text_hash"]) & source["id"].eqNullSafe(wanted["w"]), "left_semi")
-    sets = members.select("text").mapInArrow(tidy(_sets(n)), "set_key binary, grams binary").dropDuplicates(["set_key"])
-    sets = stage(sets.select(node.alias("node"), "grams"))
+    sets = stage(members.select("text").mapInArrow(tidy(_sets(n)), "node binary, grams binary").dropDuplicates(["node"]))
 
-    pairs = shared.filter("node != hub").join(sets.select("node", F.col("grams").alias("own")), "node").join(sets.select(F.col("node").alias("hub"), "grams"), "hub")
-    edges = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "own", "grams").mapInArrow(tidy(_verify(similarity)), "a bigint, b bigint")
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("grams").alias("of"))
+    pairs = shared.filter("node != hub").join(sets, "node").join(of("hub"), "hub")
+    edges = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "grams", "of").mapInArrow(tidy(_verify(similarity)), "a binary, b binary")
     roots = components(edges)
 
     cluster = lambda df, column: df.join(roots.select(F.col("node").alias(column), "root"), column, "left").withColumn("root", F.coalesce("root", column))
-    inside = cut(cluster(shared, "hub").select("node", F.col("root").alias("unit")).distinct())
-    size = inside.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
+    inside = stage(cluster(shared, "hub").select("node", F.col("root").alias("unit")).distinct())
     units = inside.groupBy("node").agg(F.collect_list("unit").alias("units"))  # a unit for each band at most
-    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.lit(16), F.ceil(F.col("size") / SMALL_BLOCK))).cast("int")
-    dealt = inside.join(size.filter("size > 1"), "unit").withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int"))
-    rich = cluster(dealt.join(units, "node"), "node").join(texts.select("node", "copies"), "node").join(sets, "node")
-    with_all = rich.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    blocks = with_all.select("unit", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), F.when(F.col("own") <= F.col("k"), 0).otherwise(1).alias("side"), "node", F.col("root").alias("cluster"), "units", "copies", "grams")
-    found = stage(blocks.groupBy("unit", "i", "j").applyInPandas(_compare(similarity), "node bigint, links bigint, copies bigint, other bigint"))
-
-    meet = cluster(found.filter("other >= 0").select("node", "other"), "node").select(F.col("root").alias("a"), F.col("other").alias("b")).distinct()
+    apart = inside.join(sets, "node").join(of("unit"), "unit").select("node", "unit", "grams", "of")
+    apart = apart.mapInArrow(tidy(_differences), "node binary, unit binary, base bigint, lacks bigint, adds bigint, diff binary")
+    # two tight texts have base - lacks - lacks in common at least, and base + adds + adds together at most
+    tight = (F.size("units") == 1) & (F.col("lacks") + similarity * F.col("adds") <= (1 - similarity) / 2 * F.col("base") - 1e-6)
+    dealt = cluster(apart.join(units, "node"), "node").join(texts.select("node", "copies"), "node").withColumn("tight", tight).withColumnRenamed("root", "cluster")
+    dealt = stage(dealt)
+    release(sets)
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    heavy = lambda c: F.ceil(F.sum(F.when(c, F.length("diff")).otherwise(0)) / BLOCK_BYTES)
+    sums = dealt.groupBy("unit").agg(count(F.col("tight")).alias("n_tight"), F.sum(F.when(F.col("tight"), F.col("copies")).otherwise(0)).alias("tight_copies"), count(~F.col("tight")).alias("n_loose"), heavy(F.col("tight")).alias("h_tight"), heavy(~F.col("tight")).alias("h_loose"))
+    parts = lambda size, weight: F.greatest(weight, F.ceil(size / BLOCK), F.least(F.lit(16), F.ceil(size / SMALL_BLOCK))).cast("int")
+    sums = stage(sums.select("unit", "n_tight", "tight_copies", parts(F.col("n_loose"), F.col("h_loose")).alias("loose_blocks"), parts(F.col("n_tight"), F.col("h_tight")).alias("tight_blocks")))
+
+    # blocks of loose texts come first; they meet all blocks, and those of tight ones only these
+    rich = dealt.join(sums, "unit").filter("loose_blocks > 0")
+    place = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("tight"), F.col("tight_blocks")).otherwise(F.col("loose_blocks"))).cast("int")
+    rich = rich.withColumn("own", place + F.when(F.col("tight"), F.col("loose_blocks")).otherwise(0))
+    rich = rich.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("loose_blocks") + F.when(F.col("tight"), 0).otherwise(F.col("tight_blocks")) - 1)))
+    blocks = rich.select("unit", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), F.when(F.col("own") <= F.col("k"), 0).otherwise(1).alias("side"), "node", "cluster", "units", "copies", "base", "lacks", "adds", "diff")
+    found = stage(blocks.groupBy("unit", "i", "j").applyInPandas(_compare(similarity), "node binary, links bigint, copies bigint, other binary"))
+
+    meet = cluster(found.filter("other IS NOT NULL").select("node", "other"), "node").select(F.col("root").alias("a"), F.col("other").alias("b"))
+    meet = meet.union(dealt.filter("tight AND cluster != unit").select("cluster", "unit")).distinct()  # a tight text is linked to the base
     top = components(meet).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
-    placed = cluster(texts.select("node", "set_key", "least", "row", "copies"), "node").join(top, "root", "left").withColumn("top", F.coalesce("top", "root"))
-    least = placed.groupBy("top").agg(F.min("least").alias("class_id"), F.min("row").alias("chosen"))
-    done = placed.join(least, "top").join(counts, "node", "left")
-    done = done.select("set_key", "class_id", "chosen", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked", F.lit(0)).alias("linked"))
-    every = signed.select("id", "text_hash", "set_key", "n_grams").join(done, "set_key", "left")
-    alone = F.col("set_key").isNull()
-    chosen = alone | (F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("text_hash") == F.col("chosen.text_hash")))
-    return every.select("id", "text_hash", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_grams", F.coalesce("copies", F.lit(1)).alias("n_copies"),
-                        F.coalesce("links", F.lit(0)).alias("n_text_links"), F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"), chosen.alias("chosen"))
+    known = dealt.filter("tight").join(sums, "unit").select("node", (F.col("n_tight") - 1).alias("links"), (F.col("tight_copies") - F.col("copies")).alias("copies"))
+    counts = found.select("node", "links", "copies").union(known).groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
+    placed = cluster(texts.select("node", "least", "row", "copies"), "node").join(top, "root", "left").withColumn("top", F.coalesce("top", "root"))
+    placed = stage(placed.join(counts, "node", "left"))
+    least = stage(placed.groupBy("top").agg(F.min("least").alias("class_id"), F.min("row").alias("chosen")))
+    done = stage(placed.join(least, "top").select(F.col("node").alias("set_key"), "class_id", "chosen", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked", F.lit(0)).alias("linked")))
+    every = signed.filter("set_key IS NOT NULL").join(done, "set_key")
+    chosen = F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("text_hash") == F.col("chosen.text_hash"))
+    every = every.select("id", "text_hash", "class_id", "n_grams", F.col("copies").alias("n_copies"), F.col("links").alias("n_text_links"), (F.col("linked") + F.col("copies") - 1).alias("n_links"), chosen.alias("chosen"))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    wordless = signed.filter("set_key IS NULL").select("id", "text_hash", F.col("id").alias("class_id"), "n_grams", one.alias("n_copies"), none.alias("n_text_links"), none.alias("n_links"), F.lit(True).alias("chosen"))
+    return every.unionByName(wordless)
 
 
 def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -289,14 +338,21 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -
 
 
 def one_of_each_class(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without near duplicates: one row of each class stays, with all its columns. Texts without a word stay, repeated rows but once."""
-    kept = ngram_classes(docs, id, text, **how).filter("chosen").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
-    kept = stage(kept.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "times"))
-    own = docs.withColumns({"__h": F.xxhash64(docs[text])})
-    out = own.join(kept, (own["__h"] == kept["__hash"]) & own[id].eqNullSafe(kept["__id"]), "left_semi")
-    if not kept.filter("times > 1").isEmpty():
-        out = out.dropDuplicates([id, "__h"])
-    return out.drop("__h")
+    """docs without near duplicates: one row of each class stays, with all its columns. Texts without a word stay, repeated rows but once.
+
+    Of rows equal in id and text that differ in other columns, the one whose JSON form is least stays. Columns of docs may have any names.
+    """
+    key, found = free_name(docs, "text_hash"), free_name(docs, "found")
+    kept = ngram_classes(docs, id, text, **how).filter("chosen").groupBy(F.col("id").alias("w"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("times"))
+    kept = stage(kept)
+    own = docs.withColumn(key, F.xxhash64(docs[text]))
+    here = lambda part: (own[key] == part["h"]) & own[id].eqNullSafe(part["w"])
+    single, several = kept.filter("times = 1"), kept.filter("times > 1")
+    out = own.join(single, here(single), "left_semi").select(*docs.columns)
+    if several.isEmpty():
+        return out
+    repeated = least_row(own.join(several, here(several), "left_semi"), [id, key], {found: F.count(F.lit(1))})
+    return out.unionByName(repeated.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

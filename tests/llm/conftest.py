@@ -18,10 +18,11 @@ def near(text: str, seed: int) -> str:
     return " ".join(words)
 
 
+CLASHING = ("n_words", "kept", "position", "node", "n_sentences", "id", "rank", "covered", "c_id", "c_hash", "__hash", "__h", "__times", "__id", "__k", "__text", "__row", "h", "w", "text_hash", "times", "found", "from")
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     # names that operators use for columns of their own
-    + [T.StructField(n, T.StringType()) for n in ("n_words", "kept", "position", "node", "n_sentences", "id", "rank")]
+    + [T.StructField(n, T.StringType()) for n in CLASHING]
 )
 
 
@@ -31,7 +32,7 @@ def edge_rows() -> list[tuple]:
     texts = [None, "", " \n\t ", "one", "a b c", base, base, near(base, 3), near(base, 4), prose(5) + " " + passage, prose(6) + "\n" + passage, prose(7, 4000), "the. " * 400, "日本語 テスト 文", "naïve café x\r\n\r\ny  z", "<|endoftext|> it's", "x" * 50_000]
     rows = [(k, t, "en", f"src{k % 3}", None if t is None else len(t)) for k, t in enumerate(texts)]
     rows += [(None, prose(8), None, None, None), (None, prose(8), None, None, None), (None, None, None, None, None), (40, prose(9), "fr", None, 5), (40, prose(9), "fr", None, 5), (40, prose(10), "fr", "\U0001f600", 5)]
-    return [(*r, *["clash"] * 6, None) for r in rows]
+    return [(*r, *["clash"] * 6, None, *[f"clash{k}" for k in range(len(CLASHING) - 7)]) for r in rows]
 
 
 @pytest.fixture(scope="session")

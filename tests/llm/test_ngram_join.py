@@ -65,6 +65,41 @@ def test_large_group_and_chain(spark):
     check(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_tight_and_loose_texts(spark):
+    """Near copies with few and with many changes in one group, strangers that share half of it, and texts of two groups."""
+    import random
+
+    rng = random.Random(3)
+    base, other = (" ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(200)).split(" ") for tag in "pq")
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([0, 1, 2, 3, 4, 5])):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    for k in range(30):
+        rows.append((200 + k, " ".join(base[: 60 + 4 * k] + other[60 + 4 * k :])))
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_recall_of_pairs_at_the_similarity(spark):
+    """Pairs whose similarity is 0.80 to 0.82: nine of ten are found at least."""
+    rows = []
+    for k in range(150):
+        words = [f"k{k}w{m}" for m in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:94], *[f"k{k}v{m}" for m in range(94, 104)]]))]
+    sets = {i: gram_set(t) for i, t in rows}
+    similar = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(150)]
+    assert all(0.8 <= s <= 0.83 for s in similar)
+    got = {r["doc_id"]: r["class_id"] for r in J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(150)) >= 0.9 * 150
+
+
+def test_one_of_alike_rows_is_the_same_whatever_the_partitions(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", f"v{k}") for k in range(6)] + [(2, "a b c d e f", "x")], "doc_id long, text string, h string")
+    assert [J.one_of_each_class(docs.repartition(n)).collect() for n in (1, 4)] == [[(1, "a b c d e f", "v0")]] * 2
+
+
 def test_blocks_do_not_change_counts(spark, monkeypatch):
     monkeypatch.setattr(J, "SMALL_BLOCK", 16)
     base = prose(70, 25)
