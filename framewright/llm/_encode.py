@@ -1,11 +1,14 @@
 """Token ids of whole texts by the tokenizers library, with a cache of what stands between spaces.
 
 Both vocabularies cut a text at spaces before anything else, so a text's ids are those of its parts, one after another. Texts
-in which white space meets white space, where that isn't so, go to the library whole.
+in which white space meets white space, where that isn't so, go to the library whole, and so do texts that hold the string of an added
+token (such as ``<|endoftext|>``), which the library looks for first. The cache is used only if the file's normalizer and pre-tokenizer are
+those that this holds for; with any other file all texts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Sequence
 
@@ -33,12 +36,31 @@ def _packed(ids: Sequence[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+# The parts of the two kinds of file for which a text's ids are those of what stands between its spaces.
+BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+WORD_ENDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers. glue: a space belongs to the word after it (byte-level BPE); else white space is dropped."""
+    """Ids as little-endian unsigned 32-bit integers, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    def __init__(self, path: str, glue: bool):
+    glue: a space belongs to the word after it (byte-level BPE); else white space is dropped. literal: the strings of added tokens are
+    ordinary text, as they are with the library's ``encode_special_tokens``.
+    """
+
+    def __init__(self, path: str, glue: bool, literal: bool = False):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.library.encode_special_tokens = literal
+        parts = json.loads(self.library.to_str())
+        self.added = [] if literal else [t["content"] for t in parts["added_tokens"]]
+        self.known = {k: parts[k] for k in BYTE_LEVEL} == (BYTE_LEVEL if glue else WORD_ENDS)
+        if not self.known:
+            return
         self.glue = glue
         self.mark = "\n" if glue else " \x00 "
         # a part that stands first in its text has no space before it, so its cache differs
@@ -119,7 +141,13 @@ class Encoder:
         n = len(texts)
         if not n:
             return []
-        whole = np.zeros(n, bool)
+        if not self.known:
+            return [np.array(e.ids, "<u4") for e in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        given, whole = texts, np.zeros(n, bool)
+        for content in self.added:
+            whole |= np.asarray(pc.match_substring(texts, content))
+        if whole.any():
+            texts = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
         if self.glue:
             whole |= np.asarray(pc.match_substring_regex(texts, "[ \\n][ \\n]"))
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
@@ -157,7 +185,7 @@ class Encoder:
         out = [ids[x:y] for x, y in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist())]
         if whole.any():
             at = np.flatnonzero(whole).tolist()
-            for k, e in zip(at, self.library.encode_batch(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)):
+            for k, e in zip(at, self.library.encode_batch(given.take(pa.array(at)).to_pylist(), add_special_tokens=False)):
                 out[k] = np.array(e.ids, "<u4")
         return out
 

@@ -2,8 +2,8 @@
 
 Documents become token ids once; each is cut into full sequences and a rest. The rests, rounded up to units of a few tokens,
 form a length histogram of bounded size. A linear program over patterns of the histogram's classes, whose columns come from
-a knapsack dynamic program on the current prices, gives how often each pattern is used; what rounding down leaves over is
-filled largest first. Pieces, ranked within their class, take the slots of the rounded patterns.
+a knapsack dynamic program on the current prices, gives how often each pattern is used; what rounding down leaves over goes
+by best fit. Pieces, ranked within their class, take the slots of the rounded patterns.
 
 The program sees the histogram alone, at most CONTEXT / UNIT classes whatever the input; the ranks come from cells of about the
 square root of the number of pieces, and a sequence's pieces (CONTEXT at most) meet only to add up their offsets.
@@ -26,12 +26,13 @@ from ._encode import encoder, forget
 from ._spark import cells, passed, positions, small_batches, stage, tidy
 
 CONTEXT, UNIT, END = 4096, 8, 2
-#: The program ends when no pattern is worth this much more than a sequence: then it is within that share of the optimum.
+#: The program ends when it is proven to be within this share of the optimum.
 GAP = 5e-4
+SETTLED = 500
 
 
-def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern: how often each size, each as often as it fits."""
+def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``room`` the worth of the most valuable pattern, each size as often as it fits, and the size it ends with (-1: a gap)."""
     best, choice = np.zeros(room + 1), np.full(room + 1, -1)
     for w in range(1, room + 1):
         best[w] = best[w - 1]
@@ -41,70 +42,128 @@ def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float,
             k = int(worth.argmax())
             if worth[k] > best[w] + 1e-12:
                 best[w], choice[w] = worth[k], k
-    pattern, w = np.zeros(len(sizes), np.int64), room
-    while w > 0:
-        if choice[w] < 0:
-            w -= 1
-        else:
-            pattern[choice[w]] += 1
-            w -= int(sizes[choice[w]])
-    return float(best[room]), pattern
+    return best, choice
+
+
+def _priced(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The worth of the best pattern, and the patterns worth more than a sequence that are best among those with some one size: a column each."""
+    best, choice = _knapsack(sizes, prices, room)
+    found = []
+    for k in np.flatnonzero(best[room - sizes] + prices > 1 + 1e-5):
+        pattern, w = np.zeros(len(sizes)), room - int(sizes[k])
+        pattern[k] = 1
+        while w > 0:
+            if choice[w] < 0:
+                w -= 1
+            else:
+                pattern[choice[w]] += 1
+                w -= int(sizes[choice[w]])
+        found.append(pattern)
+    return float(best[room]), np.unique(found, axis=0).T if found else np.zeros((len(sizes), 0))
+
+
+def best_fit(sizes: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used, by best fit from the largest size down; sequences that hold the same go as one."""
+    open_: list[list[tuple[tuple, int]]] = [[] for _ in range(room + 1)]  # by the room that is left
+    for k in np.argsort(-sizes):
+        size, need = int(sizes[k]), int(counts[k])
+        while need:
+            left = next((r for r in range(size, room) if open_[r]), None)
+            if left is None:
+                per = min(room // size, need)
+                items, times, left = (), need // per, room
+            else:
+                items, times = open_[left].pop()
+                per = max(1, min(left // size, need // times))
+            used = min(times, need // per)
+            if used < times:
+                open_[left].append((items, times - used))
+            open_[left - per * size].append(((*items, (k, per)), used))
+            need -= used * per
+    out = []
+    for items, times in (x for group in open_ for x in group):
+        pattern = np.zeros(len(sizes), np.int64)
+        for k, per in items:
+            pattern[k] += per
+        out.append((pattern, times))
+    return out
+
 
+def cutting_stock(sizes: np.ndarray, counts: np.ndarray, room: int, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used (a fraction) so that every count is met with about the fewest sequences.
 
-def cutting_stock(sizes: np.ndarray, counts: np.ndarray, room: int, gap: float = GAP, rounds: int = 6000) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used (a fraction) so that every count is met with about the fewest sequences."""
+    The simplex method over a pool of columns, which starts from the patterns of best fit; when no column of the pool is worth more
+    than a sequence, the knapsack prices new ones. It ends when the uses add up to at most 1 + gap times a lower bound (and one sequence), that of the prices
+    (their worth over the best pattern's) or that of the rests' total size, or when no pattern is worth more than a sequence. Counts are
+    raised by a trace of noise, which keeps degenerate steps from going round in circles, and the basis is inverted anew at times. Should rounding
+    errors still make it go on without a gain, for as many steps as there are sizes and SETTLED more, what is there stands.
+    """
     n = len(sizes)
-    columns = np.diag(room // sizes).astype(float)
-    use, inverse, surplus = counts / np.diag(columns), np.diag(1.0 / np.diag(columns)), np.zeros(n, bool)
-    for _ in range(rounds):
-        prices = (~surplus).astype(float) @ inverse
+    need = counts * (1 + 1e-5 * np.random.default_rng(3).random(n))
+    least = float((sizes * counts).sum()) / room
+    pool = np.array([p for p, _ in best_fit(sizes, counts, room)], float).T
+    columns, cost = np.diag(room // sizes).astype(float), np.ones(n)
+    use, inverse, steps = need / np.diag(columns), np.diag(1.0 / np.diag(columns)), 0
+    fewest, since = np.inf, 0
+    while since <= n + SETTLED:
+        prices = cost @ inverse
         if prices.min() < -1e-9:  # more of this class than there is need for
-            k = int(prices.argmin())
-            column, extra = -np.eye(n)[k], True
+            column, price = -np.eye(n)[int(prices.argmin())], 0.0
         else:
-            value, pattern = _knapsack(sizes, prices, room)
-            if value <= 1 + gap:
-                break
-            column, extra = pattern.astype(float), False
+            worth = prices @ pool
+            k = int(worth.argmax())
+            if worth[k] <= 1 + 1e-6:
+                value, fresh = _priced(sizes, prices, room)
+                least = max(least, float(prices @ need) / value)
+                if cost @ use <= (1 + gap) * least + 1 or not fresh.shape[1]:
+                    break
+                pool = np.concatenate([pool, fresh], 1)
+                continue
+            column, price = pool[:, k], 1.0
         step = inverse @ column
         up = step > 1e-9
+        if not up.any():  # only rounding errors are left
+            break
         ratio = np.full(n, np.inf)
         ratio[up] = use[up] / step[up]
         out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
-            break
         use -= ratio[out] * step
         use[out] = ratio[out]
         np.maximum(use, 0, out=use)
-        columns[:, out], surplus[out] = column, extra
+        columns[:, out], cost[out] = column, price
         inverse[out] /= step[out]
         step[out] = 0
         inverse -= np.outer(step, inverse[out])
-    return [(columns[:, k].astype(np.int64), use[k]) for k in range(n) if not surplus[k]]
+        steps, since = steps + 1, since + 1
+        if cost @ use < fewest * (1 - 1e-6):
+            fewest, since = cost @ use, 0
+        if steps % 200 == 0:
+            inverse = np.linalg.inv(columns)
+            use = np.maximum(inverse @ need, 0)
+    return [(columns[:, k].astype(np.int64), use[k]) for k in np.flatnonzero(cost)]
 
 
 def rounded(sizes: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
-    """Whole uses of patterns that hold every piece exactly once (slots of the last use of one may stay empty)."""
+    """Whole uses of patterns that hold every piece exactly once: the program's, rounded down, with best fit for what is left over.
+
+    Never more sequences than best fit takes for all pieces: if rounding costs more than the program saves, that one is returned.
+    """
     if not len(sizes):
         return []
     left, out = counts.astype(np.int64).copy(), []
     for pattern, use in sorted(cutting_stock(sizes, counts, room), key=lambda x: -x[1]):
         some = pattern > 0
-        times = min([math.floor(use + 1e-9), *(left[some] // pattern[some])]) if some.any() else 0
+        times = min([math.floor(use + 1e-4), *(left[some] // pattern[some])]) if some.any() else 0
         if times:
             out.append((pattern, int(times)))
             left -= times * pattern
-    while left.any():  # the largest first
-        pattern, free = np.zeros(len(sizes), np.int64), room
-        for k in np.argsort(-sizes):
-            if left[k]:
-                pattern[k] = min(left[k], free // sizes[k])
-                free -= pattern[k] * sizes[k]
-        some = pattern > 0
-        times = int((left[some] // pattern[some]).min())
-        out.append((pattern, times))
-        left -= times * pattern
-    return out
+    rest = left > 0
+    for pattern, times in best_fit(sizes[rest], left[rest], room):
+        whole = np.zeros(len(sizes), np.int64)
+        whole[rest] = pattern
+        out.append((whole, times))
+    plain = best_fit(sizes, counts, room)
+    return min(out, plain, key=lambda patterns: sum(times for _, times in patterns))
 
 
 class Slots:
