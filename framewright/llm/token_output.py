@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._encode import encoder
-from ._spark import _STAGED, passed, shared_dir, small_batches, stage
+from ._spark import _STAGED, arrow_type, passed, shared_dir, small_batches, stage
 
 LANES, STEPS, CHECK_STEPS = 64, 512, 128
 SEGMENT_TOKENS = 1 << 21
+GROUP_PARTS = 2048
 LOW = np.uint64(1 << 31)
 _U, _32 = np.uint64, np.uint64(32)
 _HEAD = struct.Struct("<4s6IQ")
@@ -238,8 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, id
     spark.createDataFrame([(table.bits, table.freq.astype("<u4").tobytes())], "bits int, freq binary").coalesce(1).write.parquet(f"{path}/table")
     n = max(1, -(-int(counts.sum()) // SEGMENT_TOKENS))
     ordered = tokens.repartitionByRange(n, "id", "text_hash").sortWithinPartitions("id", "text_hash").select("id", "n_tokens", "ids")
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    run = _segments(table.freq, table.bits, vocabulary, id_type)
+    run = _segments(table.freq, table.bits, vocabulary, arrow_type(ordered, "id"))
     ordered.mapInArrow(run, f"part bigint, segment bigint, doc_ids array<{kind}>, doc_tokens array<bigint>, n_tokens bigint, data binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
 
 
@@ -265,9 +265,16 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     freq = np.frombuffer(bytes(head["freq"]), "<u4").astype(_U)
     segments = spark.read.parquet(f"{path}/segments")
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    # one row a segment: some millions of tokens each
-    base = segments.select("part", "segment", "n_tokens").withColumn("base", F.sum("n_tokens").over(Window.orderBy("part", "segment")) - F.col("n_tokens")).drop("n_tokens")
+    arrow = arrow_type(segments.select(F.explode("doc_ids").alias("id")), "id")
+    # tokens before each segment: within its part, of the parts before it in its group, and of the groups before that; a row a
+    # group of GROUP_PARTS parts (some billions of tokens) is all that meets in one task
+    sizes = segments.select("part", "segment", "n_tokens", F.floor(F.col("part") / GROUP_PARTS).alias("group"))
+    before = lambda order, by=(): F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("group", "part").agg(F.sum("n_tokens").alias("n"))
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(["group"]).alias("of_groups"))
+    parts = parts.select("group", "part", before(["part"], ["group"]).alias("of_parts"))
+    base = sizes.select("group", "part", "segment", F.col("n_tokens").alias("n")).withColumn("of_part", before(["segment"], ["part"]))
+    base = base.join(parts, ["group", "part"]).join(groups, "group").select("part", "segment", (F.col("of_groups") + F.col("of_parts") + F.col("of_part")).alias("base"))
     columns = f"part bigint, segment bigint, id {kind}, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * ids
     out = segments.select("part", "segment", "doc_ids", "doc_tokens", "data").mapInArrow(_decoded(freq, head["bits"], arrow, ids), columns)
     return out.join(base, ["part", "segment"]).select(F.col("id").alias("doc_id"), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
