@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._spark import cells, positions, stage
+from ._spark import cells, free_name, least_row, positions, small, stage
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: numpy draws hypergeometric counts of populations up to this size; above it a normal approximation does, whose sums are exact too.
-EXACT_DRAWS = 10**9
 FAN_OUT = 1024
 
 
@@ -60,19 +58,33 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return [Source(s, weight[s], sizes[s], target[s]) for s in names]
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good ones, by inversion, for populations of any size.
+
+    Probabilities relative to the most likely count follow from ratios of successive ones, twelve standard deviations to either
+    side (as far as there are counts); what lies beyond is less than the steps of a uniform double. That is some millions of counts
+    for 10**11 blocks.
+    """
+    total, low, high = good + bad, max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    share = good / total
+    wide = int(12 * math.sqrt(max(1.0, n * share * (1 - share) * (total - n) / max(1, total - 1)))) + 30
+    low, high = max(low, mode - wide), min(high, mode + wide)
+    k = np.arange(low, high, dtype=float)  # from k to k + 1
+    step = np.log((good - k) * (n - k)) - np.log((k + 1) * (bad - n + k + 1))
+    log = np.concatenate([[0.0], np.cumsum(step)])
+    chance = np.cumsum(np.exp(log - log.max()))
+    return low + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
+
+
 def _draw(rng: np.random.Generator, quotas: np.ndarray, n: int) -> np.ndarray:
-    """How many of n draws without replacement fall to each quota."""
+    """How many of n draws without replacement fall to each quota: a multivariate hypergeometric draw, quota after quota."""
     out, left = np.zeros_like(quotas), int(quotas.sum())
     for k, q in enumerate(map(int, quotas)):
-        rest = left - q
-        if left <= EXACT_DRAWS:
-            got = int(rng.hypergeometric(q, rest, n)) if q and n else 0
-        else:
-            mean, p = n * q / left, q / left
-            got = round(rng.normal(mean, math.sqrt(max(0.0, n * p * (1 - p) * (left - n) / max(1, left - 1)))))
-        got = min(max(got, n - rest), q, n)
-        out[k] = max(got, 0)
-        n, left = n - int(out[k]), rest
+        out[k] = hypergeometric(rng, q, left - q, n)
+        n, left = n - int(out[k]), left - q
     return out
 
 
@@ -144,7 +156,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     named = spark.createDataFrame([(k, s.name, s.size, s.target) for k, s in enumerate(plan)], "source_no int, source_name string, source_size long, target double")
     documents = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    documents = documents.join(F.broadcast(named), documents["source"].eqNullSafe(named["source_name"])).drop("source_name", "n")  # a row a source, as collected above
+    documents = documents.join(small(named, len(plan)), documents["source"].eqNullSafe(named["source_name"])).drop("source_name", "n")
 
     blocks = documents.filter("n_blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     size = F.col("size") if block_words is None else F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block").cast("long") * block_words)
@@ -160,10 +172,10 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     quotas = [quotas.get(k, 0) for k in range(len(plan))]
     n_shards = max(1, round(sum(r["words"] for r in passes) / shard_words))
     sizes = spark.createDataFrame([(k, n_blocks_of[s.name], max(1, -(-quotas[k] // n_shards))) for k, s in enumerate(plan)], "source_no int, first_pass long, cell long")
-    draws = blocks.join(F.broadcast(sizes), "source_no").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)))
+    draws = blocks.join(small(sizes, len(plan)), "source_no").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)))
     # pass 0 takes positions 0 to N - 1 of the permuted order, pass 1 goes on at N, so that ranges of draws are disjoint
     draws = draws.withColumn("draw", F.col("pass") * F.col("first_pass") + F.col("position")).withColumn("at", F.floor(F.col("draw") / F.col("cell")))
-    ranges = shard_ranges(spark, quotas, n_shards, seed).join(F.broadcast(sizes), "source_no")
+    ranges = shard_ranges(spark, quotas, n_shards, seed).join(small(sizes, len(plan)), "source_no")
     ranges = ranges.withColumn("at", F.explode(F.sequence(F.floor(F.col("begin") / F.col("cell")), F.floor((F.col("end") - 1) / F.col("cell"))))).select("source_no", "at", "shard", "begin", "end")
     dealt = draws.join(ranges, ["source_no", "at"]).filter("draw >= begin AND draw < end")
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "source_no", "draw"), "source_no", "draw")
@@ -174,18 +186,22 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs as the mix has them, with whole documents as blocks: a row for each time that one is drawn, with the columns of docs.
 
-    Of rows equal in id, source and text, one stands for all. Documents without a word are never drawn.
+    Of rows equal in id, source and text, that of the least JSON form stands for all. Documents without a word are never drawn. Columns
+    of docs may have any names.
     """
     planned = mix(docs, id, text, source, block_words=None, **how)
-    drawn = planned.blocks.groupBy("doc_id", "source", "text_hash").agg(F.count(F.lit(1)).cast("int").alias("__times")).toDF("__id", "__source", "__hash", "__times")
-    own = docs.withColumns({"__h": F.xxhash64(docs[text])})
-    own = own.join(drawn, (own["__h"] == drawn["__hash"]) & own[id].eqNullSafe(drawn["__id"]) & own[source].cast("string").eqNullSafe(drawn["__source"]))
-    own = own.dropDuplicates(["__id", "__source", "__hash"]) if _repeats(planned) else own
-    return own.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
-
-
-def _repeats(planned: Mix) -> bool:
-    return not planned.documents.filter("copy > 0").isEmpty()
+    key, times, copies = (free_name(docs, n) for n in ("text_hash", "times", "copies"))
+    drawn = planned.blocks.groupBy("doc_id", "source", "text_hash").agg(F.count(F.lit(1)).cast("int").alias("n_drawn")).toDF("w", "from", "h", "n_drawn")
+    drawn = stage(drawn)
+    own = docs.withColumn(key, F.xxhash64(docs[text]))
+    alike = planned.documents.filter("copy > 0").select(F.col("doc_id").alias("w"), F.col("source").alias("from"), F.col("text_hash").alias("h")).distinct()
+    same = lambda part: (own[key] == part["h"]) & own[id].eqNullSafe(part["w"]) & own[source].cast("string").eqNullSafe(part["from"])
+    if not alike.isEmpty():
+        alike = stage(alike)
+        several = least_row(own.join(alike, same(alike), "left_semi"), [id, source, key], {copies: F.count(F.lit(1))})
+        own = own.join(alike, same(alike), "left_anti").unionByName(several.drop(copies))
+    out = own.join(drawn, same(drawn)).select(*[own[c] for c in docs.columns], drawn["n_drawn"].alias(times))
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
