@@ -2,14 +2,20 @@
 
 A text's prefix hashes modulo two primes give the hash of any span by one subtraction and one multiplication, so spans of
 two texts are compared, and their longest common extensions located by binary search, without looking at characters again.
-A fingerprint holds the text's length and hash and the SKETCH least hashes of its spans of SPAN code points; two
-fingerprints tell how many of the spans the texts share.
+A fingerprint holds the text's length and hash and the SKETCH least hashes of its spans of SPAN code points; those of texts shorter
+than BRIEF also hold the least hashes of spans of SHORT_SPAN. Two fingerprints tell how many of the spans the texts share, of the short
+ones if both have them.
+
+Documents are put in order by ranges, whose bounds are rows picked by a hash, about the square root of their number. Each text is
+shuffled once, to its range, and the row at each bound to the range before too, whose last row it follows.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import passed, small_batches
+from ._spark import passed, small, small_batches
 from ._words import mix64
 
 SPAN, SKETCH = 16, 64
-#: Ranges of documents; a task takes whole ones. Their bounds (one id each) are all that the driver sees.
-RANGE_ROWS, MOST_RANGES = 128, 10_000
+SHORT_SPAN, BRIEF = 4, 128
 _U = np.uint64
 _P1, _P2 = (1 << 31) - 1, (1 << 31) - 19
 _B1, _B2 = 911_382_323, 972_663_749
@@ -51,28 +56,31 @@ def code_points(text: str) -> np.ndarray:
 
 
 class PrefixHash:
-    """prefix hashes of code points: at[i] is the sum of (c[j] + 1) * base**j over j < i, modulo each prime."""
+    """prefix hashes of code points: at[i] is the sum of (c[j] + 1) * base**j over j < i, modulo each prime.
+
+    after: a text whose first ``kept`` code points the new one begins with; its prefix hashes of these are taken over.
+    """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, after: PrefixHash | None = None, kept: int = 0):
         self.n = n = len(codes)
-        c = codes.astype(_U) + _U(1)
+        c = codes[kept:].astype(_U) + _U(1)
         self.one, self.two = np.zeros(n + 1, _U), np.zeros(n + 1, _U)
+        if kept:
+            self.one[: kept + 1], self.two[: kept + 1] = after.one[: kept + 1], after.two[: kept + 1]
         # terms below 2**31 add up to less than 2**64 for any text that fits in memory
-        np.cumsum(_mod1(c * _powers(_B1, _P1, n)), out=self.one[1:])
-        np.cumsum(c * _powers(_B2, _P2, n) % _U(_P2), out=self.two[1:])
-        self.one, self.two = _mod1(self.one), self.two % _U(_P2)
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """62-bit hashes of spans, equal for equal spans wherever they stand."""
-        a = _mod1((self.one[end] + _U(_P1) - self.one[start]) % _U(_P1) * _powers(pow(_B1, -1, _P1), _P1, self.n + 1)[start])
-        b = (self.two[end] + _U(_P2) - self.two[start]) % _U(_P2) * _powers(pow(_B2, -1, _P2), _P2, self.n + 1)[start] % _U(_P2)
-        return a << _U(31) | b
-
-    def windows(self, size: int) -> np.ndarray:
-        """31-bit hashes of all spans of one size."""
-        n = self.n - size + 1
-        shift = _powers(pow(_B1, -1, _P1), _P1, n)
-        return _mod1((self.one[size:] + _U(_P1) - self.one[:n]) * shift)
+        one, two = np.cumsum(_mod1(c * _powers(_B1, _P1, n)[kept:])), np.cumsum(c * _powers(_B2, _P2, n)[kept:] % _U(_P2))
+        self.one[kept + 1 :], self.two[kept + 1 :] = _mod1(one + self.one[kept]), (two + self.two[kept]) % _U(_P2)
+
+    def span(self, start: int, end: int, shift: int) -> tuple[int, int]:
+        """The hash of a span as if it stood ``shift`` places further on, modulo each prime."""
+        a = (int(self.one[end]) - int(self.one[start])) * pow(_B1, shift, _P1) % _P1
+        return a, (int(self.two[end]) - int(self.two[start])) * pow(_B2, shift, _P2) % _P2
+
+    def windows(self, size: int, first: int = 0) -> np.ndarray:
+        """31-bit hashes of all spans of one size from the first on."""
+        n = max(0, self.n - size + 1)
+        shift = _powers(pow(_B1, -1, _P1), _P1, n)[first:]
+        return _mod1((self.one[size + first :] + _U(_P1) - self.one[first:n]) * shift)
 
     def whole(self) -> int:
         return int(self.one[-1]) << 31 | int(self.two[-1])
@@ -80,7 +88,8 @@ class PrefixHash:
 
 def equal(x: PrefixHash, i: int, y: PrefixHash, j: int, n: int) -> bool:
     """Whether n code points of x from i equal those of y from j."""
-    return bool(x.spans(np.array([i]), np.array([i + n]))[0] == y.spans(np.array([j]), np.array([j + n]))[0])
+    low = min(i, j)
+    return x.span(i, i + n, j - low) == y.span(j, j + n, i - low)
 
 
 def common_extension(x: PrefixHash, i: int, y: PrefixHash, j: int) -> int:
@@ -92,26 +101,43 @@ def common_extension(x: PrefixHash, i: int, y: PrefixHash, j: int) -> int:
     return lo
 
 
-def sketch(x: PrefixHash) -> np.ndarray:
-    """The least SKETCH distinct mixed hashes of spans, ascending; of a shorter text, that of the whole; of an empty one, none."""
+def spans(x: PrefixHash, size: int, after: np.ndarray | None = None, kept: int = 0) -> np.ndarray:
+    """Mixed 32-bit hashes of all spans of a size; of a shorter text, that of the whole; of an empty one, none.
+
+    after: those of a text whose first ``kept`` code points x begins with."""
     if not x.n:
         return np.zeros(0, np.uint32)
-    hashes = (mix64(x.windows(min(SPAN, x.n)) + _U(1)) >> _U(32)).astype(np.uint32)
+    size = min(size, x.n)
+    same = max(0, kept - size + 1) if after is not None else 0
+    own = (mix64(x.windows(size, same) + _U(1)) >> _U(32)).astype(np.uint32)
+    return np.concatenate([after[:same], own]) if same else own
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least SKETCH distinct hashes, ascending."""
     some = 2 * SKETCH
-    while True:
-        if some >= len(hashes):
-            return np.unique(hashes)[:SKETCH]
-        least = np.unique(np.partition(hashes, some)[:some])
+    while some < len(hashes):
+        # about so many lie below the limit, unless they repeat
+        least = np.unique(hashes[hashes < (1 << 32) // len(hashes) * some])
         if len(least) >= SKETCH:
             return least[:SKETCH]
         some *= 8
+    return np.unique(hashes)[:SKETCH]
+
+
+Sketches = tuple[np.ndarray, np.ndarray | None]
+
 
+def sketches(x: PrefixHash) -> Sketches:
+    return sketch(spans(x, SPAN)), sketch(spans(x, SHORT_SPAN)) if x.n < BRIEF else None
 
-def fingerprint(x: PrefixHash, least: np.ndarray) -> str:
-    return f"{x.n}.{x.whole():016x}.{base64.b64encode(least.astype('<u4').tobytes()).decode()}"
 
+def fingerprint(x: PrefixHash, least: Sketches) -> str:
+    parts = [base64.b64encode(s.astype("<u4").tobytes()).decode() for s in least if s is not None]
+    return f"{x.n}.{x.whole():016x}.{'.'.join(parts)}"
 
-def _likeness(x: np.ndarray, y: np.ndarray) -> float:
+
+def _shared(x: np.ndarray, y: np.ndarray) -> float:
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     both = np.concatenate([x, y])
@@ -123,30 +149,38 @@ def _likeness(x: np.ndarray, y: np.ndarray) -> float:
     return float((twice & (rank[1:] <= SKETCH)).sum() / min(SKETCH, rank[-1]))
 
 
+def _likeness(x: Sketches, y: Sketches) -> float:
+    return _shared(x[1], y[1]) if x[1] is not None and y[1] is not None else _shared(x[0], y[0])
+
+
 def likeness(x: str, y: str) -> float:
     """The share of spans that the texts of two fingerprints have in common, 0 to 1: 1 for equal texts."""
-    return _likeness(*(np.frombuffer(base64.b64decode(f.rsplit(".", 1)[1]), "<u4") for f in (x, y)))
+    read = lambda f: [np.frombuffer(base64.b64decode(p), "<u4") for p in f.split(".")[2:]]
+    return _likeness(*((*s, None)[:2] for s in (read(x), read(y))))
 
 
 def _follow():
     """Arrow rows (range, guest, id, text), sorted -> the result. A range's last row follows on to its guest, the next range's first."""
 
     class Doc:
-        def __init__(self, id, text):
-            self.id, self.codes = id, code_points(text)
+        def __init__(self, id, text: str):
+            self.id, self.text, self.codes = id, text, code_points(text)
             self.prefix = PrefixHash(self.codes)
-            self.sketch = sketch(self.prefix)
+            self.spans = spans(self.prefix, SPAN)
+            self.least = sketch(self.spans), sketch(spans(self.prefix, SHORT_SPAN)) if len(self.codes) < BRIEF else None
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited", "common_next"]
     types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def row(doc: Doc, after: Doc) -> tuple:
-        k = len(doc.codes) // 4
-        new = np.concatenate([doc.codes[: len(doc.codes) - k], after.codes[:k]])
-        edited = PrefixHash(new)
-        least = sketch(edited)
-        sha = hashlib.sha256(new.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-        return (doc.id, len(doc.codes), sha, fingerprint(doc.prefix, doc.sketch), fingerprint(edited, least), _likeness(doc.sketch, least), _likeness(doc.sketch, after.sketch),
+        n = len(doc.codes)
+        k = n // 4
+        edited = PrefixHash(np.concatenate([doc.codes[: n - k], after.codes[:k]]), doc.prefix, n - k)
+        short = sketch(spans(edited, SHORT_SPAN)) if edited.n < BRIEF else None
+        # spans of a text shorter than one are its whole, which an edit changes
+        least = sketch(spans(edited, SPAN, doc.spans if min(n, edited.n) >= SPAN else None, n - k)), short
+        sha = hashlib.sha256((doc.text[: n - k] + after.text[:k]).encode("utf-8", "surrogatepass")).hexdigest()
+        return (doc.id, n, sha, fingerprint(doc.prefix, doc.least), fingerprint(edited, least), _likeness(doc.least, least), _likeness(doc.least, after.least),
                 common_extension(doc.prefix, 0, edited, 0), common_extension(doc.prefix, 0, after.prefix, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,38 +203,35 @@ def _follow():
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs, whose text's last quarter is edited into the beginning of the next one's.
 
-    The next row is that of the next greater id (a number; null last), then text hash; the first follows the last, and a single
+    The next row is that of the next greater id (by its type's order; null last), then text hash; the first follows the last, and a single
     row follows itself. A null text is empty. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     and common_edited, common_next: the lengths of the longest common beginnings. Other columns are ignored; an empty table gives no rows.
 
-    Each text is shuffled once, to the range of ids that it lies in, and the first of each range to the range before too.
+    Rows equal in id and text lie in any order, by a number of their own, so that a great many of them make several ranges.
     """
+    spark = small_batches(docs.sparkSession)
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
-    n = source.select("id").count()
-    n_ranges = min(MOST_RANGES, max(1, n // RANGE_ROWS))
-    shares = [k / n_ranges for k in range(1, n_ranges)]
-    bounds = (source.select(F.percentile_approx("id", shares, 20 * n_ranges)).first()[0] if shares else None) or []
-    bounds = sorted(set(bounds))
-    step = max(1, int(len(bounds) ** 0.5))
-    coarse, fine = bounds[step - 1 :: step], [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    # a range's number by two steps, each over about the square root of the number of bounds; bounds belong to the range below
-    typed = lambda xs: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>") if xs else F.array().cast(f"array<{kind}>")
-    below = lambda array: F.size(F.filter(array, lambda b: b < F.col("id")))
-    big = below(typed(coarse))
-    nested = F.array(*[typed(f) for f in fine], typed([]))
-    place = F.when(F.col("id").isNull(), len(bounds)).otherwise(big * step + F.coalesce(below(F.get(nested, big)), F.lit(0)))
-    placed = source.withColumn("range", place.cast("int"))
-
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    firsts = placed.select("range", order.alias("first")).groupBy("range").agg(F.min("first").alias("first")).orderBy("range").collect()  # MOST_RANGES rows at most
-    guests = [(r["first"]["id"], r["first"]["text_hash"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
-    guest = docs.sparkSession.createDataFrame(guests, f"g_id {kind}, g_hash bigint, before int")
-    sent = placed.join(F.broadcast(guest), placed["id"].eqNullSafe(guest["g_id"]) & (placed["text_hash"] == guest["g_hash"]), "left")
-    both = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(1).alias("guest")))
-    sent = sent.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.slice(both, 1, 1)).otherwise(both)))
-    sent = sent.select("to.range", "to.guest", "id", "text_hash", "text").repartition("range").sortWithinPartitions("range", "guest", F.col("id").asc_nulls_last(), "text_hash")
+    key = [F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"), F.xxhash64(F.monotonically_increasing_id()).alias("number")]
+    keys = source.select(*key)
+    every = max(1, math.isqrt(source.count()))
+    picked = F.pmod(F.xxhash64(F.lit(5), "id", "text_hash", "number"), F.lit(every)) == 0
+    first = keys.agg(F.min(F.struct("none", "id", "text_hash"))).first()[0]
+    bounds = [tuple(r) for r in keys.filter(picked).orderBy("none", "id", "text_hash", "number").collect()]  # a row in ``every``
+    spread = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def range_of(none: pa.Array, own: pa.Array, text_hash: pa.Array, number: pa.Array) -> pa.Array:
+        at = spread.value
+        return pa.array([bisect.bisect_right(at, k) for k in zip(none.to_pylist(), own.to_pylist(), text_hash.to_pylist(), number.to_pylist())], pa.int32())
+
+    # the row at a bound is the first of its range
+    guests = [(*b[1:3], k) for k, b in enumerate(bounds)] + ([(first["id"], first["text_hash"], len(bounds))] if first else [])
+    guest = spark.createDataFrame(guests, f"g_id {kind}, g_hash bigint, range int")
+    follow = source.join(small(guest, len(guests)), source["id"].eqNullSafe(guest["g_id"]) & (source["text_hash"] == guest["g_hash"]))
+    follow = follow.select("range", F.lit(1).alias("guest"), "id", "text_hash", "text").dropDuplicates(["range", "id", "text_hash"])
+    placed = source.select(range_of(*key).alias("range"), F.lit(0).alias("guest"), "id", "text_hash", "text")
+    sent = placed.union(follow).repartition("range").sortWithinPartitions("range", "guest", F.col("id").asc_nulls_last(), "text_hash")
     columns = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited bigint, common_next bigint"
     return sent.select("range", "guest", "id", "text").mapInArrow(_follow(), columns).withColumnRenamed("id", id)
 
