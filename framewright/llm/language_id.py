@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-A word's script (by code-point ranges) narrows the languages that it may belong to. Each word is scored under each of them by
+A word's script (by the ranges of code points whose Unicode names begin alike) narrows the languages that it may belong to. Each word is scored under each of them by
 its byte trigrams, whose log frequencies are learned from labelled documents, and Viterbi's algorithm with a penalty for each
 switch of language labels spans of words. A document's language is the one that most of its letters are in.
 
@@ -10,15 +10,19 @@ steps through the words of many documents at once in numpy, so its state is a fe
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import passed, small_batches
+from ._spark import gathered, passed, small_batches
 from ._words import _LOWER, _SPACE, Words, chunks, mix64
 
 BUCKETS = 1 << 15
@@ -28,26 +32,31 @@ LEAST_SHARE = 0.005
 GROUP_BYTES = 8 << 20
 _U = np.uint64
 
-# Scripts by the first byte of a letter in UTF-8, and by the second where the first one is shared.
-SCRIPTS = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "ethiopic", "kana", "han", "hangul", "other"]
-_LEAD = np.zeros(256, np.int8)
-for _lo, _hi, _name in ((65, 90, "latin"), (97, 122, "latin"), (0xC3, 0xCA, "latin"), (0xCB, 0xCD, "other"), (0xCE, 0xCF, "greek"), (0xD0, 0xD3, "cyrillic"), (0xD4, 0xD5, "armenian"),
-                       (0xD6, 0xD7, "hebrew"), (0xD8, 0xDD, "arabic"), (0xDE, 0xDF, "other"), (0xE0, 0xE0, "indic"), (0xE1, 0xE1, "georgian"), (0xE2, 0xE2, "none"), (0xE3, 0xE3, "kana"),
-                       (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul"), (0xEF, 0xEF, "other"), (0xF0, 0xF0, "other")):
-    _LEAD[_lo : _hi + 1] = SCRIPTS.index(_name)
+
+@functools.cache
+def script_table() -> tuple[list[str], np.ndarray]:
+    """The names of scripts, and the script of each code point: 0 if it is no letter, else that of its Unicode name's first word."""
+    names, table = {"": 0}, np.zeros(sys.maxunicode + 1, np.int16)
+    for code in range(sys.maxunicode + 1):
+        char = chr(code)
+        if char.isalpha():
+            table[code] = names.setdefault(unicodedata.name(char, "UNNAMED").split(" ")[0].split("-")[0], len(names))
+    return list(names), table
 
 
 def scripts(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The script of each word's first letter (0: it has none), and its number of letters, about."""
+    """The script of each word's first letter (0: it has none), and its number of letters."""
     if not len(words.start):
-        return np.zeros(0, np.int8), np.zeros(0, np.int64)
-    kind = _LEAD[words.data]
-    after = np.append(words.data[1:], 0)
-    lead = words.data
-    kind = np.where((lead == 0xE0) & (after >= 0xB8) & (after <= 0xBB), SCRIPTS.index("thai"), kind)
-    kind = np.where((lead == 0xE1) & (after >= 0x88) & (after <= 0x8E), SCRIPTS.index("ethiopic"), kind)
-    kind = np.where((lead == 0xE1) & (after >= 0xB8), SCRIPTS.index("latin"), kind)
-    kind = np.where((lead == 0xE3) & ((after < 0x81) | (after > 0x87)), np.where(after == 0x80, 0, SCRIPTS.index("han")), kind)
+        return np.zeros(0, np.int16), np.zeros(0, np.int64)
+    data, table = words.data, script_table()[1]
+    kind = np.where(data < 0x80, table[data], 0)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        rest = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+        two, three = (first & 0x1F) << 6 | rest[0], (first & 0x0F) << 12 | rest[0] << 6 | rest[1]
+        four = (first & 0x07) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]
+        kind[lead] = table[np.minimum(np.where(first < 0xE0, two, np.where(first < 0xF0, three, four)), sys.maxunicode)]
     letter = kind > 0
     count = np.concatenate([[0], np.cumsum(letter)])
     letters = count[words.end] - count[words.start]
@@ -84,8 +93,8 @@ def viterbi(score: np.ndarray, offset: np.ndarray, switch: float) -> np.ndarray:
     active = np.searchsorted(-count[order], -np.arange(1, longest + 1), "right")  # documents with a t-th word
     start = offset[:-1][order]
     best = np.zeros((len(order), width), score.dtype)
-    came = np.empty((n, width), np.int8)
-    label = np.arange(width, dtype=np.int8)
+    came = np.empty((n, width), np.int16)
+    label = np.arange(width, dtype=np.int16)
     for t in range(longest):
         k = active[t]
         now = best[:k]
@@ -96,7 +105,7 @@ def viterbi(score: np.ndarray, offset: np.ndarray, switch: float) -> np.ndarray:
             came[start[:k] + t] = np.where(stay, label, top[:, None])
             now = np.where(stay, now, limit[:, None])
         best[:k] = now + score[start[:k] + t]
-    out = np.empty(n, np.int8)
+    out = np.empty(n, np.int16)
     state = best.argmax(1)
     for t in range(longest - 1, -1, -1):
         k = active[t]
@@ -111,7 +120,7 @@ def _count(languages: list[str]):
     """Arrow rows (lang, text) -> (kind 0: trigram, 1: script; bucket; language; n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, used = np.zeros((len(languages), BUCKETS), np.int64), np.zeros((len(languages), len(SCRIPTS)), np.int64)
+        seen, used = np.zeros((len(languages), BUCKETS), np.int64), np.zeros((len(languages), len(script_table()[0])), np.int64)
         number = {name: k for k, name in enumerate(languages)}
         for batch in batches:
             own = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
@@ -122,7 +131,7 @@ def _count(languages: list[str]):
                 for k in np.unique(lang):
                     mine = lang == k
                     seen[k] += np.bincount(code[np.repeat(mine, size)], minlength=BUCKETS)
-                    used[k] += np.bincount(script[mine], minlength=len(SCRIPTS))
+                    used[k] += np.bincount(script[mine], minlength=used.shape[1])
         for kind, table in ((0, seen), (1, used)):
             k, at = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(table[k, at])], ["kind", "bucket", "lang", "n"])
@@ -134,10 +143,10 @@ def learn(docs: DataFrame, text: str, lang: str) -> Model:
     """The model of documents whose lang isn't null; languages are taken to be few (their names come to the driver)."""
     labelled = docs.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
-    spark = docs.sparkSession
-    tasks = labelled.coalesce(spark.sparkContext.defaultParallelism)
-    found = tasks.mapInArrow(_count(languages), "kind int, bucket int, lang int, n bigint").groupBy("kind", "bucket", "lang").agg(F.sum("n").alias("n")).toPandas()
-    seen, used = np.zeros((BUCKETS, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
+    if len(languages) > np.iinfo(np.int16).max:
+        raise ValueError(f"{len(languages)} languages; labels are numbers of 16 bits")
+    found = gathered(labelled).mapInArrow(_count(languages), "kind int, bucket int, lang int, n bigint").groupBy("kind", "bucket", "lang").agg(F.sum("n").alias("n")).toPandas()
+    seen, used = np.zeros((BUCKETS, len(languages))), np.zeros((len(script_table()[0]), len(languages)))
     for kind, table in ((0, seen), (1, used)):
         part = found[found["kind"] == kind]
         table[part["bucket"], part["lang"]] = part["n"]
@@ -158,10 +167,10 @@ class _Held:
     count: np.ndarray
 
 
-def _label(model: Model):
+def _label(shared: Broadcast):
     """Arrow rows (id, held_out, text) -> (id, held_out, lang_pred, score, n_spans)."""
 
-    def decide(held: list[_Held], batch: pa.RecordBatch) -> pa.RecordBatch:
+    def decide(model: Model, held: list[_Held], batch: pa.RecordBatch) -> pa.RecordBatch:
         first, count = held[0].first, np.concatenate([h.count for h in held])
         score, letters = np.concatenate([h.score for h in held]), np.concatenate([h.letters for h in held])
         offset = np.concatenate([[0], np.cumsum(count)])
@@ -179,6 +188,7 @@ def _label(model: Model):
         return pa.RecordBatch.from_arrays([passed(part.column(0)), part.column(1), pa.array(names, pa.string()), pa.array(own), pa.array(spans)], ["id", "held_out", "lang_pred", "score", "n_spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             held, size = [], 0
             for lo, _, words in chunks(batch.column(2)):
@@ -191,10 +201,10 @@ def _label(model: Model):
                 held.append(_Held(lo, score, letters, words.count))
                 size += len(words.data)
                 if size >= GROUP_BYTES:
-                    yield decide(held, batch)
+                    yield decide(model, held, batch)
                     held, size = [], 0
             if held:
-                yield decide(held, batch)
+                yield decide(model, held, batch)
 
     return run
 
@@ -217,9 +227,8 @@ def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: s
     held = F.pmod(F.crc32(F.coalesce(docs[id].cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
     model = learn(docs.filter(~held), text, lang)
     source = docs.select(docs[id].alias("id"), held.alias("held_out"), docs[text].alias("text"))
-    # letters that the byte classes don't know of don't make a language; those they know wrongly are no letters
-    source = source.withColumn("text", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
-    out = source.mapInArrow(_label(model) if model.languages else _no_model, f"id {kind}, held_out boolean, lang_pred string, score double, n_spans bigint")
+    label = _label(docs.sparkSession.sparkContext.broadcast(model)) if model.languages else _no_model  # BUCKETS numbers a language
+    out = source.mapInArrow(label, f"id {kind}, held_out boolean, lang_pred string, score double, n_spans bigint")
     return out.withColumnRenamed("id", id)
 
 
