@@ -2,8 +2,8 @@
 
 Two generative models over hashed words and word pairs, one of the target texts (labelled good) and one of all raw texts, give each
 document an importance: the log of the ratio of its probabilities. Documents are then drawn without replacement by Gumbel top-k:
-those with the k greatest sums of log importance and a Gumbel variable. The importance that counts is that of a document's worst
-window, so that a passage unlike the target isn't outweighed by a long good text.
+those with the k greatest sums of log importance and a Gumbel variable. As the log ratio of a text grows with its length, it is taken for
+WINDOW words, so that long texts aren't drawn for their length; what the worst window of a text has is told beside it.
 
 Counts have a fixed number of buckets and cover all documents. The labels are a bounded sample (LABELLED rows at most), which
 also says how large a share to keep. Texts are never shuffled; the k-th key is found by ranks within ranges of keys.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import passed, positions, small_batches, stage
+from ._spark import gathered, passed, positions, small_batches, stage
 from ._words import Words, chunks, mix64
 
 BUCKETS = 1 << 20
@@ -27,7 +27,7 @@ LABELLED = 50_000
 WINDOW = 32
 #: Pseudo-counts, in occurrences in the target texts, that draw rare buckets' ratios to one.
 PSEUDO = 5.0
-#: Log importances are multiplied by this before the Gumbel variable is added.
+#: Log importances, for WINDOW words, are multiplied by this before the Gumbel variable is added.
 SHARPNESS = 4.0
 _U = np.uint64
 
@@ -90,21 +90,22 @@ def _weigh(ratio: np.ndarray):
     return run
 
 
-def keep_share(worst: np.ndarray, good: np.ndarray) -> float:
+def keep_share(level: np.ndarray, good: np.ndarray) -> float:
     """The share of labelled rows above the threshold that tells good from other ones best (Youden's index)."""
     if not good.any() or good.all():
         return 1.0
-    order = np.argsort(-worst, kind="stable")
+    order = np.argsort(-level, kind="stable")
     hit = np.cumsum(good[order]) / good.sum() - np.cumsum(~good[order]) / (~good).sum()
-    return (int(hit.argmax()) + 1) / len(worst)
+    return (int(hit.argmax()) + 1) / len(level)
 
 
 def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share: float | None = None, seed: int = 8) -> DataFrame:
-    """A row for each row of docs: id, n_words, log_importance, worst, key, rank (from 0, by key), kept.
+    """A row for each row of docs: id, n_words, log_importance, level, worst, key, rank (from 0, by key), kept.
 
     labels has the id and good, a boolean; of LABELLED rows at most, those of the least id hashes; an id with several labels is
     good if all are. kept is true for the ``share`` of rows with the greatest keys, by default the share that suits the labels.
-    log_importance is the whole text's, worst that of its worst WINDOW words. Null and empty texts have no words and an importance of 0, as
+    log_importance is the whole text's, level what WINDOW words of it have on average (a shorter text's own), worst that of its worst WINDOW
+    words; keys are made of level. Null and empty texts have no words and an importance of 0, as
     have all texts if no label is good. Keys depend on id, text and seed alone; rows equal in these are drawn one after another. Null
     ids match no label. Other columns are ignored; an empty table gives no rows.
     """
@@ -113,8 +114,8 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id"
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     source = source.join(F.broadcast(sample), source["id"] == sample["l_id"], "left")  # LABELLED rows
-    counted = source.select(F.coalesce("label", F.lit(False)).alias("good"), "text").coalesce(spark.sparkContext.defaultParallelism)
-    found = counted.mapInArrow(_count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows
+    counted = source.select(F.coalesce("label", F.lit(False)).alias("good"), "text")
+    found = gathered(counted).mapInArrow(_count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bucket = found["bucket"].to_numpy()
     raw[bucket], target[bucket] = found["raw"].to_numpy(), found["target"].to_numpy()
@@ -128,11 +129,12 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id"
 
     weighed = stage(source.select("id", "text_hash", "label", "text").mapInArrow(weigh, f"id {kind}, text_hash bigint, label boolean, n_words bigint, log_importance double, worst double"))
     # the sampled labels' documents, LABELLED of them unless ids repeat
-    labelled = weighed.filter("label IS NOT NULL").groupBy("id").agg(F.first("worst").alias("worst"), F.first("label").alias("label")).toArrow()
-    share = keep_share(labelled["worst"].to_numpy(), labelled["label"].to_numpy()) if share is None else share
+    weighed = weighed.withColumn("level", F.col("log_importance") * WINDOW / F.greatest("n_words", F.lit(WINDOW)))
+    labelled = weighed.filter("label IS NOT NULL").groupBy("id").agg(F.min("level").alias("level"), F.min("label").alias("label")).orderBy("id").toArrow()
+    share = keep_share(labelled["level"].to_numpy(), labelled["label"].to_numpy()) if share is None else share
     n = weighed.count()
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = weighed.withColumn("key", F.col("worst") * SHARPNESS - F.log(-F.log(uniform)))
+    keyed = weighed.withColumn("key", F.col("level") * SHARPNESS - F.log(-F.log(uniform)))
     n_bins = max(1, min(10_000, math.isqrt(n)))
     bounds = sorted(set((keyed.select(F.percentile_approx("key", [k / n_bins for k in range(1, n_bins)], 10 * n_bins)).first()[0] if n_bins > 1 else None) or []))
     step = max(1, math.isqrt(len(bounds)))
@@ -142,7 +144,7 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id"
     nested = F.array(*[doubles(bounds[k : k + step]) for k in range(0, len(bounds), step)], doubles([]))
     bin_ = len(bounds) - (big * step + F.coalesce(below(F.get(nested, big)), F.lit(0)))
     ranked = positions(keyed, [F.lit(0)], [F.col("key").desc(), F.col("id"), F.col("text_hash")], bin_, len(bounds) + 1)
-    return ranked.select(F.col("id").alias(id), "n_words", "log_importance", "worst", "key", F.col("position").alias("rank"), (F.col("position") < round(share * n)).alias("kept"))
+    return ranked.select(F.col("id").alias(id), "n_words", "log_importance", "level", "worst", "key", F.col("position").alias("rank"), (F.col("position") < round(share * n)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
