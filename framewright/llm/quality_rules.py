@@ -144,7 +144,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     arrow = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     small_batches(docs.sparkSession)
     place = [1 + [c for c in keep if c != text].index(c) if c != text else 0 for c in keep]
-    source = docs.select(docs[text].alias("__text"), *[c for c in keep if c != text])
+    source = docs.select(docs[text].alias(free_name(docs, "text_")), *[c for c in keep if c != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,13 +159,3 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: the measures and the verdict of every document."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
-
-
-
-#: The base columns in SQL; the verdict has no SQL form and is tested against a brute-force version.
-BASE_SQL = r"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
-       CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols
-FROM w
-"""

@@ -186,7 +186,7 @@ def _removal():
                 for k, text in new.items():
                     values[k] = text
                 texts = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays([passed(texts.cast(pa.string())), pa.array(counts), pa.array(removed), *map(passed, batch.columns[2:])], ["__text", "__n", "__r", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([passed(texts.cast(pa.string())), pa.array(counts), pa.array(removed), *map(passed, batch.columns[2:])], ["text", "n", "r", *batch.schema.names[2:]])
 
     return run
 
@@ -229,12 +229,18 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
         spans = spans.withColumn("i", F.when(same, F.greatest("i", F.col("first.i") + F.col("j") - F.col("i"))).otherwise(F.col("i")))
     spans = spans.select("id", "text_hash", F.struct("i", "j").alias("span"))
     # a document's spans, set by set: twice as many as it has sentences at most, and as it has words
-    covered = _staged(spans.groupBy("id", "text_hash").agg(F.collect_set("span").alias("covered")).withColumnsRenamed({"id": "c_id", "text_hash": "c_hash"}))
-    whole = docs.withColumns({"__hash": F.xxhash64(docs[text])})
-    joined = whole.join(covered, (whole["__hash"] == covered["c_hash"]) & whole[id].eqNullSafe(covered["c_id"]), "left").select(F.col(text).alias("__text"), "covered", *rest)
-    schema = T.StructType([T.StructField("__text", T.StringType()), T.StructField("__n", T.LongType()), T.StructField("__r", T.LongType()), *docs.select(*rest).schema.fields])
+    covered = _staged(spans.groupBy("id", "text_hash").agg(F.collect_set("span").alias("covered")).toDF("w", "h", "covered"))
+    key = free_name(docs, "text_hash")
+    whole = docs.withColumn(key, F.xxhash64(docs[text]))
+    joined = whole.join(covered, (whole[key] == covered["h"]) & whole[id].eqNullSafe(covered["w"]), "left")
+    # names by place, as those of docs may be any
+    rest_names = [f"c{k}" for k in range(len(rest))]
+    joined = joined.select(whole[text].alias("text"), covered["covered"].alias("covered"), *[whole[c].alias(n) for c, n in zip(rest, rest_names)])
+    types = [f.dataType for f in docs.select(*rest).schema.fields]
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("r", T.LongType()), *(T.StructField(n, t) for n, t in zip(rest_names, types))])
     done = joined.mapInArrow(tidy(_removal()), schema)
-    return done.select(*[F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns], F.col("__n").alias(ours[0]), F.col("__r").alias(ours[1]))
+    back = dict(zip(rest, rest_names))
+    return done.select(*[F.col("text" if c == text else back[c]).alias(c) for c in docs.columns], F.col("n").alias(ours[0]), F.col("r").alias(ours[1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
