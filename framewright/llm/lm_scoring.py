@@ -2,10 +2,11 @@
 
 P(word | before) = P(class | before) * P(slot | class, before) * P(word | the class's rest). A word's class follows from its ending,
 so unseen words have one too; a slot is one of a class's most frequent words or its rest, within which words share by counts.
-Both softmaxes sum weights of hashed features: the word before, the one before that (a skip), and, for the class, the two
-together (an n-gram). Weights start from counts and are trained by distributed gradient updates: each round takes the gradient
-over another part of the training documents in every task, Spark adds the tasks' tables up, and the driver makes the step. The
-tables have a fixed size; what grows with the corpus (words and their counts) stays in Spark tables and is shuffled.
+Both softmaxes sum weights of hashed features: the word before, the one before that (a skip), and the two together (an n-gram).
+Weights start from counts and are trained by distributed gradient updates: each round takes the gradient over another part of the
+training documents (by a hash of id and text), Spark adds the tasks' tables up, and the driver makes the step. The tables grow with the
+square root of the number of training tokens, up to MOST_ROWS for each feature, as a driver and every worker hold them whole; what
+grows without a bound (words and their counts) stays in Spark tables and is shuffled.
 
 Documents are kept as *chunks*: their word keys, and each token as a place in them. A chunk's keys are joined to the corpus
 counts by key and come back to their chunk, so no task needs the whole vocabulary.
@@ -20,15 +21,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import small_batches, stage
+from ._spark import arrow_type, gathered, small_batches, stage
 from ._words import Words, chunks, mix64
 
 CHUNK_TOKENS = 4_000_000
-CLASSES, SLOTS, ROWS = 32, 32, 4096
+CLASSES, SLOTS = 32, 32
+#: Rows for each feature: twice the square root of the number of training tokens, as a power of two within these.
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 16
+FEATURES = 3
 END_CLASS = CLASSES - 1
 ROUNDS = 3
 #: A word with one in so many of the training tokens may have a slot: there are no more such words than this.
@@ -38,7 +42,7 @@ _TAIL = np.zeros(256, np.int64)
 _TAIL[[ord(c) for c in ",;:"]], _TAIL[[ord(c) for c in ".!?"]] = 1, 2
 _CLASS_BITS = _U(CLASSES - 1)
 END_KEY = _U(0xE4D0E4D0E4D0E4C0) | _U(END_CLASS)
-_SEED = [mix64(np.array([k + 1], _U))[0] for k in range(5)]
+_SEED = [mix64(np.array([k + 1], _U))[0] | _U(1) for k in range(5)]
 
 
 def word_keys(words: Words) -> np.ndarray:
@@ -55,7 +59,7 @@ def word_keys(words: Words) -> np.ndarray:
 
 @dataclass
 class Model:
-    """class_bias, slot_bias: log frequencies; w1: weights of (feature, class), three tables; w2: of (feature and class, slot), two."""
+    """class_bias, slot_bias: log frequencies; w1: weights of (feature, class), w2: of (feature and class, slot), a table for each feature."""
 
     class_bias: np.ndarray
     slot_bias: np.ndarray
@@ -65,25 +69,29 @@ class Model:
     slot_of: np.ndarray
     rest: np.ndarray  # for each class the log10 of what its rest's counts (each with 0.5 more, an unknown word too) add up to
 
+    @property
+    def rows(self) -> int:
+        return len(self.w1) // FEATURES
+
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each word: 0 for the rest of its class."""
         at = np.minimum(np.searchsorted(self.slot_keys, keys), len(self.slot_keys) - 1)
         return np.where(self.slot_keys[at] == keys, self.slot_of[at], 0)
 
 
-def features(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: rows of the three class tables, rows of the two slot tables, and its class. keys and doc of all tokens in order."""
+def features(keys: np.ndarray, doc: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: its rows in the class tables and in the slot tables, one of each feature's, and its class. keys and doc of all tokens in order."""
     edge = _U(0x5EED)
     one, two = np.full(len(keys), edge), np.full(len(keys), edge)
     one[1:] = np.where(doc[1:] == doc[:-1], keys[:-1], edge)
     two[2:] = np.where(doc[2:] == doc[:-2], keys[:-2], edge)
-    row = lambda x: (x >> _U(52)).astype(np.int64)  # noqa: E731  the first 12 bits: ROWS
-    cls = (keys & _CLASS_BITS).astype(np.int64)
+    row = lambda x: (x >> _U(64 - n_rows.bit_length() + 1)).astype(np.int64)  # noqa: E731  the first bits
+    cls = keys & _CLASS_BITS
     a, b = mix64(one ^ _SEED[0]), mix64(two ^ _SEED[1])
-    first = np.stack([row(a), ROWS + row(b), 2 * ROWS + row(mix64(a * _U(3) + b))])
-    c = keys & _CLASS_BITS
-    second = np.stack([row(mix64(a + c * _SEED[3])), ROWS + row(mix64(b + c * _SEED[4]))])
-    return first, second, cls
+    c = mix64(a * _U(3) + b)
+    first = np.stack([row(a), row(b), row(c)])
+    second = np.stack([row(mix64(x + cls * seed)) for x, seed in zip((a, b, c), _SEED[2:])])
+    return first, second, cls.astype(np.int64)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -92,15 +100,15 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def log_class(model: Model, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(model.class_bias + model.w1[rows[0]] + model.w1[rows[1]] + model.w1[rows[2]])
+    return _log_softmax(model.class_bias + sum(model.w1[t * model.rows + rows[t]] for t in range(FEATURES)))
 
 
 def log_slot(model: Model, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return _log_softmax(model.slot_bias[cls] + model.w2[rows[0]] + model.w2[rows[1]])
+    return _log_softmax(model.slot_bias[cls] + sum(model.w2[t * model.rows + rows[t]] for t in range(FEATURES)))
 
 
 def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds each row of values to the table's row named."""
+    """Adds each row of values to the row of a table of MOST_ROWS at most."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     names = rows[order]
     at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
@@ -108,35 +116,36 @@ def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 
 def _chunks(kind: pa.DataType):
-    """Arrow rows (id, held_out, text) -> chunks (chunk, ids, held_out, n_tokens, tokens, keys, counts)."""
+    """Arrow rows (id, held_out, turn, text) -> chunks (chunk, ids, held_out, turns, n_tokens, tokens, keys, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
         part, number = TaskContext.get().partitionId(), 0
-        ids, held, sizes, parts = [], [], [], []
+        ids, held, turns, sizes, parts = [], [], [], [], []
 
         def chunk() -> pa.RecordBatch:
             out = np.array([], bool) if not held else np.concatenate(held)
             size, keys = np.concatenate(sizes), np.concatenate(parts)
             known, place = np.unique(keys, return_inverse=True)
             counts = np.bincount(place[np.repeat(~out, size)], minlength=len(known)).astype("<u4")
-            columns = [pa.array([part << 32 | number], pa.int64()), pa.array([sum((x.to_pylist() for x in ids), [])], pa.list_(kind)), pa.array([out.tolist()], pa.list_(pa.bool_())), pa.array([size.tolist()], pa.list_(pa.int64()))]
+            columns = [pa.array([part << 32 | number], pa.int64()), pa.array([sum((x.to_pylist() for x in ids), [])], pa.list_(kind)), pa.array([out.tolist()], pa.list_(pa.bool_())), pa.array([np.concatenate(turns).tolist()], pa.list_(pa.int8())), pa.array([size.tolist()], pa.list_(pa.int64()))]
             columns += [pa.array([x], pa.binary()) for x in (pack(place.astype("<u4").tobytes()), known.astype("<u8").tobytes(), counts.tobytes())]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "held_out", "n_tokens", "tokens", "keys", "counts"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "held_out", "turns", "n_tokens", "tokens", "keys", "counts"])
 
         total = 0
         for batch in batches:
-            for lo, hi, words in chunks(batch.column(2)):
+            for lo, hi, words in chunks(batch.column(3)):
                 ids.append(batch.column(0).slice(lo, hi - lo))
                 held.append(np.asarray(batch.column(1).slice(lo, hi - lo)))
+                turns.append(np.asarray(batch.column(2).slice(lo, hi - lo)))
                 sizes.append(words.count + 1)
                 parts.append(np.insert(word_keys(words), words.offset[1:], END_KEY))
                 total += len(parts[-1])
                 if total >= CHUNK_TOKENS:
                     yield chunk()
-                    ids, held, sizes, parts, total, number = [], [], [], [], 0, number + 1
+                    ids, held, turns, sizes, parts, total, number = [], [], [], [], [], 0, number + 1
         if sizes:
             yield chunk()
 
@@ -160,62 +169,70 @@ def _key_rows(with_counts: bool):
     return run
 
 
-def _tokens(sizes, held, tokens, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(sizes, tokens, keys) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each token of a chunk, and its document."""
     import zstandard
 
     place = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens.as_buffer()), "<u4")
-    size = np.array(sizes.as_py(), np.int64)
-    return np.frombuffer(keys.as_buffer(), "<u8")[place], np.repeat(np.arange(len(size)), size), size, np.array(held.as_py(), bool)
+    size = np.asarray(sizes.values)
+    return np.frombuffer(keys.as_buffer(), "<u8")[place], np.repeat(np.arange(len(size)), size)
 
 
 BATCH = 1 << 16
 
 
-def _gradient(model: Model, step: int | None):
-    """Arrow rows (held_out, n_tokens, tokens, keys) -> the rows of both tables: occurrences (step None), or gradients over a round's documents."""
+def _gradient(shared: Broadcast, n_rows: int, step: int | None):
+    """Arrow rows (held_out, turns, n_tokens, tokens, keys) -> (row, v0, v1, ...): the rows that are not 0 of the tables of occurrences, first the
+    class tables, then the slot tables; then, with step None, those of (class, slot), else, over a round's documents, of the expected ones."""
+    tables = FEATURES * n_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros((3 * ROWS, CLASSES)), np.zeros((2 * ROWS, SLOTS))]
-        expected = [np.zeros((3 * ROWS, CLASSES)), np.zeros((2 * ROWS, SLOTS))]
-        bias = np.zeros((CLASSES, SLOTS))
+        model = shared.value
+        seen = [np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32)]
+        expected = [np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32)] if step is not None else [np.zeros((CLASSES, SLOTS), np.float32)]
         for batch in batches:
-            for held, sizes, tokens, keys in zip(*batch.columns):
-                keys, doc, size, out = _tokens(sizes, held, tokens, keys)
-                train = ~out if step is None else ~out & (np.arange(len(size)) % ROUNDS == step)
+            for held, turns, sizes, tokens, keys in zip(*batch.columns):
+                keys, doc = _tokens(sizes, tokens, keys)
+                train = ~np.asarray(held.values)
+                if step is not None:
+                    train &= np.asarray(turns.values) == step
                 use = train[doc]
                 keys, doc = keys[use], doc[use]
                 for lo in range(0, len(keys), BATCH):
                     # two tokens more before the batch give its first ones their features
                     back = min(lo, 2)
                     k, d = keys[lo - back : lo + BATCH], doc[lo - back : lo + BATCH]
-                    first, second, cls = (x[..., back:] for x in features(k, d))
+                    first, second, cls = (x[..., back:] for x in features(k, d, n_rows))
                     slot = model.slots(k[back:])
-                    for t in range(3):
-                        seen[0] += np.bincount(first[t] * CLASSES + cls, minlength=seen[0].size).reshape(seen[0].shape)
-                    for t in range(2):
-                        seen[1] += np.bincount(second[t] * SLOTS + slot, minlength=seen[1].size).reshape(seen[1].shape)
+                    for t in range(FEATURES):
+                        np.add.at(seen[0].reshape(-1), (t * n_rows + first[t]) * CLASSES + cls, 1)
+                        np.add.at(seen[1].reshape(-1), (t * n_rows + second[t]) * SLOTS + slot, 1)
                     if step is None:
-                        bias += np.bincount(cls * SLOTS + slot, minlength=bias.size).reshape(bias.shape)
+                        np.add.at(expected[0].reshape(-1), cls * SLOTS + slot, 1)
                         continue
                     p, q = np.exp(log_class(model, first)), np.exp(log_slot(model, second, cls))
-                    for t in range(3):
-                        _add(expected[0], first[t], p)
-                    for t in range(2):
-                        _add(expected[1], second[t], q)
-        rows = np.concatenate([*seen, *([bias] if step is None else expected)])
-        some = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(rows[some, k]) for k in range(CLASSES))], ["row", *(f"v{k}" for k in range(CLASSES))])
+                    for t in range(FEATURES):
+                        part = slice(t * n_rows, (t + 1) * n_rows)
+                        _add(expected[0][part], first[t], p)
+                        _add(expected[1][part], second[t], q)
+        at = 0
+        for table in (*seen, *expected):
+            some = np.flatnonzero(table.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array((at + some).astype(np.int32)), *(pa.array(table[some, k]) for k in range(CLASSES))], ["row", *(f"v{k}" for k in range(CLASSES))])
+            at += len(table)
 
     return run
 
 
 def _summed(chunked: DataFrame, model: Model, step: int | None) -> np.ndarray:
-    """The tables of all tasks, added up by Spark: a fixed number of rows, whatever the input."""
-    spark = chunked.sparkSession
-    columns = "row int, " + ", ".join(f"v{k} double" for k in range(CLASSES))
-    tasks = chunked.select("held_out", "n_tokens", "tokens", "keys").coalesce(spark.sparkContext.defaultParallelism)
-    found = tasks.mapInArrow(_gradient(model, step), columns).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(CLASSES)]).toArrow()
-    out = np.zeros((10 * ROWS if step is not None else 5 * ROWS + CLASSES, CLASSES))
+    """The tables of all tasks, added up by Spark: 4 * FEATURES * MOST_ROWS rows at most, whatever the input."""
+    columns = "row int, " + ", ".join(f"v{k} float" for k in range(CLASSES))
+    tasks = gathered(chunked.select("held_out", "turns", "n_tokens", "tokens", "keys"))
+    shared = chunked.sparkSession.sparkContext.broadcast(model)
+    found = tasks.mapInArrow(_gradient(shared, model.rows, step), columns).groupBy("row").agg(*[F.sum(f"v{k}").cast("float").alias(f"v{k}") for k in range(CLASSES)]).toArrow()
+    shared.destroy()
+    tables = FEATURES * model.rows
+    out = np.zeros((2 * tables + CLASSES if step is None else 4 * tables, CLASSES), np.float32)
     row = found["row"].to_numpy()
     for k in range(CLASSES):
         out[row, k] = found[f"v{k}"].to_numpy()
@@ -239,10 +256,12 @@ def train(chunked: DataFrame, totals: DataFrame) -> tuple[Model, int, int]:
             tokens[c] -= r["n"]
             types[c] -= 1
     keys = np.array(sorted(slots), _U)
-    model = Model(np.zeros(CLASSES), np.zeros((CLASSES, SLOTS)), np.zeros((3 * ROWS, CLASSES), np.float32), np.zeros((2 * ROWS, SLOTS), np.float32), keys if len(keys) else np.zeros(1, _U), np.array([slots[int(k)] for k in keys] or [0]), np.log10(tokens + 0.5 * (types + 1)))
+    n_rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << round(math.log2(2 * math.sqrt(max(1, n))))))
+    tables = FEATURES * n_rows
+    model = Model(np.zeros(CLASSES), np.zeros((CLASSES, SLOTS)), np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32), keys if len(keys) else np.zeros(1, _U), np.array([slots[int(k)] for k in keys] or [0]), np.log10(tokens + 0.5 * (types + 1)))
 
     start = _summed(chunked, model, None)
-    bias = start[5 * ROWS :] + 0.5
+    bias = start[2 * tables :].astype(float) + 0.5
     used = np.zeros((CLASSES, SLOTS), bool)  # slots that no word has stay impossible
     used[:, 0] = True
     for k, s in slots.items():
@@ -252,25 +271,25 @@ def train(chunked: DataFrame, totals: DataFrame) -> tuple[Model, int, int]:
     # each feature says how its outcomes differ from all tokens'; together they share that
     prior = 20.0
     share = lambda x: x / x.sum(1, keepdims=True)
-    for table, seen, width in ((model.w1, start[: 3 * ROWS], 3), (model.w2, start[3 * ROWS : 5 * ROWS], 2)):
-        for t in range(width):
-            part = seen[t * ROWS : (t + 1) * ROWS]
-            overall = share(part.sum(0, keepdims=True) + 0.5)
-            table[t * ROWS : (t + 1) * ROWS] = 0 if width == 2 else np.log(share(part + prior * overall) / overall) / width
+    for t in range(FEATURES):
+        part = slice(t * n_rows, (t + 1) * n_rows)
+        overall = share(start[part].sum(0, keepdims=True, dtype=float) + 0.5)
+        model.w1[part] = np.log(share(start[part] + prior * overall) / overall) / FEATURES
+    del start
     for step in range(ROUNDS):
         found = _summed(chunked, model, step)
-        for table, at, width in ((model.w1, 0, 3), (model.w2, 3 * ROWS, 2)):
-            seen, expected = found[at : at + len(table)], found[5 * ROWS + at : 5 * ROWS + at + len(table)]
+        for table, at in ((model.w1, 0), (model.w2, tables)):
+            seen, expected = found[at : at + tables], found[2 * tables + at : 3 * tables + at]
             # the gradient, each weight's divided by its expected count; at most one in the log for each step
-            table += np.clip((seen - expected) / (expected + 5.0) / width, -1, 1).astype(np.float32)
+            table += np.clip((seen - expected) / (expected + 5.0) / FEATURES, -1, 1)
     return model, n, v
 
 
-def _score(model: Model, n: int, v: int):
+def _score(shared: Broadcast, n: int, v: int):
     """A chunk's row and its (key, n) rows -> the rows of its documents."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        model, out = shared.value, []
         for row in left.itertuples(index=False):
             right = right.sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
             keys, known = right["key"].to_numpy().view(np.uint64), right["n"].to_numpy()
@@ -288,7 +307,7 @@ def _score(model: Model, n: int, v: int):
             for lo in range(0, len(place), BATCH):
                 back = min(lo, 2)
                 k, d = keys[place[lo - back : lo + BATCH]], doc[lo - back : lo + BATCH]
-                first, second, cls = (x[..., back:] for x in features(k, d))
+                first, second, cls = (x[..., back:] for x in features(k, d, model.rows))
                 here = place[lo : lo + BATCH]
                 at = np.arange(len(here))
                 log = log_class(model, first)[at, cls].astype(float)
@@ -309,19 +328,21 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     empty: its only token is the end. Repeated rows count and are scored one by one. Other columns are ignored. An empty table
     gives no rows; if nothing is left to train on, N and V are 0 and the weights stay 0.
     """
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id].dataType
+    spark = small_batches(docs.sparkSession)
     held = F.pmod(F.crc32(F.coalesce(docs[id].cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
-    source = docs.select(docs[id].alias("id"), held.alias("held_out"), docs[text].alias("text"))
-    arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    chunked = stage(source.mapInArrow(_chunks(arrow), f"chunk bigint, ids array<{kind.simpleString()}>, held_out array<boolean>, n_tokens array<bigint>, tokens binary, keys binary, counts binary"), compression="uncompressed")
+    source = docs.select(docs[id].alias("id"), held.alias("held_out"), F.pmod(F.xxhash64(docs[id], docs[text]), F.lit(ROUNDS)).cast("tinyint").alias("turn"), docs[text].alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    columns = f"chunk bigint, ids array<{kind}>, held_out array<boolean>, turns array<tinyint>, n_tokens array<bigint>, tokens binary, keys binary, counts binary"
+    chunked = stage(source.mapInArrow(_chunks(arrow_type(source, "id")), columns), compression="uncompressed")
     vocabulary = chunked.select("chunk", "keys", "counts")
     totals = stage(vocabulary.mapInArrow(_key_rows(True), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     model, n, v = train(chunked, totals)
     known = vocabulary.mapInArrow(_key_rows(False), "chunk bigint, key bigint").join(totals, "key", "left").select("chunk", "key", F.coalesce("n", F.lit(0)).alias("n"))
     rows = chunked.select("chunk", "ids", "held_out", "n_tokens", "tokens")
-    scored = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(
-        _score(model, n, v), f"id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    parts = max(1, chunked.select("chunk").count())  # a task for each chunk, about
+    by_chunk = lambda df: df.repartition(parts, "chunk").groupBy("chunk")
+    scored = by_chunk(rows).cogroup(by_chunk(known)).applyInPandas(
+        _score(spark.sparkContext.broadcast(model), n, v), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return scored.withColumnRenamed("id", id)
 
 
