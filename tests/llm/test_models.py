@@ -49,6 +49,38 @@ def test_fingerprints_of_edges(edges, nothing):
     assert len(single) == 1 and single[0]["near_next"] == 1
 
 
+def test_likeness_against_true_shares():
+    """near_* against the Jaccard similarity of all spans, and common extensions against a count of characters."""
+    import random
+
+    rng = random.Random(2)
+    for size in (40, 100, 400, 3000):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        for kept in (0, 0.5, 0.75, 0.95, 1):
+            n = int(size * kept)
+            new = text[:n] + "".join(rng.choice("ijklmnop ") for _ in range(size - n))
+            x, y = (X.PrefixHash(X.code_points(t)) for t in (text, new))
+            width = X.SHORT_SPAN if size < X.BRIEF else X.SPAN
+            a, b = ({t[k : k + width] for k in range(len(t) - width + 1)} for t in (text, new))
+            near = X.likeness(X.fingerprint(x, X.sketches(x)), X.fingerprint(y, X.sketches(y)))
+            assert abs(near - len(a & b) / len(a | b)) < 0.25
+            common = next((k for k in range(size) if text[k] != new[k]), size)
+            assert X.common_extension(x, 0, y, 0) == common
+            again = X.PrefixHash(X.code_points(new), x, common)
+            assert (again.one == y.one).all() and (again.two == y.two).all()
+            assert (X.spans(again, X.SPAN, X.spans(x, X.SPAN), common) == X.spans(y, X.SPAN)).all()
+
+
+def test_fingerprints_of_many_alike_and_of_any_id(spark):
+    """A third of the rows are equal, ids are strings, some null; the next row of each is the right one."""
+    rows = [(f"k{k:04d}" if k % 5 else None, f"text {k} " * (k % 9)) for k in range(600)] + [("k0300", "the same text")] * 300 + [(None, None)] * 100
+    got = X.fingerprints(spark.createDataFrame(rows, "doc_id string, text string").repartition(5)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    places = sorted(r["n_chars"] for r in got)
+    assert places == sorted(len(t or "") for _, t in rows)
+    assert sum(r["near_next"] == 1 and r["common_next"] == 13 for r in got if r["doc_id"] == "k0300") >= 299
+
+
 def test_prefix_hashes():
     x, y = (X.PrefixHash(X.code_points(t)) for t in ("abcabcabd", "xxabcabcé"))
     assert X.equal(x, 0, x, 3, 3) and not X.equal(x, 0, x, 6, 3)
@@ -78,6 +110,46 @@ def test_scores_of_small_table(documents):
     assert mean("score", True) > mean("base_score", True) and mean("score", False) > mean("base_score", False)
 
 
+def test_probabilities_add_to_one(spark, documents):
+    """Over all words of the vocabulary, one unknown word in each class and the end, after any two words."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from framewright.llm._spark import stage
+
+    source = documents.select("doc_id", F.lit(False).alias("held"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(S.ROUNDS)).cast("tinyint").alias("turn"), "text")
+    columns = "chunk bigint, ids array<bigint>, held_out array<boolean>, turns array<tinyint>, n_tokens array<bigint>, tokens binary, keys binary, counts binary"
+    chunked = stage(source.mapInArrow(S._chunks(pa.int64()), columns))
+    totals = stage(chunked.select("chunk", "keys", "counts").mapInArrow(S._key_rows(True), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    model, n, v = S.train(chunked, totals)
+    rows = totals.collect()
+    keys, count = np.array([r["key"] for r in rows]).view(np.uint64), np.array([r["n"] for r in rows], float)
+    # an unknown word of each class but the end's
+    keys, count = np.concatenate([keys, np.arange(S.CLASSES - 1, dtype=np.uint64) | np.uint64(1 << 62)]), np.concatenate([count, np.zeros(S.CLASSES - 1)])
+    assert count.sum() == n and (count > 0).sum() == v
+    rng = np.random.default_rng(1)
+    for before in rng.choice(keys, (5, 2)):
+        total = 0.0
+        cls_all, slot_all = (keys & np.uint64(S.CLASSES - 1)).astype(int), model.slots(keys)
+        for c in np.unique(cls_all):
+            own = keys[cls_all == c]
+            first, second, cls = (x[..., 2:] for x in S.features(np.array([*before, own[0]]), np.zeros(3, int), model.rows))
+            p = np.exp(S.log_class(model, first)[0, c])
+            if c == S.END_CLASS:
+                total += p
+                continue
+            q, slot, m = np.exp(S.log_slot(model, second, cls)[0]), slot_all[cls_all == c], count[cls_all == c]
+            total += p * np.where(slot > 0, q[slot], q[0] * (m + 0.5) / 10 ** model.rest[c]).sum()
+        assert abs(total - 1) < 1e-3
+
+
+def test_tables_grow():
+    keys, doc = np.arange(10, dtype=np.uint64) << np.uint64(40), np.zeros(10, int)
+    for n in (S.LEAST_ROWS, S.MOST_ROWS):
+        first, second, _ = S.features(keys, doc, n)
+        assert 0 <= min(first.min(), second.min()) and max(first.max(), second.max()) < n
+
+
 def test_scores_of_edges(edges, nothing):
     check_scores(edges)
     assert S.lm_scores(nothing).count() == 0
@@ -96,6 +168,35 @@ def test_importance_of_small_table(spark, sf, plain):
     assert share(True) > share(False) + 0.4
 
 
+def test_importance_against_brute_force(spark, sf, plain):
+    """Ratios from counts in Python; keys, ranks and the kept share from these."""
+    labels = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in I.query(spark, sf).collect()}
+    grams = lambda t: (w := [x.encode().lower() for x in WORD.findall(t or "")]) + list(zip(w, w[1:]))
+    raw, target = Counter(), Counter()
+    for i, t in plain.items():
+        raw.update(grams(t))
+        if labels.get(i):
+            target.update(grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = lambda g: math.log((target[g] + I.PSEUDO) / (raw[g] * m / n + I.PSEUDO))
+    near = 0
+    for i, t in plain.items():
+        size = len(WORD.findall(t or ""))
+        want = sum(map(ratio, grams(t)))
+        assert got[i]["n_words"] == size
+        near += abs(got[i]["log_importance"] - want) <= 0.02 * abs(want) + 0.5  # some grams share a bucket
+        assert abs(got[i]["level"] - got[i]["log_importance"] * I.WINDOW / max(size, I.WINDOW)) < 1e-6
+        noise = got[i]["key"] - I.SHARPNESS * got[i]["level"]
+        assert -5 < noise < 40
+    assert near >= 0.97 * len(plain)
+    order = sorted(got.values(), key=lambda r: r["rank"])
+    assert [r["key"] for r in order] == sorted((r["key"] for r in order), reverse=True)
+    own = sorted((i for i in labels if i in got))
+    share = I.keep_share(np.array([got[i]["level"] for i in own]), np.array([labels[i] for i in own]))
+    assert [r["kept"] for r in order] == [r["rank"] < round(share * len(order)) for r in order]
+
+
 def test_importance_of_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(5, True), (9, False), (None, True), (5, True)], "doc_id long, good boolean")
     assert I.importance_resampling(edges, labels).count() == edges.count()
@@ -108,6 +209,44 @@ def test_worst_window():
     assert I.worst_window(value, offset, 2).tolist() == [-1.0, 2.0]
 
 
+def test_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for width, sizes in ((3, [0, 1, 4, 6]), (2, [5, 0, 7]), (1, [3])):
+        offset = np.concatenate([[0], np.cumsum(sizes)])
+        score = rng.normal(0, 4, (offset[-1], width)).astype(np.float32)
+        path = G.viterbi(score, offset, 2.5)
+        worth = lambda p, part: sum(part[k, x] for k, x in enumerate(p)) - 2.5 * sum(a != b for a, b in zip(p, p[1:]))
+        for lo, hi in zip(offset[:-1], offset[1:]):
+            best = max((worth(p, score[lo:hi]) for p in itertools.product(range(width), repeat=hi - lo)), default=0)
+            assert abs(worth(path[lo:hi].tolist(), score[lo:hi]) - best) < 1e-4
+
+
+def test_letters_of_all_scripts():
+    import sys
+
+    import pyarrow as pa
+
+    from framewright.llm._words import chunks
+
+    texts = [chr(c) for c in range(0x21, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    letters = [x for _, _, w in chunks(pa.array(texts)) for x in G.scripts(w)[1].tolist()]
+    assert letters == [int(t.isalpha()) for t in texts]
+
+
+def test_any_letter_makes_a_language(spark):
+    docs = [(k, t, "xx") for k, t in enumerate(["µ", "ª º", "々〆", "ⴀⴁ", "Ⱀⰰ", "12 ×", "abc"] * 3)]
+    got = G.language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] % 7 != 5} == {"xx"} and {r["lang_pred"] for r in got if r["doc_id"] % 7 == 5} == {"und"}
+
+
+def test_many_languages():
+    score = np.full((2, 300), -9.0, np.float32)
+    score[:, 257] = 0
+    assert G.viterbi(score, np.array([0, 2]), 1.0).tolist() == [257, 257]
+
+
 def test_languages_of_small_table(spark, sf, documents):
     got = {r["doc_id"]: r for r in G.query(spark, sf).collect()}
     rows = {r["doc_id"]: r for r in documents.collect()}
