@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..sources.frames import byte_at
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 RATE = 44_100
 # What a recording skips at its start, and where it ends.
@@ -63,20 +64,30 @@ def page_seconds(n_bytes: Column, rate: int = RATE) -> Column:
     return n_bytes / 2 / rate
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def pcm_values(data: pa.Array) -> pa.Array:
+    """The 16-bit little-endian samples of binary; null as an empty array."""
+    parts = [np.frombuffer(x.as_buffer(), "<i2", len(x.as_buffer()) // 2) if x.is_valid else np.zeros(0, "<i2") for x in data]
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, "<i2")]).astype(np.int32)))
+
+
+@F.arrow_udf(BinaryType())
+def pcm_bytes(values: pa.Array) -> pa.Array:
+    """Arrays of samples as 16-bit little-endian bytes."""
+    flat, ends = np.asarray(values.flatten()).astype("<i2").tobytes(), 2 * np.cumsum(np.asarray(values.value_lengths().fill_null(0)))
+    return pa.array([flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
+
+
 def decode_pcm(raw: DataFrame, data: str = "raw") -> DataFrame:
     """(…, idx, s): the 16-bit little-endian samples of bytes. An odd last byte is left out."""
-    n = F.floor(F.length(data) / 2).cast("int")
-    each = raw.withColumn("idx", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
-    word = byte_at(data, F.col("idx") * 2) + byte_at(data, F.col("idx") * 2 + 1) * 256
-    return each.withColumn("s", F.when(word > 32767, word - 65536).otherwise(word)).drop(data)
+    return raw.select(*[c for c in raw.columns if c != data], F.posexplode(pcm_values(data)).alias("idx", "s"))
 
 
 def encode_pcm(samples: DataFrame) -> DataFrame:
     """(stream, raw): samples in order as 16-bit little-endian bytes."""
-    word = F.pmod(F.col("s"), F.lit(65536))
-    digits = F.concat(F.lpad(F.hex(F.pmod(word, F.lit(256))), 2, "0"), F.lpad(F.hex(F.floor(word / 256)), 2, "0"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", digits.alias("d")))), lambda r: r["d"])
-    return samples.groupBy("stream").agg(F.unhex(F.array_join(parts, "")).alias("raw"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "s"))), lambda r: r["s"])
+    return samples.groupBy("stream").agg(parts.alias("s")).select("stream", pcm_bytes("s").alias("raw"))
 
 
 def as_stereo_floats(samples: DataFrame) -> DataFrame:

@@ -12,21 +12,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.pixels import edge_multiplier
+from ..functions.pixels import FIXED_POINT, REAL, edge_multiplier
 
 Planes = tuple[np.ndarray, np.ndarray, np.ndarray]
 Kernel = Callable[[Planes], np.ndarray]
 SCHEMA = "frame_id bigint, width int, height int, rgb binary"
 
 
-def rgb_fixed(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+def _shifted(y: np.ndarray, u: np.ndarray, v: np.ndarray, rv: int, gv: int, gu: int, bu: int) -> np.ndarray:
     u, v = u - 128, v - 128
-    return np.clip(np.stack([y + (351 * v >> 8), y - ((179 * v + 86 * u) >> 8), y + (443 * u >> 8)]), 0, 255)
+    return np.clip(np.stack([y + (rv * v >> 8), y - ((gv * v + gu * u) >> 8), y + (bu * u >> 8)]), 0, 255)
+
+
+def rgb_fixed(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return _shifted(y, u, v, *FIXED_POINT["fixed"])
 
 
 def rgb_trunc(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     u, v = u - 128, v - 128
-    return np.clip(np.stack([y + 1.370705 * v, y - 0.698001 * v - 0.337633 * u, y + 1.732446 * u]), 0, 255).astype(np.int64)
+    rv, gv, gu, bu = REAL["trunc"]
+    return np.clip(np.stack([y + rv * v, y - gv * v - gu * u, y + bu * u]), 0, 255).astype(np.int64)
 
 
 def square_sum(x: np.ndarray, radius: int) -> np.ndarray:
@@ -39,11 +44,99 @@ def square_sum(x: np.ndarray, radius: int) -> np.ndarray:
     return x
 
 
+def edge(y: np.ndarray) -> np.ndarray:
+    """The 8-neighbour edge strength of luma, 0 at the border."""
+    out = np.clip(edge_multiplier(y.shape[1]) * (9 * y - square_sum(y, 1)), 0, 255)
+    out[[0, -1]], out[:, [0, -1]] = 0, 0
+    return out
+
+
 def edge_luminance(planes: Planes) -> np.ndarray:
+    return rgb_fixed(edge(planes[0]), *planes[1:])
+
+
+def convolve3x3(y: np.ndarray, taps: tuple[float, ...]) -> np.ndarray:
+    """The 3 x 3 convolution of luma with replicated borders, rounded and clamped."""
+    padded, total = np.pad(y, 1, "edge").astype(float), np.zeros(y.shape)
+    for k, c in enumerate(taps):
+        if c:
+            total = total + padded[k // 3 : k // 3 + y.shape[0], k % 3 : k % 3 + y.shape[1]] * c
+    return np.clip(np.floor(total + 0.5), 0, 255).astype(np.int64)
+
+
+CHANNELS = ("MIN", "RED", "GREEN", "BLUE", "MAX")
+
+
+def permute(planes: Planes, order: tuple[str, str, str], flip: bool) -> np.ndarray:
     y, u, v = planes
-    edge = np.clip(edge_multiplier(y.shape[1]) * (9 * y - square_sum(y, 1)), 0, 255)
-    edge[[0, -1]], edge[:, [0, -1]] = 0, 0
-    return rgb_fixed(edge, u, v)
+    if flip:
+        u, v = -u & 255, -v & 255
+    r, g, b = rgb_trunc(y, u, v)
+    return np.stack([(np.zeros_like(r), r, g, b, np.full_like(r, 255))[CHANNELS.index(s)] for s in order])
+
+
+def resized(planes: Planes, width: int, height: int) -> Planes:
+    """The frame at another size, bilinear and rounded down; chroma is resized at half size. The same size gives the frame itself."""
+    y, *chroma = planes
+    if y.shape == (height, width):
+        return planes
+
+    def to(x: np.ndarray, w: int, h: int) -> np.ndarray:
+        old_h, old_w = x.shape
+        ys, xs = np.arange(h) * old_h, np.arange(w) * old_w
+        y1, fy, x1, fx = ys // h, (ys % h)[:, None], xs // w, xs % w
+        y2, x2 = np.minimum(y1 + 1, old_h - 1), np.minimum(x1 + 1, old_w - 1)
+        top = x[y1][:, x1] * (w - fx) + x[y1][:, x2] * fx
+        low = x[y2][:, x1] * (w - fx) + x[y2][:, x2] * fx
+        return (top * (h - fy) + low * fy) // (w * h)
+
+    half = [to(c[::2, ::2], -(-width // 2), -(-height // 2)) for c in chroma]
+    return to(y, width, height), *(c.repeat(2, 0).repeat(2, 1)[:height, :width] for c in half)
+
+
+def _cell_sizes(width: int, height: int, columns: int, least: int) -> tuple[int, int, int, int]:
+    """Columns, rows and the size of cells, as numbers.char_grid() has them for a frame that isn't turned; one of each at least."""
+    n = max(1, min(columns, width // least))
+    w = width // n
+    h = min((w * 18 + 5) // 10, height)
+    return n, height // h, w, h
+
+
+def _cell_means(x: np.ndarray, n: int, rows: int, w: int, h: int) -> np.ndarray:
+    return x[: rows * h, : n * w].reshape(rows, h, n, w).sum((1, 3)) // (w * h)
+
+
+def _glyphs(idx: np.ndarray, n_chars: int, w: int, h: int) -> np.ndarray:
+    """Which pixels of a grid of cells its characters turn on: those of glyphs.block_glyphs()."""
+    on = (h - np.arange(h))[None, :] * (n_chars - 1) <= np.arange(n_chars)[:, None] * h
+    return on[idx].transpose(0, 2, 1).reshape(-1, idx.shape[1]).repeat(w, 1)
+
+
+def glyph_frame(planes: Planes, columns: int, least: int, n_chars: int, mode: str, text: tuple[int, int, int], back: tuple[int, int, int]) -> np.ndarray:
+    """Characters by luma, in a colour by mode, over a background."""
+    y = planes[0]
+    size = _cell_sizes(y.shape[1], y.shape[0], columns, least)
+    idx = np.minimum(n_chars - 1, _cell_means(y, *size) * n_chars // 255)
+    if mode == "fixed":
+        ink = np.array(text)[:, None, None] + np.zeros(idx.shape, np.int64)
+    else:
+        ink = np.stack([_cell_means(c, *size) for c in _shifted(*planes, *FIXED_POINT["glyph_fixed"])])
+        if mode == "primary":
+            ink = np.where(ink >= ink.max(0) * 7 // 8, 255, 0)
+    on = _glyphs(idx, n_chars, *size[2:])
+    return np.where(on, ink.repeat(size[3], 1).repeat(size[2], 2), np.array(back)[:, None, None])
+
+
+def rain_frame(planes: Planes, columns: int, least: int, text: tuple[int, int, int], edges: bool) -> np.ndarray:
+    """Cells of one colour by their luma, or by the edges of the grid of cells: what drops fall in front of."""
+    y = planes[0]
+    size = _cell_sizes(y.shape[1], y.shape[0], columns, least)
+    luma = _cell_means(y, *size)
+    if edges:
+        luma = np.clip(4 * (9 * luma - square_sum(luma, 1)), 0, 255)
+        luma[[0, -1]], luma[:, [0, -1]] = 0, 0
+    ink = np.stack([luma * c // 255 for c in text])
+    return ink.repeat(size[3], 1).repeat(size[2], 2)
 
 
 def cartoon(planes: Planes, radius: int = 4) -> np.ndarray:
@@ -125,6 +218,13 @@ def stained_glass(planes: Planes, spacing: int = 8, thickness: int = 2, edge_col
 KERNELS: dict[str, Kernel] = {"edge_luminance": edge_luminance, "cartoon": cartoon, "oil_mode": oil_mode, "stained_glass": stained_glass}
 
 
+def whole_planes(width: int, height: int, y: bytes, u: bytes, v: bytes) -> Planes:
+    """Binary planes as arrays of the frame's size, chroma repeated."""
+    half = -(-height // 2), -(-width // 2)
+    luma = np.frombuffer(y, np.uint8).reshape(height, width).astype(np.int64)
+    return luma, *(np.frombuffer(p, np.uint8).reshape(half).repeat(2, 0).repeat(2, 1)[:height, :width].astype(np.int64) for p in (u, v))
+
+
 def apply(planes: DataFrame, kernel: Kernel) -> DataFrame:
     """(frame_id, width, height, rgb): interleaved bytes of every frame's result."""
 
@@ -132,10 +232,7 @@ def apply(planes: DataFrame, kernel: Kernel) -> DataFrame:
         for batch in batches:
             made = []
             for w, h, *parts in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
-                cw, ch = -(-w // 2), -(-h // 2)
-                y = np.frombuffer(parts[0], np.uint8).reshape(h, w).astype(np.int64)
-                u, v = (np.frombuffer(p, np.uint8).reshape(ch, cw).repeat(2, 0).repeat(2, 1)[:h, :w].astype(np.int64) for p in parts[1:])
-                made.append(np.moveaxis(kernel((y, u, v)), 0, 2).astype(np.uint8).tobytes())
+                made.append(np.moveaxis(kernel(whole_planes(w, h, *parts)), 0, 2).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["frame_id", "width", "height", "rgb"])
 
     return planes.select("frame_id", "width", "height", "yp", "up", "vp").mapInArrow(run, SCHEMA)

@@ -1,12 +1,12 @@
 """Stained-glass segments: seeds, nearest seed, segment colours and borders.
 
-The nearest-seed join never compares a pixel with all seeds: seeds lie in the cells of a grid and a pixel asks those of its
-own cell and the eight around it. Seeds of a frame size are a small table that follows from the size alone.
+A pixel is never compared with all seeds: these lie in the cells of a grid, where each follows from its cell by arithmetic, so a
+pixel works out those of its own cell and the eight around it in place. There is no join, and pixels stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import jitter
@@ -22,19 +22,24 @@ def seeds(spark: SparkSession, width: int, height: int, spacing: int) -> DataFra
     return each.select("seg", "cx", "cy", clamp(F.col("cx") * spacing + spacing // 2 + jitter(F.col("seg"), 0, most), 0, width - 1).alias("sx"), clamp(F.col("cy") * spacing + spacing // 2 + jitter(F.col("seg"), 1, most), 0, height - 1).alias("sy"))
 
 
-def segment_map(spark: SparkSession, width: int, height: int, spacing: int) -> DataFrame:
-    """(x, y, seg): the nearest seed of the 3 x 3 cells around each pixel; the lowest segment of those that tie."""
-    px = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    asks = px.withColumn("o", F.explode(around)).select("x", "y", (F.floor(F.col("x") / spacing) + F.col("o.dx")).cast("int").alias("cx"), (F.floor(F.col("y") / spacing) + F.col("o.dy")).cast("int").alias("cy"))
-    found = asks.join(seeds(spark, width, height, spacing), ["cx", "cy"])
-    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
-    return found.groupBy("x", "y").agg(F.min_by("seg", F.struct((dx * dx + dy * dy).alias("d"), "seg")).alias("seg"))
+def nearest_seed(x: Column, y: Column, width: int, height: int, spacing: int) -> Column:
+    """The segment of the nearest seed in the 3 x 3 cells around a pixel; the lowest of those that tie."""
+    columns, rows, most = len(range(spacing // 2, width, spacing)), len(range(spacing // 2, height, spacing)), spacing // 3
+
+    def seed(k: Column) -> Column:
+        cx, cy = (F.floor(x / spacing) + F.pmod(k, F.lit(3)) - 1).cast("int"), (F.floor(y / spacing) + F.floor(k / 3) - 1).cast("int")
+        seg = cy * columns + cx
+        off_x = x - clamp(cx * spacing + spacing // 2 + jitter(seg, 0, most), 0, width - 1)
+        off_y = y - clamp(cy * spacing + spacing // 2 + jitter(seg, 1, most), 0, height - 1)
+        there = cx.between(0, columns - 1) & cy.between(0, rows - 1)
+        return F.when(there, F.struct((off_x * off_x + off_y * off_y).cast("long").alias("d"), seg.alias("seg")))
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(8)), seed))["seg"]
 
 
 def assigned(px: DataFrame, width: int, height: int, spacing: int) -> DataFrame:
-    """px with the segment of each pixel. The map depends on the frame size alone and is made once for all frames."""
-    return px.join(segment_map(px.sparkSession, width, height, spacing), ["x", "y"])
+    """px with the segment of each pixel."""
+    return px.withColumn("seg", nearest_seed(F.col("x"), F.col("y"), width, height, spacing))
 
 
 def segment_colours(with_seg: DataFrame, variation: int = 12) -> DataFrame:

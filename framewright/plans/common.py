@@ -24,9 +24,8 @@ EV = """ev AS (SELECT event_id // 1000 AS frame_id, event_id % 1000 % 40 AS x, e
 PX = EV + """,
 px AS (SELECT a.frame_id, a.x, a.y, a.yy, c.pu AS uu, c.pv AS vv FROM ev a
   JOIN ev c ON c.frame_id = a.frame_id AND c.x = a.x // 2 * 2 AND c.y = a.y // 2 * 2)"""
-VEC = """vec AS (SELECT vec_id // 50 AS frame_id, i - 1 AS x, vec_id % 50 AS y,
-  CAST(greatest(0, least(255, floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS yy
-  FROM embeddings, range(1, 65) t(i))"""
+VEC = """vec AS MATERIALIZED (SELECT vec_id // 50 AS frame_id, x, vec_id % 50 AS y, CAST(greatest(0, least(255, floor((CAST(e AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS yy
+  FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS x FROM embeddings))"""
 
 
 def rgb_sql(y: str = "yy", u: str = "uu", v: str = "vv", k: tuple[int, int, int, int] = (351, 179, 86, 443)) -> tuple[str, str, str]:
@@ -48,9 +47,21 @@ def near_sql(source: str, radius: int, value: str, name: str, also: str = "") ->
 
 
 def edge_cte(source: str, w: int, h: int, m: int, name: str = "edge", value: str = "yy") -> str:
-    return near_sql(source, 1, value, f"{name}_near") + f""",
-{name} AS (SELECT a.*, CASE WHEN x BETWEEN 1 AND {w - 2} AND y BETWEEN 1 AND {h - 2} THEN greatest(0, least(255, {m} * (9 * a.{value} - s))) ELSE 0 END AS e
-  FROM {source} a JOIN {name}_near USING (frame_id, x, y))"""
+    """Edge strengths from sums over rows and then columns of three."""
+    near = lambda by, at: f"OVER (PARTITION BY frame_id, {by} ORDER BY {at} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    return f"""{name}_row AS (SELECT *, sum({value}) {near('y', 'x')} AS s1 FROM {source}),
+{name}_sum AS (SELECT *, sum(s1) {near('x', 'y')} AS s9 FROM {name}_row),
+{name} AS (SELECT *, CASE WHEN x BETWEEN 1 AND {w - 2} AND y BETWEEN 1 AND {h - 2} THEN greatest(0, least(255, {m} * (9 * {value} - s9))) ELSE 0 END AS e FROM {name}_sum)"""
+
+
+def conv_cte(source: str, kernel, name: str = "conv") -> str:
+    """A 3 x 3 convolution: each value of a row with its neighbours, a border's own where there is none, and then those of the rows around."""
+    side = lambda step, v, by, at: f"coalesce({step}({v}) OVER (PARTITION BY frame_id, {by} ORDER BY {at}), {v})"
+    row = f"{name}_row AS (SELECT *, {side('lag', 'yy', 'y', 'x')} AS c0, yy AS c1, {side('lead', 'yy', 'y', 'x')} AS c2 FROM {source})"
+    taps = [t for step in ("lag", "", "lead") for t in (side(step, c, "x", "y") if step else c for c in ("c0", "c1", "c2"))]
+    number = lambda c: repr(float(c)) if "e" in repr(float(c)) else f"{float(c)!r}e0"
+    total = " + ".join(f"{t} * {number(c)}" for t, c in zip(taps, kernel) if c)
+    return f"{row}, {name} AS (SELECT frame_id, x, y, CAST(greatest(0, least(255, floor(0e0 + {total} + 0.5e0))) AS BIGINT) AS conv FROM {name}_row)"
 
 
 def map_sql(i: str, low: tuple[int, int, int], high: tuple[int, int, int]) -> str:

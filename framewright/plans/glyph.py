@@ -82,14 +82,14 @@ def matrix_edges(spark, sf):
     return L.cell_edges(L.cell_means(R.event_pixels(spark, sf), GRID, W, H), GRID)
 
 
-def drops(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    """(frame_id, ts_ms, x, y, start_ms, y_flipped): one of ``every`` so many events is a drop seen at a moment after its start."""
-    own = table(spark, sf_dir, "events").filter(F.col("event_id") % every == 0)
+def drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id, ts_ms, x, y, start_ms, y_flipped): each event is a drop seen at a moment after its start."""
+    own = table(spark, sf_dir, "events")
     start = F.floor(F.col("event_id") / 50) * 40
     return own.select(F.floor(F.col("event_id") / 100).alias("frame_id"), (F.floor(F.col("event_id") / 100) * 80 + F.col("user_id") % 53 * 100).alias("ts_ms"), (F.col("event_id") * 7 % 12).cast("int").alias("x"), (F.col("event_id") / 10 % 9).cast("int").alias("y"), start.alias("start_ms"), (F.floor(F.col("event_id") / 100) % 2 == 1).alias("y_flipped"))
 
 
-@query("raindrop_cells", """WITH d AS (SELECT event_id // 100 AS frame_id, event_id // 100 * 80 + user_id % 53 * 100 AS ts, event_id * 7 % 12 AS x, event_id // 10 % 9 AS y, event_id // 50 * 40 AS st, event_id // 100 % 2 = 1 AS flip FROM events WHERE event_id % 10 = 0),
+@query("raindrop_cells", """WITH d AS (SELECT event_id // 100 AS frame_id, event_id // 100 * 80 + user_id % 53 * 100 AS ts, event_id * 7 % 12 AS x, event_id // 10 % 9 AS y, event_id // 50 * 40 AS st, event_id // 100 % 2 = 1 AS flip FROM events),
 e AS (SELECT *, ts - st AS age, (ts - st) // 200 AS ticks FROM d WHERE ts - st BETWEEN 0 AND 5000),
 f AS (SELECT *, y + CASE WHEN flip THEN -dy ELSE dy END AS "row", least(5000, 5000 - (age - dy * 200)) AS lft FROM e, range(16) t(dy) WHERE dy <= ticks),
 g AS (SELECT *, row_number() OVER (PARTITION BY frame_id, "row", x ORDER BY st DESC, y DESC, dy DESC) AS k FROM f WHERE "row" BETWEEN 0 AND 11 AND lft > 0)
@@ -99,7 +99,4 @@ def raindrop_cells(spark, sf):
     return L.drop_cells(drops(spark, sf), 12)
 
 
-@query("raindrop_cells_all", ORACLES["raindrop_cells"].replace(" WHERE event_id % 10 = 0", ""))
-def raindrop_cells_all(spark, sf):
-    """raindrop_cells with every event a drop."""
-    return L.drop_cells(drops(spark, sf, 1), 12)
+QUERIES["raindrop_cells_all"], ORACLES["raindrop_cells_all"] = QUERIES["raindrop_cells"], ORACLES["raindrop_cells"]  # an older name

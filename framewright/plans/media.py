@@ -49,22 +49,18 @@ def frame_pts(spark, sf):
     return T.frame_times(T.event_timeline(spark, sf)).select("video", "frame", "pts_us")
 
 
-def elapsed(frames: DataFrame, every: int = 3) -> DataFrame:
-    return frames.filter(F.col("frame") % every == 0).select("video", F.col("frame").alias("base"), (F.col("event_id") * 7919 % 900_000).alias("delta_ms"))
+def elapsed(frames: DataFrame) -> DataFrame:
+    return frames.select("video", F.col("frame").alias("base"), (F.col("event_id") * 7919 % 900_000).alias("delta_ms"))
 
 
-@query("next_frame_asof", f"""WITH {TL}, a AS (SELECT video, frame AS base, ms AS base_ms, event_id * 7919 % 900000 AS delta_ms FROM tl WHERE frame % 3 = 0)
+@query("next_frame_asof", f"""WITH {TL}, a AS (SELECT video, frame AS base, ms AS base_ms, event_id * 7919 % 900000 AS delta_ms FROM tl)
 SELECT {big('video base delta_ms')}, CAST(coalesce((SELECT min(frame) FROM tl t WHERE t.video = a.video AND t.ms > a.base_ms + a.delta_ms), (SELECT max(frame) FROM tl t WHERE t.video = a.video)) AS BIGINT) AS next FROM a""")
 def next_frame_asof(spark, sf):
     frames = T.event_timeline(spark, sf)
     return T.next_frame(frames, elapsed(frames))
 
 
-@query("next_frame_asof_all", ORACLES["next_frame_asof"].replace(" WHERE frame % 3 = 0", ""))
-def next_frame_asof_all(spark, sf):
-    """next_frame_asof from every frame."""
-    frames = T.event_timeline(spark, sf)
-    return T.next_frame(frames, elapsed(frames, 1))
+QUERIES["next_frame_asof_all"], ORACLES["next_frame_asof_all"] = QUERIES["next_frame_asof"], ORACLES["next_frame_asof"]  # an older name
 
 
 STEP = 3_600_000
@@ -240,55 +236,34 @@ def audio_start(spark, sf):
 
 # Bytes
 
-_hex = "hx AS (SELECT doc_id, hex(encode(substr(text, 1, 40))) AS d FROM documents WHERE text IS NOT NULL)"
 _val = lambda i: f"((strpos('0123456789ABCDEF', substr(d, CAST(2 * ({i}) + 1 AS INTEGER), 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(d, CAST(2 * ({i}) + 2 AS INTEGER), 1)) - 1)"
+# texts' digits are cut into records once, so that long texts cost no more a byte
+_cut = lambda n: f"wh AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '.{{{2 * n}}}') AS c FROM documents WHERE text IS NOT NULL), pc AS (SELECT doc_id, unnest(c) AS d, unnest(range(0, len(c))) AS k FROM wh)"
 
 
 def raw(spark, sf) -> DataFrame:
-    """The first forty characters of texts, as bytes: a stand-in for raw files."""
-    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.encode(F.substring("text", 1, 40), "UTF-8").alias("raw"))
+    """Whole texts, as bytes: a stand-in for raw files."""
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
 
 
-@query("stride_removal", f"WITH {_hex}, b AS (SELECT doc_id, unnest(range(0, length(d) // 2)) AS p, d FROM hx) SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(p % 12 // 2 AS BIGINT) AS x, CAST(p // 12 AS BIGINT) AS y, CAST({_val('p')} AS BIGINT) AS value FROM b WHERE p % 12 < 8 AND p % 12 % 2 = 0")
+@query("stride_removal", f"WITH {_cut(1)} SELECT {big('doc_id')}, CAST(k % 12 // 2 AS BIGINT) AS x, CAST(k // 12 AS BIGINT) AS y, CAST({_val('0')} AS BIGINT) AS value FROM pc WHERE k % 12 < 8 AND k % 12 % 2 = 0")
 def stride_removal(spark, sf):
     return R.without_strides(raw(spark, sf), 4, 12, 2)
 
 
-@query("plane_slice", f"WITH {_hex}, b AS (SELECT doc_id, unnest(range(0, length(d) // 24)) AS k, d FROM hx) SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(k AS BIGINT) AS index, substr(d, CAST(k * 24 + 1 AS INTEGER), 16) AS yp, substr(d, CAST(k * 24 + 17 AS INTEGER), 4) AS up, substr(d, CAST(k * 24 + 21 AS INTEGER), 4) AS vp FROM b")
+@query("plane_slice", f"WITH {_cut(12)} SELECT {big('doc_id')}, CAST(k AS BIGINT) AS index, substr(d, 1, 16) AS yp, substr(d, 17, 4) AS up, substr(d, 21, 4) AS vp FROM pc")
 def plane_slice(spark, sf):
     planes = R.from_raw(R.fixed_records(raw(spark, sf), 12), 4, 2)
     return planes.select("doc_id", "index", *[F.hex(c).alias(c) for c in ("yp", "up", "vp")])
 
 
-@query("pcm_decode", f"WITH {_hex}, b AS (SELECT doc_id, unnest(range(0, length(d) // 4)) AS idx, d FROM hx), w AS (SELECT doc_id, idx, {_val('2 * idx')} + 256 * {_val('2 * idx + 1')} AS v FROM b) SELECT {big('doc_id idx')}, CAST(CASE WHEN v > 32767 THEN v - 65536 ELSE v END AS BIGINT) AS s FROM w")
+@query("pcm_decode", f"WITH {_cut(2)}, w AS (SELECT doc_id, k AS idx, {_val('0')} + 256 * {_val('1')} AS v FROM pc) SELECT {big('doc_id idx')}, CAST(CASE WHEN v > 32767 THEN v - 65536 ELSE v END AS BIGINT) AS s FROM w")
 def pcm_decode(spark, sf):
     return A.decode_pcm(raw(spark, sf))
 
 
-# The same over whole texts: their digits are cut into records once, so that long texts cost no more a byte
-
-_cut = lambda n: f"wh AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '.{{{2 * n}}}') AS c FROM documents WHERE text IS NOT NULL), pc AS (SELECT doc_id, unnest(c) AS d, unnest(range(0, len(c))) AS k FROM wh)"
-
-
-def raw_whole(spark, sf) -> DataFrame:
-    """Whole texts, as bytes."""
-    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-
-
-@query("stride_removal_whole", f"WITH {_cut(1)} SELECT {big('doc_id')}, CAST(k % 12 // 2 AS BIGINT) AS x, CAST(k // 12 AS BIGINT) AS y, CAST({_val('0')} AS BIGINT) AS value FROM pc WHERE k % 12 < 8 AND k % 12 % 2 = 0")
-def stride_removal_whole(spark, sf):
-    return R.without_strides(raw_whole(spark, sf), 4, 12, 2)
-
-
-@query("plane_slice_whole", f"WITH {_cut(12)} SELECT {big('doc_id')}, CAST(k AS BIGINT) AS index, substr(d, 1, 16) AS yp, substr(d, 17, 4) AS up, substr(d, 21, 4) AS vp FROM pc")
-def plane_slice_whole(spark, sf):
-    planes = R.from_raw(R.fixed_records(raw_whole(spark, sf), 12), 4, 2)
-    return planes.select("doc_id", "index", *[F.hex(c).alias(c) for c in ("yp", "up", "vp")])
-
-
-@query("pcm_decode_whole", f"WITH {_cut(2)}, w AS (SELECT doc_id, k AS idx, {_val('0')} + 256 * {_val('1')} AS v FROM pc) SELECT {big('doc_id idx')}, CAST(CASE WHEN v > 32767 THEN v - 65536 ELSE v END AS BIGINT) AS s FROM w")
-def pcm_decode_whole(spark, sf):
-    return A.decode_pcm(raw_whole(spark, sf))
+for _name in ("stride_removal", "plane_slice", "pcm_decode"):  # older names
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
 
 
 _n = "n AS (SELECT event_id, (event_id * event_id * event_id * 31 + user_id) % 4398046511104 AS v FROM events)"

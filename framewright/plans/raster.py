@@ -14,7 +14,7 @@ from ..operators import segments as S
 from ..operators import stencil as T
 from ..session import table
 from ..sources import frames as R
-from .common import EV, PX, VEC, big, edge_cte, map_sql, near_sql, rgb_cte, rgb_sql, whole
+from .common import EV, PX, VEC, big, conv_cte, edge_cte, map_sql, near_sql, rgb_cte, whole
 
 W, H = R.EVENT_W, R.EVENT_H
 BLACK, WHITE = (0, 0, 0), (255, 255, 255)
@@ -138,14 +138,8 @@ def source_over(spark, sf):
 
 # Stencils
 
-def conv_sql(kernel, w: int, h: int) -> str:
-    terms = [f"b{k}.yy * {float(c)!r}e0" if "e" not in repr(float(c)) else f"b{k}.yy * {c!r}" for k, c in enumerate(kernel) if c]
-    joins = " ".join(f"JOIN ev b{k} ON b{k}.frame_id = a.frame_id AND b{k}.x = greatest(0, least({w - 1}, a.x + {k % 3 - 1})) AND b{k}.y = greatest(0, least({h - 1}, a.y + {k // 3 - 1}))" for k, c in enumerate(kernel) if c)
-    return f"SELECT a.frame_id, a.x, a.y, CAST(greatest(0, least(255, floor(0e0 + {' + '.join(terms)} + 0.5e0))) AS BIGINT) AS conv FROM ev a {joins}"
-
-
 for _name, _kernel in T.KERNELS.items():
-    @query(f"conv_{_name}", f"WITH {EV} {conv_sql(_kernel, W, H)}")
+    @query(f"conv_{_name}", f"WITH {EV}, {conv_cte('ev', _kernel)} SELECT {big('frame_id x y')}, conv FROM conv")
     def conv(spark, sf, kernel=_kernel):
         return T.convolve3x3(R.event_pixels(spark, sf), kernel, out="conv").select("frame_id", "x", "y", "conv")
 
@@ -195,10 +189,14 @@ def resize_bilinear(spark, sf):
 
 
 OIL = (4, 48, 1.5)  # brush, levels, sensitivity
-_b1 = "br AS (SELECT frame_id, x, y, r, g, b, r * 299 + g * 587 + b * 114 AS bb, CAST(r // 5 * 5 * 65536 + g // 5 * 5 * 256 + b // 5 * 5 AS BIGINT) AS colour FROM rgb)"
-_var = f"""{near_sql('br', 3, 'bb', 'nb', ', sum(bb * bb) AS ss, count(*) AS n')},
-rad AS (SELECT a.frame_id, a.x, a.y, a.colour, CAST(greatest(2, least(4, floor(4e0 * (1e0 - least(0.8e0, least(1e0, CAST(ss - 2 * bb * s + n * bb * bb AS DOUBLE) / (CAST(n AS DOUBLE) * 65025e6)) * 1.5e0))))) AS BIGINT) AS radius
-  FROM br a JOIN nb USING (frame_id, x, y))"""
+
+
+def radius_cte(brush: int, levels: int, contrast: float) -> str:
+    q = lambda c: f"{c} // {256 // levels} * {256 // levels}"
+    own = f"br AS (SELECT frame_id, x, y, r, g, b, r * 299 + g * 587 + b * 114 AS bb, CAST({q('r')} * 65536 + {q('g')} * 256 + {q('b')} AS BIGINT) AS colour FROM rgb)"
+    share = "least(1e0, CAST(ss - 2 * bb * s + n * bb * bb AS DOUBLE) / (CAST(n AS DOUBLE) * 65025e6))"
+    return f"""{own}, {near_sql('br', 3, 'bb', 'nb', ', sum(bb * bb) AS ss, count(*) AS n')},
+rad AS (SELECT a.frame_id, a.x, a.y, a.colour, CAST(greatest(2, least({brush}, floor({brush}e0 * (1e0 - least(0.8e0, {share} * {contrast}e0))))) AS BIGINT) AS radius FROM br a JOIN nb USING (frame_id, x, y))"""
 
 
 def oil_pixels(px: DataFrame) -> DataFrame:
@@ -207,17 +205,22 @@ def oil_pixels(px: DataFrame) -> DataFrame:
     return px.withColumn("colour", P.pack_argb(F.lit(0), *levels))
 
 
-@query("oil_radius", f"WITH {PX}, {rgb_cte()}, {_b1}, {_var} SELECT {big('frame_id x y radius colour')} FROM rad")
+@query("oil_radius", f"WITH {PX}, {rgb_cte()}, {radius_cte(*OIL)} SELECT {big('frame_id x y radius colour')} FROM rad")
 def oil_radius(spark, sf):
     return oil_pixels(R.event_pixels(spark, sf)).select("frame_id", "x", "y", "radius", "colour")
 
 
-OIL_SQL = f"""WITH {PX}, {rgb_cte()}, {_b1}, {_var},
-cnt AS (SELECT a.frame_id, a.x, a.y, s.colour AS c, count(*) AS n FROM rad a, range(-4, 5) t1(dx), range(-4, 5) t2(dy) JOIN rad s ON s.frame_id = a.frame_id AND s.x = a.x + dx AND s.y = a.y + dy WHERE dx * dx + dy * dy <= a.radius * a.radius GROUP BY ALL),
+def oil_sql(brush: int, levels: int, contrast: float) -> str:
+    span = f"range(-{brush}, {brush + 1})"
+    return f"""WITH {PX}, {rgb_cte()}, {radius_cte(brush, levels, contrast)},
+cnt AS (SELECT a.frame_id, a.x, a.y, s.colour AS c, count(*) AS n FROM rad a, {span} t1(dx), {span} t2(dy) JOIN rad s ON s.frame_id = a.frame_id AND s.x = a.x + dx AND s.y = a.y + dy WHERE dx * dx + dy * dy <= a.radius * a.radius GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY frame_id, x, y ORDER BY n DESC, c) AS k FROM cnt)
 SELECT {big('frame_id x y')}, CAST(c AS BIGINT) AS colour FROM top WHERE k = 1"""
 
 
+OIL_SQL = oil_sql(*OIL)
+
+
 @query("oil_mode", OIL_SQL)
 def oil_mode(spark, sf):
     return T.disc_mode(oil_pixels(R.event_pixels(spark, sf)), OIL[0], out="colour")
@@ -232,15 +235,23 @@ def _jit(seg: str, k: int, most: int) -> str:
     return f"((({seg} * 8 + {k}) * 1103515245 + 12345) % 2147483648 // 65536 % {2 * most + 1} - {most})"
 
 
-SEEDS = f"""seeds AS (SELECT cy * 5 + cx AS seg, cx, cy, greatest(0, least({W - 1}, cx * 8 + 4 + {_jit('(cy * 5 + cx)', 0, 2)})) AS sx,
-  greatest(0, least({H - 1}, cy * 8 + 4 + {_jit('(cy * 5 + cx)', 1, 2)})) AS sy FROM range(5) a(cx), range(3) b(cy))"""
-MAP = f"""map AS (SELECT x, y, min_by(seg, ((x - sx) * (x - sx) + (y - sy) * (y - sy)) * 1000 + seg) AS seg FROM range({W}) a(x), range({H}) b(y), seeds
-  WHERE abs(x // 8 - cx) <= 1 AND abs(y // 8 - cy) <= 1 GROUP BY x, y)"""
-SEGS = f"WITH {PX}, {rgb_cte()}, {SEEDS}, {MAP}, seg AS (SELECT r.*, m.seg FROM rgb r JOIN map m USING (x, y))"
-_cols = ", ".join(f"greatest(0, least(255, sum({c}) // count(*) + {_jit('seg', 2 + k, 12)})) AS {c}" for k, c in enumerate("rgb"))
-COLOURS = f"cols AS (SELECT frame_id, seg, count(*) AS n, {_cols} FROM seg GROUP BY frame_id, seg)"
-EDGES = f"""edges AS (SELECT DISTINCT a.frame_id, a.x + CASE WHEN k = 0 THEN t ELSE 0 END AS x, a.y + CASE WHEN k = 1 THEN t ELSE 0 END AS y FROM seg a, range(2) d(k), range(2) e(t)
+def glass_ctes(spacing: int, variation: int, thickness: int) -> tuple[str, str, str, str]:
+    """seeds; the segment of each pixel, seg; their colours, cols; and edges."""
+    across, down = (len(range(spacing // 2, n, spacing)) for n in (W, H))
+    most, seg = spacing // 3, f"(cy * {across} + cx)"
+    seeds = f"""seeds AS (SELECT {seg} AS seg, cx, cy, greatest(0, least({W - 1}, cx * {spacing} + {spacing // 2} + {_jit(seg, 0, most)})) AS sx,
+  greatest(0, least({H - 1}, cy * {spacing} + {spacing // 2} + {_jit(seg, 1, most)})) AS sy FROM range({across}) a(cx), range({down}) b(cy))"""
+    nearest = f"""map AS MATERIALIZED (SELECT x, y, min_by(seg, ((x - sx) * (x - sx) + (y - sy) * (y - sy)) * 100000 + seg) AS seg FROM range({W}) a(x), range({H}) b(y), seeds
+  WHERE abs(x // {spacing} - cx) <= 1 AND abs(y // {spacing} - cy) <= 1 GROUP BY x, y)"""
+    segs = f"WITH {PX}, {rgb_cte()}, {seeds}, {nearest}, seg AS (SELECT r.*, m.seg FROM rgb r JOIN map m USING (x, y))"
+    moved = ", ".join(f"greatest(0, least(255, sum({c}) // count(*) + {_jit('seg', 2 + k, variation)})) AS {c}" for k, c in enumerate("rgb"))
+    colours = f"cols AS (SELECT frame_id, seg, count(*) AS n, {moved} FROM seg GROUP BY frame_id, seg)"
+    edges = f"""edges AS (SELECT DISTINCT a.frame_id, a.x + CASE WHEN k = 0 THEN t ELSE 0 END AS x, a.y + CASE WHEN k = 1 THEN t ELSE 0 END AS y FROM seg a, range(2) d(k), range({thickness}) e(t)
   JOIN seg b ON b.frame_id = a.frame_id AND b.x = a.x + 1 - k AND b.y = a.y + k WHERE a.x < {W - 1} AND a.y < {H - 1} AND b.seg <> a.seg)"""
+    return seeds, segs, colours, edges
+
+
+SEEDS, SEGS, COLOURS, EDGES = glass_ctes(SPACING, 12, 2)
 
 
 @query("glass_seeds", f"WITH {SEEDS} SELECT {big('seg cx cy sx sy')} FROM seeds")
@@ -263,10 +274,15 @@ def glass_edges(spark, sf):
     return S.segment_edges(S.assigned(R.event_pixels(spark, sf), W, H, SPACING), W, H, 2)
 
 
-GLASS_SQL = f"""{SEGS}, {COLOURS}, {EDGES} SELECT s.frame_id, s.x, s.y, {', '.join(f'CAST(CASE WHEN e.x IS NOT NULL THEN {k} ELSE c.{n} END AS BIGINT) AS {n}' for k, n in zip((20, 30, 40), 'rgb'))}
+def glass_sql(spacing: int, thickness: int, edge, variation: int) -> str:
+    _, segs, colours, edges = glass_ctes(spacing, variation, thickness)
+    return f"""{segs}, {colours}, {edges} SELECT s.frame_id, s.x, s.y, {', '.join(f'CAST(CASE WHEN e.x IS NOT NULL THEN {k} ELSE c.{n} END AS BIGINT) AS {n}' for k, n in zip(edge, 'rgb'))}
 FROM seg s JOIN cols c USING (frame_id, seg) LEFT JOIN edges e ON e.frame_id = s.frame_id AND e.x = s.x AND e.y = s.y"""
 
 
+GLASS_SQL = glass_sql(SPACING, 2, (20, 30, 40), 12)
+
+
 @query("stained_glass", GLASS_SQL)
 def stained_glass(spark, sf):
     return S.stained_glass(R.event_pixels(spark, sf), W, H, SPACING, 2, (20, 30, 40))
@@ -349,16 +365,12 @@ def tile_grid(spark, sf):
     return G.tiled(small.select("frame_id", "x", "y", F.posexplode(values).alias("tile", "v")), (10, 6), 2, x_flipped=True)
 
 
-@query("tile_touch", f"WITH {EV} SELECT {big('frame_id x y')}, CAST(greatest(0, least(35, y * 7 // 29 * 6 + x * 9 // 60)) AS BIGINT) AS tile FROM ev WHERE frame_id = 0")
+@query("tile_touch", f"WITH {EV} SELECT {big('frame_id x y')}, CAST(greatest(0, least(35, y * 7 // 29 * 6 + x * 9 // 60)) AS BIGINT) AS tile FROM ev")
 def tile_touch(spark, sf):
-    px = R.event_pixels(spark, sf).filter("frame_id = 0")
-    return at(px, tile=N.tile_index(F.col("x") * 9, F.col("y") * 7, 360, 175, 36))
+    return at(R.event_pixels(spark, sf), tile=N.tile_index(F.col("x") * 9, F.col("y") * 7, 360, 175, 36))
 
 
-@query("tile_touch_all", ORACLES["tile_touch"].replace(" WHERE frame_id = 0", ""))
-def tile_touch_all(spark, sf):
-    """tile_touch in every frame."""
-    return at(R.event_pixels(spark, sf), tile=N.tile_index(F.col("x") * 9, F.col("y") * 7, 360, 175, 36))
+QUERIES["tile_touch_all"], ORACLES["tile_touch_all"] = QUERIES["tile_touch"], ORACLES["tile_touch"]  # an older name
 
 
 _sizes = "sz AS (SELECT p_partkey AS k, 100 + p_size * 37 AS w, 100 + p_partkey % 91 * 13 AS h FROM part)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import glyph, kernels, media, raster
+from .plans import effects, glyph, kernels, media, raster
 
-QUERIES: dict = raster.QUERIES | glyph.QUERIES | media.QUERIES | kernels.QUERIES
-ORACLES: dict[str, str] = raster.ORACLES | glyph.ORACLES | media.ORACLES | kernels.ORACLES
+QUERIES: dict = raster.QUERIES | glyph.QUERIES | media.QUERIES | kernels.QUERIES | effects.QUERIES
+ORACLES: dict[str, str] = raster.ORACLES | glyph.ORACLES | media.ORACLES | kernels.ORACLES | effects.ORACLES

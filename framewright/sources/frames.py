@@ -11,8 +11,11 @@ The tables hold no pictures: the frames here are synthetic rasters of numbers in
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from ..session import table
 
@@ -58,9 +61,19 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_partitions(own)
 
 
-def _bytes(values: Column) -> Column:
-    """An array of numbers from 0 to 255 as binary."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+@F.arrow_udf(BinaryType())
+def packed(values: pa.Array) -> pa.Array:
+    """Arrays of numbers from 0 to 255 as binary."""
+    flat, ends = np.asarray(values.flatten()).astype(np.uint8).tobytes(), np.cumsum(np.asarray(values.value_lengths().fill_null(0)))
+    return pa.array([flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def byte_values(data: pa.Array) -> pa.Array:
+    """Binary as arrays of numbers from 0 to 255; null as an empty one."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(0, np.uint8) for x in data]
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint8)]).astype(np.int32)))
 
 
 def to_planes(px: DataFrame, width: int, height: int) -> DataFrame:
@@ -71,27 +84,22 @@ def to_planes(px: DataFrame, width: int, height: int) -> DataFrame:
     def plane(value: str, where: Column | None = None) -> Column:
         item = F.struct(place.alias("i"), F.col(value).alias("v"))
         rows = F.array_sort(F.collect_list(item if where is None else F.when(where, item)))
-        return _bytes(F.transform(rows, lambda r: r["v"]))
+        return F.transform(rows, lambda r: r["v"])
 
     aggs = [plane("yy").alias("yp")]
     if {"uu", "vv"} <= set(px.columns):
         aggs += [plane("uu", even).alias("up"), plane("vv", even).alias("vp")]
     out = px.groupBy("frame_id").agg(*aggs)
-    return out.select("frame_id", F.lit(width).alias("width"), F.lit(height).alias("height"), *out.columns[1:])
-
-
-def byte_at(data: Column | str, i: Column) -> Column:
-    """The i-th byte of a binary column, from 0."""
-    data = F.col(data) if isinstance(data, str) else data
-    return F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int")
+    return out.select("frame_id", F.lit(width).alias("width"), F.lit(height).alias("height"), *[packed(c).alias(c) for c in out.columns[1:]])
 
 
 def to_pixels(planes: DataFrame) -> DataFrame:
-    """Plane form to pixel form, in SQL."""
-    each = planes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
+    """Plane form to pixel form."""
+    own = planes.select("frame_id", "width", byte_values("yp").alias("y_"), byte_values("up").alias("u_"), byte_values("vp").alias("v_"))
+    each = own.select("frame_id", "width", "u_", "v_", F.posexplode("y_").alias("i", "yy"))
     x, y = F.pmod(F.col("i"), F.col("width")), F.floor(F.col("i") / F.col("width")).cast("int")
     chroma = (F.floor(y / 2) * F.ceil(F.col("width") / 2) + F.floor(x / 2)).cast("int")
-    return each.select("frame_id", x.alias("x"), y.alias("y"), byte_at("yp", F.col("i")).alias("yy"), byte_at("up", chroma).alias("uu"), byte_at("vp", chroma).alias("vv"))
+    return each.select("frame_id", x.alias("x"), y.alias("y"), "yy", F.get("u_", chroma).alias("uu"), F.get("v_", chroma).alias("vv"))
 
 
 def from_raw(raw: DataFrame, width: int, height: int, data: str = "raw") -> DataFrame:
@@ -110,8 +118,7 @@ def fixed_records(raw: DataFrame, record: int, data: str = "raw") -> DataFrame:
 
 def without_strides(raw: DataFrame, width: int, row_stride: int, pixel_stride: int, data: str = "raw") -> DataFrame:
     """(…, x, y, value): the bytes of a plane that are pixels; padding and interleaved bytes go."""
-    at = F.explode(F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) - 1)).otherwise(F.array().cast("array<int>")))
-    each = raw.withColumn("at", at).withColumn("in_row", F.pmod("at", F.lit(row_stride)))
+    rest = [c for c in raw.columns if c != data]
+    each = raw.select(*rest, F.posexplode(byte_values(data)).alias("at", "value")).withColumn("in_row", F.pmod("at", F.lit(row_stride)))
     each = each.filter((F.col("in_row") < width * pixel_stride) & (F.col("in_row") % pixel_stride == 0))
-    out = each.withColumns({"x": F.floor(F.col("in_row") / pixel_stride).cast("int"), "y": F.floor(F.col("at") / row_stride).cast("int"), "value": byte_at(data, F.col("at"))})
-    return out.drop("at", "in_row", data)
+    return each.select(*rest, F.floor(F.col("in_row") / pixel_stride).cast("int").alias("x"), F.floor(F.col("at") / row_stride).cast("int").alias("y"), "value")
