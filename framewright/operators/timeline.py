@@ -124,13 +124,3 @@ def latest(frames: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in frames.columns if c not in keys]
     best = frames.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ms", "event_id")).alias("s"))
     return best.select(*keys, "s.*")
-
-
-def bounded_queue(arrivals: DataFrame, room: int, service_ms: int) -> DataFrame:
-    """Adds lost: whether ``room`` frames of the same time slot of ``service_ms`` came before the frame.
-
-    A limit of so many frames in each slot, not a queue: nothing is carried from one slot to the next, and each starts anew.
-    """
-    slot = F.floor(F.col("ms") / service_ms)
-    order = Window.partitionBy("video", "__slot").orderBy("ms", "event_id")
-    return arrivals.withColumn("__slot", slot).withColumn("lost", F.row_number().over(order) > room).drop("__slot")

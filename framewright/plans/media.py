@@ -122,11 +122,6 @@ def late_drop(spark, sf):
     return T.not_late(arrivals(spark, sf))
 
 
-@query("bounded_queue", f"WITH {TL} SELECT {big('video frame')}, row_number() OVER (PARTITION BY video, ms // 86400000 ORDER BY ms, event_id) > 3 AS lost FROM tl")
-def bounded_queue(spark, sf):
-    return T.bounded_queue(T.event_timeline(spark, sf), 3, 86_400_000).select("video", "frame", "lost")
-
-
 @query("running_stats", f"WITH {TL} SELECT {big('video frame')}, CAST(floor(1000 * avg(ms) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 0.5e0) AS BIGINT) AS mean FROM (SELECT video, frame, event_id % 977 AS ms FROM tl)")
 def running_stats(spark, sf):
     own = T.event_timeline(spark, sf).withColumn("took", F.col("event_id") % 977)

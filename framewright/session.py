@@ -26,6 +26,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and the executors share: that of spark.checkpoint.dir; one of this machine if all run on it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+    if not hasattr(shared_folder, "own"):
+        shared_folder.own = tempfile.mkdtemp(prefix="framewright-")
+    return shared_folder.own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
