@@ -18,14 +18,12 @@ def oriented(x: Column, y: Column, width: int, height: int, x_flipped: Column, y
     return F.when(flip_h, w - 1 - px).otherwise(px).cast("int"), F.when(flip_v, h - 1 - py).otherwise(py).cast("int")
 
 
-def letterbox(size: tuple[int, int], target: tuple[int, int]) -> tuple[int, int, int, int]:
-    """(x, y, width, height) of a frame that is fitted into the middle of a target."""
-    (w, h), (to_w, to_h) = size, target
-    if to_w * h <= to_h * w:
-        new = to_w, to_w * h // w
-    else:
-        new = to_h * w // h, to_h
-    return (to_w - new[0]) // 2, (to_h - new[1]) // 2, *new
+def letterbox_columns(w: Column, h: Column, to_w: int, to_h: int) -> tuple[Column, Column, Column, Column]:
+    """x, y, width, height of a frame that is fitted into the middle of a target."""
+    wide = h * to_w <= w * to_h
+    new_w = F.when(wide, to_w).otherwise(F.floor(w * to_h / h))
+    new_h = F.when(wide, F.floor(h * to_w / w)).otherwise(to_h)
+    return tuple(c.cast("long") for c in (F.floor((to_w - new_w) / 2), F.floor((to_h - new_h) / 2), new_w, new_h))
 
 
 def tile_place(i: Column, grid: int, portrait: Column, x_flipped: Column, y_flipped: Column) -> tuple[Column, Column]:

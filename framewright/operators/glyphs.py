@@ -85,18 +85,24 @@ def colour_runs(grid_cells: DataFrame, chars: str) -> DataFrame:
     return own.groupBy("frame_id", "row", "__run", "colour").agg(F.min("col").alias("first"), _ordered("", "ch", "col").alias("chars")).drop("__run")
 
 
+# How a run of one colour and a row stand in the HTML export.
+RUN, ROW = ("<i style=color:", ">", "</i>"), ("<pre>", "</pre>")
+#: A page of our own around the rows: its look in one rule each, no more.
+PAGE_HEAD = "<!DOCTYPE html><meta charset=utf-8><title>{title}</title><body style=background:{background}><style>i{{font-style:normal}}pre{{margin:0}}</style>"
+PAGE_END = "</body>"
+
+
 def html_rows(grid_cells: DataFrame, chars: str) -> DataFrame:
     """(frame_id, row, html): a row of the HTML export, an element for each run of one colour."""
-    run = F.concat(F.lit("<i style=color:"), "colour", F.lit(">"), "chars", F.lit("</i>"))
+    run = F.concat(F.lit(RUN[0]), "colour", F.lit(RUN[1]), "chars", F.lit(RUN[2]))
     runs = colour_runs(grid_cells, chars).withColumn("html", run)
-    return runs.groupBy("frame_id", "row").agg(F.concat(F.lit("<pre>"), _ordered("", "html", "first"), F.lit("</pre>")).alias("html"))
+    return runs.groupBy("frame_id", "row").agg(F.concat(F.lit(ROW[0]), _ordered("", "html", "first"), F.lit(ROW[1])).alias("html"))
 
 
 def html_pages(grid_cells: DataFrame, chars: str, title: str, background: str = "#000000") -> DataFrame:
     """(frame_id, page): the whole HTML export."""
-    head = f"<!DOCTYPE html>\n<html>\n<head>\n<meta charset='UTF-8'>\n<title>{title}</title>\n<style>\nbody {{background: {background};}}\n.ascii i {{font-style: normal;}}\n.ascii pre {{margin: 0;}}\n</style>\n</head>\n<body>\n<div class='ascii'>\n"
     rows = html_rows(grid_cells, chars).groupBy("frame_id").agg(_ordered("\n", "html", "row").alias("body"))
-    return rows.select("frame_id", F.concat(F.lit(head), "body", F.lit("\n</div>\n</body>\n</html>\n")).alias("page"))
+    return rows.select("frame_id", F.concat(F.lit(PAGE_HEAD.format(title=title, background=background)), "body", F.lit(PAGE_END)).alias("page"))
 
 
 def block_glyphs(spark, n_chars: int, cell_w: int, cell_h: int) -> DataFrame:
@@ -109,8 +115,8 @@ def block_glyphs(spark, n_chars: int, cell_w: int, cell_h: int) -> DataFrame:
 
 
 def stamp(grid_cells: DataFrame, glyphs: DataFrame, cell_w: int, cell_h: int) -> DataFrame:
-    """(frame_id, x, y, r, g, b) of the pixels that glyphs turn on. glyphs is a font: its size is bound by its characters' cells."""
-    on = grid_cells.join(F.broadcast(glyphs), "idx")
+    """(frame_id, x, y, r, g, b) of the pixels that glyphs turn on. glyphs is a font, a small table whose size Spark knows and broadcasts by."""
+    on = grid_cells.join(glyphs, "idx")
     return on.select("frame_id", (F.col("col") * cell_w + F.col("gx")).alias("x"), (F.col("row") * cell_h + F.col("gy")).alias("y"), "r", "g", "b")
 
 
@@ -142,3 +148,9 @@ def drop_cells(drops: DataFrame, n_rows: int, text: tuple[int, int, int] = (0, 2
     lit = own.withColumns(colour).groupBy("frame_id", "row", F.col("x").alias("col"))
     best = lit.agg(F.max_by(F.struct("r", "g", "b", "head"), F.struct("start_ms", F.col("x"), F.col("y"), "dy")).alias("s"))
     return best.select("frame_id", "row", "col", "s.*")
+
+
+def rain_over(base: DataFrame, drops: DataFrame) -> DataFrame:
+    """(frame_id, row, col, r, g, b): base's cells, with the drops' colours where these light one."""
+    lit = drops.select("frame_id", "row", "col", *[F.col(c).alias(f"drop_{c}") for c in "rgb"])
+    return base.join(lit, ["frame_id", "row", "col"], "left").select("frame_id", "row", "col", *[F.coalesce(f"drop_{c}", c).alias(c) for c in "rgb"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import effects, glyph, kernels, media, raster, streams
+from .plans import effects, files, glyph, kernels, media, raster, streams
 
-QUERIES: dict = raster.QUERIES | glyph.QUERIES | media.QUERIES | kernels.QUERIES | effects.QUERIES | streams.QUERIES
-ORACLES: dict[str, str] = raster.ORACLES | glyph.ORACLES | media.ORACLES | kernels.ORACLES | effects.ORACLES | streams.ORACLES
+QUERIES: dict = raster.QUERIES | glyph.QUERIES | media.QUERIES | kernels.QUERIES | effects.QUERIES | streams.QUERIES | files.QUERIES
+ORACLES: dict[str, str] = raster.ORACLES | glyph.ORACLES | media.ORACLES | kernels.ORACLES | effects.ORACLES | streams.ORACLES | files.ORACLES
