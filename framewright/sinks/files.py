@@ -36,7 +36,8 @@ def _gunzipped(data: pa.Array) -> pa.Array:
 
 def raw_bytes(content: Column, length: Column) -> Column:
     """The planes' bytes of a raw photo's file: as they are if its length is that of an old one, else decompressed."""
-    return F.when(length == OLD_RAW_BYTES, content).otherwise(_gunzipped(content))
+    old = length == OLD_RAW_BYTES
+    return F.when(old, content).otherwise(_gunzipped(F.when(~old, content)))
 
 
 def png(width: int, height: int, rgb: bytes) -> bytes:
