@@ -178,7 +178,8 @@ def _tokens(sizes, tokens, keys) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(keys.as_buffer(), "<u8")[place], np.repeat(np.arange(len(size)), size)
 
 
-BATCH = 1 << 16
+#: Tokens at a time: what they take from the tables stays in a core's cache.
+BATCH = 1 << 12
 
 
 def _gradient(shared: Broadcast, n_rows: int, step: int | None):
@@ -187,7 +188,7 @@ def _gradient(shared: Broadcast, n_rows: int, step: int | None):
     tables = FEATURES * n_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, ones = shared.value, np.ones(BATCH, np.float32)
         seen = [np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32)]
         expected = [np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32)] if step is not None else [np.zeros((CLASSES, SLOTS), np.float32)]
         for batch in batches:
@@ -205,10 +206,10 @@ def _gradient(shared: Broadcast, n_rows: int, step: int | None):
                     first, second, cls = (x[..., back:] for x in features(k, d, n_rows))
                     slot = model.slots(k[back:])
                     for t in range(FEATURES):
-                        np.add.at(seen[0].reshape(-1), (t * n_rows + first[t]) * CLASSES + cls, 1)
-                        np.add.at(seen[1].reshape(-1), (t * n_rows + second[t]) * SLOTS + slot, 1)
+                        np.add.at(seen[0].reshape(-1), (t * n_rows + first[t]) * CLASSES + cls, ones[: len(cls)])
+                        np.add.at(seen[1].reshape(-1), (t * n_rows + second[t]) * SLOTS + slot, ones[: len(cls)])
                     if step is None:
-                        np.add.at(expected[0].reshape(-1), cls * SLOTS + slot, 1)
+                        np.add.at(expected[0].reshape(-1), cls * SLOTS + slot, ones[: len(cls)])
                         continue
                     p, q = np.exp(log_class(model, first)), np.exp(log_slot(model, second, cls))
                     for t in range(FEATURES):
