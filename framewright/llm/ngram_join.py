@@ -194,49 +194,62 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+_COUNTS = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("copies", pa.int64()), ("other", pa.binary())])
+
+
 def _compare(similarity: float):
-    """One block of comparisons, as pandas rows (unit, i, j, side, node, cluster, units, copies, base, lacks, adds, diff) -> (node, links, copies, other).
+    """One block of comparisons, a table of (unit, i, j, side, node, cluster, units, copies, base, lacks, adds, diff) -> (node, links, copies, other).
 
     other is null but in rows that tell of a link between the node's cluster and another."""
-    import pandas as pd
-
-    columns = ["node", "links", "copies", "other"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, unit = rows["i"].iat[0], rows["j"].iat[0], rows["unit"].iat[0]
-        rows = rows.sort_values("node")
-        left, right = (rows[rows["side"] == s] for s in ((0, 0) if i == j else (0, 1)))
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=columns)
-        base = int(rows["base"].iat[0])
-        lacks, adds = ([part[c].to_numpy() for part in (left, right)] for c in ("lacks", "adds"))
-        size = [base - x + y for x, y in zip(lacks, adds)]
+
+    def run(block: pa.Table) -> pa.Table:
+        rows = block.sort_by("node").combine_chunks()
+        same_side = rows["i"][0].as_py() == rows["j"][0].as_py()
+        side = rows["side"].to_numpy()
+        at = [np.flatnonzero(side == s) for s in ((0, 0) if same_side else (0, 1))]
+        if not len(at[0]) or not len(at[1]):
+            return _COUNTS.empty_table()
+        base, lacks, adds, copies = (rows[c].to_numpy() for c in ("base", "lacks", "adds", "copies"))
+        diff = [np.frombuffer(x.as_buffer(), _U) for x in rows["diff"].chunk(0)]
+        size = base - lacks + adds
         # what both have of the base is what neither lacks; beside it they share what both add
-        same = base - lacks[0][:, None] - lacks[1][None, :] + _overlaps(*[[np.frombuffer(x, _U) for x in part["diff"]] for part in (left, right)])
-        linked = same >= similarity * (size[0][:, None] + size[1][None, :] - same) - 1e-6
-        if i == j:
-            linked &= ~np.eye(len(left), dtype=bool)
+        same = base[0] - lacks[at[0]][:, None] - lacks[at[1]][None, :] + _overlaps(*[[diff[k] for k in part] for part in at])
+        linked = same >= similarity * (size[at[0]][:, None] + size[at[1]][None, :] - same) - 1e-6
+        if same_side:
+            linked &= ~np.eye(len(at[0]), dtype=bool)
         # texts of several units may meet in each of them; the least unit that both are in counts the pair
-        units = [list(map(frozenset, part["units"])) for part in (left, right)]
-        many = [np.array([len(u) > 1 for u in x]) for x in units]
-        for x, y in zip(*np.nonzero(linked & many[0][:, None] & many[1][None, :])):
-            if min(units[0][x] & units[1][y]) != unit:
-                linked[x, y] = False
-        copies = [part["copies"].to_numpy() for part in (left, right)]
-        out = [pd.DataFrame({"node": left["node"].to_numpy(), "links": linked.sum(1), "copies": linked @ copies[1], "other": None})]
-        if i != j:
-            out.append(pd.DataFrame({"node": right["node"].to_numpy(), "links": linked.sum(0), "copies": copies[0] @ linked, "other": None}))
-        names = pd.factorize(pd.concat([left["cluster"], right["cluster"]]))[0]
-        code = names[: len(left)], names[len(left) :]
-        to = right["cluster"].to_numpy()
-        apart = {(code[0][x], code[1][y]): (left["node"].iat[x], to[y]) for x, y in zip(*np.nonzero(linked & (code[0][:, None] != code[1][None, :])))}
-        if apart:
-            out.append(pd.DataFrame([(node, 0, 0, other) for node, other in apart.values()], columns=columns))
-        return pd.concat(out)
+        many = rows["units"].combine_chunks().value_lengths().to_numpy() > 1
+        if many.any():
+            unit, units = rows["unit"][0].as_py(), [frozenset(u) for u in rows["units"].to_pylist()]
+            for x, y in zip(*np.nonzero(linked & many[at[0]][:, None] & many[at[1]][None, :])):
+                if min(units[at[0][x]] & units[at[1][y]]) != unit:
+                    linked[x, y] = False
+        node, cluster = rows["node"].to_pylist(), rows["cluster"].to_pylist()
+        found = [(node[k], n, c) for k, n, c in zip(at[0], linked.sum(1).tolist(), (linked @ copies[at[1]]).tolist())]
+        if not same_side:
+            found += [(node[k], n, c) for k, n, c in zip(at[1], linked.sum(0).tolist(), (copies[at[0]] @ linked).tolist())]
+        code = rows["cluster"].combine_chunks().dictionary_encode().indices.to_numpy()
+        apart = np.nonzero(linked & (code[at[0]][:, None] != code[at[1]][None, :]))
+        meet = {(code[at[0][x]], code[at[1][y]]): (node[at[0][x]], cluster[at[1][y]]) for x, y in zip(*apart)}
+        columns = [[f[k] for f in found] for k in range(3)]
+        columns = [columns[0] + [m[0] for m in meet.values()], *(c + [0] * len(meet) for c in columns[1:]), [None] * len(found) + [m[1] for m in meet.values()]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
 
     return run
 
 
+#: A hot hub or base is met by so many texts in a task at most, on average.
+SPREAD = 1024
+
+
+def with_reference(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """rows (node, key) with grams, the node's n-gram set, and of, that of key. A key's rows are dealt to parts by their number, and its set to each part."""
+    parts = stage(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts")))
+    dealt = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
+    of = sets.select(F.col("node").alias(key), F.col("grams").alias("of")).join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.join(sets, "node").join(of.select(key, "part", "of"), [key, "part"]).select("node", key, "grams", "of")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of (a, b): root is the least node of the connected component.
 
@@ -286,16 +299,14 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     members = source.join(wanted, (source["text_hash"] == wanted["text_hash"]) & source["id"].eqNullSafe(wanted["w"]), "left_semi")
     sets = stage(members.select("text").mapInArrow(tidy(_sets(n)), "node binary, grams binary").dropDuplicates(["node"]))
 
-    of = lambda name: sets.select(F.col("node").alias(name), F.col("grams").alias("of"))
-    pairs = shared.filter("node != hub").join(sets, "node").join(of("hub"), "hub")
+    pairs = with_reference(shared.filter("node != hub"), sets, "hub")
     edges = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "grams", "of").mapInArrow(tidy(_verify(similarity)), "a binary, b binary")
     roots = components(edges)
 
     cluster = lambda df, column: df.join(roots.select(F.col("node").alias(column), "root"), column, "left").withColumn("root", F.coalesce("root", column))
     inside = stage(cluster(shared, "hub").select("node", F.col("root").alias("unit")).distinct())
     units = inside.groupBy("node").agg(F.collect_list("unit").alias("units"))  # a unit for each band at most
-    apart = inside.join(sets, "node").join(of("unit"), "unit").select("node", "unit", "grams", "of")
-    apart = apart.mapInArrow(tidy(_differences), "node binary, unit binary, base bigint, lacks bigint, adds bigint, diff binary")
+    apart = with_reference(inside, sets, "unit").mapInArrow(tidy(_differences), "node binary, unit binary, base bigint, lacks bigint, adds bigint, diff binary")
     # two tight texts have base - lacks - lacks in common at least, and base + adds + adds together at most
     tight = (F.size("units") == 1) & (F.col("lacks") + similarity * F.col("adds") <= (1 - similarity) / 2 * F.col("base") - 1e-6)
     dealt = cluster(apart.join(units, "node"), "node").join(texts.select("node", "copies"), "node").withColumn("tight", tight).withColumnRenamed("root", "cluster")
@@ -313,7 +324,9 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     rich = rich.withColumn("own", place + F.when(F.col("tight"), F.col("loose_blocks")).otherwise(0))
     rich = rich.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("loose_blocks") + F.when(F.col("tight"), 0).otherwise(F.col("tight_blocks")) - 1)))
     blocks = rich.select("unit", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), F.when(F.col("own") <= F.col("k"), 0).otherwise(1).alias("side"), "node", "cluster", "units", "copies", "base", "lacks", "adds", "diff")
-    found = stage(blocks.groupBy("unit", "i", "j").applyInPandas(_compare(similarity), "node binary, links bigint, copies bigint, other binary"))
+    # tasks by number, not by bytes: a small block may be much work
+    blocks = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit", "i", "j")
+    found = stage(blocks.groupBy("unit", "i", "j").applyInArrow(_compare(similarity), "node binary, links bigint, copies bigint, other binary"))
 
     meet = cluster(found.filter("other IS NOT NULL").select("node", "other"), "node").select(F.col("root").alias("a"), F.col("other").alias("b"))
     meet = meet.union(dealt.filter("tight AND cluster != unit").select("cluster", "unit")).distinct()  # a tight text is linked to the base
