@@ -11,6 +11,7 @@ also says how large a share to keep. Texts are never shuffled; the k-th key is f
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ from ._words import Words, chunks, mix64
 
 BUCKETS = 1 << 20
 LABELLED = 50_000
+#: One of so many rows picked for bounds is one, so that ranges are of about the same size.
+EVEN = 8
 WINDOW = 32
 #: Pseudo-counts, in occurrences in the target texts, that draw rare buckets' ratios to one.
 PSEUDO = 5.0
@@ -63,7 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def worst_window(value: np.ndarray, offset: np.ndarray, size: int) -> np.ndarray:
     """The least sum of ``size`` successive values of each document; of a shorter one, its sum."""
     n = len(offset) - 1
-    total = np.concatenate([[0.0], np.cumsum(value)])
+    total = np.concatenate([[0.0], np.cumsum(value, dtype=float)])
     out = total[offset[1:]] - total[offset[:-1]]
     count = np.diff(offset)
     long = np.flatnonzero(count > size)
@@ -83,7 +86,7 @@ def _weigh(ratio: np.ndarray):
             for lo, hi, words in chunks(batch.column(3)):
                 single, pair = _buckets(words)
                 value = ratio[single] + np.where(pair >= 0, ratio[pair], 0.0)
-                total = np.concatenate([[0.0], np.cumsum(value)])
+                total = np.concatenate([[0.0], np.cumsum(value, dtype=float)])
                 made = [pa.array(words.count), pa.array(total[words.offset[1:]] - total[words.offset[:-1]]), pa.array(worst_window(value, words.offset, WINDOW))]
                 yield pa.RecordBatch.from_arrays([*(passed(c.slice(lo, hi - lo)) for c in batch.columns[:3]), *made], ["id", "text_hash", "label", "n_words", "log_importance", "worst"])
 
@@ -135,15 +138,19 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id: str = "doc_id"
     n = weighed.count()
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = weighed.withColumn("key", F.col("level") * SHARPNESS - F.log(-F.log(uniform)))
-    n_bins = max(1, min(10_000, math.isqrt(n)))
-    bounds = sorted(set((keyed.select(F.percentile_approx("key", [k / n_bins for k in range(1, n_bins)], 10 * n_bins)).first()[0] if n_bins > 1 else None) or []))
-    step = max(1, math.isqrt(len(bounds)))
-    below = lambda array: F.size(F.filter(array, lambda b: b < F.col("key")))
-    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")
-    big = below(doubles(bounds[step - 1 :: step]))
-    nested = F.array(*[doubles(bounds[k : k + step]) for k in range(0, len(bounds), step)], doubles([]))
-    bin_ = len(bounds) - (big * step + F.coalesce(below(F.get(nested, big)), F.lit(0)))
-    ranked = positions(keyed, [F.lit(0)], [F.col("key").desc(), F.col("id"), F.col("text_hash")], bin_, len(bounds) + 1)
+    # ranges of keys of about the square root of all rows each; rows of equal keys are told apart by a number of their own
+    place = [F.col("key"), F.xxhash64(F.lit(seed + 1), F.monotonically_increasing_id()).alias("number")]
+    keyed = keyed.select("id", "text_hash", "n_words", "log_importance", "level", "worst", *place)
+    every = max(1, math.isqrt(n) // EVEN)
+    picked = keyed.filter(F.pmod(F.xxhash64(F.lit(seed + 2), "id", "text_hash", "number"), F.lit(every)) == 0).select("key", "number").toArrow()
+    bounds = spark.sparkContext.broadcast(sorted(zip(picked["key"].to_pylist(), picked["number"].to_pylist()))[EVEN - 1 :: EVEN])
+
+    @F.arrow_udf("int")
+    def from_top(key: pa.Array, number: pa.Array) -> pa.Array:
+        at = bounds.value
+        return pa.array([len(at) - bisect.bisect_left(at, k) for k in zip(key.to_pylist(), number.to_pylist())], pa.int32())
+
+    ranked = positions(keyed, [F.lit(0)], [F.col("key").desc(), F.col("number").desc()], from_top("key", "number"), len(bounds.value) + 1)
     return ranked.select(F.col("id").alias(id), "n_words", "log_importance", "level", "worst", "key", F.col("position").alias("rank"), (F.col("position") < round(share * n)).alias("kept"))
 
 
