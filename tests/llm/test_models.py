@@ -169,10 +169,21 @@ def test_importance_of_small_table(spark, sf, plain):
 
 
 def test_importance_against_brute_force(spark, sf, plain):
-    """Ratios from counts in Python; keys, ranks and the kept share from these."""
+    """Ratios from counts of buckets in Python; keys, ranks and the kept share from these."""
+    import pyarrow as pa
+
+    from framewright.llm._words import chunks
+
     labels = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = {r["doc_id"]: r for r in I.query(spark, sf).collect()}
-    grams = lambda t: (w := [x.encode().lower() for x in WORD.findall(t or "")]) + list(zip(w, w[1:]))
+    def grams(text):
+        """The buckets of the text's words and of its pairs of words."""
+        for _, _, words in chunks(pa.array([text or ""])):
+            single, pair = I._buckets(words)
+            lower = [w.encode().lower() for w in WORD.findall(text or "")]
+            assert len(single) == len(lower) and len(dict(zip(lower, single.tolist()))) >= len(set(single.tolist()))
+            return single.tolist() + pair[pair >= 0].tolist()
+
     raw, target = Counter(), Counter()
     for i, t in plain.items():
         raw.update(grams(t))
@@ -180,16 +191,14 @@ def test_importance_against_brute_force(spark, sf, plain):
             target.update(grams(t))
     n, m = sum(raw.values()), sum(target.values())
     ratio = lambda g: math.log((target[g] + I.PSEUDO) / (raw[g] * m / n + I.PSEUDO))
-    near = 0
     for i, t in plain.items():
         size = len(WORD.findall(t or ""))
         want = sum(map(ratio, grams(t)))
         assert got[i]["n_words"] == size
-        near += abs(got[i]["log_importance"] - want) <= 0.02 * abs(want) + 0.5  # some grams share a bucket
+        assert abs(got[i]["log_importance"] - want) <= 1e-5 * abs(want) + 1e-2
         assert abs(got[i]["level"] - got[i]["log_importance"] * I.WINDOW / max(size, I.WINDOW)) < 1e-6
         noise = got[i]["key"] - I.SHARPNESS * got[i]["level"]
         assert -5 < noise < 40
-    assert near >= 0.97 * len(plain)
     order = sorted(got.values(), key=lambda r: r["rank"])
     assert [r["key"] for r in order] == sorted((r["key"] for r in order), reverse=True)
     own = sorted((i for i in labels if i in got))
