@@ -28,6 +28,8 @@ from ._words import mix64
 
 SPAN, SKETCH = 16, 64
 SHORT_SPAN, BRIEF = 4, 128
+#: One of so many picked rows is a bound, so that ranges are of about the same size.
+EVEN = 8
 _U = np.uint64
 _P1, _P2 = (1 << 31) - 1, (1 << 31) - 19
 _B1, _B2 = 911_382_323, 972_663_749
@@ -214,10 +216,11 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     kind = source.schema["id"].dataType.simpleString()
     key = [F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"), F.xxhash64(F.monotonically_increasing_id()).alias("number")]
     keys = source.select(*key)
-    every = max(1, math.isqrt(source.count()))
+    every = max(1, math.isqrt(source.count()) // EVEN)
     picked = F.pmod(F.xxhash64(F.lit(5), "id", "text_hash", "number"), F.lit(every)) == 0
     first = keys.agg(F.min(F.struct("none", "id", "text_hash"))).first()[0]
     bounds = [tuple(r) for r in keys.filter(picked).orderBy("none", "id", "text_hash", "number").collect()]  # a row in ``every``
+    bounds = bounds[EVEN - 1 :: EVEN]
     spread = spark.sparkContext.broadcast(bounds)
 
     @F.arrow_udf("int")
