@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..effects import apply_effects, combination, effect
-from ..effects.presets import presets
+from ..effects.presets import GLASS, OIL, glass, oil, presets
 from ..effects.registry import Effect
 from ..functions.pixels import edge_multiplier
 from ..operators.planes import rgb_pixels
@@ -169,6 +169,15 @@ def scheme_pixels(spark, sf):
     return painted(spark, sf, {k: e.kernel for k, e in enumerate(_KINDS)})
 
 
+_VARIANTS = [*map(oil, OIL), *map(glass, GLASS)]
+
+
+@query("variant_pixels", _numbered({k: effect_sql(e) for k, e in enumerate(_VARIANTS)}))
+def variant_pixels(spark, sf):
+    """The named variants of oil paintings and of stained glass."""
+    return painted(spark, sf, {k: e.kernel for k, e in enumerate(_VARIANTS)})
+
+
 # A combination of four on the frame at a tile's size: chroma is resized as planes
 
 TILE = (20, 12)
