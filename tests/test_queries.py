@@ -25,7 +25,7 @@ def rounded(row):
     return tuple(round(v, 9) if isinstance(v, float) else v for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if not n.endswith(("_all", "_whole"))))  # those are older names
 def test_query_equals_sql(name, spark, sf, duck):
     df = registry.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
