@@ -14,7 +14,7 @@ from ..functions.pixels import edge_multiplier
 from ..operators.planes import rgb_pixels
 from ..session import table
 from ..sources import frames as R
-from .common import PX, big, conv_cte, edge_cte, map_sql, rgb_cte, rgb_sql
+from .common import PX, big, conv_cte, edge_cte, map_sql, rgb_cte
 from .raster import TRUNC, blur_sql, glass_sql, oil_sql, real_sql, resize_sql, toon_cte
 
 W, H = R.EVENT_W, R.EVENT_H
@@ -184,7 +184,6 @@ TILE = (20, 12)
 _HALF = f"cx AS (SELECT frame_id, x // 2 AS x, y // 2 AS y, pu AS uu, pv AS vv FROM ev WHERE x % 2 = 0 AND y % 2 = 0), {resize_sql('cx', 'uu', W // 2, -(-H // 2), TILE[0] // 2, TILE[1] // 2, 'su')}, {resize_sql('cx', 'vv', W // 2, -(-H // 2), TILE[0] // 2, TILE[1] // 2, 'sv')}"
 SMALL = f"{PX}, {resize_sql('ev', 'yy', W, H, *TILE, 'sy')}, {_HALF}, sm AS (SELECT sy.*, su.uu, sv.vv FROM sy JOIN su ON su.frame_id = sy.frame_id AND su.x = sy.x // 2 AND su.y = sy.y // 2 JOIN sv ON sv.frame_id = sy.frame_id AND sv.x = sy.x // 2 AND sv.y = sy.y // 2)"
 _FOUR = [effect("edge_luminance"), effect("solid_color", {"colors": {"type": "fixed", "minColor": [255, 255, 255], "maxColor": [0, 0, 0]}}), effect("permute_color", {"red": "GREEN", "green": "BLUE", "blue": "RED"}), effect("edge", {})]
-_R, _G, _B = rgb_sql()
 _TILES = f"""t0 AS (SELECT 0 AS i, frame_id, x, y, r, g, b FROM tl), t1 AS (SELECT 1 AS i, frame_id, x, y, {map_sql('yy', (255, 255, 255), (0, 0, 0))} FROM sm), t2 AS (SELECT 2 AS i, frame_id, x, y, g AS r, b AS g, r AS b FROM rgb), t3 AS (SELECT 3 AS i, frame_id, x, y, {map_sql('e', (0, 0, 0), (255, 255, 255))} FROM edge)"""
 
 
