@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -135,7 +136,7 @@ def positions(df: DataFrame, group: list[Column], order: list[Column], spread: C
     """Adds ``position``, 0-based and gapless in each group, and ``weight_before``, the sum of weight before a row.
 
     The order within a group is by cell = spread modulo n_cells, then by ``order``. No task sees a whole group:
-    each cell of a group is ranked alone, and the cells' totals (one row each) are summed up beside.
+    each cell of a group is ranked alone, and the cells' totals (one row each) are summed up beside, in runs of cells and over these.
     """
     from pyspark.sql import Window as W
 
@@ -144,9 +145,13 @@ def positions(df: DataFrame, group: list[Column], order: list[Column], spread: C
     # the cells of a group are ranged over by number; null-safe keys through a hash, which keeps nulls apart from values
     key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names], *[F.col(c).isNull() for c in names])
     df = df.withColumn("__key", key)
-    totals = df.groupBy("__key", "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__s"))
-    before = W.partitionBy("__key").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("__key", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"))
+    totals = df.groupBy("__key", "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__s")).withColumn("__run", F.floor(F.col("__cell") / max(1, math.isqrt(n_cells))))
+    sums = lambda c, by, at: F.coalesce(F.sum(c).over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = totals.groupBy("__key", "__run").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s"))
+    runs = runs.select("__key", "__run", sums("__n", ["__key"], "__run").alias("__n1"), sums("__s", ["__key"], "__run").alias("__s1"))
+    before = lambda c: sums(c, ["__key", "__run"], "__cell")
+    totals = totals.select("__key", "__cell", "__run", before("__n").alias("__n0"), before("__s").alias("__s0")).join(runs, ["__key", "__run"])
+    totals = totals.select("__key", "__cell", (F.col("__n0") + F.col("__n1")).alias("__n0"), (F.col("__s0") + F.col("__s1")).alias("__s0"))
     inside = W.partitionBy("__key", "__cell").orderBy(*order)
     ranked = df.withColumns({"__i": F.row_number().over(inside) - 1, "__sw": F.sum("__w").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("__w")})
     out = ranked.join(totals, ["__key", "__cell"])
