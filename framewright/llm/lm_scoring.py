@@ -30,7 +30,8 @@ from ._words import Words, chunks, mix64
 
 CHUNK_TOKENS = 4_000_000
 CLASSES, SLOTS = 32, 32
-#: Rows for each feature: twice the square root of the number of training tokens, as a power of two within these.
+#: Rows for each feature: half the square root of the number of training tokens, as a power of two within these. Larger tables don't fit in
+#: the caches of a machine whose cores all add to theirs, and take twice the time.
 LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 16
 FEATURES = 3
 END_CLASS = CLASSES - 1
@@ -79,19 +80,48 @@ class Model:
         return np.where(self.slot_keys[at] == keys, self.slot_of[at], 0)
 
 
-def features(keys: np.ndarray, doc: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: its rows in the class tables and in the slot tables, one of each feature's, and its class. keys and doc of all tokens in order."""
+@dataclass
+class Context:
+    """What the tokens of a run stand in: their rows in the class tables (first) and in the slot tables (second), one of each feature's, and
+    their classes; alike and alike_in: hashes of what the softmax over classes, and that over a class's slots, depend on."""
+
+    first: np.ndarray
+    second: np.ndarray
+    cls: np.ndarray
+    alike: np.ndarray
+    alike_in: np.ndarray
+
+
+def context(keys: np.ndarray, doc: np.ndarray, n_rows: int, back: int = 0) -> Context:
+    """keys and doc of tokens in order; the first ``back`` of them only give those after them their features."""
     edge = _U(0x5EED)
     one, two = np.full(len(keys), edge), np.full(len(keys), edge)
     one[1:] = np.where(doc[1:] == doc[:-1], keys[:-1], edge)
     two[2:] = np.where(doc[2:] == doc[:-2], keys[:-2], edge)
     row = lambda x: (x >> _U(64 - n_rows.bit_length() + 1)).astype(np.int64)  # noqa: E731  the first bits
-    cls = keys & _CLASS_BITS
+    one, two, cls = one[back:], two[back:], keys[back:] & _CLASS_BITS
     a, b = mix64(one ^ _SEED[0]), mix64(two ^ _SEED[1])
     c = mix64(a * _U(3) + b)
-    first = np.stack([row(a), row(b), row(c)])
-    second = np.stack([row(mix64(x + cls * seed)) for x, seed in zip((a, b, c), _SEED[2:])])
-    return first, second, cls.astype(np.int64)
+    inner = [mix64(x + cls * seed) for x, seed in zip((a, b, c), _SEED[2:])]
+    return Context(np.stack([row(a), row(b), row(c)]), np.stack([row(x) for x in inner]), cls.astype(np.int64), c, inner[2])
+
+
+def features(keys: np.ndarray, doc: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: its rows in the class tables and in the slot tables, and its class."""
+    own = context(keys, doc, n_rows)
+    return own.first, own.second, own.cls
+
+
+def alike_tokens(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of equal hashes together, so many hashes at a time: (one of each, how many there are, all of them, which hash each has)."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    bounds = np.append(start, len(order))
+    for k in range(0, len(start), BATCH):
+        own = bounds[k : k + BATCH + 1]
+        size = np.diff(own)
+        yield order[own[:-1]], size, order[own[0] : own[-1]], np.repeat(np.arange(len(size)), size)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -108,11 +138,9 @@ def log_slot(model: Model, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds each row of values to the row of a table of MOST_ROWS at most."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    names = rows[order]
-    at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    table[names[at]] += np.add.reduceat(values[order], at, axis=0)
+    """Adds each row of values to the row of the table."""
+    width = table.shape[1]
+    np.add.at(table.reshape(-1), (rows[:, None] * width + np.arange(width)).ravel(), values.ravel())
 
 
 def _chunks(kind: pa.DataType):
@@ -178,8 +206,8 @@ def _tokens(sizes, tokens, keys) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(keys.as_buffer(), "<u8")[place], np.repeat(np.arange(len(size)), size)
 
 
-#: Tokens at a time: what they take from the tables stays in a core's cache.
-BATCH = 1 << 12
+#: Tokens whose contexts are made together, which share what they have in common; and contexts at a time, whose rows stay in a core's cache.
+PIECE, BATCH = 1 << 18, 1 << 12
 
 
 def _gradient(shared: Broadcast, n_rows: int, step: int | None):
@@ -188,7 +216,7 @@ def _gradient(shared: Broadcast, n_rows: int, step: int | None):
     tables = FEATURES * n_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ones = shared.value, np.ones(BATCH, np.float32)
+        model = shared.value
         seen = [np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32)]
         expected = [np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32)] if step is not None else [np.zeros((CLASSES, SLOTS), np.float32)]
         for batch in batches:
@@ -199,23 +227,25 @@ def _gradient(shared: Broadcast, n_rows: int, step: int | None):
                     train &= np.asarray(turns.values) == step
                 use = train[doc]
                 keys, doc = keys[use], doc[use]
-                for lo in range(0, len(keys), BATCH):
-                    # two tokens more before the batch give its first ones their features
+                for lo in range(0, len(keys), PIECE):
+                    # two tokens more before the piece give its first ones their features
                     back = min(lo, 2)
-                    k, d = keys[lo - back : lo + BATCH], doc[lo - back : lo + BATCH]
-                    first, second, cls = (x[..., back:] for x in features(k, d, n_rows))
-                    slot = model.slots(k[back:])
+                    k = keys[lo - back : lo + PIECE]
+                    own = context(k, doc[lo - back : lo + PIECE], n_rows, back)
+                    slot, ones = model.slots(k[back:]), np.ones(len(own.cls), np.float32)
                     for t in range(FEATURES):
-                        np.add.at(seen[0].reshape(-1), (t * n_rows + first[t]) * CLASSES + cls, ones[: len(cls)])
-                        np.add.at(seen[1].reshape(-1), (t * n_rows + second[t]) * SLOTS + slot, ones[: len(cls)])
+                        np.add.at(seen[0].reshape(-1), (t * n_rows + own.first[t]) * CLASSES + own.cls, ones)
+                        np.add.at(seen[1].reshape(-1), (t * n_rows + own.second[t]) * SLOTS + slot, ones)
                     if step is None:
-                        np.add.at(expected[0].reshape(-1), cls * SLOTS + slot, ones[: len(cls)])
+                        np.add.at(expected[0].reshape(-1), own.cls * SLOTS + slot, ones)
                         continue
-                    p, q = np.exp(log_class(model, first)), np.exp(log_slot(model, second, cls))
-                    for t in range(FEATURES):
-                        part = slice(t * n_rows, (t + 1) * n_rows)
-                        _add(expected[0][part], first[t], p)
-                        _add(expected[1][part], second[t], q)
+                    for table, rows, hashes in ((0, own.first, own.alike), (1, own.second, own.alike_in)):
+                        for one, n, _, _ in alike_tokens(hashes):
+                            part = rows[:, one]
+                            log = log_slot(model, part, own.cls[one]) if table else log_class(model, part)
+                            p = np.exp(log) * n[:, None].astype(np.float32)
+                            for t in range(FEATURES):
+                                _add(expected[table][t * n_rows : (t + 1) * n_rows], part[t], p)
         at = 0
         for table in (*seen, *expected):
             some = np.flatnonzero(table.any(1))
@@ -257,7 +287,7 @@ def train(chunked: DataFrame, totals: DataFrame) -> tuple[Model, int, int]:
             tokens[c] -= r["n"]
             types[c] -= 1
     keys = np.array(sorted(slots), _U)
-    n_rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << round(math.log2(2 * math.sqrt(max(1, n))))))
+    n_rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << round(math.log2(max(1.0, math.sqrt(n) / 2)))))
     tables = FEATURES * n_rows
     model = Model(np.zeros(CLASSES), np.zeros((CLASSES, SLOTS)), np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32), keys if len(keys) else np.zeros(1, _U), np.array([slots[int(k)] for k in keys] or [0]), np.log10(tokens + 0.5 * (types + 1)))
 
@@ -305,15 +335,16 @@ def _score(shared: Broadcast, n: int, v: int):
             rest = np.where(slot_of == 0, np.log10(known + 0.5) - model.rest[cls_of], 0.0)
             rest[cls_of == END_CLASS] = 0.0  # the end is all of its class
             total = np.zeros(len(size))
-            for lo in range(0, len(place), BATCH):
+            for lo in range(0, len(place), PIECE):
                 back = min(lo, 2)
-                k, d = keys[place[lo - back : lo + BATCH]], doc[lo - back : lo + BATCH]
-                first, second, cls = (x[..., back:] for x in features(k, d, model.rows))
-                here = place[lo : lo + BATCH]
-                at = np.arange(len(here))
-                log = log_class(model, first)[at, cls].astype(float)
-                inner = log_slot(model, second, cls)[at, slot_of[here]]
-                log += np.where(cls == END_CLASS, 0.0, inner)
+                k, d, here = keys[place[lo - back : lo + PIECE]], doc[lo - back : lo + PIECE], place[lo : lo + PIECE]
+                own, slot = context(k, d, model.rows, back), slot_of[here]
+                log, inner = np.empty(len(here)), np.empty(len(here))
+                for one, _, at, of in alike_tokens(own.alike):
+                    log[at] = log_class(model, own.first[:, one])[of, own.cls[at]]
+                for one, _, at, of in alike_tokens(own.alike_in):
+                    inner[at] = log_slot(model, own.second[:, one], own.cls[one])[of, slot[at]]
+                log += np.where(own.cls == END_CLASS, 0.0, inner)
                 total += np.bincount(d[back:], log / math.log(10) + rest[here], minlength=len(size))
             sums = lambda x: np.bincount(doc, x[place], minlength=len(size))
             out.append(pd.DataFrame({"id": row.ids, "held_out": row.held_out, "n_tokens": size, "n_known": sums((known > 0).astype(float)).astype(np.int64), "train_tokens": n, "base_score": sums(base), "score": total}))
