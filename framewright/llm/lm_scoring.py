@@ -138,9 +138,16 @@ def log_slot(model: Model, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds each row of values to the row of the table."""
-    width = table.shape[1]
-    np.add.at(table.reshape(-1), (rows[:, None] * width + np.arange(width)).ravel(), values.ravel())
+    """Adds each row of values to the row of a table of MOST_ROWS at most."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    names = rows[order]
+    at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    table[names[at]] += np.add.reduceat(values[order], at, axis=0)
+
+
+def _count(table: np.ndarray, cells: np.ndarray) -> None:
+    """Adds one to a table's cells, by their places in it."""
+    table += np.bincount(cells.ravel(), minlength=table.size).reshape(table.shape).astype(np.float32)
 
 
 def _chunks(kind: pa.DataType):
@@ -232,12 +239,11 @@ def _gradient(shared: Broadcast, n_rows: int, step: int | None):
                     back = min(lo, 2)
                     k = keys[lo - back : lo + PIECE]
                     own = context(k, doc[lo - back : lo + PIECE], n_rows, back)
-                    slot, ones = model.slots(k[back:]), np.ones(len(own.cls), np.float32)
-                    for t in range(FEATURES):
-                        np.add.at(seen[0].reshape(-1), (t * n_rows + own.first[t]) * CLASSES + own.cls, ones)
-                        np.add.at(seen[1].reshape(-1), (t * n_rows + own.second[t]) * SLOTS + slot, ones)
+                    slot, place = model.slots(k[back:]), np.arange(FEATURES)[:, None] * n_rows
+                    _count(seen[0], (place + own.first) * CLASSES + own.cls)
+                    _count(seen[1], (place + own.second) * SLOTS + slot)
                     if step is None:
-                        np.add.at(expected[0].reshape(-1), own.cls * SLOTS + slot, ones)
+                        _count(expected[0], own.cls * SLOTS + slot)
                         continue
                     for table, rows, hashes in ((0, own.first, own.alike), (1, own.second, own.alike_in)):
                         for one, n, _, _ in alike_tokens(hashes):
