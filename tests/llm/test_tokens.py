@@ -169,6 +169,46 @@ def test_program_converges_on_dense_histograms():
         assert sum(n for _, n in patterns) <= 1.005 * -(-(sizes @ counts) // 512)
 
 
+IN_SESSION = """
+import sys, numpy as np
+from framewright.session import local_session
+from framewright.llm import packing as P
+spark = local_session(2, 2, "1g")
+spark.range(10).count()
+steps, times = 0, P._times
+def counted(a, b):
+    global steps
+    steps += a.ndim == 2
+    return times(a, b)
+P._times = counted
+sizes = np.arange(1, 1025)
+counts = (3000 * np.exp(-sizes / 300)).astype(np.int64) + np.random.default_rng(1).integers(1, 90, 1024)
+program, gap = P.cutting_stock(sizes, counts, 1024, gap=1e-7)
+held = sum(p * use for p, use in program)
+assert P._inverse(np.eye(300)[::-1] + np.tri(300)).shape == (300, 300)
+assert (held >= counts * (1 - 1e-6)).all() and gap < 1e-3, gap
+print("steps", steps)
+"""
+
+
+def test_program_ends_in_a_process_with_a_session():
+    """Over 1,000 steps of the simplex method beside a running JVM, under a time limit: threaded LAPACK would wait for ever."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", IN_SESSION], capture_output=True, text=True, timeout=150, cwd=Path(__file__).resolve().parents[2])
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout.split("steps")[1]) > 1000
+
+
+def test_inverse():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 50, 200):
+        a = rng.integers(0, 4, (n, n)) + np.diag(rng.permutation(n) + 0.5)[rng.permutation(n)]
+        assert np.abs(np.einsum("ij,jk->ik", a, P._inverse(a)) - np.eye(n)).max() < 1e-6
+
+
 def test_program_beats_best_fit():
     """Sizes whose best patterns best fit misses: 2 x 4 + 3 x 3 fill 17 exactly."""
     sizes, counts = np.array([3, 4, 7]), np.array([300, 200, 90])
