@@ -42,10 +42,10 @@ def bands_for(similarity: float, recall: float, rows: int = 6) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted set of hashed n-grams of each text; of a shorter one, its words as one n-gram; of none, an empty set."""
+def gram_sets(texts: pa.Array, n: int, lower: bool = False) -> Iterator[np.ndarray]:
+    """The sorted set of hashed n-grams of each text (``lower``: A-Z as a-z); of a shorter one, its words as one n-gram; of none, an empty set."""
     for first, end, words in chunks(texts):
-        hashes = words.hashes()
+        hashes = words.hashes(lower)
         runs, bounds = grams(hashes, words.offset, n)
         for d in range(end - first):
             if bounds[d] < bounds[d + 1]:

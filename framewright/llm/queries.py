@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, importance, language_id, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
+from . import conversation_repair, filter_audit, fingerprints, importance, language_id, lm_scoring, minhash_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, token_output
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality_classifier": importance.query,
     "op9_language_id": language_id.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_minhash_dedup": minhash_dedup.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
