@@ -1,7 +1,8 @@
 """Frame timelines: durations, presentation times, as-of and nearest joins, rates, interleaving, and rules that drop late frames.
 
-A timeline is (video, frame, ms), a row per frame. Videos are the keys of every window and group here; one video's frames are bounded.
-Joins in time lay both tables on one line of time for each video, and a running value looks back or ahead: no pair of rows is made.
+A timeline is (video, frame, ms), a row per frame. Joins in time lay both tables on one line of time for each video, and a running value looks back or
+ahead: no pair of rows is made. Lines of time are cut into slices, so a video may hold any share of all frames; only running_mean() and event_timeline() without
+``slices`` put one video into one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import table
+from .slices import SLICE, Running, running, sliced
 
 
 def by_time() -> WindowSpec:
@@ -26,6 +28,17 @@ def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("frame", F.row_number().over(by_time()).cast("long") - 1)
 
 
+def sliced_timeline(spark: SparkSession, sf_dir: str, slices: int | None = None) -> DataFrame:
+    """event_timeline() in slices of (video, ms, event_id), for users with any share of the events. What goes by frame or time within videos goes on in these slices."""
+    own = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "event_type", "value")
+    return running(sliced(own, "video", ["ms", "event_id"], slices), "video", ["ms", "event_id"], {"frame": Running("count", F.lit(1))})
+
+
+def _slices(frames: DataFrame) -> DataFrame:
+    """frames in slices by frame, if they aren't in slices yet."""
+    return frames if SLICE in frames.columns else sliced(frames, "video", ["frame"])
+
+
 def whole_division(x: Column, by: Column) -> Column:
     return F.floor(x / F.nullif(by, F.lit(0))).cast("long")
 
@@ -40,33 +53,34 @@ def video_summary(frames: DataFrame) -> DataFrame:
 
 def frame_durations(frames: DataFrame) -> DataFrame:
     """Adds duration_ms: the time to the next frame; the last frame lasts as long as the others on average."""
-    all_ = Window.partitionBy("video")
-    span, n = F.max("ms").over(all_) - F.min("ms").over(all_), F.count(F.lit(1)).over(all_)
-    frames = frames.withColumn("__average", F.coalesce(whole_division(span, n - 1), F.lit(0).cast("long")))
-    return frames.withColumn("duration_ms", F.coalesce(F.lead("ms").over(in_order()) - F.col("ms"), F.col("__average"))).drop("__average")
+    own = running(_slices(frames), "video", ["frame"], {
+        "__next": Running("last", F.col("ms"), back=True), "__n": Running("count", F.lit(1), whole=True),
+        "__first": Running("min", F.col("ms"), whole=True), "__last": Running("max", F.col("ms"), whole=True),
+    })
+    average = F.coalesce(whole_division(F.col("__last") - F.col("__first"), F.col("__n") - 1), F.lit(0).cast("long"))
+    return own.withColumn("duration_ms", F.coalesce(F.col("__next") - F.col("ms"), average)).drop("__next", "__n", "__first", "__last")
 
 
 def frame_times(frames: DataFrame) -> DataFrame:
     """Adds pts_us: when each frame is shown, the sum of the durations before it."""
-    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    return frame_durations(frames).withColumn("pts_us", F.coalesce(F.sum("duration_ms").over(before), F.lit(0)) * 1000)
+    # the durations before a frame add up to the time since the first one
+    own = running(_slices(frames), "video", ["frame"], {"__first": Running("min", F.col("ms"), whole=True)})
+    return own.withColumn("pts_us", (F.col("ms") - F.col("__first")) * 1000).drop("__first")
 
 
 def next_frame(frames: DataFrame, elapsed: DataFrame) -> DataFrame:
     """(video, base, delta_ms, next): the first frame from base on whose time since base is greater than delta; the last if there is none.
 
-    elapsed: (video, base, delta_ms). An as-of join forward: both tables are laid on one line of time for each video, and a
-    window looks ahead to the next frame, so there is one shuffle and no pair.
+    elapsed: (video, base, delta_ms). An as-of join forward: both tables are laid on one line of time, in slices, and a running value looks ahead
+    to the next frame, so there is no pair.
     """
     start = frames.select("video", F.col("frame").alias("base"), F.col("ms").alias("base_ms"))
     asks = elapsed.join(start, ["video", "base"]).select("video", (F.col("base_ms") + F.col("delta_ms")).alias("at"), F.lit(1).alias("ask"), "base", "delta_ms", F.lit(None).cast("long").alias("frame"))
     line = frames.select("video", F.col("ms").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("base"), F.lit(None).cast("long").alias("delta_ms"), "frame").unionByName(asks)
     # frames of the same time stand before the asks, so that only later ones follow
-    # backward in time, so that each row adds to a running value
-    back = Window.partitionBy("video").orderBy(*[F.col(c).desc() for c in ("at", "ask", "frame", "base", "delta_ms")]).rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy("video")
-    found = line.withColumns({"__next": F.last("frame", ignorenulls=True).over(back), "__last": F.max("frame").over(all_)})
-    return found.filter("ask = 1").select("video", "base", "delta_ms", F.least(F.coalesce("__next", "__last"), F.col("__last")).alias("next"))
+    place = ["at", "ask", "frame", "base", "delta_ms"]
+    found = running(sliced(line, "video", place), "video", place, {"__next": Running("last", F.col("frame"), back=True), "__last": Running("max", F.col("frame"), whole=True)})
+    return found.filter("ask = 1").select("video", "base", "delta_ms", F.coalesce("__next", "__last").alias("next"))
 
 
 def sample_times(frames: DataFrame, step_ms: int) -> DataFrame:
@@ -79,15 +93,12 @@ def sample_times(frames: DataFrame, step_ms: int) -> DataFrame:
 def nearest_frame(frames: DataFrame, times: DataFrame) -> DataFrame:
     """(video, k, at_ms, frame): the frame nearest to each time; the earlier of two, and the lowest of equals."""
     asks = times.select("video", F.col("at_ms").alias("at"), F.lit(1).alias("ask"), "k", F.lit(None).cast("long").alias("frame"))
-    line = frames.select("video", F.col("ms").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("k"), "frame").unionByName(asks)
-    # the lowest frame of the last time up to the ask, and the first after it
-    place = ("at", "ask", "k", "frame")
-    order, back = Window.partitionBy("video").orderBy(*place), Window.partitionBy("video").orderBy(*[F.col(c).desc() for c in place])
-    same = Window.partitionBy("video", "at")
-    line = line.withColumn("own", F.when(F.col("ask") == 0, F.struct("at", F.min("frame").over(same).alias("frame"))))
-    before = F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.last("own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    found = line.withColumns({"b": before, "a": after}).filter("ask = 1")
+    lowest = frames.groupBy("video", F.col("ms").alias("at")).agg(F.min("frame").alias("frame"))
+    line = lowest.select("video", "at", F.lit(0).alias("ask"), F.lit(None).cast("long").alias("k"), "frame").unionByName(asks)
+    place = ["at", "ask", "k"]
+    own = F.when(F.col("ask") == 0, F.struct("at", "frame"))
+    # a time's frame stands before the asks for that time, so it is the one before them
+    found = running(sliced(line, "video", place), "video", place, {"b": Running("last", own), "a": Running("last", own, back=True)}).filter("ask = 1")
     nearer = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("at") - F.col("b.at") <= F.col("a.at") - F.col("at")))
     return found.select("video", "k", F.col("at").alias("at_ms"), F.when(nearer, F.col("b.frame")).otherwise(F.col("a.frame")).alias("frame"))
 
@@ -103,20 +114,26 @@ def running_mean(frames: DataFrame, value: str, last: int = 10) -> DataFrame:
     return frames.withColumn("mean", F.avg(value).over(in_order().rowsBetween(1 - last, 0)))
 
 
+def followed(pages: DataFrame, last_ms: int) -> DataFrame:
+    """pages (video, number, at) with next_at: when the next page of the video begins; the last one's is last_ms after its own."""
+    own = running(sliced(pages, "video", ["number"]), "video", ["number"], {"next_at": Running("last", F.col("at"), back=True)})
+    return own.withColumn("next_at", F.coalesce("next_at", F.col("at") + last_ms)).drop(SLICE)
+
+
 def interleaved(video: DataFrame, audio: DataFrame) -> DataFrame:
     """(video, place, kind, number, at): blocks by time; an audio page stands before the video blocks that its next page's time doesn't pass.
 
     video: (video, number, at); audio: (video, number, at, next_at). What is left of the audio follows the last video block.
     """
     both = video.select("video", F.lit("v").alias("kind"), "number", "at", F.col("at").alias("__by")).unionByName(audio.select("video", F.lit("a").alias("kind"), "number", "at", F.col("next_at").alias("__by")))
-    order = Window.partitionBy("video").orderBy("__by", "kind", "number")
-    return both.withColumn("place", F.row_number().over(order).cast("long") - 1).drop("__by")
+    order = ["__by", "kind", "number"]
+    return running(sliced(both, "video", order), "video", order, {"place": Running("count", F.lit(1))}).drop("__by", SLICE)
 
 
 def not_late(arrivals: DataFrame, by: str = "event_id", key: str = "video", ms: str = "ms") -> DataFrame:
     """The rows that are not older than one of the same key that came before them."""
-    before = Window.partitionBy(key).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return arrivals.withColumn("__latest", F.max(ms).over(before)).filter(F.col("__latest").isNull() | (F.col("__latest") <= F.col(ms))).drop("__latest")
+    own = running(sliced(arrivals, key, [by]), key, [by], {"__latest": Running("max", F.col(ms))})
+    return own.filter(F.col("__latest").isNull() | (F.col("__latest") <= F.col(ms))).drop("__latest", SLICE)
 
 
 def latest(frames: DataFrame, keys: list[str]) -> DataFrame:

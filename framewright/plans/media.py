@@ -41,12 +41,12 @@ def video_summary(spark, sf):
 
 @query("frame_durations", f"WITH {TL}, {SUM}, {DUR} SELECT {big('video frame ms duration_ms')} FROM du")
 def frame_durations(spark, sf):
-    return T.frame_durations(T.event_timeline(spark, sf)).select("video", "frame", "ms", "duration_ms")
+    return T.frame_durations(T.sliced_timeline(spark, sf)).select("video", "frame", "ms", "duration_ms")
 
 
 @query("frame_pts", f"WITH {TL}, {SUM}, {DUR} SELECT {big('video frame')}, CAST(1000 * (sum(duration_ms) OVER (PARTITION BY video ORDER BY frame) - duration_ms) AS BIGINT) AS pts_us FROM du")
 def frame_pts(spark, sf):
-    return T.frame_times(T.event_timeline(spark, sf)).select("video", "frame", "pts_us")
+    return T.frame_times(T.sliced_timeline(spark, sf)).select("video", "frame", "pts_us")
 
 
 def elapsed(frames: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def elapsed(frames: DataFrame) -> DataFrame:
 @query("next_frame_asof", f"""WITH {TL}, a AS (SELECT video, frame AS base, ms AS base_ms, event_id * 7919 % 900000 AS delta_ms FROM tl)
 SELECT {big('video base delta_ms')}, CAST(coalesce((SELECT min(frame) FROM tl t WHERE t.video = a.video AND t.ms > a.base_ms + a.delta_ms), (SELECT max(frame) FROM tl t WHERE t.video = a.video)) AS BIGINT) AS next FROM a""")
 def next_frame_asof(spark, sf):
-    frames = T.event_timeline(spark, sf)
+    frames = T.sliced_timeline(spark, sf)
     return T.next_frame(frames, elapsed(frames))
 
 
@@ -69,7 +69,7 @@ STEP = 3_600_000
 @query("nearest_frame", f"""WITH {TL}, {SUM}, s AS (SELECT video, unnest(range(0, (last_ms - first_ms) // {STEP} + 1)) AS k, first_ms FROM sm), a AS (SELECT video, k, first_ms + k * {STEP} AS at_ms FROM s),
 o AS (SELECT a.*, frame, row_number() OVER (PARTITION BY video, k ORDER BY abs(ms - at_ms), ms, frame) AS r FROM a JOIN tl USING (video)) SELECT {big('video k at_ms frame')} FROM o WHERE r = 1""")
 def nearest_frame(spark, sf):
-    frames = T.event_timeline(spark, sf)
+    frames = T.sliced_timeline(spark, sf)
     return T.nearest_frame(frames, T.sample_times(frames, STEP))
 
 
@@ -96,12 +96,8 @@ def import_preflight(spark, sf):
 a AS (SELECT video, 'a' AS kind, number, "at", coalesce(nx, "at" + 1000) AS t FROM a0)
 SELECT CAST(video AS BIGINT) AS video, kind, CAST(number AS BIGINT) AS number, CAST("at" AS BIGINT) AS "at", CAST(row_number() OVER (PARTITION BY video ORDER BY t, kind, number) - 1 AS BIGINT) AS place FROM (SELECT * FROM v UNION ALL SELECT * FROM a)""")
 def av_interleave(spark, sf):
-    from pyspark.sql import Window
-
-    frames = T.event_timeline(spark, sf).select("video", F.col("frame").alias("number"), F.col("ms").alias("at"))
-    pages = frames.filter(F.col("number") % 2 == 1)
-    following = F.lead("at").over(Window.partitionBy("video").orderBy("number"))
-    return T.interleaved(frames.filter(F.col("number") % 2 == 0), pages.withColumn("next_at", F.coalesce(following, F.col("at") + 1000)))
+    frames = T.sliced_timeline(spark, sf).select("video", F.col("frame").alias("number"), F.col("ms").alias("at"))
+    return T.interleaved(frames.filter(F.col("number") % 2 == 0), T.followed(frames.filter(F.col("number") % 2 == 1), 1000))
 
 
 @query("latest_per_stream", f"WITH {TL} SELECT CAST(video AS BIGINT) AS video, event_type, {big('ms event_id')} FROM (SELECT *, row_number() OVER (PARTITION BY video, event_type ORDER BY ms DESC, event_id DESC) AS r FROM tl) WHERE r = 1")
@@ -114,7 +110,8 @@ _arr = "ar AS (SELECT video, event_id, ms - CASE WHEN event_id % 11 = 0 THEN 720
 
 def arrivals(spark, sf) -> DataFrame:
     late = F.when(F.col("event_id") % 11 == 0, 7_200_000).otherwise(0)
-    return T.event_timeline(spark, sf).select("video", "event_id", (F.col("ms") - late).alias("ms"))
+    events = table(spark, sf, "events").select(F.col("user_id").alias("video"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return events.select("video", "event_id", (F.col("ms") - late).alias("ms"))
 
 
 @query("late_drop", f"WITH {TL}, {_arr} SELECT {big('video event_id ms')} FROM ar a WHERE NOT EXISTS (SELECT 1 FROM ar b WHERE b.video = a.video AND b.event_id < a.event_id AND b.ms > a.ms)")

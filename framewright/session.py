@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
+_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,6 +41,37 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder.own
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back, which cuts its lineage; the folder goes with the session."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    _STAGED.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of a file system that Spark reaches; whether it was there doesn't matter."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, which goes with the session."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
+@atexit.register
+def remove_staged() -> None:
+    while _STAGED:
+        try:
+            delete(*_STAGED.pop())
+        except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
