@@ -6,6 +6,7 @@ Results equal those of pixel form, whose SQL checks them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -150,8 +151,50 @@ def cartoon(planes: Planes, radius: int = 4) -> np.ndarray:
     return out
 
 
+#: Most counts that a histogram of a tile holds.
+MOST_COUNTS = 8 << 20
+
+
+def disc_modes(code: np.ndarray, radius: np.ndarray, margin: int) -> np.ndarray:
+    """The most frequent number in the disc around each place, the least of those that tie; radius: each place's disc.
+
+    code is larger than radius by a margin on all sides, no less than any radius; negative numbers there don't count. Histograms of all places of a row slide down
+    the frame: for each column of the disc the number above it is dropped and the one below it added. A frame with too many numbers for
+    that is cut into tiles, which know only their own.
+    """
+    height, width = radius.shape
+    names, own = np.unique(code, return_inverse=True)
+    if len(names) * width > MOST_COUNTS and max(height, width) > 16:
+        out, axis = np.empty_like(radius), int(width >= height)
+        half = radius.shape[axis] // 2
+        for lo, hi in ((0, half), (half, radius.shape[axis])):
+            part, with_margin = (slice(lo, hi),), (slice(lo, hi + 2 * margin),)
+            part, with_margin = ((slice(None), *part), (slice(None), *with_margin)) if axis else (part, with_margin)
+            out[part] = disc_modes(code[with_margin], radius[part], margin)
+        return out
+    own, none, xs, out = own.reshape(code.shape), int((names < 0).sum()), np.arange(width), np.empty_like(radius)
+    for size in np.unique(radius).tolist():
+        wanted = radius == size
+        rows = np.flatnonzero(wanted.any(1))
+        columns = [(dx, math.isqrt(size * size - dx * dx)) for dx in range(-size, size + 1)]
+        counts = np.zeros((width, len(names)), np.uint16)
+        at = lambda y, dx: own[y + margin, xs + margin + dx]
+        for dx, reach in columns:
+            for y in range(rows[0] - reach, rows[0] + reach + 1):
+                counts[xs, at(y, dx)] += 1
+        for y in range(rows[0], rows[-1] + 1):
+            here = np.flatnonzero(wanted[y])
+            if len(here):
+                out[y, here] = names[counts[here, none:].argmax(1) + none]
+            if y < rows[-1]:
+                for dx, reach in columns:
+                    counts[xs, at(y - reach, dx)] -= 1
+                    counts[xs, at(y + 1 + reach, dx)] += 1
+    return out
+
+
 def oil_mode(planes: Planes, brush: int = 4, levels: int = 48, sensitivity: float = 1.5) -> np.ndarray:
-    """Each pixel gets the most frequent colour of its disc; discs of one radius are counted together, colour by colour."""
+    """Each pixel gets the most frequent colour of its disc, the smallest of those that tie."""
     rgb = rgb_fixed(*planes)
     b = rgb[0] * 299 + rgb[1] * 587 + rgb[2] * 114
     n = square_sum(np.ones_like(b), 3)
@@ -160,21 +203,7 @@ def oil_mode(planes: Planes, brush: int = 4, levels: int = 48, sensitivity: floa
     radius = np.clip(np.floor(brush * (1.0 - np.minimum(0.8, share * sensitivity))).astype(int), 2, brush)
     step = 256 // levels
     r, g, bl = rgb // step * step
-    names, code = np.unique(r * 65536 + g * 256 + bl, return_inverse=True)
-    code = code.reshape(b.shape)
-    out = np.zeros_like(code)
-    for size in np.unique(radius):
-        offsets = [(dx, dy) for dy in range(-size, size + 1) for dx in range(-size, size + 1) if dx * dx + dy * dy <= size * size]
-        padded = np.pad(code, size, constant_values=-1)
-        ys, xs = np.nonzero(radius == size)
-        seen = np.sort(np.stack([padded[ys + size + dy, xs + size + dx] for dx, dy in offsets], 1), 1)
-        # the longest run of equal codes in each sorted row; the first of those that tie is the smallest colour
-        new = np.ones(seen.shape, bool)
-        new[:, 1:] = seen[:, 1:] != seen[:, :-1]
-        start = np.maximum.accumulate(np.where(new, np.arange(seen.shape[1]), 0), 1)
-        length = np.where(seen < 0, 0, np.arange(seen.shape[1]) - start + 1)
-        out[ys, xs] = seen[np.arange(len(seen)), length.argmax(1)]
-    colour = names[out]
+    colour = disc_modes(np.pad(r * 65536 + g * 256 + bl, brush, constant_values=-1), radius, brush)
     return np.stack([colour >> 16, colour >> 8 & 255, colour & 255])
 
 
