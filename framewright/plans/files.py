@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,13 @@ from ..operators import geometry as G
 from ..operators import glyphs as L
 from ..operators import timeline as T
 from ..operators.planes import KERNELS, apply, resized, rgb_pixels
-from ..session import shared_folder
+from ..session import scratch, staged, table
 from ..sinks import files as X
+from ..sinks.commit import append_files, write_files
 from ..sources import ebml as E
 from ..sources import frames as R
-from . import glyph, raster
+from ..sources.raw_frames import frames_at, raw_frames
+from . import glyph, media, raster
 from .common import EV, PX, big, map_sql, rgb_cte, whole
 from .media import AUDIO, ITEMS, TL, samples
 
@@ -43,9 +44,7 @@ def planes(spark, sf) -> DataFrame:
 
 def through_parquet(spark, df: DataFrame) -> DataFrame:
     """df as a sink's table and read back."""
-    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df)
 
 
 @query("photo_round_trip", f"WITH {PX} SELECT {big('frame_id x y yy uu vv')} FROM px")
@@ -57,30 +56,59 @@ def photo_round_trip(spark, sf):
 
 
 _VIDEO = "vi AS (SELECT *, frame_id // 4 AS video, frame_id % 4 AS number FROM px)"
+RECORD = W * H + 2 * (-(-W // 2) * -(-H // 2))
+
+
+def video_folder(spark, sf) -> str:
+    """Videos of four frames, appended frame by frame to a raw file each."""
+    own = planes(spark, sf).select(F.format_string("%012d.raw", F.floor(F.col("frame_id") / 4)).alias("name"), F.pmod("frame_id", F.lit(4)).alias("place"), F.concat("yp", "up", "vp").alias("content"))
+    folder = scratch(spark, "videos")
+    append_files(own, folder)
+    return folder
+
+
+def video_pixels(frames: DataFrame) -> DataFrame:
+    video = F.regexp_extract("file", r"(\d+)\.raw$", 1).cast("long")
+    px = R.to_pixels(R.from_raw(frames.withColumn("frame_id", video * 4 + F.col("frame")), W, H))
+    return px.select(F.floor(F.col("frame_id") / 4).alias("video"), F.pmod("frame_id", F.lit(4)).alias("number"), "x", "y", "yy", "uu", "vv")
 
 
 @query("video_append", f"WITH {PX}, {_VIDEO} SELECT {big('video number x y yy uu vv')} FROM vi")
 def video_append(spark, sf):
-    """Videos as frames one after another in one file; frame k is a slice at k times a frame's bytes."""
-    own = planes(spark, sf).select(F.floor(F.col("frame_id") / 4).alias("video"), F.pmod("frame_id", F.lit(4)).alias("k"), F.concat("yp", "up", "vp").alias("raw"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", F.hex("raw").alias("h")))), lambda s: s["h"])
-    videos = through_parquet(spark, own.groupBy("video").agg(F.unhex(F.array_join(parts, "")).alias("raw")))  # four frames each
-    cut = R.from_raw(R.fixed_records(videos, W * H + 2 * (-(-W // 2) * -(-H // 2))), W, H)
-    px = R.to_pixels(cut.withColumn("frame_id", F.col("video") * 4 + F.col("index")))
-    return px.select(F.floor(F.col("frame_id") / 4).alias("video"), F.pmod("frame_id", F.lit(4)).alias("number"), "x", "y", "yy", "uu", "vv")
+    """Videos as frames one after another in one file; frame k is read at k times a frame's bytes."""
+    return video_pixels(raw_frames(spark, video_folder(spark, sf), RECORD))
+
+
+@query("video_frame_range", f"WITH {PX}, {_VIDEO} SELECT {big('video number x y yy uu vv')} FROM vi WHERE number BETWEEN 1 AND 2")
+def video_frame_range(spark, sf):
+    """Two frames out of the middle of each file, by ranges of bytes."""
+    return video_pixels(raw_frames(spark, video_folder(spark, sf), RECORD, 1, 3))
+
+
+_NEXT = f"WITH {TL}, {PX}, a AS (SELECT video, frame AS base, ms AS base_ms, event_id * 7919 % 900000 AS delta_ms FROM tl)"
+
+
+@query("video_playback", f"""{_NEXT}, nx AS (SELECT video, base, coalesce((SELECT min(frame) FROM tl t WHERE t.video = a.video AND t.ms > a.base_ms + a.delta_ms), (SELECT max(frame) FROM tl t WHERE t.video = a.video)) AS next FROM a),
+su AS (SELECT frame_id, sum(yy) AS luma FROM px GROUP BY frame_id), pl AS (SELECT nx.*, nx.video % (SELECT max(frame_id) // 4 + 1 FROM su) * 4 + next % 4 AS frame_id FROM nx)
+SELECT {big('pl.video pl.base pl.next').replace('AS pl.', 'AS ')}, CAST(su.luma AS BIGINT) AS luma FROM pl LEFT JOIN su USING (frame_id)""")
+def video_playback(spark, sf):
+    """What a player shows that may skip frames: the next frame by elapsed time, fetched from its raw file; its luma summed up."""
+    folder, frames = video_folder(spark, sf), T.sliced_timeline(spark, sf)
+    shown = T.next_frame(frames, media.elapsed(frames))
+    files = table(spark, sf, "events").agg(F.floor(F.floor(F.max("event_id") / (W * H)) / 4) + 1).first()[0]  # one number
+    asks = shown.select("video", "base", "next", F.format_string(f"{folder}/%012d.raw", F.col("video") % files).alias("file"), (F.col("next") % 4).alias("frame"))
+    fetched = frames_at(asks, RECORD)
+    return fetched.select("video", "base", "next", F.aggregate(F.slice(R.byte_values("raw"), 1, W * H), F.lit(0).cast("long"), lambda a, x: a + x).alias("luma")).withColumn("luma", F.when(F.col("luma") > 0, F.col("luma")))
+
+
 
 
 @query("png_round_trip", raster.ORACLES["edge_luminance"])
 def png_round_trip(spark, sf):
     """Rendered frames as pictures in files of their own, read by binaryFile."""
-    made = X.png_files(apply(planes(spark, sf), KERNELS["edge_luminance"]))
-    folder = f"{shared_folder(spark)}/png-{uuid.uuid4().hex}"
-    named = made.select(F.format_string("%012d.png", "frame_id").alias("name"), "content")
-    if folder.startswith("/"):
-        X.write_each(named, folder).write.format("noop").mode("overwrite").save()
-        found = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("frame_id"), "content")
-    else:  # a store that only Spark's writers reach
-        found = through_parquet(spark, named).select(F.regexp_extract("name", r"(\d+)\.png$", 1).cast("long").alias("frame_id"), "content")
+    made, folder = X.png_files(apply(planes(spark, sf), KERNELS["edge_luminance"])), scratch(spark, "png")
+    write_files(made.select(F.format_string("%012d.png", "frame_id").alias("name"), "content"), folder)
+    found = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("frame_id"), "content")
     return rgb_pixels(X.png_frames(found, "frame_id"))
 
 

@@ -1,7 +1,7 @@
 """Frames as files: gzipped raw photos, PNG pictures and archives of pictures. One task writes whole files, a file a row.
 
-Files are made in tasks and stay columns until a sink writes them: as rows of Parquet, whose commit is whole or not at all, or one by one
-into a folder through a temporary name. What reads them back takes Spark's binaryFile rows (path, length, content).
+Files are made in tasks and stay columns until a sink writes them: as rows of Parquet, or as files of a folder (commit.py), all or none in either case.
+What reads them back takes Spark's binaryFile rows (path, length, content).
 """
 
 from __future__ import annotations
@@ -92,28 +92,6 @@ def png_frames(files: DataFrame, key: str) -> DataFrame:
     return files.select(key, "content").mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, width int, height int, rgb binary")
 
 
-def write_each(files: DataFrame, folder: str) -> DataFrame:
-    """Writes each row's content to folder/name through a temporary name, which a rename makes whole, and returns (name, length).
-
-    Lazily: files are written when the result is read. The folder is on a file system that all tasks see; a task that runs twice writes the same.
-    """
-    import os
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, contents = (c.to_pylist() for c in batch.columns)
-            for name, content in zip(names, contents):
-                path = os.path.join(folder, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = f"{path}.{os.getpid()}.part"
-                with open(part, "wb") as out:
-                    out.write(content)
-                os.replace(part, path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in contents], pa.int64())], ["name", "length"])
-
-    return files.select("name", "content").mapInArrow(run, "name string, length long")
-
-
 def zip_archives(files: DataFrame, key: str, name: str = "name", place: str = "place") -> DataFrame:
     """(key, content): one archive for each key with its files by place, all of them, the last too.
 
