@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import timeline as T
 from ..streaming import replay as S
 from ..streaming import rules as U
+from ..streaming.ending import over_ending_stream
 from .common import big, whole
 from .media import ORACLES as MEDIA
 from .media import TL, arrivals
@@ -44,6 +45,9 @@ def not_late(spark, sf):
     return arrivals(spark, sf), "event_id", U.NOT_LATE
 
 
+QUERIES["not_late"] = lambda spark, sf: whole(T.not_late(arrivals(spark, sf)))  # over a table a running maximum says the same, in slices of time
+
+
 @both("bounded_queue", f"""WITH RECURSIVE {TL}, q AS (
   SELECT video, frame, ms + {SERVICE_MS} AS free, []::BIGINT[] AS waiting, false AS lost FROM tl WHERE frame = 0
   UNION ALL SELECT video, frame, CASE WHEN lost THEN free ELSE begins + {SERVICE_MS} END, CASE WHEN NOT lost AND begins > ms THEN list_append(still, begins) ELSE still END, lost
@@ -84,6 +88,37 @@ def falling_drops(spark, sf):
     return frames.select("video", "frame", (F.col("frame") * STEP_MS).alias("ms")), "frame", U.falling_drops(TTL_MS, MOST_DROPS, ONE_IN)
 
 
+N_TILES, BUDGET_MS = 36, 50
+_COST = "1 + (event_id * 31 + i * 17 + video) % 23"
+_SPENT = f"list_transform(range(1, {N_TILES} + 1), lambda k: list_sum(turned[1:k]))"
+
+
+@both("tile_refresh", f"""WITH RECURSIVE {TL}, fr AS (SELECT video, frame, [{_COST} FOR i IN range({N_TILES})] AS costs FROM tl), q AS (
+  SELECT video, -1::BIGINT AS frame, 0::BIGINT AS cursor, 0::BIGINT AS first, []::BIGINT[] AS spent FROM fr WHERE frame = 0
+  UNION ALL SELECT video, frame, (cursor + drawn) % {N_TILES}, cursor, CAST(spent[1:drawn] AS BIGINT[])
+  FROM (SELECT *, least({N_TILES}, len(list_filter(spent, lambda x: x <= {BUDGET_MS})) + 1) AS drawn
+    FROM (SELECT video, frame, cursor, {_SPENT} AS spent FROM (SELECT f.video, f.frame, q.cursor, f.costs[q.cursor + 1:] || f.costs[:q.cursor] AS turned FROM q JOIN fr f ON f.video = q.video AND f.frame = q.frame + 1))))
+SELECT {big('video frame place')}, CAST((first + place) % {N_TILES} AS BIGINT) AS tile, CAST(spent_ms AS BIGINT) AS spent_ms
+FROM (SELECT video, frame, first, unnest(range(len(spent))) AS place, unnest(spent) AS spent_ms FROM q WHERE frame >= 0)""")
+def tile_refresh(spark, sf):
+    """The 36 effects of a grid, redrawn within 50 ms a frame; what an effect costs is a number of the frame and the effect."""
+    own = T.event_timeline(spark, sf)
+    costs = F.transform(F.sequence(F.lit(0), F.lit(N_TILES - 1)), lambda i: 1 + (F.col("event_id") * 31 + i * 17 + F.col("video")) % 23)
+    return own.select("video", "frame", costs.alias("costs")), "frame", U.tile_refresh(N_TILES, BUDGET_MS)
+
+
+def ending_drops(spark, sf):
+    """Falling drops as a stream whose idle videos are forgotten: what goes is the state of videos that have no more frames."""
+    frames = T.event_timeline(spark, sf)
+    at = F.timestamp_millis(F.col("frame") * STEP_MS + 86_400_000)  # the watermark begins at 1970, and what isn't later is late
+    rows = frames.select("video", "frame", (F.col("frame") * STEP_MS).alias("ms"), at.alias("at"))
+    rule = U.falling_drops(TTL_MS, MOST_DROPS, ONE_IN)
+    return whole(S.run(rows, "frame", lambda stream: over_ending_stream(stream, rule, "at", "0 seconds", 4 * TTL_MS)))
+
+
+QUERIES["stream_ending_drops"], ORACLES["stream_ending_drops"] = ending_drops, ORACLES["falling_drops"]
+
+
 SLICES = 3
 
 

@@ -1,52 +1,47 @@
-"""Tables replayed as streams: written in slices by an order, read back a slice a micro-batch, and run to the end."""
+"""Tables run through a stream to the end: what arrives in slices goes through a streaming transformation into a sink's table."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import scratch
+from .arrivals import delivered
 
 
-def write_slices(rows: DataFrame, by: str, slices: int) -> str:
-    """The folder of rows cut into so many ranges of ``by`` (whole numbers from 0), written one after another, so that a file stream reads them in order."""
-    folder = f"{shared_folder(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
-    end = rows.agg(F.max(by)).first()[0]
-    bounds = [(end + 1 if end is not None else 0) * k // slices for k in range(slices + 1)]
-    for low, high in zip(bounds, bounds[1:]):
-        rows.filter((F.col(by) >= low) & (F.col(by) < high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return folder
+def run(rows: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], slices: int = 3, key: str = "video") -> DataFrame:
+    """What a streaming transformation makes of rows, which arrive by ``by`` (whole numbers from 0): the sink's table, after all slices were read."""
+    spark, folder, schemas = rows.sparkSession, scratch(rows.sparkSession, "stream"), []
 
+    def write(stream: DataFrame):
+        made = build(stream)
+        schemas.append(made.schema)
+        return made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
 
-def replay(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """A stream of the slices, one each time. A live source takes its place by any other streaming reader of these columns."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    delivered(rows, by, key, "all", write, slices)
+    return spark.read.schema(schemas[0]).parquet(f"{folder}/out") if rows_written(spark, folder) else spark.createDataFrame([], schemas[0])
 
 
-def run(rows: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], slices: int = 3) -> DataFrame:
-    """What a streaming transformation makes of rows: the sink's table, after all slices were read."""
-    spark, folder = rows.sparkSession, write_slices(rows, by, slices)
-    made = build(replay(spark, folder, rows.schema))
-    writer = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    writer.start().awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+def rows_written(spark, folder: str) -> bool:
+    """Whether a stream has committed a batch to its sink."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def run_latest(rows: DataFrame, by: str, keys: list[str], slices: int = 3) -> DataFrame:
-    """A slot that holds one frame for each key: of each micro-batch its last row by ``by`` goes on, the others are lost.
+    """A slot that holds one frame for each key: of what arrives between two batches the source hands on the last row by ``by``; the others are lost.
 
     A batch is written to a folder of its own, in place of what an earlier try left there.
     """
-    spark, folder = rows.sparkSession, write_slices(rows, by, slices)
-    rest = [c for c in rows.columns if c not in keys]
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession, "stream")
 
     def hand_on(batch: DataFrame, number: int) -> None:
-        best = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("s")).select(*keys, "s.*")
-        best.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = replay(spark, folder, rows.schema).writeStream.foreachBatch(hand_on).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    query.start().awaitTermination()
+    (key,) = keys
+    delivered(rows, by, key, "latest", lambda stream: stream.writeStream.foreachBatch(hand_on).option("checkpointLocation", f"{folder}/state"), slices)
+    if not rows_written(spark, folder):
+        return rows.limit(0).select(F.lit(0).cast("long").alias("batch"), *rows.columns)
     return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(F.col("batch").cast("long"), *rows.columns)

@@ -1,4 +1,4 @@
-"""Rules that carry state along a stream of frames: late frames, a bounded queue, a persistent grid and falling drops.
+"""Rules that carry state along a stream of frames: late frames, a bounded queue, a persistent grid, falling drops and tiles redrawn in turn.
 
 A rule is a step from (state, row) to (state, rows). It runs in two ways that give the same rows: over a table, each key's rows in
 order, and over a stream by Spark's keyed state, where a micro-batch's rows are put in order and later ones come in later batches.
@@ -66,6 +66,25 @@ def over_stream(rows: DataFrame, rule: Rule) -> DataFrame:
     return own.applyInPandasWithState(run, rule.out, rule.state, "append", GroupStateTimeout.NoTimeout)
 
 
+def tile_refresh(n_tiles: int, budget_ms: int) -> Rule:
+    """A grid of tiles redrawn in turn, each frame as many as its time allows: the cursor goes on where the last frame stopped.
+
+    Rows have what each tile costs in their frame, in ms, by tile. A frame draws tiles until their costs have passed the budget or each has been drawn once; one at
+    least. Without a budget (a negative one) all are drawn. Gives (video, frame, place, tile, spent_ms) in the order they are drawn. The state is the cursor.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        (cursor,), (video, frame, costs) = state, row
+        spent, out = 0, []
+        while len(out) < n_tiles and (budget_ms < 0 or spent <= budget_ms):
+            spent += int(costs[cursor])
+            out.append((video, frame, len(out), cursor, spent))
+            cursor = (cursor + 1) % n_tiles
+        return (cursor,), out
+
+    return Rule(("video", "frame", "costs"), ("frame",), "cursor int", "video long, frame long, place long, tile long, spent_ms long", (0,), step)
+
+
 def _late(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
     (latest,), (video, event_id, ms) = state, row
     return ((max(latest, ms),), [(video, event_id, ms)] if latest <= ms else [])

@@ -53,6 +53,16 @@ def test_grid_begins_anew_with_its_size():
     assert count[0] == 600 and 1 <= count[1] <= 2 and count[2] == 300 and count[3] == 600
 
 
+def test_tiles_take_turns():
+    rule = U.tile_refresh(4, 50)
+    got = steps(rule, [(1, 0, [20, 20, 20, 20]), (1, 1, [60, 1, 1, 1]), (1, 2, [1, 60, 1, 1]), (1, 3, [1, 1, 1, 1])])
+    # the third tile passes the budget; the next frame begins with the fourth and stops after the first, which costs 60
+    assert [(f, t) for _, f, _, t, _ in got] == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 0), (2, 1), (3, 2), (3, 3), (3, 0), (3, 1)]
+    assert [s for *_, s in got][:5] == [20, 40, 60, 1, 61]
+    everything = steps(U.tile_refresh(3, -1), [(1, 0, [1000, 1, 1]), (1, 1, [1, 1, 1])])
+    assert [t for *_, t, _ in everything] == [0, 1, 2, 0, 1, 2]
+
+
 def test_stream_equals_table(spark):
     rng = random.Random(2)
     rows = spark.createDataFrame([(k % 3, k, k * 10 - rng.choice([0, 0, 400])) for k in range(200)], "video long, event_id long, ms long")
