@@ -15,6 +15,7 @@ from ..operators import timeline as T
 from ..operators.planes import KERNELS, apply, resized, rgb_pixels
 from ..session import scratch, staged, table
 from ..sinks import files as X
+from ..sinks import mux as M
 from ..sinks.commit import append_files, write_files
 from ..sources import ebml as E
 from ..sources import frames as R
@@ -194,6 +195,62 @@ def ebml_durations(spark, sf):
     return doubles.join(rest, "video")
 
 
+# Muxing: a user's events in turn as pictures and as packets of sound, 37 ms apart; a page has three packets of up to 599 bytes
+
+PER, SPAN_MS = 3, 2000
+
+
+def to_mux(spark, sf) -> DataFrame:
+    """The placed blocks of each video."""
+    frames = T.sliced_timeline(spark, sf).select("video", "frame", (F.col("frame") * 37).alias("at"), "event_id")
+    pictures = frames.filter("frame % 2 = 0").select("video", F.col("frame").alias("number"), "at", F.unhex(F.lpad(F.hex("event_id"), 16, "0")).alias("payload"))
+    packet = F.unhex(F.repeat(F.lpad(F.hex(F.col("event_id") % 256), 2, "0"), (F.col("event_id") * 37 % 600).cast("int")))
+    packets = frames.filter("frame % 2 = 1").select("video", F.floor(F.col("frame") / 2).alias("number"), "at", packet.alias("packet"))
+    return M.placed(M.blocks(pictures, M.pages(packets, PER)), SPAN_MS)
+
+
+def muxed(spark, sf) -> DataFrame:
+    """(video, length, data): the files as they are read back."""
+    folder = scratch(spark, "muxed")
+    append_files(M.pieces(to_mux(spark, sf)).withColumn("name", F.format_string("%012d.webm", "video")), folder)
+    found = spark.read.format("binaryFile").load(folder)
+    return found.select(F.regexp_extract("path", r"(\d+)\.webm$", 1).cast("long").alias("video"), "length", F.col("content").alias("data"))
+
+
+_MUX = TL + f""", ev2 AS (SELECT video, frame, event_id, frame * 37 AS "at" FROM tl), pk AS (SELECT video, frame // 2 // {PER} AS number, frame // 2 % {PER} AS k, "at", event_id, event_id * 37 % 600 AS n FROM ev2 WHERE frame % 2 = 1),
+pg AS (SELECT video, number, min("at") AS "at", sum(n) AS n, count(*) AS packets, coalesce(sum(n // 255 + 1) FILTER (k < m), 0) AS sizes FROM (SELECT *, max(k) OVER (PARTITION BY video, number) AS m FROM pk) GROUP BY ALL),
+bo AS (SELECT video, 'v' AS kind, frame AS number, "at", "at" AS by_, 8 AS payload FROM ev2 WHERE frame % 2 = 0 UNION ALL
+  SELECT video, 'a', number, "at", coalesce(lead("at") OVER (PARTITION BY video ORDER BY number), "at" + 1000), n + CASE WHEN packets > 1 THEN 1 + sizes ELSE 0 END FROM pg),
+po AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY by_, kind, number) - 1 AS block FROM bo),
+cu AS (SELECT *, CASE WHEN lag("at" // {SPAN_MS}) OVER (PARTITION BY video ORDER BY block) = "at" // {SPAN_MS} THEN 0 ELSE 1 END AS cut FROM po),
+mb AS (SELECT *, sum(cut) OVER (PARTITION BY video ORDER BY block) - 1 AS cluster FROM cu)"""
+
+
+@query("ebml_mux", f"""WITH {_MUX} SELECT {big('mb.video mb.block mb.cluster').replace('AS mb.', 'AS ')}, 1::BIGINT AS track, CAST(mb."at" AS BIGINT) AS "at", 0::BIGINT AS k, printf('%016X', event_id) AS packet FROM mb JOIN ev2 ON ev2.video = mb.video AND ev2.frame = mb.number WHERE kind = 'v'
+UNION ALL SELECT {big('mb.video mb.block mb.cluster').replace('AS mb.', 'AS ')}, 2::BIGINT, CAST(mb."at" AS BIGINT), CAST(k AS BIGINT), repeat(printf('%02X', event_id % 256), CAST(pk.n AS BIGINT)) FROM mb JOIN pk ON pk.video = mb.video AND pk.number = mb.number WHERE kind = 'a'""")
+def ebml_mux(spark, sf):
+    """Muxed files parsed again: the packets of all blocks, with their clusters and times."""
+    found = M.unmuxed(E.parse(muxed(spark, sf), "video"))
+    return found.withColumn("packet", F.hex("packet"))
+
+
+_vlen = lambda n: f"CASE WHEN {n} < 127 THEN 1 WHEN {n} < 16383 THEN 2 WHEN {n} < 2097151 THEN 3 WHEN {n} < 268435455 THEN 4 ELSE 5 END"
+_front = len(M.info(0.0) + M.TRACKS)
+
+
+@query("ebml_mux_sizes", f"""WITH {_MUX}, bs AS (SELECT video, cluster, "at", payload + 4 AS s FROM mb), cs AS (SELECT video, cluster, min("at") AS t, sum(1 + ({_vlen('s')}) + s) AS n FROM bs GROUP BY ALL),
+cc AS (SELECT video, cluster, 2 + CASE WHEN t < 256 THEN 1 WHEN t < 65536 THEN 2 WHEN t < 16777216 THEN 3 ELSE 4 END + n AS size FROM cs), ss AS (SELECT video, {_front} + sum(4 + ({_vlen('size')}) + size) AS size FROM cc GROUP BY video)
+SELECT {big('video')}, -1::BIGINT AS cluster, CAST(size AS BIGINT) AS size, CAST({len(M.HEADER)} + 4 + ({_vlen('size')}) + size AS BIGINT) AS length FROM ss UNION ALL SELECT {big('video cluster size')}, NULL::BIGINT FROM cc""")
+def ebml_mux_sizes(spark, sf):
+    """The sizes that segments and clusters tell, and the files' own."""
+    files = muxed(spark, sf)
+    found = E.parse(files, "video")
+    whole_ = found.filter("id = '18538067'").select("video", F.lit(-1).cast("long").alias("cluster"), "size").join(files.select("video", "length"), "video")
+    own = found.filter("id = '1f43b675'").select("video", F.col("place").cast("long").alias("place"), "size")
+    numbered = T.running(T.sliced(own, "video", ["place"]), "video", ["place"], {"cluster": T.Running("count", F.lit(1))})
+    return whole_.unionByName(numbered.select("video", "cluster", "size", F.lit(None).cast("long").alias("length")))
+
+
 # Audio, sizes and the catalog
 
 @query("mic_trim", f"WITH {AUDIO} SELECT CAST(stream AS BIGINT) AS stream, CAST(idx - 2205 AS BIGINT) AS idx, CAST(s AS BIGINT) AS s FROM (SELECT stream // 5 AS stream, stream % 5 * 2000 + idx AS idx, s FROM au) WHERE idx BETWEEN 2205 AND 2204 + 120 * 44100")

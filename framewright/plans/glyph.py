@@ -41,6 +41,12 @@ def ascii_cells_fixed(spark, sf):
     return L.cells(R.event_pixels(spark, sf), TALL, W, H, len(CHARS), "fixed", (1, 2, 3))
 
 
+@query("ascii_cells_portrait", f'WITH {PX}, {GLYPH_RGB}, {MEANS.replace("y // 5 AS", "x // 4 AS").replace("x // 4 AS col", "4 - y // 5 AS col")}, {FULL} SELECT CAST(frame_id AS BIGINT) AS frame_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, idx, r, g, b FROM full_')
+def ascii_cells_portrait(spark, sf):
+    """Cells of a frame that is held upright: rows of characters run along x, and columns back along y."""
+    return L.cells(R.event_pixels(spark, sf), TALL, W, H, len(CHARS), "full")
+
+
 @query("ascii_cells_full", f'{BASE}, {FULL} SELECT CAST(frame_id AS BIGINT) AS frame_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, idx, r, g, b FROM full_')
 def ascii_cells_full(spark, sf):
     return L.cells(R.event_pixels(spark, sf), GRID, W, H, len(CHARS), "full")

@@ -45,29 +45,41 @@ def _vint(data: bytes, at: int, marked: bool) -> tuple[int, int]:
     return (n if marked else n & ~(1 << 7 * width)), at + width
 
 
-def elements(data: bytes) -> Iterator[tuple[int, int, int | None, str, int, int, bytes | None]]:
+def _level(id: str) -> int:
+    """How deep an element with an id of four bytes lies: the header and a segment at the top, others in a segment."""
+    return 0 if id in ("1a45dfa3", "18538067") else 1
+
+
+def elements(data: bytes) -> Iterator[tuple[int, int, int | None, str, int, int | None, bytes | None]]:
     """(place, depth, parent, id, offset, size, value) of the elements in order; value is null for containers.
 
-    A container ends where its size says, empty ones at once. What is damaged or cut off ends the file, without an error.
+    A container ends where its size says, empty ones at once. One of unknown size (all ones; its size is null here) ends before the next element with an id of four bytes that
+    isn't deeper than itself, or with the container around it. What is damaged or cut off ends the file, without an error.
     """
     at, place, open_ = 0, 0, []
     while at < len(data):
-        while open_ and at >= open_[-1][1]:
+        while open_ and open_[-1][1] is not None and at >= open_[-1][1]:
             open_.pop()
         offset = at
         try:
             number, at = _vint(data, at, True)
+            sized = at
             size, at = _vint(data, at, False)
         except (ValueError, IndexError):
             return
         id = f"{number:x}"
         id = id if len(id) % 2 == 0 else f"0{id}"
+        unknown = size == (1 << 7 * (at - sized)) - 1
+        if len(id) == 8:
+            while (k := next((k for k, o in enumerate(open_) if o[2] is not None and o[2] >= _level(id)), None)) is not None:
+                del open_[k:]
         parent = open_[-1][0] if open_ else None
         if is_container(id):
-            yield place, len(open_), parent, id, offset, size, None
-            open_.append((place, at + size))
+            yield place, len(open_), parent, id, offset, None if unknown else size, None
+            around = next((o[1] for o in reversed(open_) if o[1] is not None), None)
+            open_.append((place, around, _level(id)) if unknown else (place, at + size, None))
         else:
-            if at + size > len(data):
+            if unknown or at + size > len(data):
                 return
             yield place, len(open_), parent, id, offset, size, data[at : at + size]
             at += size

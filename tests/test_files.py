@@ -68,3 +68,45 @@ def test_numbers_of_elements():
 def test_parse_of_missing_files(spark):
     files = spark.createDataFrame([(0, None), (1, bytearray())], "k int, data binary")
     assert E.parse(files, "k").count() == 0
+
+
+def test_containers_of_unknown_size():
+    """Clusters without a size end where the next begins; a segment without one at the end of the file; known ones inside hold."""
+    unknown = lambda id, body, width=8: bytes.fromhex(id) + ((1 << 7 * width + 1) - 1).to_bytes(width, "big") + body
+    block = lambda k: E.element("a3", bytes([k]))
+    clusters = [unknown("1f43b675", E.element("e7", E.integer(k)) + block(k) + block(k + 1), w) for k, w in ((0, 8), (1, 1), (2, 4))]
+    data = E.element("1a45dfa3", [E.element("4286", b"\x01")]) + unknown("18538067", E.element("1549a966", [E.element("2ad7b1", b"\x01")]) + b"".join(clusters) + E.element("1654ae6b", [E.element("ae", [])]))
+    got = [(f[1], f[2], f[3], f[5]) for f in E.elements(data)]
+    segment = 2
+    want = [(0, None, "1a45dfa3", 4), (1, 0, "4286", 1), (0, None, "18538067", None), (1, segment, "1549a966", 5), (2, 3, "2ad7b1", 1)]
+    for k in range(3):
+        want += [(1, segment, "1f43b675", None), (2, 5 + 4 * k, "e7", 1), (2, 5 + 4 * k, "a3", 1), (2, 5 + 4 * k, "a3", 1)]
+    assert got == [*want, (1, segment, "1654ae6b", 2), (2, 17, "ae", 0)]
+    twice = list(E.elements(data + data))
+    assert [(f[1], f[3]) for f in twice] == 2 * [(f[1], f[3]) for f in E.elements(data)]
+    inside = E.element("18538067", [unknown("1f43b675", block(7))]) + block(9)
+    assert [(f[1], f[3]) for f in E.elements(inside)] == [(0, "18538067"), (1, "1f43b675"), (2, "a3"), (0, "a3")]
+
+
+def test_lacing_and_clusters(spark):
+    """Packets of any size come back; clusters begin anew before a block's 15 bits of time are used up."""
+    from framewright.sinks import mux as M
+
+    sizes = [0, 1, 254, 255, 256, 509, 510, 511, 3, 0, 255, 7, 40]
+    rows = [(1, k, 20_000 * k, bytearray([k] * n)) for k, n in enumerate(sizes)]
+    packets = spark.createDataFrame(rows, "video long, number long, at long, packet binary")
+    for per in (1, 2, 5):
+        pages = {r["number"]: r for r in M.pages(packets, per).collect()}
+        back = [p for n in sorted(pages) for p in M.packets_of(bytes([2, 0, 0, M.XIPH if pages[n]["laced"] else 0]) + bytes(pages[n]["payload"]))]
+        assert back == [bytes(r[3]) for r in rows] and [pages[n]["at"] for n in sorted(pages)] == [20_000 * k for k in range(0, 13, per)]
+    video = spark.createDataFrame([(1, k, 9_000 * k, bytearray(b"x")) for k in range(40)], "video long, number long, at long, payload binary")
+    own = M.placed(M.blocks(video, M.pages(packets, 2)))
+    data = b"".join(bytes(r["content"]) for r in M.pieces(own).orderBy("place").collect())
+    files = spark.createDataFrame([(1, bytearray(data))], "video long, data binary")
+    found = M.unmuxed(E.parse(files, "video")).orderBy("block", "k").collect()
+    assert [bytes(r["packet"]) for r in found if r["track"] == 2] == [bytes(r[3]) for r in rows]
+    assert [r["at"] for r in found if r["track"] == 1] == [9_000 * k for k in range(40)]
+    order = own.orderBy("place").select("kind", "at", "cluster").collect()
+    assert [(1 if r["kind"] == "v" else 2, r["at"], r["cluster"]) for r in order] == [(r["track"], r["at"], r["cluster"]) for r in found if r["k"] == 0]
+    with pytest.raises(ValueError):
+        M.placed(own, 40_000)
