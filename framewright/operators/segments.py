@@ -6,7 +6,11 @@ pixel works out those of its own cell and the eight around it in place. There is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import jitter
@@ -65,3 +69,72 @@ def stained_glass(px: DataFrame, width: int, height: int, spacing: int, thicknes
     edge = segment_edges(own, width, height, thickness).withColumn("edge", F.lit(True))
     filled = own.select("frame_id", "x", "y", "seg").join(segment_colours(own, variation), ["frame_id", "seg"]).join(edge, ["frame_id", "x", "y"], "left")
     return filled.select("frame_id", "x", "y", *[F.when(F.col("edge"), c).otherwise(F.col(n)).alias(n) for c, n in zip(edge_colour, "rgb")])
+
+
+# Seeds in rows of different lengths: a row is a band of ``spacing`` lines, with any number of seeds anywhere in it
+
+
+def numbered(seeds: DataFrame) -> DataFrame:
+    """(frame_id, row, seg, sx, sy) of seeds (frame_id, row, k, sx, sy): segments are numbered row by row, so a row begins at the sum of the sizes of those before it."""
+    # a frame has no more seeds than pixels
+    return seeds.withColumn("seg", (F.row_number().over(Window.partitionBy("frame_id").orderBy("row", "k")) - 1).cast("int")).drop("k")
+
+
+def nearest_of_rows(width: int, height: int, spacing: int, row: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+    """The nearest of a frame's seeds for each pixel, the first of those that tie; -1 if there is none. row is ascending, and sy lies in its row's band.
+
+    Each pixel looks through its own row and then through rows farther and farther off, and within a row from its place in the order of sx to either side. It stops
+    on a side when the difference in x alone, and in a direction when the distance to the row's band alone, is more than the best distance found; what lies
+    beyond is farther in either case.
+    """
+    out, best = np.full(width * height, -1), np.full(width * height, np.iinfo(np.int64).max)
+    if not len(row):
+        return out.reshape(height, width)
+    order = np.lexsort((sx, row))
+    xs, ys, seg, stride = sx[order], sy[order], order, width + 1
+    key = row[order] * stride + xs
+    n_rows = -(-height // spacing)
+    first = np.searchsorted(key, np.arange(n_rows + 1) * stride)  # of each row, by the sizes of those before it
+    x, y = np.tile(np.arange(width), height), np.repeat(np.arange(height), width)
+
+    def look(at: np.ndarray, of_row: np.ndarray, step: int) -> None:
+        j = np.searchsorted(key, of_row * stride + x[at]) - (step < 0)
+        while len(at):
+            there = (j >= first[of_row]) & (j < first[of_row + 1])
+            at, of_row, j = at[there], of_row[there], j[there]
+            off = x[at] - xs[j]
+            near = off * off <= best[at]
+            at, of_row, j, off = at[near], of_row[near], j[near], off[near]
+            d = off * off + (y[at] - ys[j]) ** 2
+            better = (d < best[at]) | ((d == best[at]) & (seg[j] < out[at]))
+            best[at[better]], out[at[better]] = d[better], seg[j[better]]
+            j = j + step
+
+    for off in range(n_rows):
+        looked = False
+        for sign in (1, -1) if off else (1,):
+            of_row = y // spacing + sign * off
+            gap = np.maximum(0, np.where(of_row * spacing > y, of_row * spacing - y, y - ((of_row + 1) * spacing - 1)))
+            at = np.flatnonzero((of_row >= 0) & (of_row < n_rows) & (gap * gap <= best))
+            looked |= len(at) > 0
+            for step in (1, -1):
+                look(at, of_row[at], step)
+        if not looked:
+            break
+    return out.reshape(height, width)
+
+
+def assigned_by_rows(px: DataFrame, seeds: DataFrame, width: int, height: int, spacing: int) -> DataFrame:
+    """px with seg, that of the nearest of its frame's seeds numbered() so; null in a frame without seeds. A frame's seeds are one row beside it; no pixel meets all of them."""
+    own = numbered(seeds).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("seg", "row", "sx", "sy"))).alias("s"))
+    maps = px.select("frame_id").distinct().join(own, "frame_id", "left").select("frame_id", *[F.col(f"s.{c}").cast("array<int>").alias(c) for c in ("row", "sx", "sy")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame, *seed in zip(*(c.to_pylist() for c in batch.columns)):
+                found = nearest_of_rows(width, height, spacing, *(np.array(v or [], np.int64) for v in seed))
+                at = np.arange(width * height)
+                seg = pa.array(found.ravel(), pa.int32(), mask=found.ravel() < 0)
+                yield pa.RecordBatch.from_arrays([pa.array([frame] * len(at), pa.int64()), pa.array(at % width, pa.int32()), pa.array(at // width, pa.int32()), seg], ["frame_id", "x", "y", "seg"])
+
+    return px.join(maps.mapInArrow(run, "frame_id long, x int, y int, seg int"), ["frame_id", "x", "y"])

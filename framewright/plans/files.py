@@ -21,7 +21,7 @@ from ..sources import ebml as E
 from ..sources import frames as R
 from ..sources.raw_frames import frames_at, raw_frames
 from . import glyph, media, raster
-from .common import EV, PX, big, map_sql, rgb_cte, whole
+from .common import EV, PX, big, map_sql, rgb_cte, rgb_sql, whole
 from .media import AUDIO, ITEMS, TL, samples
 
 W, H = R.EVENT_W, R.EVENT_H
@@ -145,6 +145,20 @@ def thumbnails(spark, sf):
     return rgb_pixels(X.png_frames(through_parquet(spark, made.select("frame_id", "content")), "frame_id"))
 
 
+_half = "hf AS (SELECT frame_id, x // 2 AS x, y // 2 AS y, uu, vv FROM px WHERE x % 2 = 0 AND y % 2 = 0)"
+_HW, _HH = -(-W // 2), -(-H // 2)
+_r, _g, _b = rgb_sql("s.yy", "a.uu", "b.vv")
+
+
+@query("thumbnails_colour", f"WITH {PX}, {_half}, {_small}, {raster.resize_sql('hf', 'uu', _HW, _HH, 10, 6, 'su')}, {raster.resize_sql('hf', 'vv', _HW, _HH, 10, 6, 'sv')} SELECT {big('s.frame_id s.x s.y').replace('AS s.', 'AS ')}, {_r} AS r, {_g} AS g, {_b} AS b FROM small s JOIN su a ON a.frame_id = s.frame_id AND a.x = s.x // 2 AND a.y = s.y // 2 JOIN sv b ON b.frame_id = s.frame_id AND b.x = s.x // 2 AND b.y = s.y // 2")
+def thumbnails_colour(spark, sf):
+    """Luma at a thumbnail's size and chroma at half of it, as pictures in colour and back."""
+    from ..operators.planes import rgb_fixed
+
+    made = apply(planes(spark, sf), lambda p: rgb_fixed(*resized(p, 20, 12))).withColumns({"width": F.lit(20), "height": F.lit(12)})
+    return rgb_pixels(X.png_frames(through_parquet(spark, X.png_files(made).select("frame_id", "content")), "frame_id"))
+
+
 # EBML: a file for each video, with a block of sound for each of its events
 
 _EB = TL + """, bl AS (SELECT video, frame, frame * 37 AS ms, printf('%016X', event_id) AS d FROM tl)"""

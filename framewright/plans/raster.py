@@ -288,6 +288,39 @@ def stained_glass(spark, sf):
     return S.stained_glass(R.event_pixels(spark, sf), W, H, SPACING, 2, (20, 30, 40))
 
 
+# Seeds in rows of one to four, drawn anew for each frame
+
+_uneven = f"""fm AS (SELECT DISTINCT frame_id FROM ev), rw AS (SELECT frame_id, c AS cy, 1 + (frame_id * 7 + c * 5) % 4 AS n FROM fm, range({-(-H // SPACING)}) t(c)),
+sd0 AS (SELECT frame_id, cy, unnest(range(n)) AS k FROM rw), sd AS (SELECT frame_id, cy, row_number() OVER (PARTITION BY frame_id ORDER BY cy, k) - 1 AS seg, (frame_id * 31 + cy * 17 + k * (k + 3) * 11) % {W} AS sx,
+  least({H - 1}, cy * {SPACING} + (frame_id * 13 + cy * 7 + k * 5) % {SPACING}) AS sy FROM sd0)"""
+_uneven_seg = "seg AS (SELECT * FROM (SELECT rgb.*, sd.seg, row_number() OVER (PARTITION BY rgb.frame_id, x, y ORDER BY (x - sx) * (x - sx) + (y - sy) * (y - sy), sd.seg) AS place FROM rgb JOIN sd USING (frame_id)) WHERE place = 1)"
+
+
+def uneven_seeds(spark, sf) -> DataFrame:
+    """(frame_id, row, k, sx, sy)."""
+    f, row, k = F.col("frame_id"), F.col("row"), F.col("k")
+    rows = R.event_pixels(spark, sf).select("frame_id").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(-(-H // SPACING) - 1))))
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), (f * 7 + row * 5) % 4)))
+    return each.withColumns({"sx": (f * 31 + row * 17 + k * (k + 3) * 11) % W, "sy": F.least(F.lit(H - 1), row * SPACING + (f * 13 + row * 7 + k * 5) % SPACING)})
+
+
+@query("uneven_seeds", f"WITH {EV}, {_uneven} SELECT {big('frame_id seg sx sy')}, CAST(cy AS BIGINT) AS row, CAST(count(*) OVER (PARTITION BY frame_id) AS BIGINT) AS total FROM sd")
+def uneven_seeds_query(spark, sf):
+    """The segments by number, and how many a frame has in all its rows."""
+    own = S.numbered(uneven_seeds(spark, sf))
+    return own.join(own.groupBy("frame_id").agg(F.count(F.lit(1)).alias("total")), "frame_id")
+
+
+@query("uneven_assign", f"WITH {PX}, {rgb_cte()}, {_uneven}, {_uneven_seg} SELECT {big('frame_id x y seg')} FROM seg")
+def uneven_assign(spark, sf):
+    return S.assigned_by_rows(R.event_pixels(spark, sf), uneven_seeds(spark, sf), W, H, SPACING).select("frame_id", "x", "y", "seg")
+
+
+@query("uneven_colours", f"WITH {PX}, {rgb_cte()}, {_uneven}, {_uneven_seg}, {COLOURS} SELECT {big('frame_id seg n r g b')} FROM cols")
+def uneven_colours(spark, sf):
+    return S.segment_colours(S.assigned_by_rows(R.event_pixels(spark, sf), uneven_seeds(spark, sf), W, H, SPACING))
+
+
 # Backgrounds: two cells across, one down
 
 CELLS = (((255, 0, 0, 0, 255, 0, 0, 0, 255, 255, 255, 0), (0, 255, 0, 255, 0, 0, 255, 255, 0, 0, 0, 255)),)

@@ -38,3 +38,22 @@ def test_oil_at_full_size_stays_small():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out.shape == (3, 405, 720) and most < 200e6, most
+
+
+def test_seeds_of_uneven_rows():
+    """Against all pairs, with ties, empty rows and none at all."""
+    from framewright.operators import segments as S
+
+    rng = np.random.default_rng(4)
+    for width, height, spacing, most in ((1, 1, 1, 1), (40, 25, 8, 4), (33, 50, 7, 2), (60, 9, 3, 12), (20, 40, 5, 0)):
+        for _ in range(4):
+            row = np.sort(np.repeat(np.arange(-(-height // spacing)), rng.integers(0, most + 1, -(-height // spacing))))
+            sx = rng.integers(0, width, len(row))
+            sy = np.minimum(height - 1, row * spacing + rng.integers(0, spacing, len(row)))
+            got = S.nearest_of_rows(width, height, spacing, row, sx, sy)
+            if not len(row):
+                assert (got == -1).all()
+                continue
+            y, x = np.mgrid[:height, :width]
+            d = (x[..., None] - sx) ** 2 + (y[..., None] - sy) ** 2
+            assert (got == d.argmin(-1)).all()
