@@ -4,9 +4,11 @@ P(word | before) = P(class | before) * P(slot | class, before) * P(word | the cl
 so unseen words have one too; a slot is one of a class's most frequent words or its rest, within which words share by counts.
 Both softmaxes sum weights of hashed features: the word before, the one before that (a skip), and the two together (an n-gram).
 Weights start from counts and are trained by distributed gradient updates: each round takes the gradient over another part of the
-training documents (by a hash of id and text), Spark adds the tasks' tables up, and the driver makes the step. The tables grow with the
-square root of the number of training tokens, up to MOST_ROWS for each feature, as a driver and every worker hold them whole; what
-grows without a bound (words and their counts) stays in Spark tables and is shuffled.
+training documents (by a hash of id and text), Spark adds the tasks' tables up, and the driver makes the step. The tables have twice the
+square root of the number of training tokens as rows for each feature; as a driver and every worker hold them whole, ``most_rows`` bounds them, and a
+warning says so where it does. What grows without a bound (words and their counts) stays in Spark tables and is shuffled.
+
+A word's key has 59 bits of its hash and 5 of its class, so counts and the number of distinct words are exact up to some 10^8 distinct words.
 
 Documents are kept as *chunks*: their word keys, and each token as a place in them. A chunk's keys are joined to the corpus
 counts by key and come back to their chunk, so no task needs the whole vocabulary.
@@ -14,6 +16,7 @@ counts by key and come back to their chunk, so no task needs the whole vocabular
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +33,10 @@ from ._words import Words, chunks, mix64
 
 CHUNK_TOKENS = 4_000_000
 CLASSES, SLOTS = 32, 32
-#: Rows for each feature: half the square root of the number of training tokens, as a power of two within these. Larger tables don't fit in
-#: the caches of a machine whose cores all add to theirs, and take twice the time.
-LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 16
+#: Rows for each feature: twice the square root of the number of training tokens, as a power of two from the least on. The most take 100 MB for each of the
+#: class and the slot tables, and are reached with 10^10 tokens and more.
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 18
+_LOG = logging.getLogger(__name__)
 FEATURES = 3
 END_CLASS = CLASSES - 1
 ROUNDS = 3
@@ -124,30 +128,65 @@ def alike_tokens(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield order[own[:-1]], size, order[own[0] : own[-1]], np.repeat(np.arange(len(size)), size)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _summed_weights(table: np.ndarray, n_rows: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """What the features' rows of a table and the bias add up to, less the greatest of each token, for which exp() is 1."""
+    x = np.take(table, rows[0], 0)
+    for t in range(1, FEATURES):
+        x += np.take(table, t * n_rows + rows[t], 0)
+    x += bias
     x -= x.max(1, keepdims=True)
+    return x
+
+
+def _logs(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _shares(x: np.ndarray) -> np.ndarray:
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def class_weights(model: Model, rows: np.ndarray) -> np.ndarray:
+    return _summed_weights(model.w1, model.rows, rows, model.class_bias)
+
+
+def slot_weights(model: Model, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return _summed_weights(model.w2, model.rows, rows, model.slot_bias[cls])
+
+
 def log_class(model: Model, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(model.class_bias + sum(model.w1[t * model.rows + rows[t]] for t in range(FEATURES)))
+    return _logs(class_weights(model, rows))
 
 
 def log_slot(model: Model, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return _log_softmax(model.slot_bias[cls] + sum(model.w2[t * model.rows + rows[t]] for t in range(FEATURES)))
+    return _logs(slot_weights(model, rows, cls))
 
 
 def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds each row of values to the row of a table of MOST_ROWS at most."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    """Adds each row of values to the row of a table. Rows that come once, most of them, are added as they are."""
+    order = np.argsort(rows.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32), kind="stable")
     names = rows[order]
     at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    table[names[at]] += np.add.reduceat(values[order], at, axis=0)
+    size = np.diff(np.append(at, len(names)))
+    once = size == 1
+    table[names[at[once]]] += np.take(values, order[at[once]], 0)
+    if not once.all():
+        several = ~once
+        start = np.cumsum(size[several]) - size[several]
+        table[names[at[several]]] += np.add.reduceat(np.take(values, order[np.repeat(several, size)], 0), start, axis=0)
+
+
+def _add_ordered(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """_add() for rows that ascend."""
+    at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    table[rows[at]] += values if len(at) == len(rows) else np.add.reduceat(values, at, axis=0)
 
 
 def _count(table: np.ndarray, cells: np.ndarray) -> None:
-    """Adds one to a table's cells, by their places in it."""
-    table += np.bincount(cells.ravel(), minlength=table.size).reshape(table.shape).astype(np.float32)
+    """Adds one to a table's cells, by their places in it: only those are touched, however large it is."""
+    np.add.at(table.reshape(-1), cells.ravel(), np.float32(1))
 
 
 def _chunks(kind: pa.DataType):
@@ -248,10 +287,11 @@ def _gradient(shared: Broadcast, n_rows: int, step: int | None):
                     for table, rows, hashes in ((0, own.first, own.alike), (1, own.second, own.alike_in)):
                         for one, n, _, _ in alike_tokens(hashes):
                             part = rows[:, one]
-                            log = log_slot(model, part, own.cls[one]) if table else log_class(model, part)
-                            p = np.exp(log) * n[:, None].astype(np.float32)
-                            for t in range(FEATURES):
-                                _add(expected[table][t * n_rows : (t + 1) * n_rows], part[t], p)
+                            p = _shares(slot_weights(model, part, own.cls[one]) if table else class_weights(model, part))
+                            p *= n[:, None].astype(np.float32)
+                            # the last feature's rows are the first bits of the hash by which tokens are in order
+                            for t, add in enumerate((*[_add] * (FEATURES - 1), _add_ordered)):
+                                add(expected[table][t * n_rows : (t + 1) * n_rows], part[t], p)
         at = 0
         for table in (*seen, *expected):
             some = np.flatnonzero(table.any(1))
@@ -262,7 +302,7 @@ def _gradient(shared: Broadcast, n_rows: int, step: int | None):
 
 
 def _summed(chunked: DataFrame, model: Model, step: int | None) -> np.ndarray:
-    """The tables of all tasks, added up by Spark: 4 * FEATURES * MOST_ROWS rows at most, whatever the input."""
+    """The tables of all tasks, added up by Spark: 4 * FEATURES * most_rows rows at most, whatever the input."""
     columns = "row int, " + ", ".join(f"v{k} float" for k in range(CLASSES))
     tasks = gathered(chunked.select("held_out", "turns", "n_tokens", "tokens", "keys"))
     shared = chunked.sparkSession.sparkContext.broadcast(model)
@@ -276,7 +316,15 @@ def _summed(chunked: DataFrame, model: Model, step: int | None) -> np.ndarray:
     return out
 
 
-def train(chunked: DataFrame, totals: DataFrame) -> tuple[Model, int, int]:
+def rows_for(n: int, most_rows: int = MOST_ROWS) -> int:
+    """Rows of each feature's tables for n training tokens: twice their square root, as a power of two."""
+    wanted = max(LEAST_ROWS, 1 << round(math.log2(max(1.0, 2 * math.sqrt(n)))))
+    if wanted > most_rows:
+        _LOG.warning("language model: %d training tokens ask for %d rows a feature; most_rows leaves %d", n, wanted, most_rows)
+    return min(most_rows, wanted)
+
+
+def train(chunked: DataFrame, totals: DataFrame, most_rows: int = MOST_ROWS) -> tuple[Model, int, int]:
     """The model, and the numbers of training tokens and of distinct ones."""
     cls = F.col("key").bitwiseAND(CLASSES - 1)
     by_class = totals.groupBy(cls.alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
@@ -293,9 +341,9 @@ def train(chunked: DataFrame, totals: DataFrame) -> tuple[Model, int, int]:
             tokens[c] -= r["n"]
             types[c] -= 1
     keys = np.array(sorted(slots), _U)
-    n_rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << round(math.log2(max(1.0, math.sqrt(n) / 2)))))
+    n_rows = rows_for(n, most_rows)
     tables = FEATURES * n_rows
-    model = Model(np.zeros(CLASSES), np.zeros((CLASSES, SLOTS)), np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32), keys if len(keys) else np.zeros(1, _U), np.array([slots[int(k)] for k in keys] or [0]), np.log10(tokens + 0.5 * (types + 1)))
+    model = Model(np.zeros(CLASSES, np.float32), np.zeros((CLASSES, SLOTS), np.float32), np.zeros((tables, CLASSES), np.float32), np.zeros((tables, SLOTS), np.float32), keys if len(keys) else np.zeros(1, _U), np.array([slots[int(k)] for k in keys] or [0]), np.log10(tokens + 0.5 * (types + 1)))
 
     start = _summed(chunked, model, None)
     bias = start[2 * tables :].astype(float) + 0.5
@@ -359,28 +407,34 @@ def _score(shared: Broadcast, n: int, v: int):
     return run
 
 
-def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
-
-    A document is held out of training if crc32(id as text) modulo 5 is 1 (a null id counts as the empty text). A null text is
-    empty: its only token is the end. Repeated rows count and are scored one by one. Other columns are ignored. An empty table
-    gives no rows; if nothing is left to train on, N and V are 0 and the weights stay 0.
-    """
-    spark = small_batches(docs.sparkSession)
+def prepared(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The staged chunks of docs, and (key, n): how often each word comes in training documents."""
+    small_batches(docs.sparkSession)
     held = F.pmod(F.crc32(F.coalesce(docs[id].cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
     source = docs.select(docs[id].alias("id"), held.alias("held_out"), F.pmod(F.xxhash64(docs[id], docs[text]), F.lit(ROUNDS)).cast("tinyint").alias("turn"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     columns = f"chunk bigint, ids array<{kind}>, held_out array<boolean>, turns array<tinyint>, n_tokens array<bigint>, tokens binary, keys binary, counts binary"
     chunked = stage(source.mapInArrow(_chunks(arrow_type(source, "id")), columns), compression="uncompressed")
-    vocabulary = chunked.select("chunk", "keys", "counts")
-    totals = stage(vocabulary.mapInArrow(_key_rows(True), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
-    model, n, v = train(chunked, totals)
+    counted = chunked.select("chunk", "keys", "counts").mapInArrow(_key_rows(True), "key bigint, n bigint")
+    return chunked, stage(counted.groupBy("key").agg(F.sum("n").alias("n")))
+
+
+def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:
+    """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
+
+    A document is held out of training if crc32(id as text) modulo 5 is 1 (a null id counts as the empty text). A null text is
+    empty: its only token is the end. Repeated rows count and are scored one by one. Other columns are ignored. An empty table
+    gives no rows; if nothing is left to train on, N and V are 0 and the weights stay 0. most_rows: a power of two that bounds the rows of a feature's tables.
+    """
+    chunked, totals = prepared(docs, id, text)
+    kind, vocabulary = docs.schema[id].dataType.simpleString(), chunked.select("chunk", "keys", "counts")
+    model, n, v = train(chunked, totals, most_rows)
     known = vocabulary.mapInArrow(_key_rows(False), "chunk bigint, key bigint").join(totals, "key", "left").select("chunk", "key", F.coalesce("n", F.lit(0)).alias("n"))
     rows = chunked.select("chunk", "ids", "held_out", "n_tokens", "tokens")
     parts = max(1, chunked.select("chunk").count())  # a task for each chunk, about
     by_chunk = lambda df: df.repartition(parts, "chunk").groupBy("chunk")
     scored = by_chunk(rows).cogroup(by_chunk(known)).applyInPandas(
-        _score(spark.sparkContext.broadcast(model), n, v), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        _score(docs.sparkSession.sparkContext.broadcast(model), n, v), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return scored.withColumnRenamed("id", id)
 
 

@@ -143,6 +143,68 @@ def test_probabilities_add_to_one(spark, documents):
         assert abs(total - 1) < 1e-3
 
 
+def test_scores_follow_from_the_tables(spark, documents):
+    """A text's score, recomputed word by word from the model's tables in plain loops."""
+    small = documents.filter("doc_id < 60")
+    chunked, totals = S.prepared(small)
+    model, n, v = S.train(chunked, totals)
+    count = {r["key"] & (2**64 - 1): r["n"] for r in totals.collect()}
+    slots = dict(zip(model.slot_keys.tolist(), model.slot_of.tolist()))
+    row = lambda h: int(h) >> (64 - model.rows.bit_length() + 1)
+    mix = lambda x: int(S.mix64(np.array([x % 2**64], np.uint64))[0])
+    seed, edge = [int(x) for x in S._SEED], 0x5EED
+
+    def keys_of(text):
+        import pyarrow as pa
+
+        for _, _, words in S.chunks(pa.array([text or ""])):
+            return [*S.word_keys(words).tolist(), int(S.END_KEY)]
+
+    def log_share(weights, at):
+        top = max(weights)
+        return (weights[at] - top) - math.log(sum(math.exp(w - top) for w in weights))
+
+    got = {r["doc_id"]: r["score"] for r in S.lm_scores(small).collect()}
+    for r in small.filter("length(text) < 700").limit(8).collect():
+        keys, total = keys_of(r["text"]), 0.0
+        for k, key in enumerate(keys):
+            one, two = (keys[k - back] if k >= back else edge for back in (1, 2))
+            cls = key % S.CLASSES
+            a, b = mix(one ^ seed[0]), mix(two ^ seed[1])
+            outer = (a, b, mix(a * 3 + b))
+            inner = [mix(x + cls * s) for x, s in zip(outer, seed[2:])]
+            total += log_share([float(model.class_bias[c]) + sum(float(model.w1[t * model.rows + row(x), c]) for t, x in enumerate(outer)) for c in range(S.CLASSES)], cls) / math.log(10)
+            if key == int(S.END_KEY):
+                continue
+            slot = slots.get(key, 0)
+            total += log_share([float(model.slot_bias[cls, c]) + sum(float(model.w2[t * model.rows + row(x), c]) for t, x in enumerate(inner)) for c in range(S.SLOTS)], slot) / math.log(10)
+            if not slot:
+                total += math.log10(count.get(key, 0) + 0.5) - model.rest[cls]
+        assert abs(total - got[r["doc_id"]]) < 1e-3 * max(1, abs(total) / 100), (total, got[r["doc_id"]])
+
+
+def test_tables_grow_with_tokens_and_say_where_they_stop(caplog):
+    assert [S.rows_for(n) for n in (0, 10**6, 10**8, 10**10)] == [4096, 4096, 16384, 1 << 18]
+    with caplog.at_level("WARNING"):
+        assert S.rows_for(10**13) == S.MOST_ROWS and "most_rows" in caplog.text
+
+
+def test_additions_of_rows():
+    rng = np.random.default_rng(7)
+    for n, size in ((300, 1000), (1 << 17, 500), (5, 64), (9, 1)):
+        rows, values = rng.integers(0, n, size), rng.random((size, S.CLASSES), np.float32)
+        want = np.zeros((n, S.CLASSES))
+        for r, x in zip(rows, values):
+            want[r] += x
+        for add, order in ((S._add, np.arange(size)), (S._add_ordered, np.argsort(rows, kind="stable"))):
+            table = np.zeros((n, S.CLASSES), np.float32)
+            add(table, rows[order], values[order])
+            assert np.allclose(table, want, atol=1e-4)
+        table = np.zeros((n, S.CLASSES), np.float32)
+        S._count(table, rows * S.CLASSES + 3)
+        assert (table[:, 3] == np.bincount(rows, minlength=n)).all() and table.sum() == size
+
+
 def test_tables_grow():
     keys, doc = np.arange(10, dtype=np.uint64) << np.uint64(40), np.zeros(10, int)
     for n in (S.LEAST_ROWS, S.MOST_ROWS):
