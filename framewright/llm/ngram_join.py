@@ -270,6 +270,22 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _texts(docs: DataFrame, id: str, text: str, n: int, n_bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs as (id, text_hash, text); each one's signature; and a row for each distinct n-gram set: node, least, row, copies, bands."""
+    source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    signed = stage(source.mapInArrow(tidy(_signatures(n, n_bands, rows)), f"id {kind}, text_hash bigint, set_key binary, n_grams bigint, bands array<bigint>"))
+    texts = signed.filter("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    return source, signed, stage(texts)
+
+
+def _sets_of(source: DataFrame, texts: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """(node, grams): the sets of the nodes of shared, made from one document each."""
+    wanted = texts.join(shared.select("node").distinct(), "node").select(F.col("row.id").alias("w"), F.col("row.text_hash").alias("text_hash"))
+    members = source.join(wanted, (source["text_hash"] == wanted["text_hash"]) & source["id"].eqNullSafe(wanted["w"]), "left_semi")
+    return stage(members.select("text").mapInArrow(tidy(_sets(n)), "node binary, grams binary").dropDuplicates(["node"]))
+
+
 def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.9998, rows: int = 6) -> DataFrame:
     """One row per row of docs: id, text_hash, class_id, n_grams, n_copies, n_text_links, n_links, and chosen.
 
@@ -283,21 +299,14 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     of docs are ignored. Pairs at exactly ``similarity`` are found with a probability of ``recall``, others with a higher one.
     """
     small_batches(docs.sparkSession)
-    n_bands = bands_for(similarity, recall, rows)
-    source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    signed = stage(source.mapInArrow(tidy(_signatures(n, n_bands, rows)), f"id {kind}, text_hash bigint, set_key binary, n_grams bigint, bands array<bigint>"))
-    texts = signed.filter("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    texts = stage(texts)
+    source, signed, texts = _texts(docs, id, text, n, bands_for(similarity, recall, rows), rows)
 
     banded = texts.select("node", F.explode("bands").alias("band"))
     buckets = stage(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "hub"))
     shared = stage(banded.join(buckets, "band").select("node", "hub").distinct())  # a row for each text and hub
     release(buckets)
 
-    wanted = texts.join(shared.select("node").distinct(), "node").select(F.col("row.id").alias("w"), F.col("row.text_hash").alias("text_hash"))
-    members = source.join(wanted, (source["text_hash"] == wanted["text_hash"]) & source["id"].eqNullSafe(wanted["w"]), "left_semi")
-    sets = stage(members.select("text").mapInArrow(tidy(_sets(n)), "node binary, grams binary").dropDuplicates(["node"]))
+    sets = _sets_of(source, texts, shared, n)
 
     pairs = with_reference(shared.filter("node != hub"), sets, "hub")
     edges = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "grams", "of").mapInArrow(tidy(_verify(similarity)), "a binary, b binary")
@@ -350,13 +359,37 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -
     return ngram_classes(docs, id, text, **how).drop("text_hash", "chosen").withColumnRenamed("id", id)
 
 
+def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.9998, rows: int = 6) -> DataFrame:
+    """One row per row of docs: id, text_hash, class_id and chosen, as ngram_classes() tells, without the numbers of links.
+
+    A class needs a link between components and not all links, so texts are compared with the hubs of their buckets, and in blocks only those
+    that are of other components then: of a template's variants, whatever they differ by, all that share a component are never looked at.
+    """
+    from .near_classes import linked_classes
+
+    small_batches(docs.sparkSession)
+    source, signed, texts = _texts(docs, id, text, n, bands_for(similarity, recall, rows), rows)
+    banded = texts.select("node", F.explode("bands").alias("bucket"))
+    common = stage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"))
+    tables = stage(banded.join(common, "bucket"))
+    release(common)
+    roots = linked_classes(tables, _sets_of(source, texts, tables, n), similarity)
+    placed = stage(texts.select("node", "least", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = stage(placed.groupBy("root").agg(F.min("least").alias("class_id"), F.min("row").alias("chosen")))
+    done = stage(placed.join(least, "root").select(F.col("node").alias("set_key"), "class_id", "chosen"))
+    every = signed.filter("set_key IS NOT NULL").join(done, "set_key")
+    chosen = F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("text_hash") == F.col("chosen.text_hash"))
+    every = every.select("id", "text_hash", "class_id", chosen.alias("chosen"))
+    return every.unionByName(signed.filter("set_key IS NULL").select("id", "text_hash", F.col("id").alias("class_id"), F.lit(True).alias("chosen")))
+
+
 def one_of_each_class(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without near duplicates: one row of each class stays, with all its columns. Texts without a word stay, repeated rows but once.
 
     Of rows equal in id and text that differ in other columns, the one whose JSON form is least stays. Columns of docs may have any names.
     """
     key, found = free_name(docs, "text_hash"), free_name(docs, "found")
-    kept = ngram_classes(docs, id, text, **how).filter("chosen").groupBy(F.col("id").alias("w"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("times"))
+    kept = ngram_components(docs, id, text, **how).filter("chosen").groupBy(F.col("id").alias("w"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("times"))
     kept = stage(kept)
     own = docs.withColumn(key, F.xxhash64(docs[text]))
     here = lambda part: (own[key] == part["h"]) & own[id].eqNullSafe(part["w"])

@@ -11,7 +11,7 @@ a run in common with its other occurrences, and as window <= passage the runs le
 either end. A character of a script without spaces is a word here.
 
 Three shuffles: hashes alone find those that occur twice (with map-side counts, so a frequent run is one row a task), a join
-brings back the few occurrences of these, and the spans to remove meet their documents. The joins are plain equi-joins of
+brings back the few occurrences of these, which a second hash of 64 bits tells apart, and the spans to remove meet their documents. The joins are plain equi-joins of
 tables that stand by themselves, whose hot keys Spark splits at run time.
 """
 
@@ -36,7 +36,7 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _CLOSE = np.zeros(256, bool)
 _CLOSE[[ord(c) for c in "\"')]}"]] = True
-_WORD_BASE = 0x2545F4914F6CDD1D
+_WORD_BASE, _SECOND = 0x2545F4914F6CDD1D, _U(0x9FB21C651E98DF25)
 _POWERS = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -125,7 +125,7 @@ def winnowed(hashes: np.ndarray, offset: np.ndarray, passage: int, window: int)
 
 
 def _spans(n: int, words: int, many_words: int, passage: int, window: int, with_rows: bool):
-    """Arrow rows (id, text_hash, text) -> one row a run: its hash, and with_rows the id, text_hash, and its words i to j - 1."""
+    """Arrow rows (id, text_hash, text) -> one row a run: its hash, and with_rows a second one, the id, text_hash, and its words i to j - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,8 @@ def _spans(n: int, words: int, many_words: int, passage: int, window: int, with_
                 place = np.append(np.searchsorted(start, chunk.start), len(start))
                 a, b = place[first[i]], place[first[j]]
                 up, down = _word_powers(len(start) + 1)
-                prefix = np.concatenate([np.zeros(1, _U), np.cumsum(chunk.spans_hash(start, end) * up[: len(start)])])
+                own = chunk.spans_hash(start, end)
+                prefix = np.concatenate([np.zeros(1, _U), np.cumsum(own * up[: len(start)])])
                 hashed = lambda a, b: mix64((prefix[b] - prefix[a]) * down[a] + (b - a).astype(_U))  # noqa: B023, E731
                 if passage and len(start) >= passage:
                     every = np.arange(len(start) - passage + 1)
@@ -146,9 +147,12 @@ def _spans(n: int, words: int, many_words: int, passage: int, window: int, with_
                 out = [pa.array(hashed(a, b).view(np.int64))]
                 if with_rows:
                     doc = np.searchsorted(offset, a, "right") - 1
+                    # the same sums over other numbers of the words
+                    prefix = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(own ^ _SECOND) * up[: len(start)])])
+                    out.append(pa.array(hashed(a, b).view(np.int64)))
                     out += [passed(c.take(pa.array(lo + doc))) for c in batch.columns[:2]]
                     out += [pa.array((x - offset[doc]).astype(np.int32)) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays(out, ["run", "id", "text_hash", "i", "j"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, ["run", "again", "id", "text_hash", "i", "j"][: len(out)])
 
     return run
 
@@ -219,11 +223,12 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     hashes = docs.select(docs[text].alias("text")).mapInArrow(tidy(_spans(n, words, many_words, passage, window, False)), "run bigint")
     repeated = _staged(hashes.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"))
-    rows = source.mapInArrow(tidy(_spans(n, words, many_words, passage, window, True)), f"run bigint, id {kind}, text_hash bigint, i int, j int")
+    rows = source.mapInArrow(tidy(_spans(n, words, many_words, passage, window, True)), f"run bigint, again bigint, id {kind}, text_hash bigint, i int, j int")
     found = _staged(rows.join(repeated, "run"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "i")
-    first = _staged(found.groupBy("run").agg(F.min(place).alias("first")))
-    spans = found.withColumn("place", place).join(first, "run").filter("place != first")
+    # runs that share a hash by chance differ in the second one, and none of them is a repeat
+    first = _staged(found.groupBy("run", "again").agg(F.min(place).alias("first")))
+    spans = found.withColumn("place", place).join(first, ["run", "again"]).filter("place != first")
     if passage:
         same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
         spans = spans.withColumn("i", F.when(same, F.greatest("i", F.col("first.i") + F.col("j") - F.col("i"))).otherwise(F.col("i")))

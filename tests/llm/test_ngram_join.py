@@ -122,3 +122,39 @@ def test_recall_and_empty(nothing):
     assert 1 - (1 - 0.8**6) ** bands >= 0.9998 > 1 - (1 - 0.8**6) ** (bands - 1)
     assert J.ngram_join(nothing).count() == 0
     assert J.one_of_each_class(nothing).count() == 0
+
+
+def test_components_without_counts(spark, edges, nothing, documents):
+    """The classes and the chosen documents are those of the join that counts links."""
+    from collections import Counter
+
+    for docs in (edges, documents, nothing):
+        rows = lambda df: Counter(tuple(r[c] for c in ("id", "text_hash", "class_id", "chosen")) for r in df.collect())
+        assert rows(J.ngram_components(docs)) == rows(J.ngram_classes(docs))
+
+
+def test_variants_of_a_base_cost_rows_in_proportion(spark, monkeypatch):
+    """Texts that are alike to their base and not to each other: what is staged grows with their number, though each shares buckets with most others."""
+    from pyspark.sql import functions as F
+
+    from framewright.llm import near_classes as K
+
+    # of 300 words every 62nd or so is another in each variant, so that 8 % of the runs of five words are lacking: 0.85 to the base, 0.73 to each other
+    changed = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda slot: F.pmod(F.xxhash64("id", slot), F.lit(50)) + slot * 60)
+    words = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda k: F.when((F.col("id") > 0) & F.array_contains(changed, k.cast("long")), F.concat(F.lit("v"), F.col("id"), F.lit("_"), k)).otherwise(F.concat(F.lit("w"), k)))
+    total = {}
+    for n in (2500, 10_000):
+        rows, staged_ = [], K.stage
+
+        def counted(df, **how):
+            out = staged_(df, **how)
+            rows.append(out.count())
+            return out
+
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text")).repartition(8)
+        monkeypatch.setattr(K, "stage", counted)
+        got = J.ngram_components(docs).agg(F.countDistinct("class_id"), F.min("class_id"), F.sum(F.col("chosen").cast("int"))).first()
+        monkeypatch.setattr(K, "stage", staged_)
+        assert tuple(got) == (1, 0, 1)
+        total[n] = sum(rows)
+    assert total[10_000] < 5 * total[2500]

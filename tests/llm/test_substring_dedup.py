@@ -126,3 +126,20 @@ def test_query_finds_passages(spark, tmp_path):
     docs = [(k, f"{words(f'a{k}x', 9)} {words('p', 60)} {words(f'b{k}x', 9)}.") for k in range(2)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["n_removed"] for r in S.query(spark, str(tmp_path)).collect()} == {0: 0, 1: 1}
+
+
+def test_runs_that_share_a_hash_by_chance_stay(spark, monkeypatch):
+    """With a first hash of a few bits all runs meet; the second one keeps what isn't repeated."""
+    import re
+    from pathlib import Path
+
+    from framewright.llm import substring_dedup as D
+
+    rows = [(k, prose(k, 12)) for k in range(30)] + [(100, prose(3, 12) + " " + prose(500, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: (r["text"], r["n_removed"]) for r in D.substring_dedup(docs, passage=D.PASSAGE).collect()}
+    source = Path(D.__file__).read_text()
+    weak = {**vars(D)}
+    exec(compile(re.sub(r"out = \[pa.array\(hashed\(a, b\).view\(np.int64\)\)\]", "out = [pa.array((hashed(a, b) & _U(3)).view(np.int64))]", source), D.__file__, "exec"), weak)
+    assert "& _U(3)" not in source and {r["doc_id"]: (r["text"], r["n_removed"]) for r in weak["substring_dedup"](docs, passage=D.PASSAGE).collect()} == want
+    assert sum(n for _, n in want.values()) >= 10
