@@ -16,10 +16,13 @@ from ..operators.planes import KERNELS, apply, resized, rgb_pixels
 from ..session import scratch, staged, table
 from ..sinks import files as X
 from ..sinks import mux as M
+from ..sinks.archive import zip_pieces
 from ..sinks.commit import append_files, write_files
 from ..sources import ebml as E
 from ..sources import frames as R
 from ..sources.raw_frames import frames_at, raw_frames
+from ..streaming.arrivals import delivered
+from ..streaming.recorder import recorder
 from . import glyph, media, raster
 from .common import EV, PX, big, map_sql, rgb_cte, rgb_sql, whole
 from .media import AUDIO, ITEMS, TL, samples
@@ -113,6 +116,20 @@ def png_round_trip(spark, sf):
     return rgb_pixels(X.png_frames(found, "frame_id"))
 
 
+SLICES = 3
+
+
+@query("stream_recorder", f"""WITH fr AS (SELECT DISTINCT event_id // 1000 AS frame_id FROM events), sl AS (SELECT frame_id, frame_id // 4 AS video, n, CASE WHEN frame_id < n // 3 THEN 0 WHEN frame_id < n * 2 // 3 THEN 1 ELSE 2 END AS batch FROM fr, (SELECT max(frame_id) + 1 AS n FROM fr))
+SELECT * FROM ({raster.ORACLES['edge_luminance']}) WHERE frame_id IN (SELECT max(frame_id) FROM sl GROUP BY video, batch)""")
+def stream_recorder(spark, sf):
+    """Frames that arrive in slices; the latest of each video goes through an effect into a photo, and the photos are read back."""
+    folder = scratch(spark, "recorded")
+    frames = planes(spark, sf).withColumn("video", F.floor(F.col("frame_id") / 4))
+    delivered(frames, "frame_id", "video", "latest", lambda stream: recorder(stream, KERNELS["edge_luminance"], folder, scratch(spark, "state")), SLICES)
+    found = spark.read.format("binaryFile").load(f"{folder}/photos").select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("frame_id"), "content")
+    return rgb_pixels(X.png_frames(found, "frame_id"))
+
+
 @query("frames_zip", f"WITH {PX}, {rgb_cte()}, {_VIDEO.replace('FROM px', 'FROM rgb')} SELECT {big('video')}, CAST(number AS BIGINT) AS place, '/v' || video || '/' || printf('%05d', number) || '.png' AS name, CAST(sum(r) AS BIGINT) AS reds, CAST(sum(g * (x + 1)) AS BIGINT) AS greens, CAST(sum(b * (y + 1)) AS BIGINT) AS blues FROM vi GROUP BY video, number")
 def frames_zip(spark, sf):
     """An archive of pictures for each video; sums of its pictures' pixels, as they are read back."""
@@ -121,7 +138,10 @@ def frames_zip(spark, sf):
     made = X.png_files(apply(planes(spark, sf), lambda p: rgb_fixed(*p)))
     video, place = F.floor(F.col("frame_id") / 4), F.pmod("frame_id", F.lit(4))
     files = made.select(video.alias("video"), place.alias("place"), F.concat(F.lit("/v"), video, F.lit("/"), F.format_string("%05d", place), F.lit(".png")).alias("name"), "content")
-    found = X.zip_entries(through_parquet(spark, X.zip_archives(files, "video")), "video")
+    folder = scratch(spark, "zip")
+    append_files(zip_pieces(files, "video").withColumn("name", F.format_string("%012d.zip", "video")), folder)
+    archives = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("long").alias("video"), "content")
+    found = X.zip_entries(archives, "video")
     keyed = found.withColumn("at", F.col("video") * 100_000 + F.col("place"))
     px = rgb_pixels(X.png_frames(keyed, "at")).groupBy("frame_id").agg(F.sum("r").alias("reds"), F.sum(F.col("g") * (F.col("x") + 1)).alias("greens"), F.sum(F.col("b") * (F.col("y") + 1)).alias("blues"))
     return keyed.select("video", "place", "name", "at").join(px, F.col("at") == F.col("frame_id")).drop("at", "frame_id")

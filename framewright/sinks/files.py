@@ -1,4 +1,4 @@
-"""Frames as files: gzipped raw photos, PNG pictures and archives of pictures. One task writes whole files, a file a row.
+"""Frames as files: gzipped raw photos and PNG pictures, and what archives hold. One task writes whole files, a file a row.
 
 Files are made in tasks and stay columns until a sink writes them: as rows of Parquet, or as files of a folder (commit.py), all or none in either case.
 What reads them back takes Spark's binaryFile rows (path, length, content).
@@ -92,23 +92,6 @@ def png_frames(files: DataFrame, key: str) -> DataFrame:
     return files.select(key, "content").mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, width int, height int, rgb binary")
 
 
-def zip_archives(files: DataFrame, key: str, name: str = "name", place: str = "place") -> DataFrame:
-    """(key, content): one archive for each key with its files by place, all of them, the last too.
-
-    An archive is bounded: the pictures of one video. Its group's files meet in one task; more archives are more tasks.
-    """
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as archive:
-            for own, content in zip(*(rows.sort_values(place)[c] for c in (name, "content"))):
-                archive.writestr(zipfile.ZipInfo(own), content)  # no time of writing: the same files give the same archive
-        return pd.DataFrame({key: [rows[key].iat[0]], "content": [out.getvalue()]})
-
-    return files.select(key, name, place, "content").groupBy(key).applyInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, content binary")
-
-
 def zip_entries(archives: DataFrame, key: str) -> DataFrame:
     """(key, place, name, content): what archives hold."""
 

@@ -35,11 +35,26 @@ def test_raw_photos(spark):
     assert [r[0] and gzip.decompress(bytes(r[0])) for r in planes.select(X.gzipped("y", "u", "v")).collect()] == [b"abcdef", None]
 
 
-def test_archives_keep_all_files_in_order(spark):
-    rows = [(v, k, f"/{v}/{k:05d}", bytearray([v, k])) for v in range(3) for k in range(5)]
+def test_archives_keep_all_files_in_order(spark, tmp_path):
+    """Archives appended piece by piece are read by zipfile, checksums and names beyond ASCII included; two are of different sizes."""
+    import zipfile
+
+    from framewright.sinks.archive import zip_pieces
+    from framewright.sinks.commit import append_files
+
+    rows = [(v, k, f"/{v}/é{k:05d}", bytearray([v, k]) * (k * 300 % 1000)) for v, n in ((0, 5), (1, 1), (2, 300)) for k in range(n)]
     files = spark.createDataFrame(rows, "video int, place int, name string, content binary").repartition(4)
-    found = X.zip_entries(X.zip_archives(files, "video"), "video").orderBy("video", "place").collect()
+    pieces = zip_pieces(files, "video")
+    append_files(pieces.withColumn("name", F.concat("video", F.lit(".zip"))), str(tmp_path))
+    for v in range(3):
+        with zipfile.ZipFile(tmp_path / f"{v}.zip") as archive:
+            assert archive.testzip() is None
+            assert [(n, archive.read(n)) for n in archive.namelist()] == [(r[2], bytes(r[3])) for r in rows if r[0] == v]
+    archives = spark.read.format("binaryFile").load(str(tmp_path)).select(F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("int").alias("video"), "content")
+    found = X.zip_entries(archives, "video").orderBy("video", "place").collect()
     assert [(r["video"], r["place"], r["name"], r["content"]) for r in found] == rows
+    with pytest.raises(Exception, match="65,535 files"):
+        zip_pieces(spark.range(66_000).select(F.lit(1).alias("video"), F.col("id").alias("place"), F.lit("x").alias("name"), F.lit(b"").alias("content")), "video").filter("place.part = 2").collect()
 
 
 def test_lengths_of_any_width():
