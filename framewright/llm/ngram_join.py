@@ -6,8 +6,8 @@ rows are chosen for a target recall at that similarity. The steps:
 1. Documents with equal n-gram sets are one *text*; all that follows works on texts, so copies cost nothing more.
 2. Texts are shuffled on their band hashes. Each bucket's least text is its hub; each text is verified against the hubs
    of its buckets, on the full n-gram sets, and verified links form clusters.
-3. Each bucket belongs to its hub's cluster, whose least text is the cluster's *base*. A cluster's texts, and strangers that share
-   one of its buckets, are kept as what they lack of the base's set and have beside it. Texts that differ little from the base (*tight*
+3. Each bucket belongs to its hub's cluster. The cluster's *base* is the text that shares the most buckets with others, such as a template among its
+   variants. A cluster's texts, and strangers that share one of its buckets, are kept as what they lack of the base's set and have beside it. Texts that differ little from the base (*tight*
    ones) are linked to each other for certain, so these links are counted and never looked at: a million near copies of a template cost
    a million rows. The others (*loose*) are compared with all texts of the unit, on these differences, in blocks of bounded size
    inside numpy; only counts per text, and one link for two clusters that meet, leave a task. So every pair that shares a
@@ -302,8 +302,8 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     source, signed, texts = _texts(docs, id, text, n, bands_for(similarity, recall, rows), rows)
 
     banded = texts.select("node", F.explode("bands").alias("band"))
-    buckets = stage(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "hub"))
-    shared = stage(banded.join(buckets, "band").select("node", "hub").distinct())  # a row for each text and hub
+    buckets = stage(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    shared = stage(banded.join(buckets, "band").groupBy("node", "hub").agg(F.sum("size").alias("mates")))  # a row for each text and hub
     release(buckets)
 
     sets = _sets_of(source, texts, shared, n)
@@ -313,9 +313,12 @@ def ngram_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     roots = components(edges)
 
     cluster = lambda df, column: df.join(roots.select(F.col("node").alias(column), "root"), column, "left").withColumn("root", F.coalesce("root", column))
-    inside = stage(cluster(shared, "hub").select("node", F.col("root").alias("unit")).distinct())
+    inside = stage(cluster(shared.select("node", "hub"), "hub").select("node", F.col("root").alias("unit")).distinct())
     units = inside.groupBy("node").agg(F.collect_list("unit").alias("units"))  # a unit for each band at most
-    apart = with_reference(inside, sets, "unit").mapInArrow(tidy(_differences), "node binary, unit binary, base bigint, lacks bigint, adds bigint, diff binary")
+    mates = cluster(shared.groupBy("node").agg(F.sum("mates").alias("mates")), "node")
+    bases = stage(mates.groupBy(F.col("root").alias("unit")).agg(F.max_by("node", F.struct("mates", "node")).alias("of_unit")))
+    apart = with_reference(inside.join(bases, "unit").select("node", "of_unit"), sets, "of_unit").mapInArrow(tidy(_differences), "node binary, of_unit binary, base bigint, lacks bigint, adds bigint, diff binary")
+    apart = apart.join(bases, "of_unit").drop("of_unit")
     # two tight texts have base - lacks - lacks in common at least, and base + adds + adds together at most
     tight = (F.size("units") == 1) & (F.col("lacks") + similarity * F.col("adds") <= (1 - similarity) / 2 * F.col("base") - 1e-6)
     dealt = cluster(apart.join(units, "node"), "node").join(texts.select("node", "copies"), "node").withColumn("tight", tight).withColumnRenamed("root", "cluster")
