@@ -1,8 +1,8 @@
 """Frame timelines: durations, presentation times, as-of and nearest joins, rates, interleaving, and rules that drop late frames.
 
 A timeline is (video, frame, ms), a row per frame. Joins in time lay both tables on one line of time for each video, and a running value looks back or
-ahead: no pair of rows is made. Lines of time are cut into slices, so a video may hold any share of all frames; only running_mean() and event_timeline() without
-``slices`` put one video into one task.
+ahead: no pair of rows is made. Lines of time are cut into slices, so a video may hold any share of all frames; only event_timeline(), which numbers frames
+without slices, puts one video into one task.
 """
 
 from __future__ import annotations
@@ -110,8 +110,17 @@ def rate_estimate(frames: DataFrame, first: int = 180, default: float = 30.0) ->
 
 
 def running_mean(frames: DataFrame, value: str, last: int = 10) -> DataFrame:
-    """Adds mean: that of the last so many values, fewer at the beginning."""
-    return frames.withColumn("mean", F.avg(value).over(in_order().rowsBetween(1 - last, 0)))
+    """Adds mean: that of the last so many values, fewer at the beginning. The last rows before a slice are its guests, so that its first ones find them."""
+    own = _slices(frames)
+    back = Window.partitionBy("video", SLICE).orderBy(F.col("frame").desc())
+    ends = own.withColumn("__r", F.row_number().over(back)).filter(F.col("__r") < last).groupBy("video", SLICE).agg(F.collect_list(F.struct("frame", value)).alias("tail"))
+    # so many slices have as many rows at least
+    before = Window.partitionBy("video").orderBy(SLICE).rowsBetween(1 - last, -1)
+    found = ends.select("video", SLICE, F.slice(F.sort_array(F.flatten(F.collect_list("tail").over(before)), asc=False), 1, last - 1).alias("g"))
+    guests = found.select("video", SLICE, F.explode("g").alias("g")).select("video", SLICE, "g.*", F.lit(True).alias("__guest"))
+    both = own.withColumn("__guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
+    order = Window.partitionBy("video", SLICE).orderBy("frame").rowsBetween(1 - last, 0)
+    return both.withColumn("mean", F.avg(value).over(order)).filter(~F.col("__guest")).drop("__guest")
 
 
 def followed(pages: DataFrame, last_ms: int) -> DataFrame:

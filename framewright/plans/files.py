@@ -116,6 +116,13 @@ def png_round_trip(spark, sf):
     return rgb_pixels(X.png_frames(found, "frame_id"))
 
 
+@query("picture_sampled", f"SELECT frame_id, x // 4 AS x, y // 4 AS y, r, g, b FROM ({raster.ORACLES['edge_luminance']}) WHERE x % 4 = 0 AND y % 4 = 0")
+def picture_sampled(spark, sf):
+    """Pictures decoded for a target of 20 x 12, a quarter of their size in either way."""
+    made = X.png_files(apply(planes(spark, sf), KERNELS["edge_luminance"])).select("frame_id", "content")
+    return rgb_pixels(X.png_sampled(through_parquet(spark, made), "frame_id", 20, 12))
+
+
 SLICES = 3
 
 

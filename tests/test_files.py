@@ -42,7 +42,7 @@ def test_archives_keep_all_files_in_order(spark, tmp_path):
     from framewright.sinks.archive import zip_pieces
     from framewright.sinks.commit import append_files
 
-    rows = [(v, k, f"/{v}/é{k:05d}", bytearray([v, k]) * (k * 300 % 1000)) for v, n in ((0, 5), (1, 1), (2, 300)) for k in range(n)]
+    rows = [(v, k, f"/{v}/é{k:05d}", bytearray([v, k % 256]) * (k * 300 % 1000)) for v, n in ((0, 5), (1, 1), (2, 300)) for k in range(n)]
     files = spark.createDataFrame(rows, "video int, place int, name string, content binary").repartition(4)
     pieces = zip_pieces(files, "video")
     append_files(pieces.withColumn("name", F.concat("video", F.lit(".zip"))), str(tmp_path))
@@ -125,3 +125,12 @@ def test_lacing_and_clusters(spark):
     assert [(1 if r["kind"] == "v" else 2, r["at"], r["cluster"]) for r in order] == [(r["track"], r["at"], r["cluster"]) for r in found if r["k"] == 0]
     with pytest.raises(ValueError):
         M.placed(own, 40_000)
+
+
+def test_sample_factor_is_that_of_columns(spark):
+    from framewright.functions import numbers as N
+
+    sizes = [(w, h) for w in (1, 299, 300, 301, 600, 601, 5000, 40_000) for h in (1, 200, 201, 799, 801, 6400)]
+    rows = spark.createDataFrame(sizes, "w long, h long")
+    got = {(r["w"], r["h"]): r["f"] for r in rows.withColumn("f", N.downsample_factor("w", "h", 300, 200)).collect()}
+    assert got == {s: X.sample_factor(*s, 300, 200) for s in sizes}

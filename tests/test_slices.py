@@ -76,3 +76,18 @@ def test_interleaving_of_left_over_pages(spark):
     audio = spark.createDataFrame([(0, k, 40 * k) for k in range(5)], "video long, number long, at long")
     got = T.interleaved(video, T.followed(audio, 40)).orderBy("place").collect()
     assert [(r["place"], r["kind"], r["number"]) for r in got] == [(0, "v", 0), (1, "a", 0), (2, "a", 1), (3, "v", 1), (4, "a", 2), (5, "a", 3), (6, "a", 4)]
+
+
+def test_running_mean_over_slices(spark):
+    """Short slices and long ones: the last ten values, wherever the cuts are, nulls aside."""
+    rng = random.Random(5)
+    rows = [(v, k, rng.choice([None, *range(20)])) for v, n in ((0, 95), (1, 3), (2, 1)) for k in range(n)]
+    frames = spark.createDataFrame(rows, "video long, frame long, took long").repartition(3)
+    for slices in (1, 4, 40):
+        got = {(r["video"], r["frame"]): r["mean"] for r in T.running_mean(sliced(frames, "video", ["frame"], slices), "took").collect()}
+        assert len(got) == len(rows)
+        for v, k, _ in rows:
+            own = [x for w, j, x in rows if w == v and k - 9 <= j <= k and x is not None]
+            assert got[v, k] == (sum(own) / len(own) if own else None)
+    one = {(r["video"], r["frame"]): r["mean"] for r in T.running_mean(frames, "took", last=1).collect()}
+    assert one == {(v, k): x for v, k, x in rows}
