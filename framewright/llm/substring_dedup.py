@@ -11,7 +11,7 @@ a run in common with its other occurrences, and as window <= passage the runs le
 either end. A character of a script without spaces is a word here.
 
 Three shuffles: hashes alone find those that occur twice (with map-side counts, so a frequent run is one row a task), a join
-brings back the few occurrences of these, which a second hash of 64 bits tells apart, and the spans to remove meet their documents. The joins are plain equi-joins of
+brings back the few occurrences of these, which a second hash of 32 bits tells apart, and the spans to remove meet their documents. The joins are plain equi-joins of
 tables that stand by themselves, whose hot keys Spark splits at run time.
 """
 
@@ -149,7 +149,7 @@ def _spans(n: int, words: int, many_words: int, passage: int, window: int, with_
                     doc = np.searchsorted(offset, a, "right") - 1
                     # the same sums over other numbers of the words
                     prefix = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(own ^ _SECOND) * up[: len(start)])])
-                    out.append(pa.array(hashed(a, b).view(np.int64)))
+                    out.append(pa.array((hashed(a, b) >> _U(32)).astype(np.uint32).view(np.int32)))
                     out += [passed(c.take(pa.array(lo + doc))) for c in batch.columns[:2]]
                     out += [pa.array((x - offset[doc]).astype(np.int32)) for x in (a, b)]
                 yield pa.RecordBatch.from_arrays(out, ["run", "again", "id", "text_hash", "i", "j"][: len(out)])
@@ -223,7 +223,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     hashes = docs.select(docs[text].alias("text")).mapInArrow(tidy(_spans(n, words, many_words, passage, window, False)), "run bigint")
     repeated = _staged(hashes.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"))
-    rows = source.mapInArrow(tidy(_spans(n, words, many_words, passage, window, True)), f"run bigint, again bigint, id {kind}, text_hash bigint, i int, j int")
+    rows = source.mapInArrow(tidy(_spans(n, words, many_words, passage, window, True)), f"run bigint, again int, id {kind}, text_hash bigint, i int, j int")
     found = _staged(rows.join(repeated, "run"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "i")
     # runs that share a hash by chance differ in the second one, and none of them is a repeat
