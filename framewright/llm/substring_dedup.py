@@ -125,7 +125,8 @@ def winnowed(hashes: np.ndarray, offset: np.ndarray, passage: int, window: int)
 
 
 def _spans(n: int, words: int, many_words: int, passage: int, window: int, with_rows: bool):
-    """Arrow rows (id, text_hash, text) -> one row a run: its hash, and with_rows a second one, the id, text_hash, and its words i to j - 1."""
+    """Arrow rows (id, text_hash, text) -> one row a run: its hash, and with_rows the id, text_hash, its first word i, and again_j: 32 bits of
+    a second hash before the 32 of j, the word after its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +150,10 @@ def _spans(n: int, words: int, many_words: int, passage: int, window: int, with_
                     doc = np.searchsorted(offset, a, "right") - 1
                     # the same sums over other numbers of the words
                     prefix = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(own ^ _SECOND) * up[: len(start)])])
-                    out.append(pa.array((hashed(a, b) >> _U(32)).astype(np.uint32).view(np.int32)))
+                    again = hashed(a, b) & ~_U(0xFFFFFFFF)
                     out += [passed(c.take(pa.array(lo + doc))) for c in batch.columns[:2]]
-                    out += [pa.array((x - offset[doc]).astype(np.int32)) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays(out, ["run", "again", "id", "text_hash", "i", "j"][: len(out)])
+                    out += [pa.array((a - offset[doc]).astype(np.int32)), pa.array((again | (b - offset[doc]).astype(_U)).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(out, ["run", "id", "text_hash", "i", "again_j"][: len(out)])
 
     return run
 
@@ -223,8 +224,9 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     source = docs.select(docs[id].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
     hashes = docs.select(docs[text].alias("text")).mapInArrow(tidy(_spans(n, words, many_words, passage, window, False)), "run bigint")
     repeated = _staged(hashes.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"))
-    rows = source.mapInArrow(tidy(_spans(n, words, many_words, passage, window, True)), f"run bigint, again int, id {kind}, text_hash bigint, i int, j int")
-    found = _staged(rows.join(repeated, "run"))
+    rows = source.mapInArrow(tidy(_spans(n, words, many_words, passage, window, True)), f"run bigint, id {kind}, text_hash bigint, i int, again_j bigint")
+    apart = {"again": F.shiftright("again_j", 32).cast("int"), "j": F.col("again_j").bitwiseAND(0xFFFFFFFF).cast("int")}
+    found = _staged(rows.join(repeated, "run").withColumns(apart).drop("again_j"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "i")
     # runs that share a hash by chance differ in the second one, and none of them is a repeat
     first = _staged(found.groupBy("run", "again").agg(F.min(place).alias("first")))
