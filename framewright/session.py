@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
@@ -29,6 +33,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+@contextlib.contextmanager
+def by_value() -> Iterator[None]:
+    """What is pickled within goes with its code: the Python processes that plan a read, commit a write or set up a stream's state don't have what ship() gives to tasks."""
+    package = sys.modules[PACKAGE.name]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
+def register(spark: SparkSession, source: type) -> None:
+    """Makes a data source of this package known to Spark."""
+    with by_value():
+        spark.dataSource.register(source)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and the executors share: that of spark.checkpoint.dir; one of this machine if all run on it."""
     path = spark.conf.get("spark.checkpoint.dir", None)

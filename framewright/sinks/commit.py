@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..session import register
 from ..sources.storage import file_system
 
 
@@ -135,7 +136,7 @@ class StreamWriter(_Folder, DataSourceStreamArrowWriter):
 
 def write_files(files: DataFrame, folder: str) -> None:
     """Writes rows (name, content), each name once, as files of the folder: all of them or none."""
-    files.sparkSession.dataSource.register(FrameFiles)
+    register(files.sparkSession, FrameFiles)
     files.select("name", "content").write.format("frame_files").mode("append").save(folder)
 
 
@@ -147,6 +148,6 @@ def append_files(parts: DataFrame, folder: str) -> None:
 
 def stream_files(files: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
     """The writer of a stream of rows (name, content), to be started: a micro-batch's files appear together with its commit."""
-    files.sparkSession.dataSource.register(FrameFiles)
+    register(files.sparkSession, FrameFiles)
     own = files.select(F.col("name"), F.col("content"))
     return own.writeStream.format("frame_files").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..session import register
 from .storage import file_system, files_in
 
 SCHEMA = "file string, frame long, raw binary"
@@ -79,7 +80,7 @@ class RawFramesReader(DataSourceReader):
 
 def raw_frames(spark: SparkSession, path: str, record: int, first: int = 0, end: int = MOST, partition_bytes: int = 64 << 20) -> DataFrame:
     """(file, frame, raw): the whole records first to end of the files at path."""
-    spark.dataSource.register(RawFrames)
+    register(spark, RawFrames)
     options = {"record": record, "first": first, "end": end, "partition_bytes": partition_bytes}
     return spark.read.format("raw_frames").options(**options).load(path)
 

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from ..session import scratch, staged
+from ..session import register, scratch, staged
 from ..sources.storage import file_system
 
 BUCKET = "bucket"
@@ -119,7 +119,7 @@ class ArrivalsReader(DataSourceStreamReader):
 
 def arrivals(spark: SparkSession, path: str, schema: StructType | str, number: str, key: str, admit: str = "all") -> DataFrame:
     """The stream of the frames that arrive at path."""
-    spark.dataSource.register(FrameArrivals)
+    register(spark, FrameArrivals)
     return spark.readStream.format("frame_arrivals").schema(schema).options(number=number, key=key, admit=admit).load(path)
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import by_value
 from .rules import Rule
 
 #: Keyed state with timers needs this store.
@@ -68,4 +69,5 @@ def over_ending_stream(rows: DataFrame, rule: Rule, at: str, late: str, idle_ms:
     """The rule's rows, of a stream with a timestamp column ``at``. late: the watermark's delay, as an interval; idle_ms: after how long without rows a key's state goes."""
     use_store(rows.sparkSession)
     own = rows.withWatermark(at, late).select(*dict.fromkeys([*rule.fields, at])).groupBy(rule.fields[0])
-    return own.transformWithStateInPandas(RuleProcessor(rule, at, idle_ms), rule.out, "Append", "EventTime")
+    with by_value():
+        return own.transformWithStateInPandas(RuleProcessor(rule, at, idle_ms), rule.out, "Append", "EventTime")
