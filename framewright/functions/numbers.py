@@ -14,6 +14,16 @@ def jitter(key: Column, k: int, most: int) -> Column:
     return (F.pmod(F.floor(mixed / 65536), F.lit(2 * most + 1)) - most).cast("int")
 
 
+def product_modulo(a: Column, b: Column, bits: int) -> Column:
+    """a * b modulo 2**bits, of whole numbers of any size, for up to 42 bits: b goes in two halves, so no product needs more than 63 bits."""
+    if not 1 <= bits <= 42:
+        raise ValueError("a modulus of 1 to 42 bits")
+    m, half = F.lit(1 << bits), bits // 2
+    a, b = F.pmod(a.cast("long"), m), F.pmod(b.cast("long"), m)
+    high, low = F.shiftright(b, half), F.pmod(b, F.lit(1 << half))
+    return F.pmod(F.pmod(F.pmod(a * high, m) * (1 << half), m) + F.pmod(a * low, m), m)
+
+
 def fit_size(w: Column | str, h: Column | str, to_w: int, to_h: int) -> tuple[Column, Column]:
     """The largest size of the same shape within the target."""
     ratio = F.least(F.lit(float(to_w)) / col(w), F.lit(float(to_h)) / col(h))

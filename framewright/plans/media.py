@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -261,15 +261,20 @@ for _name in ("stride_removal", "plane_slice", "pcm_decode"):  # older names
 _n = "n AS (SELECT event_id, (event_id * event_id * event_id * 31 + user_id) % 4398046511104 AS v FROM events)"
 
 
+def some_number() -> Column:
+    """v of the SQL; the cube of an id has more than 63 bits from some two millions on, so it is taken modulo 2**42 as it grows."""
+    key = F.col("event_id")
+    cube = N.product_modulo(N.product_modulo(key, key, 42), key, 42)
+    return F.pmod(N.product_modulo(cube, F.lit(31), 42) + F.col("user_id"), F.lit(1 << 42))
+
+
 @query("ebml_length", f"WITH {_n}, k AS (SELECT *, CASE WHEN v < 127 THEN 1 WHEN v < 16383 THEN 2 WHEN v < 2097151 THEN 3 WHEN v < 268435455 THEN 4 WHEN v < 34359738367 THEN 5 WHEN v < 4398046511103 THEN 6 ELSE 7 END AS z FROM n) SELECT event_id, CAST(v AS BIGINT) AS v, lpad(lower(hex(CAST(v + (1::BIGINT << (7 * z)) AS BIGINT))), 2 * z, '0') AS bytes FROM k")
 def ebml_length(spark, sf):
-    key = F.col("event_id")
-    own = table(spark, sf, "events").select("event_id", F.pmod(key * key * key * 31 + F.col("user_id"), F.lit(4398046511104)).alias("v"))
+    own = table(spark, sf, "events").select("event_id", some_number().alias("v"))
     coded = own.withColumn("bytes", N.ebml_length("v"))
     return coded.select("event_id", N.ebml_length_value("bytes").alias("v"), "bytes")  # the value as it is read back
 
 
 @query("ebml_integer", f"WITH {_n}, h AS (SELECT event_id, lower(hex(CAST(v AS BIGINT))) AS d FROM n) SELECT event_id, CASE WHEN length(d) % 2 = 1 THEN '0' || d ELSE d END AS bytes FROM h")
 def ebml_integer(spark, sf):
-    key = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", N.ebml_integer(F.pmod(key * key * key * 31 + F.col("user_id"), F.lit(4398046511104))).alias("bytes"))
+    return table(spark, sf, "events").select("event_id", N.ebml_integer(some_number()).alias("bytes"))

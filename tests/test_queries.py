@@ -10,6 +10,7 @@ from framewright import registry
 from framewright.functions import numbers as N
 from framewright.functions import pixels as P
 from framewright.operators import stencil as T
+from framewright.sources import ebml as E
 from framewright.sources import frames as R
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -82,6 +83,19 @@ def test_all_events_take_part(spark, sf):
     assert [registry.QUERIES[name](spark, sf).count() for name in ("tile_touch", "next_frame_asof")] == [n, n]
 
 
+def test_numbers_of_large_ids(spark, tmp_path):
+    """EBML lengths and integers of ids whose cubes have far more than 63 bits, against Python's whole numbers."""
+    ids = [0, 1, 5, 99_999, 667_000, 2_097_152, 5_999_999, 36_000_001, 10**12 + 7]
+    spark.createDataFrame([(k, k % 1501) for k in ids], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = {k: (k**3 * 31 + k % 1501) % (1 << 42) for k in ids}
+    found = {r["event_id"]: r for r in registry.QUERIES["ebml_length"](spark, str(tmp_path)).collect()}
+    assert {k: r["v"] for k, r in found.items()} == want
+    assert all(E.length_bytes(want[k]).hex() == r["bytes"] for k, r in found.items())
+    assert {r["event_id"]: r["bytes"] for r in registry.QUERIES["ebml_integer"](spark, str(tmp_path)).collect()} == {k: E.integer(v).hex() for k, v in want.items()}
+    a, b = (1 << 42) - 1, (1 << 41) + 12345
+    assert values(spark, [a, b, 7], N.product_modulo(F.col("x"), F.lit(a), 42), N.product_modulo(F.col("x"), F.lit(-3), 9)) == [(x * a % (1 << 42), x * -3 % 512) for x in (a, b, 7)]
+
+
 def test_modes_of_discs_send_no_rows(spark):
     """Discs against plain counting, where pixels are missing; there is no row for each place of a disc, and nothing is broadcast."""
     rng = random.Random(3)
