@@ -7,6 +7,8 @@ others never enter the query: a slot that holds one frame. Under "all" every fra
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,11 +16,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..session import register, scratch, staged
@@ -123,16 +125,42 @@ def arrivals(spark: SparkSession, path: str, schema: StructType | str, number: s
     return spark.readStream.format("frame_arrivals").schema(schema).options(number=number, key=key, admit=admit).load(path)
 
 
-def delivered(rows: DataFrame, number: str, key: str, admit: str, write: Callable[[DataFrame], DataStreamWriter], slices: int = 3) -> None:
-    """Lets rows arrive in so many slices of their numbers, each a batch of the stream that ``write`` makes a writer of; ends when all of it is done."""
+def slice_of(number: str, end: int, slices: int) -> Column:
+    """Which of so many slices of the numbers from 0 up to end, that one aside, a number lies in."""
+    out = F.lit(0)
+    for k in range(1, slices):
+        out = F.when(F.col(number) >= end * k // slices, k).otherwise(out)
+    return out.cast("long")
+
+
+def read_up_to(query: StreamingQuery, end: int) -> None:
+    """Waits until a batch that ends at this offset is done. processAllAvailable() alone may come back before, when the source was looked at just ahead of what was added."""
+    while True:
+        query.processAllAvailable()
+        if (failed := query.exception()) is not None:
+            raise failed
+        if not query.isActive:
+            raise RuntimeError(f"the stream has ended before it read up to {end}")
+        last = query.lastProgress
+        done = [source["endOffset"]["next"] for source in json.loads(last.json)["sources"] if source["endOffset"]] if last else []
+        if max(done, default=0) >= end:
+            return
+        time.sleep(0.05)
+
+
+def delivered(rows: DataFrame, number: str, key: str, admit: str, write: Callable[[DataFrame], DataStreamWriter], slices: int = 3) -> int:
+    """Lets rows arrive in so many slices of their numbers, each a batch of the stream that ``write`` makes a writer of; ends when all of it is done. Gives where the numbers end."""
     spark = rows.sparkSession
     path, rows = scratch(spark, "arrivals"), staged(rows)
     end = rows.agg(F.max(number)).first()[0]
-    bounds = [(end + 1 if end is not None else 0) * k // slices for k in range(slices + 1)]
+    end = 0 if end is None else end + 1
+    last = dict(rows.groupBy(slice_of(number, end, slices)).agg(F.max(number)).collect())  # a row a slice
     query = write(arrivals(spark, path, rows.schema, number, key, admit)).start()
     try:
-        for low, high in zip(bounds, bounds[1:]):
-            append_arrivals(rows.filter((F.col(number) >= low) & (F.col(number) < high)), path, key)
-            query.processAllAvailable()
+        for k in range(slices):
+            append_arrivals(rows.filter(slice_of(number, end, slices) == k), path, key)
+            if k in last:
+                read_up_to(query, last[k] + 1)
     finally:
         query.stop()
+    return end

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .arrivals import delivered
+from .arrivals import delivered, slice_of
 
 
 def run(rows: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], slices: int = 3, key: str = "video") -> DataFrame:
@@ -33,15 +33,15 @@ def rows_written(spark, folder: str) -> bool:
 def run_latest(rows: DataFrame, by: str, keys: list[str], slices: int = 3) -> DataFrame:
     """A slot that holds one frame for each key: of what arrives between two batches the source hands on the last row by ``by``; the others are lost.
 
-    A batch is written to a folder of its own, in place of what an earlier try left there.
+    A batch is written to a folder of its own, in place of what an earlier try left there. ``batch`` is the slice it arrived in, which empty slices don't shift.
     """
     spark, folder = rows.sparkSession, scratch(rows.sparkSession, "stream")
 
     def hand_on(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/number={number}")
 
     (key,) = keys
-    delivered(rows, by, key, "latest", lambda stream: stream.writeStream.foreachBatch(hand_on).option("checkpointLocation", f"{folder}/state"), slices)
+    end = delivered(rows, by, key, "latest", lambda stream: stream.writeStream.foreachBatch(hand_on).option("checkpointLocation", f"{folder}/state"), slices)
     if not rows_written(spark, folder):
         return rows.limit(0).select(F.lit(0).cast("long").alias("batch"), *rows.columns)
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(F.col("batch").cast("long"), *rows.columns)
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(slice_of(by, end, slices).alias("batch"), *rows.columns)

@@ -77,3 +77,13 @@ def test_empty_stream(spark):
     assert S.run(rows, "event_id", lambda s: U.over_stream(s, U.NOT_LATE)).count() == 0
     assert U.over_table(rows, U.NOT_LATE).count() == 0
     assert S.run_latest(rows.withColumn("x", F.lit(1)), "event_id", ["video"]).count() == 0
+
+
+def test_all_slices_are_read(spark, monkeypatch):
+    """A stream that says too early that all is processed loses no slice; one without rows shifts no number."""
+    from pyspark.sql.streaming import StreamingQuery
+
+    monkeypatch.setattr(StreamingQuery, "processAllAvailable", lambda query: None)
+    rows = [(k % 2, k, k * 10) for k in [*range(5), *range(21, 30)]]  # none of the second slice
+    found = S.run_latest(spark.createDataFrame(rows, "video long, event_id long, ms long"), "event_id", ["video"])
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 4, 40), (0, 1, 3, 30), (2, 0, 28, 280), (2, 1, 29, 290)]
