@@ -231,9 +231,8 @@ def ebml_durations(spark, sf):
 
     found = E.parse(ebml_files(spark, sf), "video")
     of = lambda id, value: F.max(F.when(F.col("id") == id, value))
-    doubles = found.filter("id = '4489'").select("video", float_value("value").alias("ms"))
-    rest = found.groupBy("video").agg(F.sum(F.when(F.col("id") == "a3", 1).otherwise(0)).alias("n_blocks"), of("d7", E.integer_value("value")).alias("track"))
-    return doubles.join(rest, "video")
+    rest = found.groupBy("video").agg(F.sum(F.when(F.col("id") == "a3", 1).otherwise(0)).alias("n_blocks"), of("d7", E.integer_value("value")).alias("track"), of("4489", F.col("value")).alias("ms"))
+    return rest.filter(F.col("ms").isNotNull()).withColumn("ms", float_value("ms"))
 
 
 # Muxing: a user's events in turn as pictures and as packets of sound, 37 ms apart; a page has three packets of up to 599 bytes

@@ -134,3 +134,19 @@ def test_sample_factor_is_that_of_columns(spark):
     rows = spark.createDataFrame(sizes, "w long, h long")
     got = {(r["w"], r["h"]): r["f"] for r in rows.withColumn("f", N.downsample_factor("w", "h", 300, 200)).collect()}
     assert got == {s: X.sample_factor(*s, 300, 200) for s in sizes}
+
+
+def test_files_of_a_batch_are_made_one_by_one():
+    """A batch of files is far smaller than its numbers and blocks as Python objects; only one file's are held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, k = 400, 500
+    times, blocks = pa.array([list(range(0, k * 37, 37))] * n), pa.array([[b"12345678"] * k] * n, pa.list_(pa.binary()))
+    tracemalloc.start()
+    made = E.audio_file.func(pa.array([1] * n), pa.array([44100.0] * n), times, blocks)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == n and made[0] == made[n - 1]
+    assert most < 14e6, most
