@@ -18,6 +18,8 @@ from ..functions.pixels import FIXED_POINT, REAL, edge_multiplier
 Planes = tuple[np.ndarray, np.ndarray, np.ndarray]
 Kernel = Callable[[Planes], np.ndarray]
 SCHEMA = "frame_id bigint, width int, height int, rgb binary"
+#: About how many bytes of results a batch has that a task hands on.
+OUT_BYTES = 4 << 20
 
 
 def _shifted(y: np.ndarray, u: np.ndarray, v: np.ndarray, rv: int, gv: int, gu: int, bu: int) -> np.ndarray:
@@ -258,11 +260,17 @@ def apply(planes: DataFrame, kernel: Kernel) -> DataFrame:
     """(frame_id, width, height, rgb): interleaved bytes of every frame's result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["frame_id", "width", "height", "rgb"]
         for batch in batches:
-            made = []
-            for w, h, *parts in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
+            made, first, size = [], 0, 0
+            for row, (w, h, *parts) in enumerate(zip(*(batch.column(k) for k in range(1, 6)))):
+                w, h, *parts = (x.as_py() for x in (w, h, *parts))
                 made.append(np.moveaxis(kernel(whole_planes(w, h, *parts)), 0, 2).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["frame_id", "width", "height", "rgb"])
+                size += len(made[-1])
+                if size >= OUT_BYTES or row == batch.num_rows - 1:
+                    own = batch.slice(first, len(made))
+                    yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(made, pa.binary())], names)
+                    made, first, size = [], row + 1, 0
 
     return planes.select("frame_id", "width", "height", "yp", "up", "vp").mapInArrow(run, SCHEMA)
 

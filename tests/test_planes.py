@@ -57,3 +57,22 @@ def test_seeds_of_uneven_rows():
             y, x = np.mgrid[:height, :width]
             d = (x[..., None] - sx) ** 2 + (y[..., None] - sy) ** 2
             assert (got == d.argmin(-1)).all()
+
+
+def test_results_leave_in_small_batches(monkeypatch):
+    """A batch of many frames isn't answered by one as large: results go on once they have so many bytes."""
+    import pyarrow as pa
+
+    class Planes:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(P, "OUT_BYTES", 50, raising=False)
+    frames = pa.RecordBatch.from_pydict({"frame_id": range(7), "width": [2] * 7, "height": [2] * 7, "yp": [bytes([k] * 4) for k in range(7)], "up": [b"a"] * 7, "vp": [b"b"] * 7})
+    got = list(P.apply(Planes(), lambda planes: np.stack([planes[0]] * 3))(iter([frames, frames.slice(0, 0), frames.slice(0, 5)])))
+    assert [b.num_rows for b in got] == [5, 2, 5]
+    assert [b["frame_id"].to_pylist() for b in got] == [[0, 1, 2, 3, 4], [5, 6], [0, 1, 2, 3, 4]]
+    assert got[1]["rgb"].to_pylist() == [bytes([k] * 12) for k in (5, 6)]
