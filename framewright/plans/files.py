@@ -270,8 +270,7 @@ mb AS (SELECT *, sum(cut) OVER (PARTITION BY video ORDER BY block) - 1 AS cluste
 UNION ALL SELECT {big('mb.video mb.block mb.cluster').replace('AS mb.', 'AS ')}, 2::BIGINT, CAST(mb."at" AS BIGINT), CAST(k AS BIGINT), repeat(printf('%02X', event_id % 256), CAST(pk.n AS BIGINT)) FROM mb JOIN pk ON pk.video = mb.video AND pk.number = mb.number WHERE kind = 'a'""")
 def ebml_mux(spark, sf):
     """Muxed files parsed again: the packets of all blocks, with their clusters and times."""
-    found = M.unmuxed(E.parse(muxed(spark, sf), "video"))
-    return found.withColumn("packet", F.hex("packet"))
+    return M.packets(muxed(spark, sf)).withColumn("packet", F.hex("packet"))
 
 
 _vlen = lambda n: f"CASE WHEN {n} < 127 THEN 1 WHEN {n} < 16383 THEN 2 WHEN {n} < 2097151 THEN 3 WHEN {n} < 268435455 THEN 4 ELSE 5 END"

@@ -8,7 +8,7 @@ values over slices, so one long video is many tasks until it is written.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.numbers import ebml_integer, ebml_length, ebml_length_bytes
+from ..operators.planes import OUT_BYTES
 from ..operators.slices import SLICE, Running, running, sliced
+from ..session import staged
 from ..sources import ebml as E
 
 #: A block's time from its cluster's has 16 bits with a sign, so a cluster spans less than 32,768 ms.
@@ -90,9 +92,12 @@ def _head(ms: pa.Array, size: pa.Array) -> pa.Array:
 
 
 def pieces(own: DataFrame) -> DataFrame:
-    """(video, place, content) of placed blocks: laid one after another by place, a struct, they are the files."""
+    """(video, place, content) of placed blocks: laid one after another by place, a struct, they are the files.
+
+    Blocks are staged, as heads, starts and the blocks themselves all need them, and their places are running values.
+    """
     body = 4 + F.length("payload")
-    own = own.withColumns({"body": body, "whole": 1 + ebml_length_bytes(body) + body})
+    own = staged(own).withColumns({"body": body, "whole": 1 + ebml_length_bytes(body) + body})
     clusters = own.groupBy("video", "cluster").agg(F.min("at").alias("begin"), F.max("at").alias("end"), F.sum("whole").alias("of_blocks"))
     time = ebml_integer("begin")
     time_size = F.floor(F.length(time) / 2)
@@ -133,6 +138,68 @@ def unmuxed(elements: DataFrame) -> DataFrame:
     return each.drop("cluster").join(numbers, ["video", "place"]).select("video", "block", F.col("of").alias("cluster"), "track", "at", "k", "packet")
 
 
+def packets(files: DataFrame, key: str = "video", data: str = "data") -> DataFrame:
+    """What unmuxed() gives of E.parse()'s elements, of files (key, data) in one pass: blocks and clusters are numbered as they are parsed."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def rows(name: object, content: bytes) -> Iterator[tuple[tuple, int]]:
+        block, numbers, begins = 0, {}, {}
+        for place, _, parent, id, _, _, value in E.elements(content):
+            if id == "1f43b675":
+                numbers[place] = len(numbers)
+            elif id == "e7":
+                begins[parent] = int.from_bytes(value, "big")
+            elif id == "a3":
+                at = begins[parent] + struct.unpack_from(">h", value, 1)[0]
+                for k, packet in enumerate(packets_of(value)):
+                    yield (name, block, numbers[parent], value[0] & 0x7F, at, k, packet), len(packet)
+                block += 1
+
+    return _in_one_pass(files.select(key, data), rows, f"{key} {kind}, block long, cluster long, track long, at long, k long, packet binary", pa.binary())
+
+
+def _in_one_pass(files: DataFrame, rows: Callable[..., Iterator[tuple[tuple, int]]], schema: str, last: pa.DataType) -> DataFrame:
+    """The rows of files, whose columns are whole numbers but for the first and the last; they leave in batches of some MB, whatever the files' sizes are. rows: a row with its bytes."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size, kind = [], 0, None
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (kind, *[pa.int64()] * (len(names) - 2), last))], names)
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for own in zip(*batch.columns):
+                name, content = (x.as_py() for x in own)
+                for row, n in rows(name, content or b""):
+                    made.append(row)
+                    size += n + 64
+                    if size >= OUT_BYTES:
+                        yield batch_of()
+                        made, size = [], 0
+        if made:
+            yield batch_of()
+
+    return files.mapInArrow(run, schema)
+
+
+def sizes(files: DataFrame, key: str = "video", data: str = "data") -> DataFrame:
+    """(key, cluster, size, length) of files (key, data): what each cluster tells, by number, and what the segment tells, as -1, beside the file's own length."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def rows(name: object, content: bytes) -> Iterator[tuple[tuple, int]]:
+        n = 0
+        for _, _, _, id, _, size, _ in E.elements(content):
+            if id == "18538067":
+                yield (name, -1, size, len(content)), 0
+            elif id == "1f43b675":
+                yield (name, n, size, None), 0
+                n += 1
+
+    return _in_one_pass(files.select(key, data), rows, f"{key} {kind}, cluster long, size long, length long", pa.int64())
+
+
 def packets_of(block: bytes) -> list[bytes]:
     """The packets of a block: one, or several with Xiph's sizes."""
     flags, data = block[3], block[4:]

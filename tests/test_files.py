@@ -127,6 +127,38 @@ def test_lacing_and_clusters(spark):
         M.placed(own, 40_000)
 
 
+def muxed_of_two():
+    from framewright.sinks import mux as M
+
+    return [(v, bytearray(M.HEADER + E.element("18538067", [M.info(0.0), M.TRACKS, *(E.element("1f43b675", [E.element("e7", E.integer(300 * c)), *(E.element("a3", bytes([0x81, 0, 7 * k, 0x80]) + bytes([k] * k)) for k in range(n))]) for c, n in enumerate(sizes))]))) for v, sizes in ((1, (2, 0, 3)), (2, (1,)))]
+
+
+def test_packets_in_one_pass(spark, monkeypatch):
+    """Files are read and parsed once, not once for each kind of element; rows leave in small batches."""
+    from framewright.sinks import mux as M
+
+    files = spark.createDataFrame([*muxed_of_two(), (3, None), (4, bytearray())], "video long, data binary")
+    found = M.packets(files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, M.unmuxed(E.parse(files, "video")).collect()))
+    assert [r[:5] for r in got] == [(1, 0, 0, 1, 0), (1, 1, 0, 1, 7), (1, 2, 2, 1, 600), (1, 3, 2, 1, 607), (1, 4, 2, 1, 614), (2, 0, 0, 1, 0)]
+
+
+def test_sizes_in_one_pass(spark):
+    from framewright.sinks import mux as M
+
+    own = muxed_of_two()
+    found = M.sizes(spark.createDataFrame(own, "video long, data binary"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = []
+    for v, data in own:
+        sizes = [(f[3], f[5]) for f in E.elements(bytes(data))]
+        want += [(v, -1, n, len(data)) for i, n in sizes if i == "18538067"]
+        want += [(v, k, n, None) for k, n in enumerate(n for i, n in sizes if i == "1f43b675")]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == want
+
+
 def test_sample_factor_is_that_of_columns(spark):
     from framewright.functions import numbers as N
 
