@@ -282,12 +282,7 @@ cc AS (SELECT video, cluster, 2 + CASE WHEN t < 256 THEN 1 WHEN t < 65536 THEN 2
 SELECT {big('video')}, -1::BIGINT AS cluster, CAST(size AS BIGINT) AS size, CAST({len(M.HEADER)} + 4 + ({_vlen('size')}) + size AS BIGINT) AS length FROM ss UNION ALL SELECT {big('video cluster size')}, NULL::BIGINT FROM cc""")
 def ebml_mux_sizes(spark, sf):
     """The sizes that segments and clusters tell, and the files' own."""
-    files = muxed(spark, sf)
-    found = E.parse(files, "video")
-    whole_ = found.filter("id = '18538067'").select("video", F.lit(-1).cast("long").alias("cluster"), "size").join(files.select("video", "length"), "video")
-    own = found.filter("id = '1f43b675'").select("video", F.col("place").cast("long").alias("place"), "size")
-    numbered = T.running(T.sliced(own, "video", ["place"]), "video", ["place"], {"cluster": T.Running("count", F.lit(1))})
-    return whole_.unionByName(numbered.select("video", "cluster", "size", F.lit(None).cast("long").alias("length")))
+    return M.sizes(muxed(spark, sf))
 
 
 # Audio, sizes and the catalog
