@@ -103,6 +103,22 @@ def nearest_frame(frames: DataFrame, times: DataFrame) -> DataFrame:
     return found.select("video", "k", F.col("at").alias("at_ms"), F.when(nearer, F.col("b.frame")).otherwise(F.col("a.frame")).alias("frame"))
 
 
+def nearest_at_steps(frames: DataFrame, step_ms: int) -> DataFrame:
+    """nearest_frame() of sample_times(): a frame finds the times between it and the next by arithmetic, so that times, which may be far more than frames, are neither sorted nor kept."""
+    own = frames if SLICE in frames.columns else sliced(frames, "video", ["ms", "frame"])
+    order = ["ms", "frame"]
+    line = running(own.select("video", *order, SLICE), "video", order, {"__before": Running("last", F.col("ms"))})
+    lowest = line.filter(F.col("__before").isNull() | (F.col("__before") < F.col("ms"))).drop("__before")  # of each time the first frame
+    found = running(lowest, "video", order, {"__next": Running("last", F.struct("ms", "frame"), back=True), "__first": Running("min", F.col("ms"), whole=True)})
+    # the numbers of the times from this frame on and before the next one; the last frame has its own time at most
+    low = F.expr(f"(ms - __first + {step_ms - 1}) div {step_ms}")
+    high = F.expr(f"(coalesce(__next.ms, ms + 1) - 1 - __first) div {step_ms}")
+    each = found.withColumns({"__low": low, "__high": high}).filter("__low <= __high").withColumn("k", F.explode(F.sequence("__low", "__high")))
+    at = F.col("__first") + F.col("k") * step_ms
+    nearer = F.col("__next").isNull() | (at - F.col("ms") <= F.col("__next.ms") - at)
+    return each.select("video", "k", at.alias("at_ms"), F.when(nearer, F.col("frame")).otherwise(F.col("__next.frame")).alias("frame"))
+
+
 def rate_estimate(frames: DataFrame, first: int = 180, default: float = 30.0) -> DataFrame:
     """(video, fps): frames a second over the first so many; the default where that can't be told."""
     some = frames.filter(F.col("frame") < first).groupBy("video").agg(F.count(F.lit(1)).alias("n"), (F.max("ms") - F.min("ms")).alias("span"))

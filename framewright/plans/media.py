@@ -69,8 +69,7 @@ STEP = 3_600_000
 @query("nearest_frame", f"""WITH {TL}, {SUM}, s AS (SELECT video, unnest(range(0, (last_ms - first_ms) // {STEP} + 1)) AS k, first_ms FROM sm), a AS (SELECT video, k, first_ms + k * {STEP} AS at_ms FROM s),
 o AS (SELECT a.*, frame, row_number() OVER (PARTITION BY video, k ORDER BY abs(ms - at_ms), ms, frame) AS r FROM a JOIN tl USING (video)) SELECT {big('video k at_ms frame')} FROM o WHERE r = 1""")
 def nearest_frame(spark, sf):
-    frames = T.sliced_timeline(spark, sf)
-    return T.nearest_frame(frames, T.sample_times(frames, STEP))
+    return T.nearest_at_steps(T.sliced_timeline(spark, sf), STEP)
 
 
 _fps = "fp AS (SELECT video, CASE WHEN count(*) > 1 AND max(ms) > min(ms) THEN (count(*) - 1) * 1000e0 / (max(ms) - min(ms)) ELSE 30e0 END AS fps FROM tl WHERE frame < 180 GROUP BY video)"

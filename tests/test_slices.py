@@ -91,3 +91,19 @@ def test_running_mean_over_slices(spark):
             assert got[v, k] == (sum(own) / len(own) if own else None)
     one = {(r["video"], r["frame"]): r["mean"] for r in T.running_mean(frames, "took", last=1).collect()}
     assert one == {(v, k): x for v, k, x in rows}
+
+
+def test_nearest_at_steps(spark):
+    """As nearest_frame() of sample_times(), with frames of equal times and ties; times are made after the last sort, so that none is sorted or kept."""
+    rng = random.Random(5)
+    rows = []
+    for v, n, most in ((1, 60, 9), (2, 1, 9), (3, 40, 400), (4, 5, 0)):
+        at = sorted(rng.randint(0, n * most // 3) - 50 for _ in range(n))
+        rows += [(v, k, ms) for k, ms in enumerate(at)]
+    frames = spark.createDataFrame(rows, "video long, frame long, ms long")
+    for step in (1, 2, 7, 100_000):
+        found = T.nearest_at_steps(frames, step)
+        want = sorted(map(tuple, T.nearest_frame(frames, T.sample_times(frames, step)).collect()))
+        assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Window")
