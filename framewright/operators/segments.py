@@ -30,15 +30,17 @@ def nearest_seed(x: Column, y: Column, width: int, height: int, spacing: int) ->
     """The segment of the nearest seed in the 3 x 3 cells around a pixel; the lowest of those that tie."""
     columns, rows, most = len(range(spacing // 2, width, spacing)), len(range(spacing // 2, height, spacing)), spacing // 3
 
-    def seed(k: Column) -> Column:
-        cx, cy = (F.floor(x / spacing) + F.pmod(k, F.lit(3)) - 1).cast("int"), (F.floor(y / spacing) + F.floor(k / 3) - 1).cast("int")
+    def seed(k: int) -> Column:
+        cx, cy = (F.floor(x / spacing) + (k % 3 - 1)).cast("int"), (F.floor(y / spacing) + (k // 3 - 1)).cast("int")
         seg = cy * columns + cx
         off_x = x - clamp(cx * spacing + spacing // 2 + jitter(seg, 0, most), 0, width - 1)
         off_y = y - clamp(cy * spacing + spacing // 2 + jitter(seg, 1, most), 0, height - 1)
         there = cx.between(0, columns - 1) & cy.between(0, rows - 1)
-        return F.when(there, F.struct((off_x * off_x + off_y * off_y).cast("long").alias("d"), seg.alias("seg")))
+        # distance and segment in one number: the nearest, and of those that tie the lowest
+        return F.when(there, (off_x * off_x + off_y * off_y).cast("long") * (columns * rows) + seg)
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(8)), seed))["seg"]
+    # nine terms and no lambda, which Spark would interpret for each pixel; nulls are passed over
+    return F.pmod(F.least(*map(seed, range(9))), F.lit(columns * rows)).cast("int")
 
 
 def assigned(px: DataFrame, width: int, height: int, spacing: int) -> DataFrame:
@@ -50,7 +52,12 @@ def segment_colours(with_seg: DataFrame, variation: int = 12) -> DataFrame:
     """(frame_id, seg, n, r, g, b): each segment's mean colour, moved by a little."""
     rgb = with_seg.select("frame_id", "seg", *[c.alias(n) for c, n in zip(yuv_to_rgb("yy", "uu", "vv"), "rgb")])
     means = rgb.groupBy("frame_id", "seg").agg(F.count(F.lit(1)).alias("n"), *[F.floor(F.sum(c) / F.count(F.lit(1))).alias(c) for c in "rgb"])
-    return means.select("frame_id", "seg", "n", *[clamp(F.col(c) + jitter(F.col("seg"), 2 + k, variation)).cast("int").alias(c) for k, c in enumerate("rgb")])
+    return means.select("frame_id", "seg", "n", *[moved(F.col(c), k, variation).alias(c) for k, c in enumerate("rgb")])
+
+
+def moved(mean: Column, channel: int, variation: int) -> Column:
+    """A segment's mean of a channel, moved by a little that follows from the segment."""
+    return clamp(mean + jitter(F.col("seg"), 2 + channel, variation)).cast("int")
 
 
 def segment_edges(with_seg: DataFrame, width: int, height: int, thickness: int) -> DataFrame:
@@ -66,9 +73,15 @@ def segment_edges(with_seg: DataFrame, width: int, height: int, thickness: int)
 def stained_glass(px: DataFrame, width: int, height: int, spacing: int, thickness: int = 1, edge_colour: tuple[int, int, int] = (0, 0, 0), variation: int = 12) -> DataFrame:
     """(frame_id, x, y, r, g, b): the whole effect."""
     own = assigned(px, width, height, spacing)
-    edge = segment_edges(own, width, height, thickness).withColumn("edge", F.lit(True))
-    filled = own.select("frame_id", "x", "y", "seg").join(segment_colours(own, variation), ["frame_id", "seg"]).join(edge, ["frame_id", "x", "y"], "left")
-    return filled.select("frame_id", "x", "y", *[F.when(F.col("edge"), c).otherwise(F.col(n)).alias(n) for c, n in zip(edge_colour, "rgb")])
+    # a pixel looks back for what paints it, as far as a border is thick; all windows take the partitions of frames as they are
+    inner = (F.col("x") < width - 1) & (F.col("y") < height - 1)
+    for paints, line in (("__right", along_row()), ("__below", along_column())):
+        own = own.withColumn(paints, inner & (F.max("seg").over(line.rangeBetween(1, 1)) != F.col("seg")))
+        own = own.withColumn(paints, F.max(paints).over(line.rangeBetween(1 - thickness, 0)))
+    segment = Window.partitionBy("frame_id", "seg")
+    means = [F.floor(F.sum(c).over(segment) / F.count(F.lit(1)).over(segment)) for c in yuv_to_rgb("yy", "uu", "vv")]
+    edge = F.coalesce("__right", F.lit(False)) | F.coalesce("__below", F.lit(False))
+    return own.select("frame_id", "x", "y", *[F.when(edge, c).otherwise(moved(m, k, variation)).alias(n) for k, (c, m, n) in enumerate(zip(edge_colour, means, "rgb"))])
 
 
 # Seeds in rows of different lengths: a row is a band of ``spacing`` lines, with any number of seeds anywhere in it

@@ -76,3 +76,21 @@ def test_results_leave_in_small_batches(monkeypatch):
     assert [b.num_rows for b in got] == [5, 2, 5]
     assert [b["frame_id"].to_pylist() for b in got] == [[0, 1, 2, 3, 4], [5, 6], [0, 1, 2, 3, 4]]
     assert got[1]["rgb"].to_pylist() == [bytes([k] * 12) for k in (5, 6)]
+
+
+def test_stained_glass_stays_in_its_partitions(spark):
+    """As the kernel, for borders of any thickness; frames are put together once, and no pixel is sent to a lambda or to a join."""
+    from framewright.operators import segments as S
+
+    rng, width, height = np.random.default_rng(6), 21, 14
+    planes = [rng.integers(0, 256, (height, width)) for _ in range(3)]
+    rows = [(f, x, y, *(int(p[y, x]) for p in planes)) for f in range(2) for y in range(height) for x in range(width)]
+    px = spark.createDataFrame(rows, "frame_id long, x int, y int, yy int, uu int, vv int").repartition("frame_id")
+    for spacing, thickness in ((4, 1), (6, 3)):
+        found = S.stained_glass(px, width, height, spacing, thickness, (20, 30, 40))
+        want = P.stained_glass(tuple(planes), spacing, thickness)
+        got = found.collect()
+        assert len(got) == 2 * width * height
+        assert all((r["r"], r["g"], r["b"]) == tuple(want[:, r["y"], r["x"]]) for r in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "lambda" not in plan and plan.count("Exchange hashpartitioning") <= 2
