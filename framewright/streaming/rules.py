@@ -11,8 +11,12 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Buckets of a stream's keys; about how many rows a table has that a task hands on.
+BUCKETS, OUT_ROWS = 4096, 20_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,21 +53,41 @@ def over_table(rows: DataFrame, rule: Rule) -> DataFrame:
     return ordered.mapInPandas(run, rule.out)
 
 
-def over_stream(rows: DataFrame, rule: Rule) -> DataFrame:
-    """The rule's rows, of a stream. A key's rows of one micro-batch are sorted; a key's state is all that stays between batches."""
-    order = [rule.fields.index(c) for c in rule.order]
+def over_stream(rows: DataFrame, rule: Rule, buckets: int = BUCKETS) -> DataFrame:
+    """The rule's rows, of a stream. A key's rows of one micro-batch are sorted; a key's state is all that stays between batches.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, out = held.get if held.exists else rule.start, []
-        batch = [row for frame in frames for row in frame[list(rule.fields)].itertuples(index=False, name=None)]
-        for row in sorted(batch, key=lambda r: [r[k] for k in order]):
-            state, more = rule.step(tuple(state), row)
-            out += more
-        held.update(tuple(state))
-        yield pd.DataFrame(out, columns=rule.names)
+    Spark's keyed state is one for each bucket of keys, with the keys' own states in arrays: what a call and a table cost would otherwise be paid for each key in each
+    batch. ``buckets`` is fixed for a stream, as its state is kept by them.
+    """
+    key, order = rule.fields[0], [rule.fields.index(c) for c in rule.order]
+    parts = [part.split(" ", 1) for part in rule.state.split(", ")]
 
-    own = rows.select(*rule.fields).groupBy(rule.fields[0])
-    return own.applyInPandasWithState(run, rule.out, rule.state, "append", GroupStateTimeout.NoTimeout)
+    def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        states = dict(zip(held.get[0], zip(*held.get[1:]))) if held.exists else {}
+        batch: dict = {}
+        for frame in frames:
+            for row in frame[list(rule.fields)].itertuples(index=False, name=None):
+                batch.setdefault(None if pd.isna(row[0]) else row[0], []).append(row)
+        out: list[tuple] = []
+        for own, its in batch.items():
+            state = states.get(own, rule.start)
+            its.sort(key=lambda r: [r[k] for k in order])
+            for row in its:
+                state, more = rule.step(tuple(state), row)
+                out += more
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(dict(zip(rule.names, zip(*out))), columns=rule.names)
+                    out = []
+            states[own] = tuple(state)
+        held.update((list(states), *map(list, zip(*states.values()))))
+        yield pd.DataFrame(dict(zip(rule.names, zip(*out))), columns=rule.names)
+
+    kind = rows.schema[key].dataType.simpleString()
+    state = ", ".join([f"keys__ array<{kind}>", *(f"{name} array<{of}>" for name, of in parts)])
+    # null is a bucket of its own, so that pandas has whole numbers in the others
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    own = rows.select(*rule.fields, bucket.alias("bucket__")).groupBy("bucket__")
+    return own.applyInPandasWithState(run, rule.out, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def tile_refresh(n_tiles: int, budget_ms: int) -> Rule:

@@ -87,3 +87,19 @@ def test_all_slices_are_read(spark, monkeypatch):
     rows = [(k % 2, k, k * 10) for k in [*range(5), *range(21, 30)]]  # none of the second slice
     found = S.run_latest(spark.createDataFrame(rows, "video long, event_id long, ms long"), "event_id", ["video"])
     assert sorted(map(tuple, found.collect())) == [(0, 0, 4, 40), (0, 1, 3, 30), (2, 0, 28, 280), (2, 1, 29, 290)]
+
+
+def test_keys_share_a_call_and_a_state(spark):
+    """Few buckets for many keys: states of lists, results in several tables, large keys and none beside each other."""
+    rows = spark.createDataFrame([(k % 51 or None, k // 51, 600 if k < 255 else 300) for k in range(510)], "video long, frame long, n_cells long").filter("video IS NOT NULL")
+    table = sorted(map(tuple, U.over_table(rows, U.persistent_grid()).collect()))
+    found = S.run(rows, "frame", lambda s: U.over_stream(s, U.persistent_grid(), buckets=2), 4)
+    assert sorted(map(tuple, found.collect())) == table
+    late = spark.createDataFrame([(None if k % 5 == 0 else (1 << 60) + k % 5, k, k * 10 - k % 3 * 90) for k in range(100)], "video long, event_id long, ms long")
+    got = S.run(late, "event_id", lambda s: U.over_stream(s, U.NOT_LATE, buckets=1), 3).collect()
+    want, latest = [], {}
+    for r in sorted(late.collect(), key=lambda r: r["event_id"]):
+        if latest.get(r["video"], -1000) <= r["ms"]:
+            want.append(tuple(r))
+            latest[r["video"]] = r["ms"]
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want and len(want) < 100
