@@ -6,6 +6,7 @@ Results equal those of pixel form, whose SQL checks them.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -178,20 +179,21 @@ def disc_modes(code: np.ndarray, radius: np.ndarray, margin: int) -> np.ndarray:
     for size in np.unique(radius).tolist():
         wanted = radius == size
         rows = np.flatnonzero(wanted.any(1))
-        columns = [(dx, math.isqrt(size * size - dx * dx)) for dx in range(-size, size + 1)]
-        counts = np.zeros((width, len(names)), np.uint16)
-        at = lambda y, dx: own[y + margin, xs + margin + dx]
-        for dx, reach in columns:
-            for y in range(rows[0] - reach, rows[0] + reach + 1):
-                counts[xs, at(y, dx)] += 1
+        # all columns of the disc in one step each way: what a call of numpy costs would otherwise be paid for each of them
+        dx = np.arange(-size, size + 1)
+        reach = np.array([math.isqrt(size * size - d * d) for d in dx.tolist()])
+        counts, one = np.zeros((width, len(names)), np.uint16), np.uint16(1)
+        flat, first, across = counts.reshape(-1), xs * len(names), xs + margin + dx[:, None]
+        at = lambda y, which=slice(None): (first + own[np.broadcast_to(y + margin, dx.shape)[which, None], across[which]]).ravel()
+        for step in range(-size, size + 1):
+            np.add.at(flat, at(rows[0] + step, reach >= abs(step)), one)
         for y in range(rows[0], rows[-1] + 1):
             here = np.flatnonzero(wanted[y])
             if len(here):
                 out[y, here] = names[counts[here, none:].argmax(1) + none]
             if y < rows[-1]:
-                for dx, reach in columns:
-                    counts[xs, at(y - reach, dx)] -= 1
-                    counts[xs, at(y + 1 + reach, dx)] += 1
+                np.subtract.at(flat, at(y - reach), one)
+                np.add.at(flat, at(y + 1 + reach), one)
     return out
 
 
@@ -213,7 +215,9 @@ def _jitter(seg: np.ndarray, k: int, most: int) -> np.ndarray:
     return ((seg * 8 + k) * 1103515245 + 12345) % (1 << 31) // 65536 % (2 * most + 1) - most
 
 
+@functools.lru_cache(maxsize=4)
 def segment_map(width: int, height: int, spacing: int) -> np.ndarray:
+    """The segment of each pixel: the same for all frames of a size, so the last few are kept; not to be written to."""
     cx, cy = (len(range(spacing // 2, n, spacing)) for n in (width, height))
     seg = np.arange(cx * cy)
     sx = np.clip(seg % cx * spacing + spacing // 2 + _jitter(seg, 0, spacing // 3), 0, width - 1)
@@ -228,6 +232,7 @@ def segment_map(width: int, height: int, spacing: int) -> np.ndarray:
             d = np.where(there, (x - sx[s]) ** 2 + (y - sy[s]) ** 2, np.iinfo(np.int64).max)
             out = np.where(d < best, s, out)
             best = np.minimum(d, best)
+    out.flags.writeable = False
     return out
 
 

@@ -94,3 +94,8 @@ def test_stained_glass_stays_in_its_partitions(spark):
         assert all((r["r"], r["g"], r["b"]) == tuple(want[:, r["y"], r["x"]]) for r in got)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "lambda" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_segments_are_worked_out_once_for_a_size():
+    first = P.segment_map(40, 25, 8)
+    assert P.segment_map(40, 25, 8) is first and P.segment_map(40, 25, 6) is not first
