@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..effects import apply_effects, combination, effect
+from ..effects import combination, effect, effect_pixels
 from ..effects.presets import GLASS, OIL, glass, oil, presets
 from ..effects.registry import Effect
 from ..functions.pixels import edge_multiplier
-from ..operators.planes import rgb_pixels
 from ..session import table
 from ..sources import frames as R
 from .common import PX, big, conv_cte, edge_cte, map_sql, rgb_cte
@@ -130,11 +129,7 @@ def event_planes(spark: SparkSession, sf: str) -> DataFrame:
 
 def painted(spark: SparkSession, sf: str, kernels: dict) -> DataFrame:
     """(effect, frame_id, x, y, r, g, b)."""
-    done = apply_effects(event_planes(spark, sf), kernels)
-    place = lambda c: F.col(c).cast("long")
-    number = done.withColumn("frame_id", F.col("frame_id") * 64 + F.col("effect")).select("frame_id", "width", "height", "rgb")
-    px = rgb_pixels(number)
-    return px.select(F.pmod("frame_id", F.lit(64)).alias("effect"), F.floor(F.col("frame_id") / 64).alias("frame_id"), *map(place, ("x", "y", "r", "g", "b")))
+    return effect_pixels(event_planes(spark, sf), kernels)
 
 
 ALL = presets(PREFS)

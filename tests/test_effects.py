@@ -84,3 +84,16 @@ def test_combination_places_tiles():
     assert tiles().tolist() == [[1, 2, 3], [4, 5, 0], [0, 0, 0]]
     assert tiles(x_flipped=True).tolist() == [[3, 2, 1], [0, 5, 4], [0, 0, 0]]
     assert tiles(portrait=True).tolist() == [[3, 0, 0], [2, 5, 0], [1, 4, 0]]
+
+
+def test_pixels_of_effects_by_one_worker(spark):
+    """As the pictures of apply_effects(), by one Python step and not two."""
+    from framewright.effects import apply_effects, effect, effect_pixels
+
+    frames = spark.createDataFrame([(f, 137 * f, 4, 3, bytearray(range(f, f + 12)), bytearray(b"abcd"), bytearray(b"efgh")) for f in range(3)], "frame_id long, ms long, width int, height int, yp binary, up binary, vp binary")
+    kernels = {2: effect("edge_luminance").kernel, 5: effect("cartoon").kernel}
+    found = effect_pixels(frames, kernels)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {tuple(r[:4]): tuple(r[4:]) for r in found.collect()}
+    want = {(r["effect"], r["frame_id"], k % 4, k // 4): tuple(bytes(r["rgb"])[3 * k : 3 * k + 3]) for r in apply_effects(frames, kernels).collect() for k in range(12)}
+    assert got == want and len(got) == 72
