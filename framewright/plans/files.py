@@ -102,7 +102,7 @@ def video_playback(spark, sf):
     files = table(spark, sf, "events").agg(F.floor(F.floor(F.max("event_id") / (W * H)) / 4) + 1).first()[0]  # one number
     asks = shown.select("video", "base", "next", F.format_string(f"{folder}/%012d.raw", F.col("video") % files).alias("file"), (F.col("next") % 4).alias("frame"))
     fetched = frames_at(asks, RECORD)
-    return fetched.select("video", "base", "next", F.aggregate(F.slice(R.byte_values("raw"), 1, W * H), F.lit(0).cast("long"), lambda a, x: a + x).alias("luma")).withColumn("luma", F.when(F.col("luma") > 0, F.col("luma")))
+    return fetched.select("video", "base", "next", R.byte_sum(F.substring("raw", 1, W * H)).alias("luma")).withColumn("luma", F.when(F.col("luma") > 0, F.col("luma")))
 
 
 

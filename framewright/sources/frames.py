@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
 from ..session import table
 
@@ -76,6 +76,12 @@ def byte_values(data: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint8)]).astype(np.int32)))
 
 
+@F.arrow_udf(LongType())
+def byte_sum(data: pa.Array) -> pa.Array:
+    """The sum of a binary's bytes, without a number for each; 0 for null."""
+    return pa.array([int(np.frombuffer(x.as_buffer(), np.uint8).sum(dtype=np.int64)) if x.is_valid else 0 for x in data], pa.int64())
+
+
 def to_planes(px: DataFrame, width: int, height: int) -> DataFrame:
     """Pixel form to plane form. Frames with missing pixels are an error of the input and give short planes."""
     place = F.col("y") * width + F.col("x")

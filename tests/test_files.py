@@ -182,3 +182,10 @@ def test_files_of_a_batch_are_made_one_by_one():
     tracemalloc.stop()
     assert len(made) == n and made[0] == made[n - 1]
     assert most < 14e6, most
+
+
+def test_bytes_are_summed_without_numbers(spark):
+    from framewright.sources import frames as R
+
+    rows = spark.createDataFrame([(0, bytearray([255] * 3000)), (1, bytearray()), (2, None), (3, bytearray([1, 128]))], "k int, raw binary")
+    assert [tuple(r) for r in rows.select("k", R.byte_sum("raw").alias("s")).orderBy("k").collect()] == [(0, 765_000), (1, 0), (2, 0), (3, 129)]
