@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import BinaryType
+
+from ..sources.frames import byte_values, unsigned
 
 RATE = 44_100
 # What a recording skips at its start, and where it ends.
@@ -64,14 +66,6 @@ def page_seconds(n_bytes: Column, rate: int = RATE) -> Column:
     return n_bytes / 2 / rate
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def pcm_values(data: pa.Array) -> pa.Array:
-    """The 16-bit little-endian samples of binary; null as an empty array."""
-    parts = [np.frombuffer(x.as_buffer(), "<i2", len(x.as_buffer()) // 2) if x.is_valid else np.zeros(0, "<i2") for x in data]
-    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, "<i2")]).astype(np.int32)))
-
-
 @F.arrow_udf(BinaryType())
 def pcm_bytes(values: pa.Array) -> pa.Array:
     """Arrays of samples as 16-bit little-endian bytes."""
@@ -81,7 +75,11 @@ def pcm_bytes(values: pa.Array) -> pa.Array:
 
 def decode_pcm(raw: DataFrame, data: str = "raw") -> DataFrame:
     """(…, idx, s): the 16-bit little-endian samples of bytes. An odd last byte is left out."""
-    return raw.select(*[c for c in raw.columns if c != data], F.posexplode(pcm_values(data)).alias("idx", "s"))
+    rest = [c for c in raw.columns if c != data]
+    n = F.floor(F.length(data) / 2).cast("int")
+    own = raw.select(*rest, byte_values(data).alias("b"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).alias("places"))
+    each = own.select(*rest, "b", F.explode("places").alias("idx"))
+    return each.select(*rest, "idx", (unsigned(F.get("b", F.col("idx") * 2)) + F.get("b", F.col("idx") * 2 + 1).cast("int") * 256).alias("s"))
 
 
 def encode_pcm(samples: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, LongType
 
+from ..functions.pixels import col
 from ..session import table
 
 #: Size of event frames, and of embedding frames.
@@ -68,12 +69,16 @@ def packed(values: pa.Array) -> pa.Array:
     return pa.array([flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
+@F.arrow_udf(ArrayType(ByteType()))
 def byte_values(data: pa.Array) -> pa.Array:
-    """Binary as arrays of numbers from 0 to 255; null as an empty one."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(0, np.uint8) for x in data]
-    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint8)]).astype(np.int32)))
+    """Binary as arrays of its bytes, signed as Spark has them; unsigned() gives numbers from 0 to 255. The batch's own memory under another type, not a copy."""
+    valid, offsets, own = data.cast(pa.binary()).buffers()
+    values = pa.Array.from_buffers(pa.int8(), own.size if own else 0, [None, own or pa.py_buffer(b"")])
+    return pa.Array.from_buffers(pa.list_(pa.int8()), len(data), [valid, offsets], offset=data.offset, children=[values])
+
+
+def unsigned(value: Column | str) -> Column:
+    return F.pmod(col(value).cast("int"), F.lit(256))
 
 
 @F.arrow_udf(LongType())
@@ -105,7 +110,7 @@ def to_pixels(planes: DataFrame) -> DataFrame:
     each = own.select("frame_id", "width", "u_", "v_", F.posexplode("y_").alias("i", "yy"))
     x, y = F.pmod(F.col("i"), F.col("width")), F.floor(F.col("i") / F.col("width")).cast("int")
     chroma = (F.floor(y / 2) * F.ceil(F.col("width") / 2) + F.floor(x / 2)).cast("int")
-    return each.select("frame_id", x.alias("x"), y.alias("y"), "yy", F.get("u_", chroma).alias("uu"), F.get("v_", chroma).alias("vv"))
+    return each.select("frame_id", x.alias("x"), y.alias("y"), unsigned("yy").alias("yy"), unsigned(F.get("u_", chroma)).alias("uu"), unsigned(F.get("v_", chroma)).alias("vv"))
 
 
 def from_raw(raw: DataFrame, width: int, height: int, data: str = "raw") -> DataFrame:
@@ -127,4 +132,4 @@ def without_strides(raw: DataFrame, width: int, row_stride: int, pixel_stride: i
     rest = [c for c in raw.columns if c != data]
     each = raw.select(*rest, F.posexplode(byte_values(data)).alias("at", "value")).withColumn("in_row", F.pmod("at", F.lit(row_stride)))
     each = each.filter((F.col("in_row") < width * pixel_stride) & (F.col("in_row") % pixel_stride == 0))
-    return each.select(*rest, F.floor(F.col("in_row") / pixel_stride).cast("int").alias("x"), F.floor(F.col("at") / row_stride).cast("int").alias("y"), "value")
+    return each.select(*rest, F.floor(F.col("in_row") / pixel_stride).cast("int").alias("x"), F.floor(F.col("at") / row_stride).cast("int").alias("y"), unsigned("value").alias("value"))

@@ -3,12 +3,14 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from framewright import registry
 from framewright.functions import numbers as N
 from framewright.functions import pixels as P
+from framewright.operators import audio as A
 from framewright.operators import stencil as T
 from framewright.sources import ebml as E
 from framewright.sources import frames as R
@@ -77,6 +79,22 @@ def test_whole_texts(spark, sf):
     assert got == list(want)
 
 
+def test_bytes_of_a_batch_take_no_more_memory_as_numbers(spark):
+    """A batch's bytes become arrays in no more than the batch's memory; every byte, nulls, empty ones and slices keep their values, as do pixels and samples made of them."""
+    rows = [bytes(range(256)), None, b"", b"\xff\x80\x00", bytes(range(255, -1, -1)) * 40]
+    for data in (pa.array(rows, pa.binary()), pa.array(rows, pa.binary())[1:], pa.array(rows, pa.large_binary()), pa.array([None, None], pa.binary()), pa.array([], pa.binary())):
+        own = R.byte_values.func(data)
+        own.validate(full=True)
+        assert [[v % 256 for v in x or ()] for x in own.to_pylist()] == [list(x or b"") for x in data.to_pylist()]
+        assert own.nbytes <= data.nbytes
+    df = spark.createDataFrame([(k, None if r is None else bytearray(r)) for k, r in enumerate(rows)], "k long, raw binary")
+    for width, row, pixel in ((4, 12, 2), (5, 7, 1), (9, 10, 3)):
+        want = [(k, x, y, r[y * row + x * pixel]) for k, r in enumerate(rows) if r for y in range(-(-len(r) // row)) for x in range(width) if x * pixel < row and y * row + x * pixel < len(r)]
+        assert sorted(map(tuple, R.without_strides(df, width, row, pixel).collect())) == sorted(want)
+    samples = [(k, i, int.from_bytes(r[2 * i : 2 * i + 2], "little", signed=True)) for k, r in enumerate(rows) if r for i in range(len(r) // 2)]
+    assert sorted(map(tuple, A.decode_pcm(df).collect())) == samples
+
+
 def test_all_events_take_part(spark, sf):
     """No subset of frames or events is left: pixels, bases, and more drops than one in ten has."""
     n = spark.read.parquet(f"{sf}/events.parquet").count()
