@@ -105,9 +105,12 @@ def to_planes(px: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def to_pixels(planes: DataFrame) -> DataFrame:
-    """Plane form to pixel form."""
+    """Plane form to pixel form.
+
+    The outer form keeps Spark from asking beforehand, by another run of the bytes' Python step, whether a plane is empty; its rows without a place go.
+    """
     own = planes.select("frame_id", "width", byte_values("yp").alias("y_"), byte_values("up").alias("u_"), byte_values("vp").alias("v_"))
-    each = own.select("frame_id", "width", "u_", "v_", F.posexplode("y_").alias("i", "yy"))
+    each = own.select("frame_id", "width", "u_", "v_", F.posexplode_outer("y_").alias("i", "yy")).filter("i IS NOT NULL")
     x, y = F.pmod(F.col("i"), F.col("width")), F.floor(F.col("i") / F.col("width")).cast("int")
     chroma = (F.floor(y / 2) * F.ceil(F.col("width") / 2) + F.floor(x / 2)).cast("int")
     return each.select("frame_id", x.alias("x"), y.alias("y"), unsigned("yy").alias("yy"), unsigned(F.get("u_", chroma)).alias("uu"), unsigned(F.get("v_", chroma)).alias("vv"))

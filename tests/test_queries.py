@@ -95,6 +95,15 @@ def test_bytes_of_a_batch_take_no_more_memory_as_numbers(spark):
     assert sorted(map(tuple, A.decode_pcm(df).collect())) == samples
 
 
+def test_pixels_take_one_python_step(spark):
+    """Planes become pixels by one Python step, and so one worker a task; planes that are empty, missing or short give the pixels that are there."""
+    rows = [(0, 2, 2, b"\x00\x7f\x80\xff", b"\xfe", b"\x01"), (1, 3, 1, b"abc", b"\x81", None), (2, 2, 2, b"", b"x", b"y"), (3, 2, 2, None, b"x", b"y")]
+    own = R.to_pixels(spark.createDataFrame(rows, "frame_id long, width int, height int, yp binary, up binary, vp binary"))
+    want = [(0, 0, 0, 0, 254, 1), (0, 1, 0, 127, 254, 1), (0, 0, 1, 128, 254, 1), (0, 1, 1, 255, 254, 1), (1, 0, 0, 97, 129, None), (1, 1, 0, 98, 129, None), (1, 2, 0, 99, None, None)]
+    assert sorted(map(tuple, own.collect()), key=str) == sorted(want, key=str)
+    assert own._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_all_events_take_part(spark, sf):
     """No subset of frames or events is left: pixels, bases, and more drops than one in ten has."""
     n = spark.read.parquet(f"{sf}/events.parquet").count()
